@@ -54,9 +54,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and an equality join. Edges are the only state; each round is checkpointed and nothing but two
     numbers comes to the driver. Self-links keep a node as its own root; null ends are dropped.
     """
-    both = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    both = checkpoint(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     alone = both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).distinct()
-    current = checkpoint(both.where("u > v").distinct())
+    current = both.where("u > v")
     nodes = checkpoint(alone)
     seen = None
     while True:
