@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, secret_scan, simhash
+from . import decontamination, line_dedup, packing, quality, secret_scan, simhash
 
 #: Where the public tokenizer files lie; the operators take the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,16 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.spans_text("spans").alias("spans"))
 
 
+def _remainder(modulus: int):
+    """crc32 of the doc_id as text, by the modulus."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"), learn=_remainder(3) != 1)
+    return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
@@ -92,7 +102,7 @@ FROM keyed LEFT JOIN holders USING (k) GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_secrets, op5_decontamination, op6_packing, op10_line_dedup)
+    found = (op1_simhash, op2_secrets, op3_quality, op5_decontamination, op6_packing, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
