@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality, secret_scan, simhash
+from . import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, spotsigs, token_counts
 
 #: Where the public tokenizer files lie; the operators take the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,20 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.compare_with_edits(_table(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint("signatures").alias("fingerprint"),
+        spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"),
+        spotsigs.pruned_jaccard("signatures", "edited_signatures").alias("near_edited"),
+        spotsigs.pruned_jaccard("signatures", "next_signatures").alias("near_next"),
+        spotsigs.length_partition("signatures").alias("length_partition"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
@@ -81,6 +95,34 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir), tokenizer_path(), with_ids=False).drop("ids")
 
 
+#: Bytes of text in a shard, at most.
+SHARD_BYTES = 1 << 20
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir), SHARD_BYTES)
+
+
+OP7_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b FROM documents
+), levels AS (
+  SELECT doc_id, h, b, d, h >> (60 - d) AS p FROM docs, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d)
+), buckets AS (
+  SELECT d, p, sum(b) AS b, count(*) AS n, min(h) < max(h) AND sum(b) > {SHARD_BYTES} AS splits FROM levels GROUP BY d, p
+), depths AS (
+  SELECT l.doc_id, l.h, coalesce(max(l.d) FILTER (k.splits) + 1, 0) AS depth FROM levels l JOIN buckets k ON k.d = l.d AND k.p = l.p GROUP BY l.doc_id, l.h
+)
+SELECT t.doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(t.h >> (60 - depth)), depth, '0') END AS shard, CAST(depth AS INTEGER) AS local_depth,
+       CAST(k.b AS BIGINT) AS shard_bytes, CAST(k.n AS BIGINT) AS shard_docs, k.b > {SHARD_BYTES} AS oversized
+FROM depths t JOIN buckets k ON k.d = t.depth AND k.p = t.h >> (60 - depth)
+"""
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir), tokenizer_path())
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_table(spark, sf_dir).select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -102,9 +144,9 @@ FROM keyed LEFT JOIN holders USING (k) GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_secrets, op3_quality, op5_decontamination, op6_packing, op10_line_dedup)
+    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op9_token_counts, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL, "op10_line_dedup": OP10_SQL}
