@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, spotsigs, token_counts
+from . import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, spotsigs, token_counts, toxicity
 
 #: Where the public tokenizer files lie; the operators take the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
@@ -119,6 +119,11 @@ FROM depths t JOIN buckets k ON k.d = t.depth AND k.p = t.h >> (60 - depth)
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"), learn=_remainder(5) != 0)
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir), tokenizer_path())
 
@@ -143,9 +148,15 @@ FROM keyed LEFT JOIN holders USING (k) GROUP BY doc_id
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op9_token_counts, op10_line_dedup)
-    return {f.__name__: f for f in found}
+    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup)
+    return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
