@@ -1 +1,10 @@
-"""corpusloom: Spark-native preparation and evaluation of retrieval corpora."""
+"""corpusloom: Spark-native preparation and evaluation of retrieval corpora.
+
+Python workers get the package's functions by value, so that an executor needs no copy of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
