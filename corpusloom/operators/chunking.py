@@ -45,7 +45,7 @@ def _cut(rows: DataFrame, rule: WindowRule | BudgetRule | AdaptiveRule) -> DataF
 def _finish(rows: DataFrame, strategy: str, about: Sequence[Column]) -> DataFrame:
     """A row a piece, with quality, counts and hash. ``rows`` has ``_pieces`` and ``_penalties``."""
     chunks = rows.select(*[c for c in rows.columns if c != "_pieces"], F.posexplode("_pieces").alias("chunk_index", "text"))
-    chunks = chunks.withColumn("_quality", quality.breakdown("text" if strategy != "passage" else "_scored", F.get("_penalties", F.col("chunk_index"))))
+    chunks = quality.with_breakdown(chunks, "text" if strategy != "passage" else "_scored", F.get("_penalties", F.col("chunk_index")), "_quality")
     split = F.col("language") == "target"
     whole = strategy == "passage"
     return chunks.select(
@@ -166,4 +166,4 @@ def drop_flagged(chunks: DataFrame, duplicates: bool = False, short: bool = Fals
 
 def drop_counts(chunks: DataFrame) -> DataFrame:
     """How many rows each drop takes; a chunk that is both duplicate and short counts as duplicate."""
-    return chunks.agg(F.count_if("is_duplicate_chunk").alias("dropped_duplicates"), F.count_if("below_min_length and not is_duplicate_chunk").alias("dropped_below_min"))
+    return chunks.agg(F.count_if("is_duplicate_chunk").alias("dropped_duplicates"), F.count_if(F.col("below_min_length") & ~F.col("is_duplicate_chunk")).alias("dropped_below_min"))

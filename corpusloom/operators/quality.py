@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -39,9 +39,8 @@ def penalties(pieces: str | Column) -> Column:
     return F.transform(sets, worst)
 
 
-def breakdown(text: str | Column, penalty: str | Column) -> Column:
-    """The terms and their sum as a struct."""
-    lost = F.col(penalty) if isinstance(penalty, str) else penalty
-    terms = [coherence(text), density(text), boundary(text)]
-    total = F.round(terms[0] + terms[1] + terms[2] - lost, 3)
-    return F.struct(total.alias("quality_score"), terms[0].alias("semantic_coherence_proxy"), terms[1].alias("information_density"), terms[2].alias("boundary_quality"), lost.alias("duplication_penalty"))
+def with_breakdown(rows: DataFrame, text: str, penalty: Column, name: str) -> DataFrame:
+    """``rows`` with the terms and their sum as a struct; each term is computed once."""
+    rows = rows.withColumn(name, F.struct(coherence(text).alias("c"), density(text).alias("d"), boundary(text).alias("b"), penalty.alias("p")))
+    c, d, b, p = (F.col(f"{name}.{k}") for k in "cdbp")
+    return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty")))
