@@ -254,7 +254,9 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_words: int,
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["y", "name", "ids"])
 
-    joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(chosen, "key").select("y", "text")
+    # the sample's keys are few at any size of the corpus; counted, so that nothing larger is ever broadcast
+    keys = F.broadcast(chosen) if chosen.count() <= 4 * most_docs else chosen
+    joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(keys, "key").select("y", "text")
     table = joined.mapInArrow(look, "y int, name string, ids binary").toArrow()
     # the order of tasks mustn't matter
     taught = sorted(zip(table["ids"].to_pylist(), table["name"].to_pylist(), table["y"].to_pylist(), strict=True))
