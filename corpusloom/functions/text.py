@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as Python's str.split sees it. Java's (?U)\s lacks U+001C to U+001F.
-SPACE = r"[\s\x1C-\x1F]"
+#: White space as Python's str.split sees it: characters, and a regex class of them. Fixed values.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Normalised answers that mean none. Fixed values.
 NO_ANSWER_MARKERS = ("no answer present.", "no answer present", "")
 #: Half-open length buckets of the reports. Fixed values.
@@ -28,7 +29,7 @@ def filled(value: str | Column) -> Column:
 
 def strip(value: str | Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(filled(value), f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(filled(value), F.lit(BLANKS))
 
 
 def _nfc(texts: pd.Series) -> pd.Series:
@@ -55,7 +56,7 @@ def nfc_all(values: str | Column) -> Column:
 
 def words(value: str | Column) -> Column:
     """Runs of anything but white space."""
-    return F.filter(F.split(filled(value), f"(?U){SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(filled(value), f"{SPACE}+"), "")
 
 
 def lower_words(value: str | Column) -> Column:
@@ -67,23 +68,19 @@ def token_count(value: str | Column) -> Column:
     return F.size(words(value))
 
 
-def _pieces(value: str | Column, separator: str) -> Column:
-    return F.filter(F.transform(F.split(strip(value), separator), strip), lambda p: p != "")
-
-
 def sentences(value: str | Column) -> Column:
-    """Split after . ! ? or danda where white space follows; pieces stripped, empty ones dropped."""
-    return _pieces(value, f"(?U)(?<=[.!?।]){SPACE}+")
+    """Split after . ! ? or danda where white space follows; pieces come stripped, empty ones are dropped."""
+    return F.array_remove(F.split(strip(value), f"(?<=[.!?।]){SPACE}+"), "")
 
 
 def paragraphs(value: str | Column) -> Column:
     """Split at blank lines; pieces stripped, empty ones dropped."""
-    return _pieces(value, f"(?U)\\n{SPACE}*\\n")
+    return F.array_remove(F.transform(F.split(strip(value), f"\\n{SPACE}*\\n"), strip), "")
 
 
 def dedup_text(value: str | Column) -> Column:
     """The form in which chunks are compared: white space collapsed, stripped, lower case."""
-    return F.lower(strip(F.regexp_replace(filled(value), f"(?U){SPACE}+", " ")))
+    return F.lower(strip(F.regexp_replace(filled(value), f"{SPACE}+", " ")))
 
 
 def text_hash(value: str | Column) -> Column:

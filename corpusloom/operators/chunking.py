@@ -24,7 +24,8 @@ WHOLE = 40
 
 def passages(records: DataFrame) -> DataFrame:
     """One row a passage with text: its language, its primary text, its id. Blank passages go."""
-    rows = records.select(*KEPT, F.explode("passages").alias("p"))
+    # outer: else a filter on the size is inferred, which makes the passages a second time; the next filter drops nulls
+    rows = records.select(*KEPT, F.explode_outer("passages").alias("p"))
     rows = rows.select(*KEPT, "p.passage_index", "p.is_selected", X.filled("p.text_english").alias("text_english"), X.filled("p.text_target").alias("text_target"))
     rows = rows.withColumn("_target", X.strip("text_target")).withColumn("_english", X.strip("text_english"))
     rows = rows.where("_target <> '' or _english <> ''")
@@ -44,7 +45,7 @@ def _cut(rows: DataFrame, rule: WindowRule | BudgetRule | AdaptiveRule) -> DataF
 
 def _finish(rows: DataFrame, strategy: str, about: Sequence[Column]) -> DataFrame:
     """A row a piece, with quality, counts and hash. ``rows`` has ``_pieces`` and ``_penalties``."""
-    chunks = rows.select(*[c for c in rows.columns if c != "_pieces"], F.posexplode("_pieces").alias("chunk_index", "text"))
+    chunks = rows.select(*[c for c in rows.columns if c != "_pieces"], F.posexplode_outer("_pieces").alias("chunk_index", "text")).where("text is not null")
     chunks = quality.with_breakdown(chunks, "text" if strategy != "passage" else "_scored", F.get("_penalties", F.col("chunk_index")), "_quality")
     split = F.col("language") == "target"
     whole = strategy == "passage"
@@ -87,14 +88,16 @@ def paragraph_chunks(records: DataFrame, rule: BudgetRule = BudgetRule(), whole:
     literal = F.size("_paragraphs") > 1
     rows = rows.withColumn("_pieces", F.when(F.col("_total") <= whole, F.array("primary")).when(literal, F.col("_paragraphs")).otherwise(F.col("_groups")))
     reason = F.when(F.col("_total") <= whole, "below_min_tokens_kept_whole").when(literal, "literal_paragraph_boundaries").otherwise("sentence_grouped_fallback_no_literal_paragraphs")
-    rows = rows.withColumn("_reason", reason).withColumn("_n", F.size("_pieces")).withColumn("_penalties", quality.penalties("_pieces"))
+    rows = rows.withColumn("_reason", reason).withColumn("_n", F.size("_pieces"))
+    rows = quality.with_penalties(rows, "_pieces", "_penalties")
     return _finish(rows, "paragraph", [F.col("_reason").alias("split_reason"), F.lit(rule.target).alias("target_tokens"), F.lit(rule.overlap).alias("overlap_tokens"), F.col("_n").alias("num_pieces_in_passage")])
 
 
 def sentence_chunks(records: DataFrame, rule: WindowRule = WindowRule()) -> DataFrame:
     """Overlapping windows of sentences."""
     rows = _cut(passages(records), rule)
-    rows = rows.withColumn("_n", F.size("_pieces")).withColumn("_penalties", quality.penalties("_pieces"))
+    rows = rows.withColumn("_n", F.size("_pieces"))
+    rows = quality.with_penalties(rows, "_pieces", "_penalties")
     return _finish(rows, "sentence", [F.lit(rule.least).alias("min_tokens"), F.lit(rule.target).alias("target_tokens"), F.lit(rule.most).alias("max_tokens"), F.lit(rule.overlap).alias("overlap_sentences"), F.col("_n").alias("num_windows_in_passage")])
 
 
@@ -105,7 +108,8 @@ def adaptive_chunks(records: DataFrame, rule: AdaptiveRule = AdaptiveRule()) ->
     rows = _cut(rows, rule)
     rows = rows.withColumn("_pieces", F.when(F.col("_class") == "SHORT", F.array("primary")).otherwise(F.col("_pieces")))
     method = F.when(F.col("_class") == "SHORT", "kept_whole").when(F.col("_class") == "MEDIUM", "sentence_window_medium").when(F.col("_class") == "LONG", "sentence_window_long").otherwise("recursive_structural_split")
-    rows = rows.withColumn("_method", method).withColumn("_n", F.size("_pieces")).withColumn("_penalties", quality.penalties("_pieces"))
+    rows = rows.withColumn("_method", method).withColumn("_n", F.size("_pieces"))
+    rows = quality.with_penalties(rows, "_pieces", "_penalties")
     return _finish(rows, "adaptive", [F.col("_class").alias("length_class"), F.col("_method").alias("adaptive_method"), F.col("_total").alias("passage_total_tokens_estimate"), F.col("_n").alias("num_pieces_in_passage")])
 
 

@@ -28,15 +28,19 @@ def boundary(text: str | Column) -> Column:
     return F.when(own == "", 0.0).otherwise(F.round(end + start, 3))
 
 
-def penalties(pieces: str | Column) -> Column:
-    """For each of a passage's pieces, half of the largest share of its words that another piece has."""
-    sets = F.transform(pieces, lambda p: F.array_distinct(X.lower_words(p)))
+def with_penalties(rows: DataFrame, pieces: str, name: str) -> DataFrame:
+    """``rows`` with, for each of a passage's pieces, half of the largest share of its words that another piece has.
+
+    The pieces' word sets are a column of their own, so that they are made once and not once a pair.
+    """
+    sets = f"{name}_sets"
+    rows = rows.withColumn(sets, F.transform(pieces, lambda p: F.array_distinct(X.lower_words(p))))
 
     def worst(own: Column, at: Column) -> Column:
-        shares = F.transform(sets, lambda other, i: F.when(i == at, 0.0).otherwise(F.size(F.array_intersect(own, other)) / F.size(own)))
-        return F.when(F.size(own) == 0, 0.0).otherwise(F.round(F.least(F.array_max(shares) * 0.5, F.lit(0.5)), 3))
+        shared = F.transform(sets, lambda other, i: F.when(i == at, 0).otherwise(F.size(F.array_intersect(own, other))))
+        return F.when(F.size(own) == 0, 0.0).otherwise(F.round(F.least(F.array_max(shared) / F.size(own) * 0.5, F.lit(0.5)), 3))
 
-    return F.transform(sets, worst)
+    return rows.withColumn(name, F.transform(sets, worst)).drop(sets)
 
 
 def with_breakdown(rows: DataFrame, text: str, penalty: Column, name: str) -> DataFrame:
