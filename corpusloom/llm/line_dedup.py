@@ -104,8 +104,8 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, key: str = "doc_id", text: st
     return gathered.mapInArrow(_bitmaps, "key long, row long, n_lines int, n_dropped int, keep binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the dropped lines cut from ``text``, and ``line_counts`` (struct n_lines, n_dropped) after its columns.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text", counts: str | None = None) -> DataFrame:
+    """``docs`` with the dropped lines cut from ``text``; ``counts`` names a struct (n_lines, n_dropped) to add after its columns.
 
     A null text stays null and counts as one empty line. Other columns pass through as they are.
     """
@@ -134,9 +134,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text
     schema = f"rest {joined.schema['rest'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
     done = joined.mapInArrow(cut, schema)
     columns = [F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
-    return done.select(*columns, F.struct("n_lines", "n_dropped").alias("line_counts"))
+    return done.select(*columns, *([F.struct("n_lines", "n_dropped").alias(counts)] if counts else []))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, key: str = "doc_id", text: str = "text", counts: str | None = None) -> DataFrame:
     """``docs`` with repeated lines cut; see ``keep_bitmaps`` and ``apply_bitmaps``."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, least, key, text), key, text)
+    return apply_bitmaps(docs, keep_bitmaps(docs, least, key, text), key, text, counts)

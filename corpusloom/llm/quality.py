@@ -180,7 +180,7 @@ def reject(docs: DataFrame, labels: DataFrame, learn: Column | None = None, thre
     row = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("row"))
     found = checkpoint(features(docs.select(row.alias("key"), F.col(text).cast("string").alias("text")), "key", "text"))
     taught = labels.where(learn) if learn is not None else labels
-    known = found.join(taught.select(F.col(key).alias("_id"), F.col(label).alias("label")), F.col("key.id") == F.col("_id")).select("x", "label")
+    known = found.join(taught.select(F.col(key).alias("__loom_id"), F.col(label).alias("label")), F.col("key.id") == F.col("__loom_id")).select("x", "label")
     kept = score(found, fit(checkpoint(known), "label")).where(F.col("score") >= threshold)
-    kept = kept.select(F.col("key.id").alias("_id"), F.col("key.row").alias("_row")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_row")), "left_semi")
+    kept = kept.select(F.col("key.id").alias("__loom_id"), F.col("key.row").alias("__loom_row")).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("__loom_id")) & (F.xxhash64(F.col(text)) == F.col("__loom_row")), "left_semi")

@@ -129,7 +129,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir).select("doc_id", "text"))
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir).select("doc_id", "text"), counts="line_counts")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return kept.select("doc_id", "line_counts.n_lines", "line_counts.n_dropped", digest.alias("kept_sha256"))
 

@@ -182,4 +182,4 @@ def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, most: int =
 def keep_representatives(docs: DataFrame, words: int = 4, limit: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is their component's smallest; rows that repeat a kept key all stay."""
     kept = near_duplicates(docs, words, limit, key=key, text=text).where(F.col(key).eqNullSafe(F.col("component")))
-    return docs.join(kept.select(F.col(key).alias("_kept")).distinct(), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept.select(F.col(key).alias("__loom_kept")).distinct(), F.col(key).eqNullSafe(F.col("__loom_kept")), "left_semi")
