@@ -17,6 +17,7 @@ from ..operators import ingest as I
 from ..operators import profile as P
 from ..operators import reports as R
 from ..operators import retrieval as S
+from ..sources.tables import read_chunks, write_chunks
 from ..sources.vector_store import VectorCollection, as_points, latest
 from . import oracle
 from .fixtures import marked_documents, raw_records, single_raw, table
@@ -51,6 +52,23 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return C.dedup_chunks(C.chunk_views(_records(s, d)))
 
 
+def _shared_folder(s: SparkSession) -> str:
+    """The folder that the session's driver and executors share; a local one only where none is named."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if base is None:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="corpusloom-")
+    return base.rstrip("/")
+
+
+def _stored_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Chunks as a written table by strategy and language, for what reads them more than once."""
+    path = f"{_shared_folder(s)}/chunks-{uuid.uuid4().hex}"
+    write_chunks(_chunks(s, d), path)
+    return read_chunks(s, path)
+
+
 # ---- ingestion ----
 
 
@@ -209,7 +227,7 @@ def chunk_dedup_summary(s, d):
 
 @query
 def chunk_drop_filters(s, d):
-    chunks = _chunks(s, d)
+    chunks = _stored_chunks(s, d)
     kept = C.drop_flagged(chunks, duplicates=True, short=True).agg(F.count("*").alias("kept"))
     return kept.crossJoin(C.drop_counts(chunks))
 
@@ -234,7 +252,7 @@ def report_strategies(s, d):
 
 @query
 def report_comparison(s, d):
-    return R.comparison_report(_chunks(s, d))
+    return R.comparison_report(_stored_chunks(s, d))
 
 
 @query
@@ -307,7 +325,7 @@ def _sample(s: SparkSession, d: str) -> DataFrame:
 
 def _benchmark(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Chunks and the benchmark over them."""
-    chunks = _chunks(s, d)
+    chunks = _stored_chunks(s, d)
     return chunks, B.ground_truth(_sample(s, d), chunks)
 
 
@@ -466,13 +484,8 @@ def index_upsert(s, d):
 
 def _collection(s: SparkSession, d: str) -> VectorCollection:
     """A collection of the documents' passages, in the session's shared folder."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="corpusloom-")
     rows = marked_documents(s, d).select(F.concat("doc_id", F.lit("_p0_passage_0")).alias("chunk_id"), F.when(F.col("lang") == "en", "english").otherwise("target").alias("language"), F.lit("passage").alias("chunk_strategy"), "is_selected", "text")
-    store = VectorCollection(s, f"{base.rstrip('/')}/collection-{uuid.uuid4().hex}", create=True)
+    store = VectorCollection(s, f"{_shared_folder(s)}/collection-{uuid.uuid4().hex}", create=True)
     store.upsert(as_points(S.embed(rows, S.HashingEmbedder(oracle.DIM))), 0)
     return store
 
