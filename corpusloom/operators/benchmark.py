@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.frames import union_all
+
 FIELDS = ("query_id", "query_target", "query_english", "query_type", "source_lang", "target_lang", "has_answer", "answer_status", "passages")
 
 
@@ -82,10 +84,10 @@ def corpus_subset(chunks: DataFrame, benchmark: DataFrame, size: int, seed: int
     positive = chunks.join(positives, "parent_passage_id", "left_semi")
     hard = chunks.join(asked, "query_id", "left_semi").join(positives, "parent_passage_id", "left_anti")
     others = chunks.join(asked, "query_id", "left_anti")
-    base = positive.withColumn("origin", F.lit("positive")).unionByName(hard.withColumn("origin", F.lit("hard_negative")))
+    base = union_all([positive.withColumn("origin", F.lit("positive")), hard.withColumn("origin", F.lit("hard_negative"))])
     needed = max(0, size - base.count())
     drawn = others.withColumn("origin", F.lit("random_negative")).orderBy(draw_order("chunk_id", seed), "chunk_id").limit(needed)
-    return base.unionByName(drawn.select(*base.columns)).dropDuplicates(["chunk_id"])
+    return union_all([base, drawn.select(*base.columns)]).dropDuplicates(["chunk_id"])
 
 
 def missing_ground_truth(benchmark: DataFrame, corpus: DataFrame) -> DataFrame:

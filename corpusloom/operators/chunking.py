@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.frames import union_all
 from . import quality
 from .windows import AdaptiveRule, BudgetRule, WindowRule, bounds
 
@@ -122,10 +123,7 @@ def chunk_views(records: DataFrame, strategies: Sequence[str] = STRATEGIES) -> D
     frames = [makers[s](records) for s in STRATEGIES if s in strategies]
     if not frames:
         raise ValueError("no strategy is chosen")
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+    return union_all(frames)
 
 
 def dedup_chunks(chunks: DataFrame, least_chars: int = 10) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.frames import union_all
 
 #: Payload columns that a search may be filtered on. is_selected must never be one.
 FILTERS = ("language", "query_type", "chunk_strategy")
@@ -31,7 +33,7 @@ class HashingEmbedder:
     """
 
     def __init__(self, dimension: int = 256, sizes: tuple[int, int] = (2, 4)):
-        self.name, self.dimension, self.sizes = f"TEST_ONLY_hashing_dim{dimension}", dimension, sizes
+        self.name, self.dimension, self.sizes, self.most_known = f"TEST_ONLY_hashing_dim{dimension}", dimension, sizes, 1 << 18
 
     def places(self, word: str) -> np.ndarray:
         """The place of each n-gram of a word; a word shorter than n gives itself once."""
@@ -50,11 +52,16 @@ class HashingEmbedder:
     def embed(self, texts: Sequence[str | None], is_query: bool = False) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), dtype=np.float64)
         known: dict[str, np.ndarray] = {}
-        for row, text in zip(out, texts, strict=True):
+        for row, text in enumerate(texts):
+            places = []
             for word in (text or "").lower().split():
                 if word not in known:
+                    if len(known) >= self.most_known:
+                        known.clear()
                     known[word] = self.places(word)
-                np.add.at(row, known[word], 1)
+                places.append(known[word])
+            if places:
+                out[row] = np.bincount(np.concatenate(places), minlength=self.dimension)
         sizes = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(sizes == 0, 1, sizes)).astype(np.float32)
 
@@ -144,7 +151,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     kinds = queries.schema[query_key].dataType.simpleString(), corpus.schema[corpus_key].dataType.simpleString()
     schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
     rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    found = None
+    found = []
 
     def search(keys: list, vectors: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((keys, vectors))
@@ -173,15 +180,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
         keys.append(row.q)
         vectors.append(row.v)
         if len(keys) == block:
-            more = search(keys, np.array(vectors))
-            found = more if found is None else found.union(more)
+            found.append(search(keys, np.array(vectors)))
             keys, vectors = [], []
     if keys:
-        more = search(keys, np.array(vectors))
-        found = more if found is None else found.union(more)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
+        found.append(search(keys, np.array(vectors)))
+    ranked = union_all(found or [spark.createDataFrame([], schema)]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
     score = -F.col("score") if distance == "euclid" else F.col("score")
     return ranked.select("query_id", "rank", "chunk_id", score.alias("score"))
 
@@ -189,34 +192,89 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
 # ---- sparse ----
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, query_key: str = "query_id", corpus_key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """Okapi BM25 over white-space words; equal scores go by corpus key, and rows that match nothing fill up to k.
+def bm25_statistics(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, int, float, float]:
+    """``term, df``, then the number of rows, their mean length in words and the mean idf over all words.
+
+    A row gives each of its words once, and words are counted before they move. What comes to the driver is
+    three numbers.
+    """
+    docs = corpus.select(X.lower_words(text).alias("w"))
+    df = docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
+    n = sizes["n"]
+    idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    return df, n, float(sizes["mean"] or 1.0), float(df.agg(F.avg(idf)).first()[0] or 0.0)
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block: int = 1024, query_key: str = "query_id", corpus_key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Okapi BM25 over white-space words; equal scores (to 9 places) go by corpus key, so rows that match nothing fill up to k.
 
     idf is ln(N - n + 0.5) - ln(n + 0.5), a negative one replaced by ``epsilon`` times the mean idf of all
-    words. A repeated query word counts as often as it occurs. Only words of queries leave the corpus rows;
-    each counts once a row, with its frequency, so a frequent word is combined before it moves.
+    words. A repeated query word counts as often as it occurs. Queries go to the corpus's tasks in blocks of
+    ``block`` with their words' weights; a row's words are counted where the row is, a task keeps its own
+    best k of each query, and only those are shuffled, so no word's rows ever meet in one place.
     """
-    docs = corpus.select(F.col(corpus_key).alias("chunk_id"), X.lower_words(text).alias("w"))
-    terms = docs.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
-    total, avgdl = stats["n"], stats["avgdl"] or 1.0
-    asked = queries.select(F.col(query_key).alias("query_id"), F.explode(X.lower_words(text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    raw = F.log(F.lit(float(total)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.withColumn("idf", raw)
-    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
-    weighted = asked.join(idf.select("term", F.when(F.col("idf") < 0, F.lit(epsilon * mean)).otherwise(F.col("idf")).alias("idf")), "term")
-    gain = F.col("idf") * F.col("qtf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl))))
-    scored = terms.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("score"))
-    window = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    # a query that fewer than k rows match is filled with the first rows that it doesn't match, of which 2k hold enough
-    everyone = queries.select(F.col(query_key).alias("query_id")).distinct()
-    short = everyone.join(best.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
-    fill = corpus.select(F.col(corpus_key).alias("chunk_id")).orderBy("chunk_id").limit(2 * k)
-    zeros = short.crossJoin(F.broadcast(fill)).select("query_id", "chunk_id").join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    whole = best.select("query_id", "chunk_id", "score").unionByName(zeros)
-    return whole.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    spark = queries.sparkSession
+    df, n, mean_size, mean_idf = bm25_statistics(corpus, text)
+    asked = queries.select(F.col(query_key).alias("query_id"), X.lower_words(text).alias("w"))
+    terms = asked.select("query_id", F.explode("w").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(df, "term")
+    lists = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "df")).alias("terms"))
+    whole = asked.select("query_id").distinct().join(lists, "query_id", "left")
+    rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(text).cast("string").alias("text"))
+    schema = f"query_id {queries.schema[query_key].dataType.simpleString()}, chunk_id {corpus.schema[corpus_key].dataType.simpleString()}, score double"
+    found = []
+
+    def search(part: list) -> DataFrame:
+        weights: dict[str, tuple[list[int], list[float]]] = {}
+        for at, row in enumerate(part):
+            for t in row.terms or ():
+                idf = math.log(n - t.df + 0.5) - math.log(t.df + 0.5)
+                own = weights.setdefault(t.term, ([], []))
+                own[0].append(at)
+                own[1].append((epsilon * mean_idf if idf < 0 else idf) * t.qtf)
+        shared = spark.sparkContext.broadcast(([r.query_id for r in part], {t: (np.array(i), np.array(w)) for t, (i, w) in weights.items()}))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, known = shared.value
+            best: list[list[tuple]] = [[] for _ in keys]
+            for whole_batch in batches:
+                for start in range(0, whole_batch.num_rows, 1024):
+                    batch = whole_batch.slice(start, 1024)
+                    ids = batch.column(0).to_pylist()
+                    scores = np.zeros((len(ids), len(keys)))
+                    for at, value in enumerate(batch.column(1).to_pylist()):
+                        found_words = (value or "").lower().split()
+                        norm = k1 * (1 - b + b * len(found_words) / mean_size)
+                        for term, tf in Counter(found_words).items():
+                            if term in known:
+                                places, weight = known[term]
+                                scores[at, places] += weight * (tf * (k1 + 1) / (tf + norm))
+                    scores = np.round(scores, 9)
+                    order = np.argsort(np.array(ids), kind="stable")
+                    for i in range(len(keys)):
+                        column = scores[order, i]
+                        top = np.argpartition(-column, k - 1)[:k] if len(column) > 4 * k else np.arange(len(column))
+                        floor = column[top].min()
+                        near = np.flatnonzero(column >= floor)
+                        near = near[np.argsort(-column[near], kind="stable")[:k]]
+                        best[i] = sorted([*best[i], *((-column[j], ids[order[j]]) for j in near.tolist())])[:k]
+            flat = [(keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["query_id", "chunk_id", "score"])
+
+        return rows.mapInArrow(scan, schema)
+
+    part: list = []
+    for row in whole.toLocalIterator():
+        part.append(row)
+        if len(part) == block:
+            found.append(search(part))
+            part = []
+    if part:
+        found.append(search(part))
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    every = union_all(found or [spark.createDataFrame([], schema)])
+    return every.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 # ---- fusion ----
@@ -227,10 +285,7 @@ def rrf(lists: Sequence[DataFrame], k: int = 60, top: int | None = None) -> Data
     list that has the row, then in the next."""
     if not lists:
         raise ValueError("no ranking is given")
-    rows = None
-    for n, ranked in enumerate(lists):
-        own = ranked.select("query_id", "chunk_id", "rank", F.lit(n).alias("list"))
-        rows = own if rows is None else rows.unionByName(own)
+    rows = union_all([ranked.select("query_id", "chunk_id", "rank", F.lit(n).alias("list")) for n, ranked in enumerate(lists)])
     fused = rows.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("_seen"))
     ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "_seen")))
     ranked = ranked.where(F.col("rank") <= top) if top else ranked
@@ -243,11 +298,7 @@ def retrieval_modes(dense: DataFrame, sparse: DataFrame, modes: Sequence[str] =
     odd = set(modes) - set(made)
     if odd or not modes:
         raise ValueError(f"modes are {', '.join(made)}")
-    out = None
-    for mode in modes:
-        own = made[mode]().withColumn("mode", F.lit(mode))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return union_all([made[mode]().withColumn("mode", F.lit(mode)) for mode in modes])
 
 
 def restore_text(hits: DataFrame, corpus: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.frames import union_all
 from ..operators import benchmark as B
 from ..operators import chunking as C
 from ..operators import evaluation as E
@@ -479,7 +480,7 @@ def index_upsert(s, d):
     old = rows.withColumn("version", F.lit(0))
     changed = rows.where("vec_id % 3 = 0").select("vec_id", F.col("label") + 100, F.lit(1).alias("version"))
     added = rows.where("vec_id % 10 = 0").select(F.col("vec_id") + 1000000, "label", F.lit(1).alias("version"))
-    return latest(old.union(changed).union(added), "vec_id").select("vec_id", F.col("label").cast("int").alias("label"), "version")
+    return latest(union_all([old, changed.toDF(*old.columns), added.toDF(*old.columns)]), "vec_id").select("vec_id", F.col("label").cast("int").alias("label"), "version")
 
 
 def _collection(s: SparkSession, d: str) -> VectorCollection:

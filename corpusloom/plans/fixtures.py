@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 QUERY_TYPES = ("DESCRIPTION", "NUMERIC", "ENTITY", "PERSON", "LOCATION")
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a text table whose files give fewer tasks than there are cores is dealt out to as many."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
