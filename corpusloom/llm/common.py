@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is named, as in tests."""
@@ -55,17 +57,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     numbers comes to the driver. Self-links keep a node as its own root; null ends are dropped.
     """
     both = checkpoint(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    alone = both.select(F.col("u").alias("node")).union(both.select(F.col("v").alias("node"))).distinct()
+    alone = union_all([both.select(F.col("u").alias("node")), both.select(F.col("v").alias("node"))]).distinct()
     current = both.where("u > v")
     nodes = checkpoint(alone)
     seen = None
     while True:
-        mirrored = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        mirrored = union_all([current.select("u", "v"), current.select(F.col("v").alias("u"), F.col("u").alias("v"))])
         least = mirrored.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = mirrored.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = checkpoint(linked.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        current = checkpoint(union_all([linked, lowest.select("u", F.col("m").alias("v"))]).distinct())
         state = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             break

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .common import checkpoint, records, row_slices, utf8
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -99,7 +100,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, key: str = "doc_id", text: st
     found = checkpoint(rows.mapInArrow(_extract(least), "hi long, lo long, key long, row long, n_lines int, places binary, lost boolean"))
     ordered = found.where("not lost").drop("lost").repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo", "key")
     lost = ordered.mapInArrow(_stream, "key long, row long, n_lines int, places binary")
-    lost = lost.union(found.where("lost").select("key", "row", "n_lines", "places"))
+    lost = union_all([lost, found.where("lost").select("key", "row", "n_lines", "places")])
     gathered = lost.groupBy("key", "row").agg(F.first("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
     return gathered.mapInArrow(_bitmaps, "key long, row long, n_lines int, n_dropped int, keep binary")
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .common import checkpoint
 
 #: Bits of the hash, as many as fit a positive long with whole hex digits.
@@ -67,8 +68,6 @@ def shards(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
             break
         pending = checkpoint(pending.withColumn("cell", _prefix("hash", high)).join(rest, "cell", "left_semi").drop("cell"))
         low, high = high + 1, min(BITS, high + 8)
-    every = placed[0]
-    for more in placed[1:]:
-        every = every.unionByName(more)
+    every = union_all(placed)
     digits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
     return every.select(F.col("key").alias(key), digits.alias("shard"), F.col("depth").cast("int").alias("local_depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized"))

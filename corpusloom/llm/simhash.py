@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .common import checkpoint, connected_components, records, utf8
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -151,7 +152,7 @@ def links(prints: DataFrame, limit: int = 4, most: int = 1 << 13) -> DataFrame:
         keys = F.array(*[F.lit((number + i) << 22).bitwiseOR(own.bitwiseAND(F.lit(m))).cast("int") for i, m in enumerate(masks)])
         runs.append(heavy.where(F.shiftright("value", 22) == n).select(F.explode(keys).alias("run")))
         number += len(masks)
-    large = runs[0].union(runs[1]).union(runs[2]).distinct()
+    large = union_all(runs).distinct()
     blocks = keyed.join(large, "run", "left_semi").groupBy("run").agg(F.ceil(F.count("*") / most).alias("n_blocks"))
     block = F.pmod(F.xxhash64("fp"), F.col("n_blocks"))
     other = F.explode(F.when(F.col("n_blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1), lambda x: x != F.col("block"))))
@@ -159,7 +160,7 @@ def links(prints: DataFrame, limit: int = 4, most: int = 1 << 13) -> DataFrame:
     pair = F.least("block", "other") * F.lit(1 << 16) + F.greatest("block", "other")
     paired = split.select((F.col("run").cast("long").bitwiseOR(F.shiftleft(pair, 32))).alias("run"), "fp")
     light = keyed.join(large, "run", "left_anti").select("run", "fp")
-    return _matched(light, limit).union(_matched(paired, limit))
+    return union_all([_matched(light, limit), _matched(paired, limit)])
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, most: int = 1 << 13, key: str = "doc_id", text: str = "text") -> DataFrame:
