@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -126,6 +127,12 @@ def check_filter(query_filter: Mapping[str, str] | None) -> dict[str, str]:
     return dict(query_filter or {})
 
 
+def _hit_schema(queries: DataFrame, query_key: str, corpus: DataFrame, corpus_key: str) -> tuple[T.StructType, list[pa.DataType]]:
+    """Fields of a task's hits, and their Arrow types; keys keep their types."""
+    fields = [T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("chunk_id", corpus.schema[corpus_key].dataType), T.StructField("score", T.DoubleType())]
+    return T.StructType(fields), [to_arrow_type(f.dataType) for f in fields]
+
+
 def _scores(block: np.ndarray, corpus: np.ndarray, distance: str) -> np.ndarray:
     """Scores (larger is better) of every query of a block for every corpus row."""
     if distance == "euclid":
@@ -148,8 +155,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     for name, value in check_filter(query_filter).items():
         corpus = corpus.where(F.col(name) == value)
     spark = queries.sparkSession
-    kinds = queries.schema[query_key].dataType.simpleString(), corpus.schema[corpus_key].dataType.simpleString()
-    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
+    schema, kinds = _hit_schema(queries, query_key, corpus, corpus_key)
     rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     found = []
 
@@ -170,7 +176,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
                     best[i] = sorted([*best[i], *((-line[j], ids[j]) for j in top.tolist())])[:k]
             flat = [(own_keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
             if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
 
         return rows.mapInArrow(scan, schema)
 
@@ -221,7 +227,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
     lists = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "df")).alias("terms"))
     whole = asked.select("query_id").distinct().join(lists, "query_id", "left")
     rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(text).cast("string").alias("text"))
-    schema = f"query_id {queries.schema[query_key].dataType.simpleString()}, chunk_id {corpus.schema[corpus_key].dataType.simpleString()}, score double"
+    schema, kinds = _hit_schema(queries, query_key, corpus, corpus_key)
     found = []
 
     def search(part: list) -> DataFrame:
@@ -260,7 +266,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
                         best[i] = sorted([*best[i], *((-column[j], ids[order[j]]) for j in near.tolist())])[:k]
             flat = [(keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
             if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
 
         return rows.mapInArrow(scan, schema)
 
