@@ -66,7 +66,9 @@ def _shared_folder(s: SparkSession) -> str:
 def _stored_chunks(s: SparkSession, d: str) -> DataFrame:
     """Chunks as a written table by strategy and language, for what reads them more than once."""
     path = f"{_shared_folder(s)}/chunks-{uuid.uuid4().hex}"
-    write_chunks(_chunks(s, d), path)
+    # only what the readers here need: a chunk's row otherwise has its passage's texts as well
+    needed = ("chunk_id", "query_id", "language", "query_type", "passage_index", "is_selected", "chunk_strategy", "chunk_index", "parent_passage_id", "char_count", "chunk_text_hash", "is_duplicate_chunk", "duplicate_of_chunk_id", "below_min_length")
+    write_chunks(_chunks(s, d).select(*needed), path)
     return read_chunks(s, path)
 
 
