@@ -60,26 +60,23 @@ def _written(encoding: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Null:
-    """Moments of one encoding's statistics for written words and for random characters."""
+    """What written words give for one encoding: the excess of its uniformity statistic, and that excess's spread."""
 
     size: int
     excess: float
     spread: float
-    run_rate: float
-    correlation: float
 
     @classmethod
     def of(cls, encoding: int) -> Null:
         share = _written(encoding)
-        size = len(share)
-        ratio = share * size
-        codes = np.arange(size)
-        high = share[codes >= size // 2].sum()
-        # written letters alternate between vowels and consonants: neighbours repeat less than independent draws do
-        return cls(size, float((share * ratio).sum()) - 1, float(np.sqrt(max((share * ratio**2).sum() - (share * ratio).sum() ** 2, 0.1))), float(2 * high * (1 - high)), -0.1)
+        ratio = share * len(share)
+        mean = float((share * ratio).sum())
+        return cls(len(share), mean - 1, math.sqrt(max(float((share * ratio**2).sum()) - mean**2, 0.1)))
 
 
 NULLS = tuple(Null.of(e) for e in range(4))
+#: A test vetoes a token whose statistic random characters would give less often than this.
+VETO = 1e-3
 
 
 def _tail(z: float) -> float:
@@ -87,39 +84,50 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+def uniformity(codes: np.ndarray, size: int) -> tuple[float, float]:
+    """The excess of the squared shares over a uniform alphabet's (0 if random), unbiased, and its deviation if random.
+
+    It is Pearson's chi-squared without the part that only the length makes.
+    """
+    n, counts = len(codes), np.bincount(codes, minlength=size)
+    return size * float((counts * (counts - 1)).sum()) / (n * (n - 1)) - 1, math.sqrt(2 * (size - 1) / (n * (n - 1)))
+
+
+def runs(codes: np.ndarray, size: int) -> float | None:
+    """Wald-Wolfowitz z of runs above and below the alphabet's middle; None where all lie on one side."""
+    high = codes >= size // 2
+    n, ones = len(codes), int(high.sum())
+    if ones in (0, n):
+        return None
+    expected = 2 * ones * (n - ones) / n + 1
+    variance = max((expected - 1) * (expected - 2) / (n - 1), 1e-9)
+    return (int((high[1:] != high[:-1]).sum()) + 1 - expected) / math.sqrt(variance)
+
+
+def serial(codes: np.ndarray) -> float | None:
+    """z of the lag-one correlation; None where all characters are the same."""
+    centred = codes - codes.mean()
+    power = float((centred**2).sum())
+    return float((centred[1:] * centred[:-1]).sum()) / power * math.sqrt(len(codes)) if power else None
+
+
 def written_p(encoding: int, codes: np.ndarray) -> float:
-    """How likely written words give characters at least as random as these, by the three tests together.
+    """How likely written words of this length look as random as the token does.
 
-    Chi-squared uniformity asks for an excess over the uniform as small as this; the runs and serial tests
-    ask for numbers of runs and a correlation that no random token would pass, and veto with a p-value of 1
-    where they fail at 1 in 1,000. Tests too short to run count as passed.
+    The three tests must each take the token for random: one that fails (at ``VETO``), or can't be run, gives
+    1. What is left is ranked by how rarely written words are as uniform, which falls with the length.
     """
     null, n = NULLS[encoding], len(codes)
     if n < 8:
         return 1.0
-    counts = np.bincount(codes, minlength=null.size)
-    # unbiased estimate of the sum of squared shares times the alphabet's size, less one: 0 if uniform
-    excess = null.size * float((counts * (counts - 1)).sum()) / (n * (n - 1)) - 1
-    deviation = math.sqrt(4 * null.spread**2 / n + 2 * (null.size - 1) / (n * (n - 1)))
-    uniform = _tail((excess - null.excess) / deviation)
-    high = codes >= null.size // 2
-    ones = int(high.sum())
-    zeros = n - ones
-    if null.size * 1.0 and (ones == 0 or zeros == 0):
-        return 1.0
-    expected = 2 * ones * zeros / n + 1
-    variance = max((expected - 1) * (expected - 2) / (n - 1), 1e-9)
-    runs = int((high[1:] != high[:-1]).sum()) + 1
-    run_z = (runs - expected) / math.sqrt(variance)
-    centred = codes - codes.mean()
-    power = float((centred**2).sum())
-    serial_z = float((centred[1:] * centred[:-1]).sum()) / power * math.sqrt(n) if power else 99.0
-    if 2 * _tail(-abs(run_z)) < 1e-3 or 2 * _tail(-abs(serial_z)) < 1e-3:
+    excess, deviation = uniformity(codes, null.size)
+    run_z, serial_z = runs(codes, null.size), serial(codes)
+    if run_z is None or serial_z is None:
         return 1.0
-    uniform_z = excess / math.sqrt(2 * (null.size - 1) / (n * (n - 1)))
-    if _tail(-uniform_z) < 1e-3:
+    if min(_tail(-excess / deviation), 2 * _tail(-abs(run_z)), 2 * _tail(-abs(serial_z))) < VETO:
         return 1.0
-    return max(uniform, 1e-30)
+    spread = math.sqrt(4 * null.spread**2 / n + deviation**2)
+    return max(_tail((excess - null.excess) / spread), 1e-30)
 
 
 def cell_of(length: int, p: float) -> int:
