@@ -19,6 +19,7 @@ COLUMNS = (
     "has_answer answer_status source_record_hash token_count_estimate char_count quality_score metadata chunk_text_hash is_duplicate_chunk duplicate_of_chunk_id below_min_length"
 ).split()
 KEPT = ("query_id", "source_lang", "target_lang", "query_type", "has_answer", "answer_status", "source_record_hash")
+# Strategy names, split reasons, methods and metadata keys below are fixed values of the chunk format.
 #: Passages of at most so many tokens aren't cut into paragraphs.
 WHOLE = 40
 

@@ -14,6 +14,9 @@ REQUIRED_PASSAGE_KEYS = ("English_passages", "Translated_passages", "is_selected
 PASSAGES = "array<struct<passage_index:int,text_english:string,text_target:string,is_selected:int>>"
 
 
+# The texts of problems and warnings below are fixed values: reports are compared by them.
+
+
 def schema_problem(schema: T.StructType) -> str | None:
     """What makes every row of a table corrupt: a missing field, passages of the wrong type, a missing key."""
     for name in REQUIRED_FIELDS:
