@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import decontamination, packing, quality, queries, secret_scan, sharding, simhash, spotsigs, token_counts, toxicity
+from corpusloom.llm import decontamination, near_copies, packing, quality, queries, secret_scan, sharding, simhash, spotsigs, token_counts, toxicity
 from corpusloom.llm.common import connected_components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -189,6 +189,38 @@ def test_similar_documents(spark, tiny, corpus):
     assert got == classes(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize(("most", "small"), [(300, 4), (1 << 20, 256)])
+def test_near_duplicate_stage(spark, most, small):
+    """The pipeline's stage keeps what all pairs at five-word Jaccard 0.8 leave, in one block or many, in short runs or long."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage, rows = [word() for _ in range(40)], [(900, None), (901, " \n"), (902, "two words"), (903, "TWO  words"), (904, "two other")]
+    for size in (6, 20, 40, 90, 200, 200):
+        base = [word() for _ in range(size)]
+        for _ in range(25):
+            copy = base[:]
+            for _ in range(rng.randrange(1 + size // 12)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy[: len(copy) - rng.randrange(1 + size // 8)])))
+    rows += [(len(rows) + n, " ".join([word() for _ in range(rng.randrange(60))] + passage)) for n in range(60)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = classes(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert {r.doc_id: r.component for r in near_copies.near_duplicates(frame, most=most, small=small).collect()} == want
+    assert len(set(want.values())) < len(want) - 60
+    if most > 300:
+        kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()}
+        assert kept == {i for i, c in want.items() if i == c}
+
+
 def test_decontamination_in_blocks(spark, tiny):
     """Many small automata give what one gives, and the spans are cut."""
     docs, items = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet")
