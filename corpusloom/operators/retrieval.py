@@ -144,8 +144,9 @@ def _scores(block: np.ndarray, corpus: np.ndarray, distance: str) -> np.ndarray:
     return block @ corpus.T
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str = "cosine", query_filter: Mapping[str, str] | None = None, block: int = 4096, query_key: str = "query_id", corpus_key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str = "cosine", query_filter: Mapping[str, str] | None = None, block: int = 4096, query_key: str = "query_id", corpus_key: str = "chunk_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
     """Exact top k of every query over the whole corpus; equal scores go by corpus key. Euclid scores are distances.
+    With ``places`` scores are rounded before any row is left out, so that ties are those of the rounded scores.
 
     Queries go to the corpus's tasks in blocks of ``block``, so what is sent has a fixed bound; a task keeps
     its own best k of each query, and only those are shuffled. Rows without a vector match nothing.
@@ -171,7 +172,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
                     continue
                 matrix = np.asarray(batch.column(1).flatten()).reshape(len(ids), -1)
                 order = np.argsort(np.array(ids), kind="stable")
-                for i, line in enumerate(_scores(own, matrix, distance)):
+                scores = _scores(own, matrix, distance)
+                for i, line in enumerate(scores if places is None else np.round(scores, places)):
                     top = order[np.argsort(-line[order], kind="stable")[:k]]
                     best[i] = sorted([*best[i], *((-line[j], ids[j]) for j in top.tolist())])[:k]
             flat = [(own_keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]

@@ -429,10 +429,8 @@ def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Dense and hybrid rankings of the turns, and which are relevant (those of the same conversation)."""
     asked, corpus = _turns(s, d)
     embedder = S.HashingEmbedder(oracle.DIM)
-    raw = S.dense_topk(S.embed(asked, embedder), S.embed(corpus, embedder), 30 * 4)
     # float32 vectors agree with other engines to five places, so equal scores are told apart by id from there
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 5)), "chunk_id")
-    dense = raw.withColumn("rank", F.row_number().over(order)).where("rank <= 30")
+    dense = S.dense_topk(S.embed(asked, embedder), S.embed(corpus, embedder), 30, places=5)
     sparse = S.bm25_topk(asked, corpus, 30)
     relevant = corpus.join(asked.select(F.col("query_id").alias("conv_id")), "conv_id", "left_semi").select(F.col("conv_id").alias("query_id"), "chunk_id")
     return S.retrieval_modes(dense, sparse), relevant

@@ -409,3 +409,11 @@ def test_profile(spark):
     assert profile.any_null(frame, ["k", "t"]).count() == 2 and len(profile.sample_records(frame, "t", 2).collect()) == 2
     with pytest.raises(ValueError):
         profile.nested_lengths(frame, "k")
+
+
+def test_dense_ties_of_rounded_scores(spark):
+    """Of many rows whose scores differ in the last digits only, the smallest ids are kept, however many there are."""
+    corpus = spark.createDataFrame([(n, [1.0, n * 1e-9]) for n in range(400)], "chunk_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0])], "query_id long, embedding array<double>")
+    got = retrieval.dense_topk(asked, corpus, 30, places=5).orderBy("query_id", "rank").collect()
+    assert [r.chunk_id for r in got] == [*range(30)] * 2
