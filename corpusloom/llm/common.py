@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.frames import union_all
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
+    """The shared folder that the cluster names. Where none is named a local session, as in tests, gets its own;
+    a cluster, whose executors can't see the driver's folders, is refused."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusloom-")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="corpusloom-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -35,15 +41,27 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def row_slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
+    """As ``utf8``, one value at a time."""
+    for value in column.cast(pa.binary()):
+        yield value.as_py()
+
+
+def row_slices(batch: pa.RecordBatch, text: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most_bytes`` of text, one row at least."""
-    sizes = np.asarray([0 if t is None else len(t) for t in utf8(batch.column(text))], dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // most_bytes
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.array([], dtype=np.int64)
     for start, end in zip(starts, np.r_[starts[1:], len(group)], strict=True):
         yield batch.slice(int(start), int(end - start))
 
 
+def key_type(docs: DataFrame, key: str) -> tuple[str, pa.DataType]:
+    """The type of a key column, as Spark's DDL and as Arrow's; operators keep it."""
+    kind = docs.schema[key].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
 def records(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     """A batch from one sequence per field of ``schema``."""
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
