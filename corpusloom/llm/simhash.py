@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
-from .common import checkpoint, connected_components, records, utf8
+from .common import checkpoint, connected_components, key_type, records, row_slices, texts
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 #: (first bit, width) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCK = 1 << 15
-FINGERPRINT = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -50,11 +49,12 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
     """``key, fp`` (the fingerprint's bits as a long) for every row. Null and wordless texts get 0."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t, words) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield records(FINGERPRINT, (batch.column(0), found))
+        for whole in batches:
+            for batch in row_slices(whole, 1):
+                found = np.array([fingerprint(t, words) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["key", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(scan, "key long, fp long")
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(scan, f"key {key_type(docs, key)[0]}, fp long")
 
 
 def variants(fp: str = "fp") -> list:
@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, most: int =
 
     Copies meet in one distinct fingerprint before anything is indexed. Null texts count as empty, rows
     with the same key each return; a null key stays null and can't be the smallest of a component that has
-    others. An empty table gives no rows. Columns other than the two named aren't read.
+    others. An empty table gives no rows. Columns other than the two named aren't read. Keys keep their type;
+    strings go by their bytes.
     """
     prints = checkpoint(fingerprints(docs, words, key, text))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("key").alias("least")))
