@@ -28,26 +28,34 @@ def byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of whole texts, special tokens' strings being ordinary text."""
+    """Ids of whole texts as the library gives them: a special token's string in a text is that token, unless
+    ``special_as_text`` asks for ordinary text there."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
         table = byte_of()
-        special = {t["content"] for t in model.get("added_tokens", []) if t["special"]}
+        added = [t for t in model.get("added_tokens", []) if t["special"]]
+        special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(table[c] for c in token): number for token, number in model["model"]["vocab"].items() if token not in special}
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
-        self.quick = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.exact.encode_special_tokens = special_as_text
+        self.special = set() if special_as_text else set(special)
+        self.quick = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        #: A text in pieces: only where no special token can lie across a cut.
+        self.divisible = not any(SAFE.search(f"x{t}x") for t in special)
+        self.sizes = np.zeros(max([*ranks.values(), *special.values()]) + 1, dtype=np.int64)
         for token, number in ranks.items():
             self.sizes[number] = len(token)
-        if any(self.quick.encode_ordinary(p) != self.exact.encode(p, add_special_tokens=False).ids for p in PROBES):
+        for token, number in special.items():
+            self.sizes[number] = len(token.encode())
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        if not plain or any(self._quick(p) != self.exact.encode(p, add_special_tokens=False).ids for p in (*PROBES, *(f"a {t} {t}{t}b" for t in special))):
             self.quick = None
 
     def ids(self, text: str, piece: int = 1 << 20) -> np.ndarray:
         """The ids of the whole text (uint32); long texts are encoded in pieces that end where pre-tokens do."""
-        if len(text) <= piece:
+        if len(text) <= piece or not self.divisible:
             return self._ids(text)
         found, start = [], 0
         while start < len(text):
@@ -57,10 +65,13 @@ class Encoder:
             start = end
         return np.concatenate(found)
 
+    def _quick(self, text: str) -> list[int]:
+        return self.quick.encode(text, allowed_special=self.special, disallowed_special=()) if self.special else self.quick.encode_ordinary(text)
+
     def _ids(self, text: str) -> np.ndarray:
         if self.quick is None:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.array(self.quick.encode_ordinary(text), dtype=np.uint32)
+        return np.array(self._quick(text), dtype=np.uint32)
 
     def byte_ends(self, ids: np.ndarray) -> np.ndarray:
         """The UTF-8 byte at which each id's token ends; the tokens of a text cover it without gaps."""

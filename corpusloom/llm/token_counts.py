@@ -53,7 +53,7 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return lows[lows < highs], highs[lows < highs]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None, rule: str = "majority", key: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None, rule: str = "majority", special_as_text: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, section, start, end, n_tokens, n_crossing, doc_tokens``: one row for each section of each row.
 
     ``sections`` names a column of arrays of (start, end) in code points, as fields of a joined text have;
@@ -61,13 +61,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, sections: str | None = None, r
     overlaps an earlier one starts where that ends. ``section`` counts from 0 in that order; tokens outside
     all of them are section -1, with null start and end. ``n_tokens`` of a document add up to
     ``doc_tokens``. ``n_crossing`` are those of its tokens that touch another section too. A text without
-    tokens, null included, has one row of section -1 with no tokens. Keys may repeat or be null.
+    tokens, null included, has one row of section -1 with no tokens. Keys may repeat or be null. Very long texts
+    are encoded whole. A special token's string in a text is that token, or with ``special_as_text`` ordinary
+    text. An empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, special_as_text)
         for whole in batches:
             for batch in row_slices(whole, "text", 2 << 20):
                 out: list[list] = [[], [], [], [], [], []]
