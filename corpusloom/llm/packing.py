@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import records, row_slices
+from .common import key_type, records, row_slices
 from .encoding import Encoder
 
-PIECES = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
+PIECES = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 @dataclass
@@ -59,64 +59,63 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
 
 
 def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows by differencing; one more window whenever the fullest exceeds ``capacity``. No item is cut."""
+    """Windows by differencing; the count rises while any exceeds ``capacity``, by what all of them exceed it. No item is cut."""
     windows = max(1, -(-sum(sizes) // capacity))
     while True:
         members = difference(sizes, windows)
-        if max((sum(sizes[i] for i in m) for m in members), default=0) <= capacity:
+        over = sum(max(0, sum(sizes[i] for i in m) - capacity) for m in members)
+        if not over:
             return members
-        windows += 1
+        windows += -(-over // capacity)
 
 
-def pack_group(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
+def pack_group(sizes: list[int], capacity: int, cut: bool = True, most_padding: float = 0.01) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, start, length) that hold every token once.
 
-    With ``cut``, items over ``capacity`` give whole windows first. The rests go into near-equal windows by
-    differencing, as many as hold all tokens; what exceeds a window's capacity is cut off and goes to the
-    windows with room, the emptiest last. The one window with room left at the end is cut at powers of two,
-    whose sequences need no padding. Without ``cut`` each item must fit in a window.
+    Items over ``capacity`` give whole windows first. The rests go whole into near-equal windows by
+    differencing, one more whenever a window exceeds its capacity. What these windows leave empty is padding;
+    where it is more than ``most_padding`` of all tokens, the emptiest windows are cut up to fill the others'
+    largest gaps, and the last of them is cut at powers of two, whose sequences need no padding. So a rest
+    is cut only to close a window. Without ``cut`` nothing is cut, and each item must fit in a window.
     """
     if not cut:
         if max(sizes, default=0) > capacity:
             raise ValueError("an item is larger than a window")
         return [[(i, 0, sizes[i]) for i in m] for m in near_equal(sizes, capacity) if m]
-    sequences, start = [], [0] * len(sizes)
-    for i, size in enumerate(sizes):
-        whole = size // capacity
-        sequences += [[(i, n * capacity, capacity)] for n in range(whole)]
-        start[i] = whole * capacity
+    sequences, start = [], [size // capacity * capacity for size in sizes]
+    for i, size in enumerate(start):
+        sequences += [[(i, at, capacity)] for at in range(0, size, capacity)]
     rest = [i for i, size in enumerate(sizes) if size > start[i]]
     left = [sizes[i] - start[i] for i in rest]
-    total = sum(left)
-    windows = total // capacity
-    if windows * capacity < total:
-        windows += 1
-    members = sorted(difference(left, windows), key=lambda m: -sum(left[n] for n in m)) if windows else []
-    filled, spare = [], []
-    for at, own in enumerate(members):
-        room = capacity if at < windows - 1 else total - (windows - 1) * capacity
-        taken = []
-        for n in sorted(own, key=lambda n: -left[n]):
-            length = min(left[n], room)
-            if length:
-                taken.append((rest[n], start[rest[n]], length))
-            if length < left[n]:
-                spare.append((rest[n], start[rest[n]] + length, left[n] - length))
-            room -= length
-        filled.append((room, taken))
-    for room, taken in filled:
-        while room:
-            i, begin, length = spare.pop()
-            used = min(room, length)
-            taken.append((i, begin, used))
+    windows = [[(rest[n], start[rest[n]], left[n]) for n in m] for m in near_equal(left, capacity) if m]
+    windows.sort(key=lambda w: -sum(p[2] for p in w))
+    rooms = [capacity - sum(p[2] for p in w) for w in windows]
+    surplus = sum(rooms) - int(most_padding * sum(sizes))
+    while surplus >= capacity:
+        pieces, room = windows.pop(), rooms.pop()
+        _pour(pieces, capacity - room, windows, rooms)
+        surplus -= capacity
+    if surplus > 0:
+        pieces, room = windows.pop(), rooms.pop()
+        _pour(pieces, max(0, surplus - room), windows, rooms)
+        sequences += _powers(pieces)
+    return sequences + windows
+
+
+def _pour(pieces: list[tuple[int, int, int]], tokens: int, windows: list[list[tuple[int, int, int]]], rooms: list[int]) -> None:
+    """Move ``tokens`` tokens from the end of ``pieces`` to the windows with most room; both lists are changed."""
+    by_room = [(-room, at) for at, room in enumerate(rooms)]
+    heapq.heapify(by_room)
+    while tokens:
+        at = heapq.heappop(by_room)[1]
+        while tokens and rooms[at]:
+            i, begin, length = pieces.pop()
+            used = min(length, rooms[at], tokens)
+            windows[at].append((i, begin + length - used, used))
             if used < length:
-                spare.append((i, begin + used, length - used))
-            room -= used
-    if filled:
-        last = filled.pop()[1]
-        sequences += [taken for _, taken in filled]
-        sequences += _powers(last)
-    return sequences
+                pieces.append((i, begin, length - used))
+            rooms[at] -= used
+            tokens -= used
 
 
 def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
@@ -137,25 +136,31 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     return found
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int | None = 1, group_tokens: int = 1 << 19, cut: bool = True, with_ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int | None = 1, group_tokens: int = 1 << 19, cut: bool = True, most_padding: float = 0.01, special_as_text: bool = False, with_ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``: one row a piece.
 
-    A document's tokens are its ids by the file ``tokenizer``, then ``end`` (None: nothing). A null text is
-    empty; a document without tokens has no piece. Sequence ids are unique in the whole result, not
-    consecutive; offsets are gapless. The CRC is of little-endian unsigned 32-bit ids. Keys may repeat or be
-    null: each row is a document of its own.
+    A document's tokens are its ids by the file ``tokenizer``, then ``end`` (None: nothing). A special token's
+    string in a text is that token, or with ``special_as_text`` ordinary text. A null text is empty; a
+    document without tokens has no piece; very long texts are encoded whole and fill windows of their own.
+    Sequence ids are unique in the whole result, not consecutive; offsets are gapless. Padding (up to
+    ``capacity``, but for totals that are powers of two) is at most ``most_padding`` of a group's tokens. The
+    CRC is of little-endian unsigned 32-bit ids. Keys may repeat or be null: each row is a document of its
+    own. An empty table has no pieces.
     """
 
+    ddl, kind = key_type(docs, key)
+    schema = pa.schema([("key", kind), *PIECES])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, special_as_text)
         tail = [] if end is None else [end]
         sequence = TaskContext.get().partitionId() << 40
-        held: list[tuple[int | None, np.ndarray]] = []
+        held: list[tuple[object, np.ndarray]] = []
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal sequence
             rows = []
-            for pieces in pack_group([len(ids) for _, ids in held], capacity, cut):
+            for pieces in pack_group([len(ids) for _, ids in held], capacity, cut, most_padding):
                 offset = 0
                 for i, start, length in pieces:
                     own = held[i][1][start : start + length]
@@ -163,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int | None
                     offset += length
                 sequence += 1
             if rows:
-                yield records(PIECES, zip(*rows, strict=True))
+                yield records(schema, zip(*rows, strict=True))
 
         size = 0
         for whole in batches:
@@ -176,6 +181,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int | None
                         held, size = [], 0
         yield from packed()
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    pieces = rows.mapInArrow(scan, "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    pieces = rows.mapInArrow(scan, f"key {ddl}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
     return pieces.withColumnRenamed("key", key)
