@@ -35,19 +35,59 @@ def quotas(counts: dict[str, int], size: int) -> dict[str, int]:
     return shares
 
 
+def seeded_draw(rows: DataFrame, wanted: dict[str, int], seed: int, key: str, by: Column, most: int = 10_000) -> DataFrame:
+    """The first ``wanted`` rows of each value of ``by`` (text) in ``draw_order``, ties by key.
+
+    The last row of each draw is found by counting the order's prefixes, three hex digits a pass, until the
+    prefix that holds it has at most ``most`` rows; the draw is then a filter. Nothing is sorted but those few.
+    """
+    wanted = {k: n for k, n in wanted.items() if n > 0}
+    if not wanted:
+        return rows.limit(0)
+    narrow = rows.select(by.alias("_by"), draw_order(key, seed).alias("_draw"), F.col(key).alias("_key")).where(F.col("_by").isin(*wanted))
+    prefix, left, step = dict.fromkeys(wanted, ""), dict(wanted), 3
+    while True:
+        size = len(next(iter(prefix.values())))
+        inside = narrow.where(F.substring("_draw", 1, size) == F.element_at(F.create_map(*[F.lit(x) for pair in prefix.items() for x in pair]), F.col("_by")))
+        counts: dict[str, list[tuple[str, int]]] = {k: [] for k in prefix}
+        for row in inside.groupBy("_by", F.substring("_draw", size + 1, step).alias("_next")).count().collect():
+            counts[row["_by"]].append((row["_next"], row["count"]))
+        largest = 0
+        for k in list(prefix):
+            if sum(n for _, n in counts[k]) <= left[k]:  # all of them are drawn
+                del prefix[k]
+                continue
+            for digits, n in sorted(counts[k]):
+                if left[k] <= n:
+                    prefix[k] += digits
+                    largest = max(largest, n)
+                    break
+                left[k] -= n
+        if not prefix or largest <= most or size + step >= 30:
+            break
+    last = {}
+    if prefix:
+        size = len(next(iter(prefix.values())))
+        cell = narrow.where(F.substring("_draw", 1, size) == F.element_at(F.create_map(*[F.lit(x) for pair in prefix.items() for x in pair]), F.col("_by")))
+        for k in prefix:
+            last[k] = cell.where(F.col("_by") == k).orderBy("_draw", "_key").limit(left[k]).agg(F.max(F.struct("_draw", "_key"))).first()[0]
+    kind, draw, inside = by, draw_order(key, seed), F.lit(False)
+    for k in wanted:
+        own = kind == k
+        inside |= own & ((draw < last[k]["_draw"]) | ((draw == last[k]["_draw"]) & (F.col(key) <= last[k]["_key"]))) if k in last else own
+    return rows.where(inside)
+
+
 def stratified_sample(records: DataFrame, size: int, seed: int = 42, by: str = "query_type", key: str = "query_id") -> DataFrame:
     """Rows by quota of each type, in a seeded order: ``records`` with ``sample_place`` (1, 2, ... over the sample).
 
-    Quotas come from one small aggregate; rows are ranked within types and the ranking stops at the largest
-    quota.
+    Quotas come from one small aggregate; see ``seeded_draw`` for the rows. Keys don't repeat.
     """
     counts = {r[by]: r["count"] for r in records.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
     shares = {k: v for k, v in quotas(counts, size).items() if v > 0} if counts else {}
     if not shares:
         return records.limit(0).withColumn("sample_place", F.lit(None).cast("int"))
-    quota = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col(by))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(draw_order(key, seed), key))
-    drawn = records.where(F.col(by).isin(*shares)).withColumn("_place", place).where(F.col("_place") <= max(shares.values())).where(F.col("_place") <= quota).drop("_place")
+    drawn = seeded_draw(records, shares, seed, key, F.col(by))
     # the sample is of bounded size: one order over it is a sort of at most ``size`` rows
     return drawn.withColumn("sample_place", F.row_number().over(Window.orderBy(draw_order(key, seed + 1), key)))
 
@@ -77,7 +117,8 @@ def corpus_subset(chunks: DataFrame, benchmark: DataFrame, size: int, seed: int
     """All chunks of ground-truth passages (``positive``) and of the same records (``hard_negative``), and a seeded
     draw of others (``random_negative``) up to ``size``; ``origin`` says which. One row for each chunk_id.
 
-    Positives and hard negatives are never trimmed.
+    Positives and hard negatives are never trimmed. ``chunks`` and ``benchmark`` are read several times, by few
+    columns: pass stored tables.
     """
     positives = benchmark.select(F.explode("ground_truth_parent_passage_ids").alias("parent_passage_id")).distinct()
     asked = benchmark.select("query_id").distinct()
@@ -86,7 +127,7 @@ def corpus_subset(chunks: DataFrame, benchmark: DataFrame, size: int, seed: int
     others = chunks.join(asked, "query_id", "left_anti")
     base = union_all([positive.withColumn("origin", F.lit("positive")), hard.withColumn("origin", F.lit("hard_negative"))])
     needed = max(0, size - base.count())
-    drawn = others.withColumn("origin", F.lit("random_negative")).orderBy(draw_order("chunk_id", seed), "chunk_id").limit(needed)
+    drawn = seeded_draw(others, {"": needed}, seed, "chunk_id", F.lit("")).withColumn("origin", F.lit("random_negative"))
     return union_all([base, drawn.select(*base.columns)]).dropDuplicates(["chunk_id"])
 
 

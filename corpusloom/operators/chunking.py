@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.frames import union_all
 from . import quality
 from .windows import AdaptiveRule, BudgetRule, WindowRule, bounds
 
@@ -35,38 +34,87 @@ def passages(records: DataFrame) -> DataFrame:
     return rows.withColumn("parent_passage_id", F.concat("query_id", F.lit("_p"), "passage_index")).drop("_target", "_english")
 
 
-def _joined(bounded: str) -> Column:
+def _bounded(bounded: str) -> Column:
+    """The texts between bounds over ``_sentences``."""
     return F.transform(bounded, lambda b: F.array_join(F.slice("_sentences", b["first"] + 1, b["last"] - b["first"] + 1), " "))
 
 
-def _cut(rows: DataFrame, rule: WindowRule | BudgetRule | AdaptiveRule) -> DataFrame:
-    rows = rows.withColumn("_sentences", X.sentences("primary"))
-    rows = rows.withColumn("_counts", F.transform("_sentences", X.token_count))
-    return rows.withColumn("_bounds", bounds(F.col("_counts"), rule)).withColumn("_pieces", _joined("_bounds"))
+Rule = WindowRule | BudgetRule | AdaptiveRule
+#: Each strategy's rule where none is given; a passage has none.
+RULES: dict[str, Rule | None] = {"passage": None, "paragraph": BudgetRule(), "sentence": WindowRule(), "adaptive": AdaptiveRule()}
 
 
-def _finish(rows: DataFrame, strategy: str, about: Sequence[Column]) -> DataFrame:
-    """A row a piece, with quality, counts and hash. ``rows`` has ``_pieces`` and ``_penalties``."""
-    chunks = rows.select(*[c for c in rows.columns if c != "_pieces"], F.posexplode_outer("_pieces").alias("chunk_index", "text")).where("text is not null")
-    chunks = quality.with_breakdown(chunks, "text" if strategy != "passage" else "_scored", F.get("_penalties", F.col("chunk_index")), "_quality")
-    split = F.col("language") == "target"
-    whole = strategy == "passage"
+def _pieces(strategy: str, rule: Rule | None, whole: int) -> tuple[Column, list[Column]]:
+    """A strategy's pieces of a passage, and what the metadata says of it beside the quality."""
+    total, cut = F.col("_total"), F.col(f"_cut_{strategy}") if rule else None
+    number = F.size(f"_pieces_{strategy}")
+    if strategy == "passage":
+        return F.array(F.when(F.col("language") == "target", F.col("text_target")).otherwise(F.col("text_english"))), [F.lit("whole_passage").alias("split_reason")]
+    if strategy == "sentence":
+        return cut, [F.lit(rule.least).alias("min_tokens"), F.lit(rule.target).alias("target_tokens"), F.lit(rule.most).alias("max_tokens"), F.lit(rule.overlap).alias("overlap_sentences"), number.alias("num_windows_in_passage")]
+    if strategy == "paragraph":
+        literal = F.size("_paragraphs") > 1
+        reason = F.when(total <= whole, "below_min_tokens_kept_whole").when(literal, "literal_paragraph_boundaries").otherwise("sentence_grouped_fallback_no_literal_paragraphs")
+        pieces = F.when(total <= whole, F.array("primary")).when(literal, F.col("_paragraphs")).otherwise(cut)
+        return pieces, [reason.alias("split_reason"), F.lit(rule.target).alias("target_tokens"), F.lit(rule.overlap).alias("overlap_tokens"), number.alias("num_pieces_in_passage")]
+    kind = X.length_class("_total", rule.short, rule.medium, rule.long)
+    method = F.when(kind == "SHORT", "kept_whole").when(kind == "MEDIUM", "sentence_window_medium").when(kind == "LONG", "sentence_window_long").otherwise("recursive_structural_split")
+    about = [kind.alias("length_class"), method.alias("adaptive_method"), total.alias("passage_total_tokens_estimate"), number.alias("num_pieces_in_passage")]
+    return F.when(kind == "SHORT", F.array("primary")).otherwise(cut), about
+
+
+def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE) -> DataFrame:
+    """Chunks of every passage by each strategy of ``rules``.
+
+    Passages are made, split into sentences and counted once; the strategies' pieces become rows together.
+    """
+    rows = passages(records)
+    if any(rules.values()):
+        rows = rows.withColumn("_total", X.token_count("primary")).withColumn("_sentences", X.sentences("primary"))
+        rows = rows.withColumn("_counts", F.transform("_sentences", X.token_count))
+        rows = rows.withColumns({f"_bounds_{s}": bounds(F.col("_counts"), rule) for s, rule in rules.items() if rule})
+        rows = rows.withColumns({f"_cut_{s}": _bounded(f"_bounds_{s}") for s, rule in rules.items() if rule})
+    if "paragraph" in rules:
+        rows = rows.withColumn("_paragraphs", X.paragraphs("primary"))
+    made = {s: _pieces(s, rule, whole) for s, rule in rules.items()}
+    rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
+    views = []
+    for strategy, (_, about) in made.items():
+        name = f"_pieces_{strategy}"
+        if strategy == "passage":
+            penalties = F.array(F.lit(0.0))
+        else:
+            rows = quality.with_penalties(rows, name, f"_penalties_{strategy}")
+            penalties = F.col(f"_penalties_{strategy}")
+        views.append(F.struct(F.lit(strategy).alias("strategy"), F.arrays_zip(F.col(name).alias("text"), penalties.alias("penalty")).alias("pieces"), F.to_json(F.struct(*about)).alias("about")))
+    kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
+    rows = rows.select(*kept, F.explode(F.array(*views)).alias("_view"))
+    # in two steps: else every piece's row would carry all the pieces
+    rows = rows.select(*kept, F.col("_view.strategy").alias("chunk_strategy"), F.col("_view.about").alias("_about"), F.col("_view.pieces").alias("_pieces"))
+    # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
+    rows = rows.select(*kept, "chunk_strategy", "_about", F.posexplode_outer("_pieces").alias("chunk_index", "_piece"))
+    rows = rows.select(*kept, "chunk_strategy", "_about", "chunk_index", F.col("_piece.text").alias("text"), F.col("_piece.penalty").alias("_penalty")).where("text is not null")
+    # a whole passage's quality is that of the target text unless that is empty
+    scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
+    chunks = quality.with_breakdown(rows.withColumn("_scored", scored), "_scored", F.col("_penalty"), "_quality")
+    split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
+    breakdown = F.to_json(F.struct(F.col("_quality").alias("quality_breakdown")))
     return chunks.select(
-        F.concat("parent_passage_id", F.lit(f"_{strategy}_"), "chunk_index").alias("chunk_id"),
+        F.concat_ws("_", "parent_passage_id", "chunk_strategy", "chunk_index").alias("chunk_id"),
         *KEPT,
         "language",
         "passage_index",
         "is_selected",
-        F.lit(strategy).alias("chunk_strategy"),
+        "chunk_strategy",
         "chunk_index",
         "parent_passage_id",
         "text",
-        (F.col("text_english") if whole else F.when(split, F.col("text_english")).otherwise(F.col("text"))).alias("text_english"),
-        (F.col("text_target") if whole else F.when(split, F.col("text_target")).otherwise(F.lit(""))).alias("text_target"),
+        F.when(own | split, F.col("text_english")).otherwise(F.col("text")).alias("text_english"),
+        F.when(own, F.col("text_target")).when(split, F.col("text_target")).otherwise(F.lit("")).alias("text_target"),
         X.token_count("text").alias("token_count_estimate"),
         F.char_length("text").alias("char_count"),
         F.col("_quality.quality_score").alias("quality_score"),
-        F.to_json(F.struct(F.col("_quality").alias("quality_breakdown"), *about)).alias("metadata"),
+        F.concat(F.substring(breakdown, 1, F.length(breakdown) - 1), F.lit(","), F.substring("_about", 2, 1 << 30)).alias("metadata"),
         X.text_hash("text").alias("chunk_text_hash"),
         F.lit(False).alias("is_duplicate_chunk"),
         F.lit("").alias("duplicate_of_chunk_id"),
@@ -76,55 +124,32 @@ def _finish(rows: DataFrame, strategy: str, about: Sequence[Column]) -> DataFram
 
 def passage_chunks(records: DataFrame) -> DataFrame:
     """The whole passage as it stands. Its quality is that of the target text unless that is empty."""
-    rows = passages(records)
-    own = F.when(F.col("language") == "target", F.col("text_target")).otherwise(F.col("text_english"))
-    scored = F.when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
-    rows = rows.withColumn("_pieces", F.array(own)).withColumn("_scored", scored).withColumn("_penalties", F.array(F.lit(0.0)))
-    return _finish(rows, "passage", [F.lit("whole_passage").alias("split_reason")])
+    return _views(records, {"passage": None})
 
 
 def paragraph_chunks(records: DataFrame, rule: BudgetRule = BudgetRule(), whole: int = WHOLE) -> DataFrame:
     """Blank-line paragraphs; where there is but one, groups of sentences by a token budget; short passages whole."""
-    rows = passages(records).withColumn("_paragraphs", X.paragraphs("primary")).withColumn("_total", X.token_count("primary"))
-    rows = _cut(rows, rule).withColumn("_groups", F.col("_pieces"))
-    literal = F.size("_paragraphs") > 1
-    rows = rows.withColumn("_pieces", F.when(F.col("_total") <= whole, F.array("primary")).when(literal, F.col("_paragraphs")).otherwise(F.col("_groups")))
-    reason = F.when(F.col("_total") <= whole, "below_min_tokens_kept_whole").when(literal, "literal_paragraph_boundaries").otherwise("sentence_grouped_fallback_no_literal_paragraphs")
-    rows = rows.withColumn("_reason", reason).withColumn("_n", F.size("_pieces"))
-    rows = quality.with_penalties(rows, "_pieces", "_penalties")
-    return _finish(rows, "paragraph", [F.col("_reason").alias("split_reason"), F.lit(rule.target).alias("target_tokens"), F.lit(rule.overlap).alias("overlap_tokens"), F.col("_n").alias("num_pieces_in_passage")])
+    return _views(records, {"paragraph": rule}, whole)
 
 
 def sentence_chunks(records: DataFrame, rule: WindowRule = WindowRule()) -> DataFrame:
     """Overlapping windows of sentences."""
-    rows = _cut(passages(records), rule)
-    rows = rows.withColumn("_n", F.size("_pieces"))
-    rows = quality.with_penalties(rows, "_pieces", "_penalties")
-    return _finish(rows, "sentence", [F.lit(rule.least).alias("min_tokens"), F.lit(rule.target).alias("target_tokens"), F.lit(rule.most).alias("max_tokens"), F.lit(rule.overlap).alias("overlap_sentences"), F.col("_n").alias("num_windows_in_passage")])
+    return _views(records, {"sentence": rule})
 
 
 def adaptive_chunks(records: DataFrame, rule: AdaptiveRule = AdaptiveRule()) -> DataFrame:
     """Whole, windows or halves by the passage's length class."""
-    rows = passages(records).withColumn("_total", X.token_count("primary"))
-    rows = rows.withColumn("_class", X.length_class("_total", rule.short, rule.medium, rule.long))
-    rows = _cut(rows, rule)
-    rows = rows.withColumn("_pieces", F.when(F.col("_class") == "SHORT", F.array("primary")).otherwise(F.col("_pieces")))
-    method = F.when(F.col("_class") == "SHORT", "kept_whole").when(F.col("_class") == "MEDIUM", "sentence_window_medium").when(F.col("_class") == "LONG", "sentence_window_long").otherwise("recursive_structural_split")
-    rows = rows.withColumn("_method", method).withColumn("_n", F.size("_pieces"))
-    rows = quality.with_penalties(rows, "_pieces", "_penalties")
-    return _finish(rows, "adaptive", [F.col("_class").alias("length_class"), F.col("_method").alias("adaptive_method"), F.col("_total").alias("passage_total_tokens_estimate"), F.col("_n").alias("num_pieces_in_passage")])
+    return _views(records, {"adaptive": rule})
 
 
 def chunk_views(records: DataFrame, strategies: Sequence[str] = STRATEGIES) -> DataFrame:
-    """The union of the chosen strategies' chunks, in their fixed order."""
+    """The chunks of the chosen strategies, from one pass over the passages."""
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {', '.join(sorted(unknown))}")
-    makers = {"passage": passage_chunks, "paragraph": paragraph_chunks, "sentence": sentence_chunks, "adaptive": adaptive_chunks}
-    frames = [makers[s](records) for s in STRATEGIES if s in strategies]
-    if not frames:
+    if not strategies:
         raise ValueError("no strategy is chosen")
-    return union_all(frames)
+    return _views(records, {s: RULES[s] for s in STRATEGIES if s in strategies})
 
 
 def dedup_chunks(chunks: DataFrame, least_chars: int = 10) -> DataFrame:

@@ -6,6 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.frames import running_total
+
+
+#: Values of ``by`` in an evaluation, at most: modes, models, strategies and the like.
+MOST_KINDS = 256
 
 
 def relevant_ids(by_strategy: str | Column, strategy: str | None = None) -> Column:
@@ -27,13 +34,20 @@ def ideal_dcg(relevant: Column, k: int) -> Column:
 def per_query(ranked: DataFrame, relevant: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), mrr_k: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """One row for each evaluated query (and each value of ``by``, such as mode): recall, hit, MRR and nDCG.
 
-    Queries with relevant ids but no hit count zeros. ``by`` columns are of ``ranked``.
+    Queries with relevant ids but no hit count zeros. ``by`` columns are of ``ranked``, of ``MOST_KINDS`` values at most.
     """
     last = max(*ks, mrr_k)
     sizes = relevant.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n_relevant"))
     hits = ranked.where(F.col("rank") <= last).join(relevant.distinct(), ["query_id", "chunk_id"], "left_semi").select("query_id", *by, "rank")
-    groups = sizes if not by else sizes.crossJoin(F.broadcast(ranked.select(*by).distinct()))
-    joined = groups.join(hits, ["query_id", *by], "left")
+    if by:
+        # a row for each query and value of ``by``: its distinct values are few, come to the driver and back as literals
+        kinds = ranked.select(*by).distinct().limit(MOST_KINDS + 1).collect()
+        if len(kinds) > MOST_KINDS:
+            raise ValueError(f"{', '.join(by)} have more than {MOST_KINDS} values")
+        every = [F.struct(*[F.lit(r[c]).cast(ranked.schema[c].dataType).alias(c) for c in by]) for r in kinds]
+        kind = F.array(*every) if every else F.array().cast(T.ArrayType(ranked.select(*by).schema))
+        sizes = sizes.withColumn("_kind", F.explode(kind)).select("query_id", "n_relevant", "_kind.*")
+    joined = sizes.join(hits, ["query_id", *by], "left")
     rank, n = F.col("rank"), F.col("n_relevant")
     top = max(ks)
     metrics = []
@@ -63,18 +77,20 @@ PERCENTS = (50, 70, 90, 95, 99, 100)
 def latency_summary(frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentiles, mean and count of a column by group.
 
-    Places come from a running count over the distinct values of a group, so that no group's values are
-    ever gathered in one row.
+    Places come from a running count over the distinct values, in ranges of (group, value): neither a group's
+    values nor its counts ever meet in one task. Groups are few; their totals join as a small table.
     """
-    from pyspark.sql.window import Window
-
-    rows = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_v"))
-    total = F.sum("_c").over(Window.partitionBy(*by))
-    placed = rows.select(*by, "_v", "_c", upto.alias("_upto"), total.alias("_n"))
+    rows = frame.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    counted = running_total(rows.groupBy(*by, "_v").agg(F.count("*").alias("_c")), by, ["_v"], F.col("_c"), "_before")
+    totals = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum"))
+    totals = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n", "_sum")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = counted.join(totals, same) if by else counted.crossJoin(totals)
 
     def at(percent: float) -> Column:
         place = F.bround(F.lit(percent / 100) * (F.col("_n") - 1), 0)
-        return F.round(F.min(F.when(F.col("_upto") > place, F.col("_v"))), 3)
+        return F.round(F.min(F.when(F.col("_before") + F.col("_c") > place, F.col("_v"))), 3)
 
-    return placed.groupBy(*by).agg(*[at(p).alias(f"p{p}_ms") for p in PERCENTS], F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 3).alias("mean_ms"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
+    return placed.groupBy(*by).agg(*[at(p).alias(f"p{p}_ms") for p in PERCENTS], F.round(F.first("_sum") / F.first("_n"), 3).alias("mean_ms"), F.coalesce(F.first("_n"), F.lit(0)).alias("n"))

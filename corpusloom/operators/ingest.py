@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions.frames import running_total
 
 REQUIRED_FIELDS = ("source_lang", "target_lang", "query_id", "query_type", "passages", "Eng_Query", "Eng_Answer", "query", "Answer")
 REQUIRED_PASSAGE_KEYS = ("English_passages", "Translated_passages", "is_selected")
@@ -156,30 +156,38 @@ def normalize(usable: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def mark_duplicates(records: DataFrame, order: str) -> DataFrame:
-    """``is_exact_duplicate`` where an earlier row by ``order`` has the same content.
+    """``is_exact_duplicate`` where an earlier row by ``order`` (a different value for each row) has the same content.
 
-    The first row is an aggregate, so that content that a third of all rows share is combined before it moves.
+    The first row is an aggregate of hashes, so that content that a third of all rows share is combined before
+    it moves, and records meet the first rows by their own place, never by a shared hash.
     """
-    first = records.groupBy("source_record_hash").agg(F.min(order).alias("_first"))
-    return records.join(first, "source_record_hash").withColumn("is_exact_duplicate", F.col(order) > F.col("_first")).drop("_first").select(*records.columns)
+    firsts = records.groupBy("source_record_hash").agg(F.min(order).alias("_first")).select("_first")
+    return records.join(firsts, F.col(order) == F.col("_first"), "left").withColumn("is_exact_duplicate", F.col("_first").isNull()).select(*records.columns)
 
 
 def dedup(records: DataFrame, order: str) -> DataFrame:
-    """Keep the first of equal records; the n-th later record of a query_id gets the suffix __dup{n}."""
-    kept = mark_duplicates(records, order).where("not is_exact_duplicate")
-    nth = F.row_number().over(Window.partitionBy("raw_query_id").orderBy(order)) - 1
-    numbered = kept.withColumn("_nth", nth)
+    """Keep the first of equal records; the n-th later record of a query_id gets the suffix __dup{n}.
+
+    Ids and places alone are deduplicated and numbered, a common id in many ranges; records then move once, to
+    their own place.
+    """
+    keys = records.groupBy("source_record_hash").agg(F.min(F.struct(F.col(order).alias("place"), "raw_query_id")).alias("first")).select("first.*")
+    nth = running_total(keys, ["raw_query_id"], ["place"], F.lit(1), "_nth").select(F.col("place").alias("_place"), "_nth")
     renamed = F.when(F.col("_nth") > 0, F.concat("query_id", F.lit("__dup"), "_nth")).otherwise(F.col("query_id"))
-    return numbered.withColumn("query_id", renamed).withColumn("is_duplicate_query_id", F.col("_nth") > 0).drop("_nth")
+    numbered = records.join(nth, F.col(order) == F.col("_place")).withColumn("query_id", renamed).withColumn("is_duplicate_query_id", F.col("_nth") > 0)
+    return numbered.select(*records.columns)
 
 
 def dedup_stats(records: DataFrame, order: str) -> DataFrame:
     """Four counters of ``dedup``, in one row."""
-    marked = mark_duplicates(records, order)
-    kept = marked.where("not is_exact_duplicate").groupBy("raw_query_id").agg(F.count("*").alias("n"))
-    ids = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unique_source_record_hashes"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("content_distinct_duplicate_query_ids"), F.count_if(F.col("n") > 1).alias("query_ids_with_multiple_occurrences"))
-    dropped = marked.agg(F.count_if("is_exact_duplicate").alias("exact_duplicates_dropped"))
-    return ids.crossJoin(dropped).select("unique_source_record_hashes", "exact_duplicates_dropped", "content_distinct_duplicate_query_ids", "query_ids_with_multiple_occurrences")
+    firsts = records.groupBy("source_record_hash").agg(F.count("*").alias("rows"), F.min_by("raw_query_id", order).alias("raw_query_id"))
+    kept = firsts.groupBy("raw_query_id").agg(F.count("*").alias("n"), F.sum(F.col("rows") - 1).alias("dropped"))
+    return kept.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("unique_source_record_hashes"),
+        F.coalesce(F.sum("dropped"), F.lit(0)).alias("exact_duplicates_dropped"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("content_distinct_duplicate_query_ids"),
+        F.count_if(F.col("n") > 1).alias("query_ids_with_multiple_occurrences"),
+    ).select("unique_source_record_hashes", "exact_duplicates_dropped", "content_distinct_duplicate_query_ids", "query_ids_with_multiple_occurrences")
 
 
 def flatten(records: DataFrame) -> DataFrame:

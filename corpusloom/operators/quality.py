@@ -10,13 +10,19 @@ from ..functions import text as X
 
 def coherence(text: str | Column) -> Column:
     """1 up to six sentences, then 0.08 less for each more; 0 without any."""
-    n = F.size(X.sentences(text))
+    return _coherence(F.size(X.sentences(text)))
+
+
+def _coherence(n: Column) -> Column:
     return F.round(F.when(n == 0, 0.0).when(n <= 6, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (n - 6) * F.lit(0.08))), 3)
 
 
 def density(text: str | Column) -> Column:
     """Different words over words, in lower case."""
-    found = X.lower_words(text)
+    return _density(X.lower_words(text))
+
+
+def _density(found: Column) -> Column:
     return F.round(F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.array_distinct(found)) / F.size(found)), 3)
 
 
@@ -44,7 +50,9 @@ def with_penalties(rows: DataFrame, pieces: str, name: str) -> DataFrame:
 
 
 def with_breakdown(rows: DataFrame, text: str, penalty: Column, name: str) -> DataFrame:
-    """``rows`` with the terms and their sum as a struct; each term is computed once."""
-    rows = rows.withColumn(name, F.struct(coherence(text).alias("c"), density(text).alias("d"), boundary(text).alias("b"), penalty.alias("p")))
+    """``rows`` with the terms and their sum as a struct; each term is computed once, from words and sentences that are split once."""
+    split = [f"{name}_words", f"{name}_sentences"]
+    rows = rows.withColumns({split[0]: X.lower_words(text), split[1]: F.size(X.sentences(text))})
+    rows = rows.withColumn(name, F.struct(_coherence(F.col(split[1])).alias("c"), _density(F.col(split[0])).alias("d"), boundary(text).alias("b"), penalty.alias("p")))
     c, d, b, p = (F.col(f"{name}.{k}") for k in "cdbp")
-    return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty")))
+    return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty"))).drop(*split)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.fixtures import QUERY_TYPES
+
+#: The known query types. Fixed values.
+QUERY_TYPES = ("DESCRIPTION", "NUMERIC", "ENTITY", "PERSON", "LOCATION")
 
 COMPARED = {"chunk_strategy", "chunk_text_hash", "is_duplicate_chunk", "duplicate_of_chunk_id", "below_min_length", "parent_passage_id", "query_id", "is_selected", "char_count"}
 

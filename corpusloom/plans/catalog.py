@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..functions.frames import union_all
+from ..functions.frames import scratch_path, stored, union_all
 from ..operators import benchmark as B
 from ..operators import chunking as C
 from ..operators import evaluation as E
@@ -53,25 +52,17 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return C.dedup_chunks(C.chunk_views(_records(s, d)))
 
 
-def _shared_folder(s: SparkSession) -> str:
-    """The folder that the session's driver and executors share; a local one only where none is named."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="corpusloom-")
-    return base.rstrip("/")
-
-
 def _stored_chunks(s: SparkSession, d: str) -> DataFrame:
     """Chunks as a written table by strategy and language, for what reads them more than once."""
-    path = f"{_shared_folder(s)}/chunks-{uuid.uuid4().hex}"
-    # only what the readers here need: a chunk's row otherwise has its passage's texts as well
-    needed = ("chunk_id", "query_id", "language", "query_type", "passage_index", "is_selected", "chunk_strategy", "chunk_index", "parent_passage_id", "char_count", "chunk_text_hash", "is_duplicate_chunk", "duplicate_of_chunk_id", "below_min_length")
-    write_chunks(_chunks(s, d).select(*needed), path)
+    path = scratch_path(s, "chunks")
+    write_chunks(_chunks(s, d).select(*STORED), path)
     return read_chunks(s, path)
 
 
+#: What readers of stored chunks need here: a chunk's row otherwise has its passage's texts as well.
+STORED = ("chunk_id", "query_id", "language", "query_type", "passage_index", "is_selected", "chunk_strategy", "chunk_index", "parent_passage_id", "char_count", "chunk_text_hash", "is_duplicate_chunk", "duplicate_of_chunk_id", "below_min_length")
+
+
 # ---- ingestion ----
 
 
@@ -323,13 +314,17 @@ def inspect_repeated_keys(s, d):
 
 
 def _sample(s: SparkSession, d: str) -> DataFrame:
-    return B.stratified_sample(B.eligible(_records(s, d)), oracle.SAMPLE)
+    return B.stratified_sample(B.eligible(stored(_records(s, d), "records")), oracle.SAMPLE)
 
 
 def _benchmark(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks and the benchmark over them."""
-    chunks = _stored_chunks(s, d)
-    return chunks, B.ground_truth(_sample(s, d), chunks)
+    """Chunks and the benchmark over them, both stored; records are made once for the two."""
+    records = stored(_records(s, d), "records")
+    path = scratch_path(s, "chunks")
+    write_chunks(C.dedup_chunks(C.chunk_views(records)).select(*STORED), path)
+    chunks = read_chunks(s, path)
+    sample = B.stratified_sample(B.eligible(records), oracle.SAMPLE)
+    return chunks, stored(B.ground_truth(sample, chunks), "benchmark")
 
 
 @query
@@ -339,7 +334,8 @@ def bench_stratified(s, d):
 
 @query
 def bench_manifest(s, d):
-    return B.benchmark_manifest(B.eligible(_records(s, d)), _sample(s, d))
+    pool = B.eligible(stored(_records(s, d), "records"))
+    return B.benchmark_manifest(pool, B.stratified_sample(pool, oracle.SAMPLE))
 
 
 @query
@@ -455,9 +451,7 @@ def eval_per_query(s, d):
 
 @query
 def eval_overall_by_type(s, d):
-    from .fixtures import QUERY_TYPES
-
-    kind = F.get(F.array(*map(F.lit, QUERY_TYPES)), (F.floor(F.col("query_id") / 100) % 5).cast("int"))
+    kind = F.get(F.array(*map(F.lit, R.QUERY_TYPES)), (F.floor(F.col("query_id") / 100) % 5).cast("int"))
     return E.overall(_evaluated(s, d).withColumn("query_type", kind))
 
 
@@ -486,7 +480,7 @@ def index_upsert(s, d):
 def _collection(s: SparkSession, d: str) -> VectorCollection:
     """A collection of the documents' passages, in the session's shared folder."""
     rows = marked_documents(s, d).select(F.concat("doc_id", F.lit("_p0_passage_0")).alias("chunk_id"), F.when(F.col("lang") == "en", "english").otherwise("target").alias("language"), F.lit("passage").alias("chunk_strategy"), "is_selected", "text")
-    store = VectorCollection(s, f"{_shared_folder(s)}/collection-{uuid.uuid4().hex}", create=True)
+    store = VectorCollection(s, scratch_path(s, "collection"), create=True)
     store.upsert(as_points(S.embed(rows, S.HashingEmbedder(oracle.DIM))), 0)
     return store
 

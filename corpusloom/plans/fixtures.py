@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERY_TYPES = ("DESCRIPTION", "NUMERIC", "ENTITY", "PERSON", "LOCATION")
-
+from ..operators.reports import QUERY_TYPES
 
 TEXTS = ("documents", "pages", "conversations")
 
