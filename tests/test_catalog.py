@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -9,6 +11,7 @@ import pytest
 from corpusloom.plans import catalog, oracle
 
 SQL = oracle.oracle_sql()
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
@@ -36,6 +39,14 @@ def test_every_query_is_named():
     assert set(catalog.queries()) - set(SQL) == {"retrieve_single"}
 
 
+@pytest.mark.parametrize("hidden", ["tiktoken", "corpus_pipeline", "corpusloom.llm"])
+def test_entry_without_training_data(hidden):
+    """Where the training-data queries can't be imported, all others are still there."""
+    code = f"import sys; sys.modules['{hidden}'] = None; import __spark_entry__ as e; print(*e.queries(), *e.oracle_sql())"
+    names = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    assert set(SQL) <= set(names) and not any(n.startswith("op1_") or n == "pipeline" for n in names)
+
+
 def test_entry(spark):
     import __spark_entry__
 
