@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.frames import union_all
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names. Where none is named a local session, as in tests, gets its own;
-    a cluster, whose executors can't see the driver's folders, is refused."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+from ..functions.frames import shared_folder, union_all
 
 
 def checkpoint(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(frame.sparkSession)
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
+def without(docs: DataFrame, components: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` but those of a key that is nowhere its own component; the few keys that go are what is joined."""
+    kept = F.max(F.col(key).eqNullSafe(F.col("component")).cast("int"))
+    lost = components.groupBy(key).agg(kept.alias("kept")).where("kept = 0").select(F.col(key).alias("__loom_lost"))
+    return docs.join(lost, F.col(key).eqNullSafe(F.col("__loom_lost")), "left_anti")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column's values."""
     return column.cast(pa.binary()).to_pylist()

@@ -8,21 +8,22 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpoint, row_slices, utf8
+from ..functions.frames import stored
+from .common import checkpoint, row_slices, texts
 
 NAMES = ("words", "word_size", "word_spread", "upper", "symbols", "shouts", "bare", "digits", "stops", "distinct", "repeats", "top", "echo", "packed", "lines", "same_lines", "short", "odd_ends")
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,'-\"!"]] = True
 UPPER, LOWER, DIGIT = (np.array([a <= c <= b for c in range(256)]) for a, b in ((65, 90), (97, 122), (48, 57)))
-LEAD = np.array([c == 0xC3 for c in range(256)])
 CUT = 1 << 20
 
 
@@ -72,7 +73,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, "text"):
-                found = pa.array([statistics(t) for t in utf8(batch.column("text"))], type=pa.list_(pa.float64()))
+                found = pa.array([statistics(t) for t in texts(batch.column("text"))], type=pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), found], names=["key", "x"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(scan, f"key {docs.schema[key].dataType.simpleString()}, x array<double>")
@@ -162,7 +163,8 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, la
 
     ``labels`` (``key``, ``label``) rows where ``learn`` holds (a condition on ``labels``; all if None) teach
     the classes; keys that aren't in ``docs``, null labels and labels other than 0 and 1 teach nothing. A
-    repeated key teaches once a pair of rows. Null and empty texts get the score of the empty text.
+    repeated key teaches once a pair of rows. Null and empty texts get the score of the empty text; very long
+    ones are read whole. An empty table gives no rows.
     """
     found = checkpoint(features(docs, key, text))
     taught = labels.where(learn) if learn is not None else labels
@@ -175,12 +177,32 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, la
 def reject(docs: DataFrame, labels: DataFrame, learn: Column | None = None, threshold: float = 0.5, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are.
 
-    Statistics are taken once, kept without the text, and meet the rows again by key and text hash.
+    Statistics are taken once and stored beside the rows, in the shared folder until the session ends; the model
+    learns from the statistics alone, and the stored rows are filtered where they lie. No text is shuffled.
+    Null and empty texts have the empty text's score, rows that repeat the same score each, and an empty table
+    gives no rows.
     """
-    row = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("row"))
-    found = checkpoint(features(docs.select(row.alias("key"), F.col(text).cast("string").alias("text")), "key", "text"))
+    found = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _statistics(F.col(text).cast("string")).alias("x")), "statistics")
     taught = labels.where(learn) if learn is not None else labels
-    known = found.join(taught.select(F.col(key).alias("__loom_id"), F.col(label).alias("label")), F.col("key.id") == F.col("__loom_id")).select("x", "label")
-    kept = score(found, fit(checkpoint(known), "label")).where(F.col("score") >= threshold)
-    kept = kept.select(F.col("key.id").alias("__loom_id"), F.col("key.row").alias("__loom_row")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__loom_id")) & (F.xxhash64(F.col(text)) == F.col("__loom_row")), "left_semi")
+    known = found.select(F.col(f"row.`{key}`").alias("key"), "x").join(taught.select(F.col(key).alias("key"), F.col(label).alias("label")), "key").select("x", "label")
+    model = fit(checkpoint(known), "label")
+    return found.where(_score(model, F.col("x")) >= threshold).select("row.*")
+
+
+def _arrow(f: Callable[[pa.Array], pa.Array], kind: T.DataType, column: Column) -> Column:
+    """A column of Python values, Arrow batch by batch; the other columns stay in the JVM."""
+
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield f(batch)
+
+    udf.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(udf, kind)(column)
+
+
+def _statistics(column: Column) -> Column:
+    return _arrow(lambda own: pa.array([statistics(t) for t in texts(own)], type=pa.list_(pa.float64())), T.ArrayType(T.DoubleType()), column)
+
+
+def _score(model: Discriminant, column: Column) -> Column:
+    return _arrow(lambda own: pa.array(model.scores(np.array(own.flatten()).reshape(-1, len(NAMES))), type=pa.float64()), T.DoubleType(), column)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
-from .common import checkpoint, connected_components, key_type, records, row_slices, texts
+from .common import checkpoint, connected_components, key_type, records, row_slices, texts, without
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 #: (first bit, width) of each segment.
@@ -183,5 +183,4 @@ def near_duplicates(docs: DataFrame, words: int = 4, limit: int = 4, most: int =
 
 def keep_representatives(docs: DataFrame, words: int = 4, limit: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is their component's smallest; rows that repeat a kept key all stay."""
-    kept = near_duplicates(docs, words, limit, key=key, text=text).where(F.col(key).eqNullSafe(F.col("component")))
-    return docs.join(kept.select(F.col(key).alias("__loom_kept")).distinct(), F.col(key).eqNullSafe(F.col("__loom_kept")), "left_semi")
+    return without(docs, near_duplicates(docs, words, limit, key=key, text=text), key)
