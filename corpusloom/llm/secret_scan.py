@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
-A candidate token's encoding is inferred from its alphabet. Three statistics then ask whether its characters
-look drawn at random from that alphabet: chi-squared uniformity, Wald-Wolfowitz runs about the alphabet's
-middle, and lag-one serial correlation. Their p-values under written language (calibrated on letter
-frequencies, so that they depend on the token's length) are combined, and thresholds that hold the false
-discovery rate are set for each length class over the whole corpus.
+A candidate token's encoding is inferred from its alphabet. Tests then ask whether its characters look drawn at
+random from that alphabet: chi-squared uniformity, runs (about the alphabet's middle, and of digits, lower and
+upper case), and lag-one serial correlation. What passes them is ranked by a combination of the same three under
+written language, which depends on the token's length, and thresholds that hold the false discovery rate are set
+for each length class over the whole corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, records, utf8
+from .common import checkpoint, key_type, records, row_slices, texts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,7 +34,7 @@ LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6
 #: Upper ends of the length classes, the last open; and bins of -log10 p, a quarter each.
 LENGTHS = (24, 32, 48, 64, 128, 256)
 BINS = 80
-FOUND = pa.schema([("key", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))), ("candidates", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cell", pa.int32())])))])
+FOUND = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))), ("candidates", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cell", pa.int32())])))])
 
 
 def infer(token: str) -> tuple[int, np.ndarray]:
@@ -50,33 +50,51 @@ def infer(token: str) -> tuple[int, np.ndarray]:
 
 
 def _written(encoding: int) -> np.ndarray:
-    """Frequencies of an encoding's characters in written words: one case of letters, a few digits and joints."""
-    share = np.full(len(ALPHABETS[encoding]), 1e-3)
+    """Frequencies of an encoding's characters in written tokens: mostly letters of one case, some of the other, some digits."""
+    share = np.full(len(ALPHABETS[encoding]), 2e-3)
     for at, c in enumerate(ALPHABETS[encoding]):
-        if c.isalpha() and (c.islower() or encoding == BASE32):
-            share[at] = LETTERS[ord(c.lower()) - 97] / 100
+        if c.isalpha():
+            share[at] += LETTERS[ord(c.lower()) - 97] / 100 * (0.1 if c.isupper() and encoding in (ALPHANUMERIC, BASE64) else 1)
+        elif c.isdigit():
+            share[at] += 0.008
     return share / share.sum()
 
 
 @dataclass(frozen=True)
 class Null:
-    """What written words give for one encoding: the excess of its uniformity statistic, and that excess's spread."""
+    """What one character of a written token, and of a random one, adds to the statistics of an encoding.
+
+    ``weights``: log ratio of the uniform share to the written one. ``written`` and ``random``: their mean and
+    deviation. ``changes``: the share of neighbours of different kinds (digit, lower, upper) in random tokens.
+    """
 
     size: int
-    excess: float
-    spread: float
+    weights: np.ndarray
+    written: tuple[float, float]
+    random: float
+    changes: float
 
     @classmethod
     def of(cls, encoding: int) -> Null:
-        share = _written(encoding)
-        ratio = share * len(share)
-        mean = float((share * ratio).sum())
-        return cls(len(share), mean - 1, math.sqrt(max(float((share * ratio**2).sum()) - mean**2, 0.1)))
+        share, size = _written(encoding), len(ALPHABETS[encoding])
+        weights = -np.log(share * size)
+        mean = float(share @ weights)
+        kinds = np.unique([kind_of(c) for c in ALPHABETS[encoding] if kind_of(c)], return_counts=True)[1] / size
+        return cls(size, weights, (mean, math.sqrt(float(share @ weights**2) - mean**2)), float(weights.mean()), float(kinds.sum() ** 2 - (kinds**2).sum()) / float(kinds.sum() ** 2))
+
+
+def kind_of(c: str) -> int:
+    """1 digit, 2 lower, 3 upper case; 0 what joins words."""
+    return 1 if c.isdigit() else 2 if c.islower() else 3 if c.isupper() else 0
 
 
 NULLS = tuple(Null.of(e) for e in range(4))
 #: A test vetoes a token whose statistic random characters would give less often than this.
 VETO = 1e-3
+#: Written tokens vary more than independent draws: so many times the deviation.
+SPREAD = 1.5
+#: Of neighbours in written tokens, so many are of different kinds; and the lag-one correlation of their values, with its deviation.
+JOINTS, ECHO = 0.15, (0.15, 0.15)
 
 
 def _tail(z: float) -> float:
@@ -84,13 +102,11 @@ def _tail(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def uniformity(codes: np.ndarray, size: int) -> tuple[float, float]:
-    """The excess of the squared shares over a uniform alphabet's (0 if random), unbiased, and its deviation if random.
-
-    It is Pearson's chi-squared without the part that only the length makes.
-    """
+def uniformity(codes: np.ndarray, size: int) -> float:
+    """z of Pearson's chi-squared against a uniform alphabet (unbiased, 0 on average if random)."""
     n, counts = len(codes), np.bincount(codes, minlength=size)
-    return size * float((counts * (counts - 1)).sum()) / (n * (n - 1)) - 1, math.sqrt(2 * (size - 1) / (n * (n - 1)))
+    excess = size * float((counts * (counts - 1)).sum()) / (n * (n - 1)) - 1
+    return excess / math.sqrt(2 * (size - 1) / (n * (n - 1)))
 
 
 def runs(codes: np.ndarray, size: int) -> float | None:
@@ -104,30 +120,47 @@ def runs(codes: np.ndarray, size: int) -> float | None:
     return (int((high[1:] != high[:-1]).sum()) + 1 - expected) / math.sqrt(variance)
 
 
+def kind_changes(token: str) -> tuple[int, int]:
+    """Neighbours of different kinds, and all neighbours, apart from what joins words."""
+    kinds = [kind_of(c) for c in token]
+    pairs = [(a, b) for a, b in zip(kinds, kinds[1:], strict=False) if a and b]
+    return sum(a != b for a, b in pairs), len(pairs)
+
+
 def serial(codes: np.ndarray) -> float | None:
-    """z of the lag-one correlation; None where all characters are the same."""
+    """The lag-one correlation; None where all characters are the same."""
     centred = codes - codes.mean()
     power = float((centred**2).sum())
-    return float((centred[1:] * centred[:-1]).sum()) / power * math.sqrt(len(codes)) if power else None
+    return float((centred[1:] * centred[:-1]).sum()) / power if power else None
 
 
-def written_p(encoding: int, codes: np.ndarray) -> float:
-    """How likely written words of this length look as random as the token does.
+def written_p(encoding: int, codes: np.ndarray, token: str) -> float:
+    """How likely written tokens of this length look as random as this one does.
 
-    The three tests must each take the token for random: one that fails (at ``VETO``), or can't be run, gives
-    1. What is left is ranked by how rarely written words are as uniform, which falls with the length.
+    Each test must take the token for random: one that fails (at ``VETO``), or can't be run, gives 1. Then
+    three z-scores under the written null are added, weighted by how far random tokens of this length lie
+    from it: of the letters' likelihood under the uniform against the written alphabet, of the runs of
+    digits, lower and upper case, and of the serial correlation.
     """
     null, n = NULLS[encoding], len(codes)
-    if n < 8:
+    changed, neighbours = kind_changes(token)
+    if n < 8 or neighbours < 7:
         return 1.0
-    excess, deviation = uniformity(codes, null.size)
-    run_z, serial_z = runs(codes, null.size), serial(codes)
-    if run_z is None or serial_z is None:
+    run_z, echo = runs(codes, null.size), serial(codes)
+    if run_z is None or echo is None:
         return 1.0
-    if min(_tail(-excess / deviation), 2 * _tail(-abs(run_z)), 2 * _tail(-abs(serial_z))) < VETO:
+    change_z = (changed - neighbours * null.changes) / math.sqrt(neighbours * null.changes * (1 - null.changes))
+    if _tail(-uniformity(codes, null.size)) < VETO or 2 * _tail(-max(abs(run_z), abs(change_z), abs(echo) * math.sqrt(n))) < VETO:
         return 1.0
-    spread = math.sqrt(4 * null.spread**2 / n + deviation**2)
-    return max(_tail((excess - null.excess) / spread), 1e-30)
+    mean, deviation = null.written
+    tests = (
+        (float(null.weights[codes].sum()), n * mean, n * null.random, SPREAD * deviation * math.sqrt(n)),
+        (changed, neighbours * JOINTS, neighbours * null.changes, SPREAD * math.sqrt(neighbours * JOINTS * (1 - JOINTS))),
+        (-echo, -ECHO[0], 0.0, math.sqrt(1 / n + ECHO[1] ** 2)),
+    )
+    found = np.array([(seen - written) / spread for seen, written, _, spread in tests])
+    shift = np.array([(random - written) / spread for _, written, random, spread in tests])
+    return max(_tail(-float(found @ shift) / math.sqrt(float(shift @ shift))), 1e-30)
 
 
 def cell_of(length: int, p: float) -> int:
@@ -145,14 +178,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, cell) of long tokens outside the base spans; words of one case count as written."""
-    found = []
+    """(start, end, cell) of long tokens that don't touch a base span. Both come by start, so one sweep meets them."""
+    found, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(start < e and s < end for _, s, e in base):
+        while at < len(base) and base[at][1] < end:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > start:
             continue
         encoding, codes = infer(m[0])
-        found.append((start, end, cell_of(end - start, written_p(encoding, codes) if len(codes) else 1.0)))
+        found.append((start, end, cell_of(end - start, written_p(encoding, codes, m[0]) if len(codes) else 1.0)))
     return found
 
 
@@ -160,18 +196,20 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: base spans and tested candidates, without the text."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, value in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                value = (value or b"").decode("utf-8", "replace")
-                base = base_spans(value)
-                counts = [sum(kind == k for kind, _, _ in base) for k in range(3)]
-                rows.append((name, *counts, [dict(zip(("kind", "start", "end"), x, strict=True)) for x in base], [dict(zip(("start", "end", "cell"), x, strict=True)) for x in candidates(value, base)]))
-            if rows:
-                yield records(FOUND, zip(*rows, strict=True))
-
-    schema = "key long, n_assign long, n_access long, n_hex long, base array<struct<kind:int,start:long,end:long>>, candidates array<struct<start:long,end:long,cell:int>>"
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(look, schema)
+        for whole in batches:
+            for batch in row_slices(whole, 1):
+                rows = []
+                for value in texts(batch.column(1)):
+                    value = (value or b"").decode("utf-8", "replace")
+                    base = base_spans(value)
+                    counts = [sum(kind == k for kind, _, _ in base) for k in range(3)]
+                    rows.append((*counts, [dict(zip(("kind", "start", "end"), x, strict=True)) for x in base], [dict(zip(("start", "end", "cell"), x, strict=True)) for x in candidates(value, base)]))
+                if rows:
+                    found = records(FOUND, zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=["key", *FOUND.names])
+
+    schema = f"key {key_type(docs, key)[0]}, n_assign long, n_access long, n_hex long, base array<struct<kind:int,start:long,end:long>>, candidates array<struct<start:long,end:long,cell:int>>"
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(look, schema)
 
 
 def thresholds(counts: dict[int, int], rate: float) -> dict[int, int]:
