@@ -90,6 +90,24 @@ class Network:
             return self.intercept
         return float(self.pool(self.responses(vectors))[0] @ self.output + self.intercept)
 
+    def gradients(self, vectors: np.ndarray, target: int, weight: float) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Of the weighted log loss of one document: by the intercept, by each bank, by the biases, by the output layer,
+        and by the vector at each place that a filter's kept response looks at."""
+        pooled, at = self.pool(self.responses(vectors))
+        error = (1 / (1 + np.exp(-np.clip(pooled @ self.output + self.intercept, -30, 30))) - target) * weight
+        back = error * self.output * (pooled > 0)
+        filters = self.banks[0].shape[2]
+        by_place: dict[int, np.ndarray] = {}
+        by_bank = [np.zeros_like(b) for b in self.banks]
+        for f in np.flatnonzero(back):
+            w, column = f // filters % len(self.banks), f % filters
+            for j in range(w + 1):
+                place = int(at[f]) + j
+                if place < len(vectors):
+                    by_bank[w][j, :, column] += back[f] * vectors[place]
+                    by_place[place] = by_place.get(place, 0) + back[f] * self.banks[w][j, :, column]
+        return float(error), by_bank, back, error * pooled, by_place
+
     def score(self, logit: float, name: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(logit - self.thresholds.get(name, self.thresholds[""]), -60, 60))))
 
@@ -176,31 +194,18 @@ def train(texts: list[np.ndarray], names: list[str], y: np.ndarray, buckets: int
     row_speed, step_c = np.full(total, 1e-2, dtype=np.float32), 1e-2
     weight = np.array([0.5, 0.5]) * n.sum() / n
     weight = np.minimum(weight, 4)
-    where = np.repeat(np.arange(widths), filters)
     for _ in range(epochs):
         for i in rng.permutation(fit):
             ids = texts[i]
             if not len(ids):
                 continue
-            vectors = net.rows[ids].sum(axis=1)
-            pooled, at = net.pool(net.responses(vectors))
-            error = (1 / (1 + np.exp(-np.clip(pooled @ output + net.intercept, -30, 30))) - y[i]) * weight[y[i]]
-            back = error * output * (pooled > 0)
-            grad_rows = {}
-            grads = [np.zeros_like(b) for b in banks]
-            for f in np.flatnonzero(back):
-                w, column = where[f % count], f % filters
-                for j in range(w + 1):
-                    place = at[f] + j
-                    if place < len(ids):
-                        grads[w][j, :, column] += back[f] * vectors[place]
-                        grad_rows[place] = grad_rows.get(place, 0) + back[f] * banks[w][j, :, column]
-            for p, g, s in zip((*banks, bias, output), (*grads, back, error * pooled), speed, strict=True):
+            error, by_bank, by_bias, by_output, by_place = net.gradients(net.rows[ids].sum(axis=1), int(y[i]), float(weight[y[i]]))
+            for p, g, s in zip((*banks, bias, output), (*by_bank, by_bias, by_output), speed, strict=True):
                 s += g * g
                 p -= rate * g / np.sqrt(s)
             step_c += error * error
             net.intercept -= float(rate * error / np.sqrt(step_c))
-            for place, g in grad_rows.items():
+            for place, g in by_place.items():
                 own = ids[place][seen[ids[place]]]
                 row_speed[own] += float(g @ g)
                 rows[own] -= rate * g / np.sqrt(row_speed[own])[:, None]
@@ -228,36 +233,37 @@ def _threshold(logits: np.ndarray, y: np.ndarray, prior: float, least: int = 8)
 def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_words: int, buckets: int, label: str, key: str, text: str) -> tuple[list[np.ndarray], list[str], np.ndarray]:
     """A bounded sample of labelled rows as hashed rows: about ``most_docs`` / 3 of class 1 and twice as many of class 0.
 
-    Labels are sampled first, by a hash of the key, so that only the chosen documents' texts move; documents
-    of more than ``most_words`` / ``most_docs`` x 20 words teach nothing (they are scored like any other).
+    Labels are sampled first, by a hash of the key, so that only the chosen documents' texts move. They teach in
+    the order of the draw until they have ``most_words`` words together, which bounds what comes to the driver
+    (16 bytes a word); the rest are scored like any other.
     """
     clean = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null").distinct()
     counts = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
     share = {1: most_docs / 3 / max(1, counts.get(1, 0)), 0: 2 * most_docs / 3 / max(1, counts.get(0, 0))}
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = checkpoint(clean.where(draw < F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
-    most = max(1, 20 * most_words // most_docs)
+    draw = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 20)) / float(1 << 20) / F.when(F.col("y") == 1, share[1]).otherwise(share[0])
+    chosen = checkpoint(clean.withColumn("draw", draw).where("draw < 1"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for whole in batches:
             for batch in row_slices(whole, "text"):
-                out: list[list] = [[], [], []]
-                for y, value in zip(batch.column("y").to_pylist(), utf8(batch.column("text")), strict=True):
+                out: list[list] = [[], []]
+                for value in utf8(batch.column("text")):
                     found = words((value or b"").decode("utf-8", "replace"))
-                    if len(found) > most:
-                        continue
                     if len(known) > CACHE:
                         known.clear()
                     rows = [known.get(w) or known.setdefault(w, hashed(w, buckets)) for w in found]
-                    for column, x in zip(out, (y, language(found), np.array(rows, dtype="<i4").tobytes()), strict=True):
+                    for column, x in zip(out, (language(found), np.array(rows, dtype="<i4").tobytes()), strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], names=["y", "name", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("y"), pa.array(out[0], pa.string()), pa.array(out[1], pa.binary())], names=["draw", "y", "name", "ids"])
 
     # the sample's keys are few at any size of the corpus; counted, so that nothing larger is ever broadcast
     keys = F.broadcast(chosen) if chosen.count() <= 4 * most_docs else chosen
-    joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(keys, "key").select("y", "text")
-    table = joined.mapInArrow(look, "y int, name string, ids binary").toArrow()
+    joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(keys, "key").select("draw", "y", "text")
+    looked = checkpoint(joined.mapInArrow(look, "draw double, y int, name string, ids binary"))
+    sizes = looked.groupBy("draw").agg(F.sum(F.octet_length("ids")).alias("n")).orderBy("draw").toPandas()
+    within = sizes.draw[sizes.n.cumsum() <= 4 * (1 + len(PREFIXES)) * most_words]
+    table = looked.where(F.col("draw") <= F.lit(float(within.max()) if len(within) else -1.0)).toArrow()
     # the order of tasks mustn't matter
     taught = sorted(zip(table["ids"].to_pylist(), table["name"].to_pylist(), table["y"].to_pylist(), strict=True))
     return [np.frombuffer(x[0], dtype="<i4").reshape(-1, 1 + len(PREFIXES)) for x in taught], [x[1] for x in taught], np.array([x[2] for x in taught], dtype=np.int64)
