@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, spotsigs, token_counts, toxicity
+from corpusloom.llm import decontamination, line_dedup, near_copies, packing, quality, secret_scan, sharding, simhash, spotsigs, token_counts, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 KEYS = Counter([1, 2, 3, 4, 5, 6, 7, 8, 8, None, None, 11])
@@ -143,6 +143,23 @@ def test_pipeline_stages(spark, docs, none, labels, items, tmp_path, empty):
         assert (out.count() == 0) == empty
 
 
+def test_string_keys(spark, docs, labels, items):
+    """Every operator takes keys of another type, and gives them back; smallest then means first by bytes."""
+    named = docs.select(F.concat(F.lit("u"), F.lpad(F.col("doc_id").cast("string"), 3, "0")).alias("doc_id"), *[c for c in docs.columns if c != "doc_id"])
+    marks = labels.select(F.concat(F.lit("u"), F.lpad(F.col("doc_id").cast("string"), 3, "0")).alias("doc_id"), "quality", "toxic")
+    want = Counter(None if k is None else f"u{k:03d}" for k in KEYS.elements())
+    near = {r.doc_id: r.component for r in simhash.near_duplicates(named).collect() if r.doc_id}
+    assert near["u006"] == near["u001"] == "u001" and near["u004"] == "u002"
+    assert {r.doc_id: r.component for r in near_copies.near_duplicates(named).collect() if r.doc_id}["u006"] == "u001"
+    assert {r.doc_id: r.component for r in spotsigs.similar_documents(named).collect() if r.doc_id}["u006"] == "u001"
+    lines = line_dedup.dedup_lines(named, counts="counted")
+    assert {r.doc_id: r.counted.n_dropped for r in lines.collect()}["u008"] == 1
+    whole = (near_copies.near_duplicates(named), secret_scan.find_secrets(named), quality.classify(named, marks), spotsigs.compare_with_edits(named), decontamination.contamination(named, items), sharding.shards(named, 1000), toxicity.classify(named, marks, most_docs=60), lines)
+    assert all(keys(frame.collect()) == want for frame in whole)
+    for frame in (packing.pack(named, TOKENIZER), token_counts.count_tokens(named, TOKENIZER)):
+        assert set(keys(frame.collect())) <= set(want) and dict(frame.dtypes)["doc_id"] == "string"
+
+
 def test_long_text_is_whole(docs):
     """The very long text's end counts: its last word changes what is found."""
     text = [r.text for r in docs.where("doc_id = 5").collect()][0]
