@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 import time
-from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +26,10 @@ DISTANCES = ("cosine", "dot", "euclid")
 # ---- embedding ----
 
 
+#: Models whose texts take a prefix. Fixed values.
+PREFIXED = frozenset(f"intfloat/multilingual-e5-{size}" for size in ("small", "base", "large"))
+
+
 class HashingEmbedder:
     """Character n-grams of words (with a blank on both sides) hashed to ``dimension`` places, L2-normalised.
 
@@ -68,20 +72,44 @@ class HashingEmbedder:
 
 
 class TransformerEmbedder:
-    """A sentence-transformers model, loaded once a worker; needs that optional package. Devices never fall back."""
+    """A sentence-transformers model, loaded once a worker; needs that optional package.
+
+    A device never falls back: one that isn't there, or a model that ends up on another, is an error.
+    """
 
     def __init__(self, model: str, device: str = "cpu"):
         if device not in ("cpu", "cuda", "mps"):
             raise ValueError(f"unknown device {device}")
         self.name, self.device, self._model = model, device, None
 
-    def embed(self, texts: Sequence[str | None], is_query: bool = False) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        """Without the loaded model: a worker loads its own."""
+        return self.__dict__ | {"_model": None}
+
+    def _load(self):
         if self._model is None:
             from sentence_transformers import SentenceTransformer
 
-            self._model = SentenceTransformer(self.name, device=self.device)
-        prefix = ("query: " if is_query else "passage: ") if "e5" in self.name.lower() else ""
-        return np.asarray(self._model.encode([prefix + (t or "") for t in texts], normalize_embeddings=True), dtype=np.float32)
+            if self.device != "cpu":
+                import torch
+
+                backend = torch.cuda if self.device == "cuda" else getattr(torch.backends, "mps", None)
+                if backend is None or not backend.is_available():
+                    raise RuntimeError(f"device {self.device} was asked for and isn't available")
+            model = SentenceTransformer(self.name, device=self.device)
+            actual = str(next(model.parameters()).device)
+            if not actual.startswith(self.device):
+                raise RuntimeError(f"device {self.device} was asked for, but the model is on {actual}")
+            self._model = model
+        return self._model
+
+    @property
+    def dimension(self) -> int:
+        return self._load().get_sentence_embedding_dimension()
+
+    def embed(self, texts: Sequence[str | None], is_query: bool = False) -> np.ndarray:
+        prefix = ("query: " if is_query else "passage: ") if self.name in PREFIXED else ""
+        return np.asarray(self._load().encode([prefix + (t or "") for t in texts], normalize_embeddings=True), dtype=np.float32)
 
 
 def get_embedder(model: str, device: str = "cpu") -> HashingEmbedder | TransformerEmbedder:
@@ -144,6 +172,21 @@ def _scores(block: np.ndarray, corpus: np.ndarray, distance: str) -> np.ndarray:
     return block @ corpus.T
 
 
+def keep_best(best: list[list[tuple]], scores: np.ndarray, ids: list, k: int) -> None:
+    """Update each query's best k (as (-score, id)) by a block of scores (queries x rows); ``ids`` ascend, so that equal scores go by id."""
+    if scores.shape[1] > k:
+        # the block's k-th score of every query at once; what ties with it stays until it is cut by id
+        floors = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    else:
+        floors = np.full(len(scores), -np.inf)
+    for i, line in enumerate(scores):
+        floor = max(floors[i], -best[i][-1][0]) if len(best[i]) == k else floors[i]
+        near = np.flatnonzero(line >= floor)
+        if len(near):
+            near = near[np.argsort(-line[near], kind="stable")[:k]]
+            best[i] = sorted([*best[i], *((-line[j], ids[j]) for j in near.tolist())])[:k]
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str = "cosine", query_filter: Mapping[str, str] | None = None, block: int = 4096, query_key: str = "query_id", corpus_key: str = "chunk_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
     """Exact top k of every query over the whole corpus; equal scores go by corpus key. Euclid scores are distances.
     With ``places`` scores are rounded before any row is left out, so that ties are those of the rounded scores.
@@ -172,10 +215,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
                     continue
                 matrix = np.asarray(batch.column(1).flatten()).reshape(len(ids), -1)
                 order = np.argsort(np.array(ids), kind="stable")
-                scores = _scores(own, matrix, distance)
-                for i, line in enumerate(scores if places is None else np.round(scores, places)):
-                    top = order[np.argsort(-line[order], kind="stable")[:k]]
-                    best[i] = sorted([*best[i], *((-line[j], ids[j]) for j in top.tolist())])[:k]
+                scores = _scores(own, matrix[order], distance)
+                keep_best(best, scores if places is None else np.round(scores, places), [ids[j] for j in order.tolist()], k)
             flat = [(own_keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
             if flat:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
@@ -219,8 +260,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
 
     idf is ln(N - n + 0.5) - ln(n + 0.5), a negative one replaced by ``epsilon`` times the mean idf of all
     words. A repeated query word counts as often as it occurs. Queries go to the corpus's tasks in blocks of
-    ``block`` with their words' weights; a row's words are counted where the row is, a task keeps its own
-    best k of each query, and only those are shuffled, so no word's rows ever meet in one place.
+    ``block`` with their words' weights; a row's words are split in the JVM and counted where the row is, a
+    task keeps its own best k of each query, and only those are shuffled, so no word's rows ever meet in one
+    place.
     """
     spark = queries.sparkSession
     df, n, mean_size, mean_idf = bm25_statistics(corpus, text)
@@ -228,7 +270,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
     terms = asked.select("query_id", F.explode("w").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(df, "term")
     lists = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "df")).alias("terms"))
     whole = asked.select("query_id").distinct().join(lists, "query_id", "left")
-    rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(text).cast("string").alias("text"))
+    rows = corpus.select(F.col(corpus_key).alias("chunk_id"), X.lower_words(text).alias("w"))
     schema, kinds = _hit_schema(queries, query_key, corpus, corpus_key)
     found = []
 
@@ -240,32 +282,30 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
                 own = weights.setdefault(t.term, ([], []))
                 own[0].append(at)
                 own[1].append((epsilon * mean_idf if idf < 0 else idf) * t.qtf)
-        shared = spark.sparkContext.broadcast(([r.query_id for r in part], {t: (np.array(i), np.array(w)) for t, (i, w) in weights.items()}))
+        shared = spark.sparkContext.broadcast(([r.query_id for r in part], list(weights), [(np.array(i), np.array(w)) for i, w in weights.values()]))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, known = shared.value
+            keys, terms, weighted = shared.value
+            known = pa.array(terms, type=pa.string())
             best: list[list[tuple]] = [[] for _ in keys]
             for whole_batch in batches:
                 for start in range(0, whole_batch.num_rows, 1024):
                     batch = whole_batch.slice(start, 1024)
                     ids = batch.column(0).to_pylist()
-                    scores = np.zeros((len(ids), len(keys)))
-                    for at, value in enumerate(batch.column(1).to_pylist()):
-                        found_words = (value or "").lower().split()
-                        norm = k1 * (1 - b + b * len(found_words) / mean_size)
-                        for term, tf in Counter(found_words).items():
-                            if term in known:
-                                places, weight = known[term]
-                                scores[at, places] += weight * (tf * (k1 + 1) / (tf + norm))
-                    scores = np.round(scores, 9)
                     order = np.argsort(np.array(ids), kind="stable")
-                    for i in range(len(keys)):
-                        column = scores[order, i]
-                        top = np.argpartition(-column, k - 1)[:k] if len(column) > 4 * k else np.arange(len(column))
-                        floor = column[top].min()
-                        near = np.flatnonzero(column >= floor)
-                        near = near[np.argsort(-column[near], kind="stable")[:k]]
-                        best[i] = sorted([*best[i], *((-column[j], ids[order[j]]) for j in near.tolist())])[:k]
+                    sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                    found = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    held = np.repeat(np.argsort(order), sizes)[found >= 0]
+                    pairs, tf = np.unique(found[found >= 0] * len(ids) + held, return_counts=True)
+                    number, row = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+                    norm = k1 * (1 - b + b * sizes[order][row] / mean_size)
+                    gain = tf * (k1 + 1) / (tf + norm)
+                    scores = np.zeros((len(keys), len(ids)))
+                    edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, dtype=np.int64)
+                    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                        places, weight = weighted[number[low]]
+                        scores[np.ix_(places, row[low:high])] += weight[:, None] * gain[low:high]
+                    keep_best(best, np.round(scores, 9), [ids[j] for j in order.tolist()], k)
             flat = [(keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
             if flat:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
@@ -315,7 +355,10 @@ def restore_text(hits: DataFrame, corpus: DataFrame, key: str = "chunk_id", text
 
 
 def retrieve(spark, query: str, embedder, points: DataFrame, corpus: DataFrame, k: int = 10, query_filter: Mapping[str, str] | None = None) -> dict:
-    """One query against a point table: chunks with score (6 places), text and payload, and the time taken."""
+    """One query against a point table: chunks with score (6 places), text and payload, and the time taken.
+
+    The result's keys are fixed values of its format.
+    """
     began = time.perf_counter()
     vector = [float(x) for x in embedder.embed([query], is_query=True)[0]]
     embedded = time.perf_counter()
@@ -327,8 +370,3 @@ def retrieve(spark, query: str, embedder, points: DataFrame, corpus: DataFrame,
     found = [{"chunk_id": r["chunk_id"], "score": round(r["score"], 6), "text": r["text"], "metadata": r["metadata"]} for r in rows]
     times = {"embedding_ms": (embedded - began) * 1000, "search_ms": (done - embedded) * 1000, "total_ms": (done - began) * 1000}
     return {"query": query, "retrieved_chunks": found, "latency_breakdown_ms": {n: round(t, 3) for n, t in times.items()}, "guardrail_preparation": {"top_k_requested": k, "results_returned": len(found), "filters_applied": dict(query_filter or {}) or None}}
-
-
-def ideal_rank_sum(n: int) -> float:
-    """The DCG of n hits at the top, for checks."""
-    return sum(1 / math.log2(i + 1) for i in range(1, n + 1))

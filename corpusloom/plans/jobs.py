@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
+import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +23,19 @@ from ..sources.vector_store import VectorCollection
 from ..streaming.index_build import build_index
 
 
+NO_LEAK = "Answers and selection marks are never embedded, stored in queries or used as a filter; marks serve for ground truth alone."
+
+
+def _one_row(spark: SparkSession, *rows: dict) -> DataFrame:
+    """Rows of a report as JSON, so that any value has a place."""
+    texts = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    schema = F.schema_of_json(F.lit(json.dumps(rows[0])))
+    return texts.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def ingest(spark: SparkSession, file: str, output: str, limit: int | None = None) -> DataFrame:
     """Raw Parquet to normalised records; ``limit`` counts malformed rows too, in file order. Returns the report."""
+    began = time.perf_counter()
     rows = tables.with_place(spark.read.parquet(file), "place")
     rows = rows if limit is None else tables.first_rows(rows, limit, "place")
     validated = I.validate(rows)
@@ -30,19 +43,28 @@ def ingest(spark: SparkSession, file: str, output: str, limit: int | None = None
     records = I.normalize(usable, "place")
     tables.write_table(I.dedup(records, "place").drop("place"), f"{output}/normalized", skip_empty=True)
     report = I.normalization_report(validated, records, "place")
-    tables.write_report(report, f"{output}/normalization_report")
+    about = {
+        "input_file": F.lit(file),
+        "limit_applied": F.lit(limit).cast("long"),
+        "input_rows_total_in_file": F.lit(tables.row_count(spark, file)).cast("long"),
+        "validation_warnings_total": F.lit(validated.agg(F.coalesce(F.sum(F.size("validation_warnings")), F.lit(0))).first()[0]).cast("long"),
+        "processing_time_seconds": F.lit(round(time.perf_counter() - began, 3)),
+    }
+    tables.write_report(report.withColumns(about), f"{output}/normalization_report")
     tables.write_table(I.corrupt_examples(validated, "place"), f"{output}/corrupt_examples")
     tables.write_table(I.warning_counts(validated), f"{output}/warning_counts")
     return tables.read_report(spark, f"{output}/normalization_report")
 
 
 def chunk(spark: SparkSession, records: str, output: str, limit: int | None = None, strategies: Sequence[str] = C.STRATEGIES, normalization_report: str | None = None, least_chars: int = 10, drop_duplicates: bool = False, drop_short: bool = False) -> DataFrame:
-    """Normalised records to chunks by strategy and language. Returns the merged report."""
+    """Normalised records to chunks by strategy and language; ``limit`` is in file order. Returns the merged report."""
     rows = spark.read.parquet(records)
-    rows = rows if limit is None else tables.first_rows(rows, limit, "query_id")
+    rows = rows if limit is None else tables.first_rows(tables.with_place(rows, "_place"), limit, "_place").drop("_place")
     tables.write_chunks(C.drop_flagged(C.dedup_chunks(C.chunk_views(rows, strategies), least_chars), drop_duplicates, drop_short), output)
     chunks = tables.read_chunks(spark, output)
     before = tables.read_report(spark, normalization_report) if normalization_report else None
+    if before is None:
+        warnings.warn(f"there is no ingestion report at {normalization_report}: its counters are null", stacklevel=2)
     tables.write_report(R.merged_report(chunks, before), f"{output}_report")
     tables.write_table(R.chunk_counts(chunks), f"{output}_counts")
     return tables.read_report(spark, f"{output}_report")
@@ -65,13 +87,15 @@ def compare(spark: SparkSession, chunks: str) -> dict[str, DataFrame]:
 
 
 def make_benchmark(spark: SparkSession, records: str, output: str, size: int = 1000, seed: int = 42, chunks: str | None = None, require_answer: bool = False) -> DataFrame:
-    """Benchmark queries as JSON lines, with ground truth; a manifest beside them."""
+    """Benchmark queries as JSON lines, with ground truth; a manifest by type and one of the run beside them."""
     pool = B.eligible(spark.read.parquet(records), require_answer)
-    sample = B.stratified_sample(pool, size, seed)
-    truth = B.ground_truth(sample, tables.read_chunks(spark, chunks) if chunks else None)
+    truth = B.ground_truth(B.stratified_sample(pool, size, seed), tables.read_chunks(spark, chunks) if chunks else None)
     tables.write_json_lines(truth, output)
-    tables.write_report(B.benchmark_manifest(pool, sample), f"{output}_manifest")
-    return tables.read_benchmark(spark, output)
+    written = tables.read_benchmark(spark, output)
+    tables.write_report(B.benchmark_manifest(pool, written), f"{output}_manifest")
+    about = {"status": "COMPLETE", "input_file": records, "seed": seed, "requested_size": size, "actual_size": written.count(), "eligible_pool_size": pool.count(), "require_answer_only": require_answer, "chunks_dir_used_for_ground_truth": chunks, "output_file": output, "anti_leakage_note": NO_LEAK}
+    tables.write_report(_one_row(spark, about), f"{output}_run")
+    return written
 
 
 def make_corpus(spark: SparkSession, benchmark: str, chunks: str, output: str, size: int = 50_000, seed: int = 42, strategies: Sequence[str] | None = None) -> DataFrame:
@@ -81,6 +105,14 @@ def make_corpus(spark: SparkSession, benchmark: str, chunks: str, output: str, s
     corpus = spark.read.parquet(output)
     tables.write_report(B.corpus_manifest(corpus), f"{output}_manifest")
     tables.write_table(B.missing_ground_truth(asked, corpus), f"{output}_missing")
+    missing = spark.read.parquet(f"{output}_missing")
+    origins = {r["origin"]: r["count"] for r in corpus.groupBy("origin").count().collect()}
+    wanted = asked.select(F.explode("ground_truth_parent_passage_ids")).distinct().count()
+    # the ids of a benchmark's passages without chunks: at most as many as the benchmark has
+    about = {"status": "COMPLETE", "chunks_dir": chunks, "benchmark_queries_file": benchmark, "seed": seed, "target_corpus_size": size, "actual_corpus_size": sum(origins.values())}
+    about |= {f"{name}_chunks": origins.get(name, 0) for name in ("positive", "hard_negative", "random_negative")}
+    about |= {"positive_parent_passage_ids": wanted, "missing_ground_truth_passage_ids": sorted(r[0] for r in missing.collect()), "missing_ground_truth_count": missing.count(), "output_file": output}
+    tables.write_report(_one_row(spark, about), f"{output}_run")
     return corpus
 
 
@@ -95,28 +127,67 @@ def retrieve(spark: SparkSession, query: str, collection: str, corpus: str, mode
     return S.retrieve(spark, query, S.get_embedder(model), VectorCollection(spark, collection).points(), spark.read.parquet(corpus), k, {n: v for n, v in given.items() if v})
 
 
-def run_benchmark(spark: SparkSession, corpus: str, benchmark: str, output: str, config: tables.RetrievalConfig = tables.RetrievalConfig(), models: Sequence[str] | None = None, top_k: int | None = None, device: str = "cpu", warm_up_calls: int = 5) -> dict[str, DataFrame]:
-    """Metrics by mode, overall and by query type, for each model; stage times beside them."""
+def _stage_times(spark: SparkSession, queries: DataFrame, points: DataFrame, embedder, config: tables.RetrievalConfig, most: int) -> list[tuple[str, float]]:
+    """Milliseconds of each stage of single queries, for the first ``most`` of them by id, one at a time."""
+    times = []
+
+    def timed(stage: str, f):
+        began = time.perf_counter()
+        found = f()
+        times.append((stage, (time.perf_counter() - began) * 1000))
+        return found, times[-1][1]
+
+    def ranking(frame: DataFrame) -> DataFrame:
+        return spark.createDataFrame(frame.orderBy("rank").collect(), frame.schema)
+
+    for row in queries.orderBy("query_id").limit(most).collect():
+        vector, embedded = timed("embedding_ms", lambda: [float(x) for x in embedder.embed([row["text"]], is_query=True)[0]])  # noqa: B023
+        asked = spark.createDataFrame([(row["query_id"], row["text"], vector)], "query_id string, text string, embedding array<float>")
+        dense, searched = timed("dense_ms", lambda: ranking(S.dense_topk(asked, points, config.top_k, config.distance)))  # noqa: B023
+        if "dense" in config.retrieval_modes:
+            times.append(("total_dense_ms", embedded + searched))
+        if "hybrid_rrf" in config.retrieval_modes:
+            sparse, matched = timed("sparse_ms", lambda: ranking(S.bm25_topk(asked, points, config.top_k)))  # noqa: B023
+            _, fused = timed("fusion_ms", lambda: S.rrf([dense, sparse], config.rrf_k).collect())  # noqa: B023
+            times.append(("total_hybrid_ms", embedded + searched + matched + fused))
+    return times
+
+
+def run_benchmark(spark: SparkSession, corpus: str, benchmark: str, output: str, config: tables.RetrievalConfig = tables.RetrievalConfig(), models: Sequence[str] | None = None, top_k: int | None = None, device: str = "cpu", warm_up_calls: int = 5, timed_queries: int = 3) -> dict[str, DataFrame]:
+    """Metrics by mode, overall and by query type, for each model.
+
+    The corpus is embedded once a model, into a table. All queries are searched together for the metrics; the
+    latency percentiles by stage are of ``timed_queries`` queries that are run one at a time. Beside the
+    metrics lie the latencies and what the run was.
+    """
     config = replace(config, top_k=top_k or config.top_k)
     rows = spark.read.parquet(corpus)
     asked = tables.read_benchmark(spark, benchmark)
     relevant = E.relevance(asked)
     queries = asked.join(relevant, "query_id", "left_semi").select("query_id", "query_type", F.coalesce(F.nullif("query", F.lit("")), "Eng_Query").alias("text"))
-    found, times = {}, []
+    found, runs = {}, []
     for model in models or config.embedding_models or (config.local_test_only_embedder,):
         embedder = S.get_embedder(model, device)
-        S.warm_up(embedder, warm_up_calls)
+        warm = S.warm_up(embedder, warm_up_calls)
+        name = model.replace("/", "_").replace(":", "_")
         began = time.perf_counter()
-        dense = S.dense_topk(S.embed(queries, embedder, is_query=True), S.embed(rows, embedder), config.top_k, config.distance)
-        sparse = S.bm25_topk(queries, rows, config.top_k)
+        tables.write_table(S.embed(rows.select("chunk_id", "text"), embedder), f"{output}/{name}/points")
+        embedded = (time.perf_counter() - began) * 1000
+        points = spark.read.parquet(f"{output}/{name}/points")
+        dense = S.dense_topk(S.embed(queries, embedder, is_query=True), points, config.top_k, config.distance)
+        sparse = S.bm25_topk(queries, points, config.top_k)
         ranked = S.retrieval_modes(dense, sparse, config.retrieval_modes, config.rrf_k)
-        name = model.replace("/", "_").replace(":", "_")
         tables.write_table(ranked, f"{output}/{name}/ranked")
-        times.append((model, (time.perf_counter() - began) * 1000))
+        times = spark.createDataFrame(_stage_times(spark, queries, points, embedder, config, timed_queries), "stage string, ms double")
+        tables.write_report(E.latency_summary(times, "ms", ["stage"]), f"{output}/{name}/latency")
+        size, n_asked = points.count(), queries.count()
+        about = {"model": model, "status": "COMPLETE", "dimension": embedder.dimension, "is_test_only_proxy": model.startswith("TEST_ONLY:"), "device": device, "warmup_ms_excluded_from_latency": round(warm, 2), "warmup_calls": warm_up_calls, "corpus_size": size, "queries_evaluated": n_asked}
+        about |= {"embed_corpus_total_ms": round(embedded, 2), "embed_corpus_ms_per_chunk": round(embedded / max(1, size), 4), "timed_queries": timed_queries, "benchmark_query_count": asked.count(), "top_k": config.top_k, "corpus_file": corpus, "benchmark_queries_file": benchmark, "config_used": json.dumps(asdict(config)), "anti_leakage_note": NO_LEAK}
+        runs.append(about)
         scored = E.per_query(spark.read.parquet(f"{output}/{name}/ranked"), relevant, config.eval_k_values, config.mrr_k, ["mode"])
         tables.write_report(E.overall(scored.join(queries.select("query_id", "query_type"), "query_id")), f"{output}/{name}/metrics")
         found[model] = tables.read_report(spark, f"{output}/{name}/metrics")
-    tables.write_report(spark.createDataFrame(times, "model string, search_ms double"), f"{output}/times")
+    tables.write_report(_one_row(spark, *runs), f"{output}/run")
     return found
 
 

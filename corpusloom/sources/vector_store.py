@@ -6,12 +6,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators.retrieval import DISTANCES, dense_topk
+from ..operators.retrieval import DISTANCES, check_filter, dense_topk
 
+#: A point's payload. Names of the point format.
 PAYLOAD = ("parent_passage_id", "query_id", "language", "source_lang", "target_lang", "query_type", "chunk_strategy", "passage_index", "is_selected")
 
 
@@ -27,17 +27,23 @@ def latest(rows: DataFrame, key: str = "point_id", version: str = "version") ->
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+#: Columns whose values have folders of their own inside a version, so that a filter on them reads no other's files.
+ROUTED = ("chunk_strategy", "language")
+
+
 class VectorCollection:
     """Points in a folder: each upsert appends a version, readers see the last of each point.
 
     Appending keeps an upsert from rewriting the collection, and repeating one (after a failure) changes
-    nothing, since ids are derived from chunk ids and the version is the caller's.
+    nothing, since ids are derived from chunk ids and the version is the caller's. ``dimension`` (None: any)
+    is what every vector has to have. Filters prune folders once the collection has one version, as it has
+    after one upsert or ``compact``; before, a point's last version has to be known first.
     """
 
-    def __init__(self, spark: SparkSession, path: str, distance: str = "cosine", create: bool = False):
+    def __init__(self, spark: SparkSession, path: str, distance: str = "cosine", create: bool = False, dimension: int | None = None):
         if distance not in DISTANCES:
             raise ValueError(f"distance is one of {', '.join(DISTANCES)}")
-        self.spark, self.path, self.distance = spark, path, distance
+        self.spark, self.path, self.distance, self.dimension = spark, path, distance, dimension
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if create:
@@ -46,33 +52,55 @@ class VectorCollection:
         elif not system.exists(hadoop):
             raise ValueError(f"there is no collection at {path}; build it first or pass create=True")
 
-    def upsert(self, points: DataFrame, version: int) -> None:
-        """Add points; a point's last version wins. A version that is written again replaces itself."""
-        once = points.dropDuplicates(["point_id"])
-        once.write.mode("overwrite").parquet(f"{self.path}/version={version}")
-
-    def points(self) -> DataFrame:
-        return latest(self.spark.read.parquet(self.path)).drop("version")
+    def _folder(self):
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        folder, system = self._folder()
+        names = [s.getPath().getName() for s in system.listStatus(folder)]
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+
+    def _write(self, points: DataFrame, version: int) -> None:
+        folders = {f"by_{c}": F.concat(F.lit("v_"), F.coalesce(c, F.lit(""))) for c in ROUTED if c in points.columns}
+        points.withColumns(folders).write.mode("overwrite").partitionBy(*folders).parquet(f"{self.path}/version={version}")
+
+    def upsert(self, points: DataFrame, version: int, order: str | None = None) -> None:
+        """Add points; a point's last version wins. A version that is written again replaces itself.
+
+        ``order`` names a column by which the last of a point's rows in this batch wins; without it a batch
+        has to have each point once, or equal rows of it.
+        """
+        once = points.dropDuplicates(["point_id"]) if order is None else latest(points, "point_id", order).drop(order)
+        if self.dimension is not None:
+            wrong = F.raise_error(F.concat(F.lit(f"the collection has vectors of {self.dimension}, not "), F.size("embedding").cast("string"))).cast("array<float>")
+            once = once.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(wrong))
+        self._write(once, version)
+
+    def points(self, query_filter: Mapping[str, str] | None = None) -> DataFrame:
+        """The last version of each point; with ``query_filter`` those whose columns have the given values."""
+        given, rows = check_filter(query_filter), self.spark.read.parquet(self.path)
+        folders = [c for c in rows.columns if c.startswith("by_")]
+        if len(self.versions()) > 1:
+            rows = latest(rows)
+        for name, value in given.items():
+            rows = rows.where(F.col(name) == value)
+            rows = rows.where(F.col(f"by_{name}") == f"v_{value}") if f"by_{name}" in folders else rows
+        return rows.drop("version", *folders)
 
     def count(self) -> int:
         return self.points().count()
 
     def compact(self, version: int) -> None:
-        """Write the current points as one version and drop the older folders."""
-        self.points().write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        system = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for status in system.listStatus(hadoop):
-            name = status.getPath().getName()
-            if name.startswith("version=") and int(name.partition("=")[2]) < version:
-                system.delete(status.getPath(), True)
+        """Write the current points as one version, newer than all others, and drop those."""
+        older = self.versions()
+        if older and version <= older[-1]:
+            raise ValueError(f"version {version} isn't newer than {older[-1]}")
+        self._write(self.points(), version)
+        folder, system = self._folder()
+        for number in older:
+            system.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={number}"), True)
 
     def search(self, queries: DataFrame, k: int = 30, query_filter: Mapping[str, str] | None = None) -> DataFrame:
         """Top k of each query; only routing columns may filter."""
-        return dense_topk(queries, self.points(), k, self.distance, query_filter)
-
-
-def point_schema() -> T.StructType:
-    """Fields of a point, for streams."""
-    strings = ["point_id", "chunk_id", *PAYLOAD[:7]]
-    return T.StructType([*[T.StructField(n, T.StringType()) for n in strings], T.StructField("passage_index", T.IntegerType()), T.StructField("is_selected", T.IntegerType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        return dense_topk(queries, self.points(query_filter), k, self.distance)

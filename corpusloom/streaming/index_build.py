@@ -11,9 +11,22 @@ from ..sources.vector_store import VectorCollection, as_points
 
 
 def compatible(stored: dict, run: dict) -> bool:
-    """Whether a stored run can be resumed: same corpus, model, collection and batch size, on a CPU or MPS device."""
+    """Whether a stored run can be resumed: same corpus, model, collection and batch size, on a CPU or MPS device,
+    and the files that the corpus had then are still as they were (others may have been appended)."""
     same = all(stored.get(k) == run.get(k) for k in ("corpus", "model", "collection", "batch_size"))
-    return same and stored.get("device") in ("mps", "cpu")
+    return same and stored.get("device") in ("mps", "cpu") and set(stored.get("files", ())) <= set(run.get("files", ()))
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Name, bytes and time of each data file under ``path``: what an overwritten corpus can't have in common with the old one."""
+    folder, system = _settings(spark, path)
+    found, files = [], system.listFiles(folder, True)
+    while files.hasNext():
+        status = files.next()
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")):
+            found.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return sorted(found)
 
 
 def _settings(spark: SparkSession, path: str):
@@ -26,9 +39,10 @@ def build_index(spark: SparkSession, corpus: str, collection: str, progress: str
 
     The stream's checkpoint in ``progress`` notes a batch after its upsert. A batch that is run again writes
     the same version again, so an interrupted build goes on where it stopped and nothing counts twice. An
-    incompatible earlier run is dropped, and the collection made anew. Returns the number of points.
+    incompatible earlier run, or one over files that have changed since, is dropped, and the collection made
+    anew. Returns the number of points.
     """
-    run = {"corpus": corpus, "model": model, "collection": collection, "device": device, "batch_size": batch_files}
+    run = {"corpus": corpus, "model": model, "collection": collection, "device": device, "batch_size": batch_files, "files": listing(spark, corpus)}
     folder, system = _settings(spark, progress)
     note, _ = _settings(spark, f"{progress}/run")
     resumes = False
@@ -36,9 +50,9 @@ def build_index(spark: SparkSession, corpus: str, collection: str, progress: str
         resumes = compatible(json.loads(spark.read.text(f"{progress}/run").first()["value"]), run)
     if not resumes:
         system.delete(folder, True)
-        spark.createDataFrame([(json.dumps(run),)], "value string").coalesce(1).write.mode("overwrite").text(f"{progress}/run")
-    target = VectorCollection(spark, collection, create=not resumes)
+    spark.createDataFrame([(json.dumps(run),)], "value string").coalesce(1).write.mode("overwrite").text(f"{progress}/run")
     embedder = get_embedder(model, device)
+    target = VectorCollection(spark, collection, create=not resumes, dimension=embedder.dimension)
 
     def upsert(batch: DataFrame, number: int) -> None:
         target.upsert(as_points(embed(batch, embedder)), number)

@@ -1,7 +1,9 @@
 """Golden rows, invariants and failure cases of the library's operators."""
 
+import hashlib
 import json
 import math
+import pickle
 import random
 import uuid
 
@@ -11,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.functions import frames
 from corpusloom.functions import text as X
 from corpusloom.functions.frames import union_all
 from corpusloom.operators import benchmark, chunking, evaluation, ingest, profile, quality, reports, retrieval
@@ -388,8 +391,20 @@ def test_collection_and_resume(spark, tmp_path):
     assert found["retrieved_chunks"][0]["text"] == "Text number 7 of many." and "text" not in json.loads(found["retrieved_chunks"][0]["metadata"])
     store.upsert(as_points(retrieval.embed(chunks.where("passage_index = 0"), retrieval.HashingEmbedder(32))), 99)
     assert store.count() == 30
+    with pytest.raises(ValueError, match="newer"):
+        store.compact(99)
     store.compact(100)
-    assert store.count() == 30
+    assert store.count() == 30 and store.versions() == [100]
+    hits = store.points({"language": "target"})
+    assert hits.count() == 30 and "by_language" not in hits.columns and store.points({"language": "english"}).count() == 0
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "by_language" in plan.partition("PartitionFilters")[2].partition("]")[0]
+    both = store.points().limit(1).select("*", F.lit(1).alias("at")).union(store.points().limit(1).select(*[F.lit("old").alias(c) if c == "query_type" else c for c in store.points().columns], F.lit(0).alias("at")))
+    store.upsert(both, 101, order="at")
+    assert store.count() == 30 and store.points({"query_type": "old"}).count() == 0
+    narrow = VectorCollection(spark, f"{tmp_path}/points", dimension=16)
+    with pytest.raises(Exception, match="vectors of 16"):
+        narrow.upsert(store.points().limit(1), 102)
     assert build_index(*args, batch_files=3) == 30  # another batch size can't resume: made anew
     with pytest.raises(ValueError):
         VectorCollection(spark, f"{tmp_path}/nowhere")
@@ -397,6 +412,7 @@ def test_collection_and_resume(spark, tmp_path):
 
 def test_resume_terms():
     run = {"corpus": "c", "model": "m", "collection": "k", "batch_size": 1, "device": "cuda"}
+    assert compatible(run | {"device": "mps", "files": ["a:1:1"]}, run | {"files": ["a:1:1", "b:2:2"]}) and not compatible(run | {"device": "cpu", "files": ["a:1:1"]}, run | {"files": ["a:9:2"]})
     assert compatible(run | {"device": "mps"}, run) and not compatible(run, run) and not compatible(run | {"device": "cpu", "model": "n"}, run)
 
 
@@ -411,6 +427,30 @@ def test_profile(spark):
         profile.nested_lengths(frame, "k")
 
 
+def test_models_are_not_sent_with_tasks():
+    """A loaded model stays where it was loaded, and only named models take prefixes."""
+    embedder = retrieval.get_embedder("intfloat/multilingual-e5-small")
+    embedder._model = lambda: None
+    assert pickle.loads(pickle.dumps(embedder.__getstate__()))["_model"] is None
+    assert embedder.name in retrieval.PREFIXED and "my/e5000" not in retrieval.PREFIXED
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_seeded_draw_is_the_first_of_the_order(spark, most):
+    rows = spark.createDataFrame([(f"k{n}", "abc"[n % 3]) for n in range(900)], "key string, kind string")
+    got = {r.key for r in benchmark.seeded_draw(rows, {"a": 17, "b": 300, "c": 0, "d": 4}, 7, "key", F.col("kind"), most).collect()}
+    order = sorted((hashlib.md5(f"7:k{n}".encode()).hexdigest(), f"k{n}", "abc"[n % 3]) for n in range(900))
+    assert got == {k for _, k, kind in [x for x in order if x[2] == "a"][:17]} | {k for _, k, kind in order if kind == "b"}
+
+
+def test_running_total_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, "x", "x", "x", "y"]), n, rng.randrange(5)) for n in range(500)]
+    got = frames.running_total(spark.createDataFrame(rows, "g string, n long, w int"), ["g"], ["n"], F.col("w"), "t").collect()
+    assert len(got) == 500 and all(r.t == sum(w for g, n, w in rows if g == r.g and n < r.n) for r in got)
+    assert {r.t for r in frames.running_total(spark.range(40), [], ["id"], F.lit(1), "t").collect()} == set(range(40))
+
+
 def test_dense_ties_of_rounded_scores(spark):
     """Of many rows whose scores differ in the last digits only, the smallest ids are kept, however many there are."""
     corpus = spark.createDataFrame([(n, [1.0, n * 1e-9]) for n in range(400)], "chunk_id long, embedding array<double>").repartition(3)
