@@ -7,7 +7,7 @@ ends there is known, and a match of the window's length or more marks its words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_slices, utf8
+from ..functions.frames import union_all
+from .common import checkpoint, key_type, row_slices, texts
 
 #: A-Z to a-z; what parts words to a blank.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -149,53 +150,90 @@ def _spans(text: bytes, hits: np.ndarray) -> list[tuple[int, int]]:
     return [(places[a][0], places[b - 1][1]) for a, b in edges.tolist()]
 
 
-def _pass(state: DataFrame, shared, last: bool, cut: bool) -> DataFrame:
-    """One automaton over all rows; ``state`` is rest, text, hits (bits, null at first), items."""
+def _fed(automaton: SuffixAutomaton, batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, set[str]]]:
+    """Each text of a batch, its hit words, and the items that hold them."""
+    look = automaton.vocabulary.get
+    for text in texts(batch.column("text")):
+        found = words(text)
+        ids = np.fromiter((look(w, -1) for w in found), dtype=np.int64, count=len(found))
+        hits, held = np.zeros(len(ids), dtype=bool), set()
+        automaton.feed(ids, hits, held)
+        yield text, hits, held
+
+
+def _settled(rows: DataFrame, fed: Callable[[pa.RecordBatch], Iterator[tuple[bytes, np.ndarray, set[str]]]], cut: bool) -> DataFrame:
+    """``rest, items, n_words, n_hit, spans`` of rows (``rest, text, ...``), and with ``cut`` the text without the spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: SuffixAutomaton = shared.value
-        look = automaton.vocabulary.get
         for whole in batches:
             for batch in row_slices(whole, "text"):
-                columns: list[list] = [[], [], [], [], [], []]
-                for text, bits, items in zip(utf8(batch.column("text")), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                    found = words(text)
-                    ids = np.fromiter((look(w, -1) for w in found), dtype=np.int64, count=len(found))
-                    hits = np.zeros(len(ids), dtype=bool) if bits is None else np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(ids)).astype(bool)
-                    held = set(items or ())
-                    automaton.feed(ids, hits, held)
-                    spans = _spans(text, hits) if last and hits.any() else []
+                columns: list[list] = [[], [], [], [], []]
+                for text, hits, held in fed(batch):
+                    spans = _spans(text, hits) if hits.any() else []
                     if cut and spans:
                         edges = [0, *(x for span in spans for x in span), len(text)]
                         text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    for column, value in zip(columns, (text, np.packbits(hits).tobytes() if hits.any() else None, sorted(held), len(ids), int(hits.sum()), spans), strict=True):
+                    for column, value in zip(columns, (text if cut else None, sorted(held), len(hits), int(hits.sum()), [{"start": a, "end": b} for a, b in spans]), strict=True):
                         column.append(value)
-                texts = pa.array(columns[0], type=pa.binary()).cast(pa.string())
-                if last:
-                    spans = [[{"start": a, "end": b} for a, b in x] for x in columns[5]]
-                    out = {"rest": batch.column("rest")} | ({"text": texts} if cut else {})
-                    out |= {"items": pa.array(columns[2], pa.list_(pa.string())), "n_words": pa.array(columns[3], pa.int64()), "n_hit": pa.array(columns[4], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
-                else:
-                    out = {"rest": batch.column("rest"), "text": texts, "hits": pa.array(columns[1], pa.binary()), "items": pa.array(columns[2], pa.list_(pa.string()))}
+                out = {"rest": batch.column("rest")} | ({"text": pa.array(columns[0], type=pa.binary()).cast(pa.string())} if cut else {})
+                out |= {"items": pa.array(columns[1], pa.list_(pa.string())), "n_words": pa.array(columns[2], pa.int64()), "n_hit": pa.array(columns[3], pa.int64()), "spans": pa.array(columns[4], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
                 yield pa.RecordBatch.from_pydict(out)
 
-    rest = f"rest {state.schema['rest'].dataType.simpleString()}"
-    final = f"{rest}, {'text string, ' if cut else ''}items array<string>, n_words long, n_hit long, spans array<struct<start:long,end:long>>"
-    return state.mapInArrow(scan, final if last else f"{rest}, text string, hits binary, items array<string>")
+    rest = f"rest {rows.schema['rest'].dataType.simpleString()}"
+    return rows.mapInArrow(scan, f"{rest}, {'text string, ' if cut else ''}items array<string>, n_words long, n_hit long, spans array<struct<start:long,end:long>>")
 
 
-def _scan(docs: DataFrame, items: DataFrame, window: int, most_words: int, cut: bool, text: str, item: str, item_text: str) -> DataFrame:
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    state = docs.select(F.struct(*rest).alias("rest"), F.col(text).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+def _hits(rows: DataFrame, shared) -> DataFrame:
+    """``key, row, hits`` (packed bits) ``, items`` of the rows that one automaton hits; texts stay where they are."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, "text"):
+                at, bits, items = [], [], []
+                for n, (_, hits, held) in enumerate(_fed(shared.value, batch)):
+                    if held:
+                        at.append(n)
+                        bits.append(np.packbits(hits).tobytes())
+                        items.append(sorted(held))
+                if at:
+                    kept = batch.select(["key", "row"]).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["key", "row", "hits", "items"])
+
+    return rows.mapInArrow(scan, f"key {key_type(rows, 'key')[0]}, row long, hits binary, items array<string>")
+
+
+def _joined(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray, set[str]]]:
+    """As ``_fed``, from what the passes found of each text."""
+    for text, bits, items in zip(texts(batch.column("text")), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+        hits = np.zeros(len(words(text)), dtype=bool)
+        for own in bits or ():
+            hits |= np.unpackbits(np.frombuffer(own, dtype=np.uint8), count=len(hits)).astype(bool)
+        yield text, hits, {x for own in items or () for x in own}
+
+
+def _scan(docs: DataFrame, items: DataFrame, window: int, most_words: int, cut: bool, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """One automaton: one pass, no shuffle. Several: a pass each over the source, which gives hit bits of the few rows that
+    it hits and no text; these then meet the rows once."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")
+    rows = docs.select(rest, F.col(text).cast("string").alias("text"))
     blocks = automata(items, window, most_words, item, item_text)
-    block = next(blocks)
-    while True:
+    block, after, found = next(blocks), next(blocks, None), []
+    if after is None:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        return _settled(rows, lambda batch: _fed(shared.value, batch), cut)
+    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
+    while block is not None:
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        block = next(blocks, None)
-        state = _pass(state, shared, block is None, cut)
-        if block is None:
-            return state
-        state = checkpoint(state)
+        # rows that repeat a key and text have the same hits
+        once = _hits(keyed, shared).groupBy("key", "row").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
+        found.append(checkpoint(once))
+        shared.destroy()
+        block, after = after, next(blocks, None)
+    gathered = union_all(found).groupBy("key", "row").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    gathered = gathered.select(F.col("key").alias("k"), F.col("row").alias("r"), "hits", "items").hint("shuffle_hash")
+    whole = docs.select(rest, F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
+    joined = whole.join(gathered, F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r")), "left").select("rest", "text", "hits", "items")
+    return _settled(joined, _joined, cut)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most_words: int = 100_000, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -208,13 +246,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most_word
     once; an empty benchmark hits nothing. A benchmark of more than ``most_words`` words is cut into blocks
     of whole items, each with its own automaton and pass, and the passes' hits are joined.
     """
-    state = _scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), items, window, most_words, False, "text", item, item_text)
+    state = _scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), items, window, most_words, False, "key", "text", item, item_text)
     return state.select(F.col("rest.key").alias(key), "n_words", "n_hit", "items", "spans")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, most_words: int = 100_000, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, most_words: int = 100_000, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with hit spans cut from ``text``; documents with a larger share of hit words than
     ``most_coverage`` are left out. Columns stay as they are; rows without words stay."""
-    state = _scan(docs, items, window, most_words, True, text, item, item_text)
+    state = _scan(docs, items, window, most_words, True, key, text, item, item_text)
     kept = state.where(F.col("n_hit") <= F.lit(most_coverage) * F.col("n_words"))
     return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
