@@ -36,14 +36,15 @@ def with_signatures(docs: DataFrame, text: str, name: str, chain: int = 2) -> Da
     between them are passed over, and of anchors in a row the last counts. A text without a whole chain has
     one signature, that of all its words; one without words has none. Null is empty.
     """
-    rows = docs.withColumn("_words", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS))
-    rows = rows.withColumn("_content", F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get("_words", i - 1)).alias("p"))), lambda s: (s["w"] != "") & ~_is_anchor(s["w"])))
-    following = lambda i, n: F.get("_content", i + n)["w"]
-    hashed = F.transform("_content", lambda s, i: F.when(_is_anchor(s["p"]) & (i + (chain - 1) < F.size("_content")), F.hash(s["p"], s["w"], *[following(i, n) for n in range(1, chain)])))
-    rows = rows.withColumn("_chains", F.array_sort(F.array_distinct(F.array_compact(hashed))))
-    words = F.array_remove("_words", "")
-    alone = F.when(F.size(words) > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn(name, F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(alone)).drop("_words", "_content", "_chains")
+    words, content, chains = (f"__loom_{name}_{part}" for part in ("words", "content", "chains"))
+    rows = docs.withColumn(words, F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS))
+    rows = rows.withColumn(content, F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.when(i > 0, F.get(words, i - 1)).alias("p"))), lambda s: (s["w"] != "") & ~_is_anchor(s["w"])))
+    following = lambda i, n: F.get(content, i + n)["w"]
+    hashed = F.transform(content, lambda s, i: F.when(_is_anchor(s["p"]) & (i + (chain - 1) < F.size(content)), F.hash(s["p"], s["w"], *[following(i, n) for n in range(1, chain)])))
+    rows = rows.withColumn(chains, F.array_sort(F.array_distinct(F.array_compact(hashed))))
+    held = F.array_remove(words, "")
+    alone = F.when(F.size(held) > 0, F.array(F.hash(held))).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn(name, F.when(F.size(chains) > 0, F.col(chains)).otherwise(alone)).drop(words, content, chains)
 
 
 def fingerprint(signatures: str | Column) -> Column:
@@ -92,7 +93,10 @@ def compare_with_edits(docs: DataFrame, chain: int = 2, key: str = "doc_id", tex
 
     The edited text has its last half replaced by as much of the next document's beginning. Each text moves
     once, to its key's partition, with its signatures; from there it sends its predecessor those and what
-    the edit needs.
+    the edit needs. Null and empty texts have no signatures and take nothing from the next; a single row is its
+    own next document; rows that repeat a key and text count as one document and each return, a key's other
+    texts follow each other in the order of their hashes, and a null key comes last. An empty table gives no
+    rows. Very long texts are read whole.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     chained = checkpoint(following(docs, key, text))
