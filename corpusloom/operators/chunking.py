@@ -78,25 +78,29 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         rows = rows.withColumn("_paragraphs", X.paragraphs("primary"))
     made = {s: _pieces(s, rule, whole) for s, rule in rules.items()}
     rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
+    # each piece is split into words once; its word set, counts and hash come from them
+    rows = rows.withColumns({f"_words_{s}": F.transform(f"_pieces_{s}", X.lower_words) for s in made})
+    rows = rows.withColumns({f"_sets_{s}": F.transform(f"_words_{s}", F.array_distinct) for s in made})
     views = []
     for strategy, (_, about) in made.items():
-        name = f"_pieces_{strategy}"
-        if strategy == "passage":
-            penalties = F.array(F.lit(0.0))
-        else:
-            rows = quality.with_penalties(rows, name, f"_penalties_{strategy}")
-            penalties = F.col(f"_penalties_{strategy}")
-        views.append(F.struct(F.lit(strategy).alias("strategy"), F.arrays_zip(F.col(name).alias("text"), penalties.alias("penalty")).alias("pieces"), F.to_json(F.struct(*about)).alias("about")))
+        columns = {"text": F.col(f"_pieces_{strategy}"), "words": F.col(f"_words_{strategy}"), "set": F.col(f"_sets_{strategy}"), "penalty": F.array(F.lit(0.0)) if strategy == "passage" else quality.penalties(f"_sets_{strategy}")}
+        pieces = F.transform(
+            F.arrays_zip(*[c.alias(n) for n, c in columns.items()]),
+            lambda p: F.struct(p["text"].alias("text"), p["penalty"].alias("penalty"), F.size(p["words"]).alias("n_words"), F.size(p["set"]).alias("n_different"), F.sha2(F.array_join(p["words"], " "), 256).alias("hash")),
+        )
+        views.append(F.struct(F.lit(strategy).alias("strategy"), pieces.alias("pieces"), F.to_json(F.struct(*about)).alias("about")))
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
     rows = rows.select(*kept, F.explode(F.array(*views)).alias("_view"))
     # in two steps: else every piece's row would carry all the pieces
     rows = rows.select(*kept, F.col("_view.strategy").alias("chunk_strategy"), F.col("_view.about").alias("_about"), F.col("_view.pieces").alias("_pieces"))
     # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
     rows = rows.select(*kept, "chunk_strategy", "_about", F.posexplode_outer("_pieces").alias("chunk_index", "_piece"))
-    rows = rows.select(*kept, "chunk_strategy", "_about", "chunk_index", F.col("_piece.text").alias("text"), F.col("_piece.penalty").alias("_penalty")).where("text is not null")
-    # a whole passage's quality is that of the target text unless that is empty
+    rows = rows.select(*kept, "chunk_strategy", "_about", "chunk_index", F.col("_piece.text").alias("text"), "_piece").where("text is not null")
+    # a whole passage's quality is that of the target text unless that is empty; where it isn't the chunk's text it is blank
     scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
-    chunks = quality.with_breakdown(rows.withColumn("_scored", scored), "_scored", F.col("_penalty"), "_quality")
+    rows = rows.withColumn("_scored", scored)
+    dense = F.when(F.col("_scored") != F.col("text"), 0.0).otherwise(quality.density_of(F.col("_piece.n_words"), F.col("_piece.n_different")))
+    chunks = quality.with_breakdown(rows, "_scored", dense, F.col("_piece.penalty"), "_quality")
     split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
     breakdown = F.to_json(F.struct(F.col("_quality").alias("quality_breakdown")))
     return chunks.select(
@@ -111,11 +115,11 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         "text",
         F.when(own | split, F.col("text_english")).otherwise(F.col("text")).alias("text_english"),
         F.when(own, F.col("text_target")).when(split, F.col("text_target")).otherwise(F.lit("")).alias("text_target"),
-        X.token_count("text").alias("token_count_estimate"),
+        F.col("_piece.n_words").alias("token_count_estimate"),
         F.char_length("text").alias("char_count"),
         F.col("_quality.quality_score").alias("quality_score"),
         F.concat(F.substring(breakdown, 1, F.length(breakdown) - 1), F.lit(","), F.substring("_about", 2, 1 << 30)).alias("metadata"),
-        X.text_hash("text").alias("chunk_text_hash"),
+        F.col("_piece.hash").alias("chunk_text_hash"),
         F.lit(False).alias("is_duplicate_chunk"),
         F.lit("").alias("duplicate_of_chunk_id"),
         F.lit(False).alias("below_min_length"),

@@ -10,20 +10,19 @@ from ..functions import text as X
 
 def coherence(text: str | Column) -> Column:
     """1 up to six sentences, then 0.08 less for each more; 0 without any."""
-    return _coherence(F.size(X.sentences(text)))
-
-
-def _coherence(n: Column) -> Column:
+    n = F.size(X.sentences(text))
     return F.round(F.when(n == 0, 0.0).when(n <= 6, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (n - 6) * F.lit(0.08))), 3)
 
 
 def density(text: str | Column) -> Column:
     """Different words over words, in lower case."""
-    return _density(X.lower_words(text))
+    found = X.lower_words(text)
+    return density_of(F.size(found), F.size(F.array_distinct(found)))
 
 
-def _density(found: Column) -> Column:
-    return F.round(F.when(F.size(found) == 0, 0.0).otherwise(F.size(F.array_distinct(found)) / F.size(found)), 3)
+def density_of(words: Column, different: Column) -> Column:
+    """``density`` from the two counts."""
+    return F.round(F.when(words == 0, 0.0).otherwise(different / words), 3)
 
 
 def boundary(text: str | Column) -> Column:
@@ -34,25 +33,18 @@ def boundary(text: str | Column) -> Column:
     return F.when(own == "", 0.0).otherwise(F.round(end + start, 3))
 
 
-def with_penalties(rows: DataFrame, pieces: str, name: str) -> DataFrame:
-    """``rows`` with, for each of a passage's pieces, half of the largest share of its words that another piece has.
-
-    The pieces' word sets are a column of their own, so that they are made once and not once a pair.
-    """
-    sets = f"{name}_sets"
-    rows = rows.withColumn(sets, F.transform(pieces, lambda p: F.array_distinct(X.lower_words(p))))
+def penalties(sets: str | Column) -> Column:
+    """Of each piece's word set (an array of arrays), half of the largest share of its words that another piece has."""
 
     def worst(own: Column, at: Column) -> Column:
         shared = F.transform(sets, lambda other, i: F.when(i == at, 0).otherwise(F.size(F.array_intersect(own, other))))
         return F.when(F.size(own) == 0, 0.0).otherwise(F.round(F.least(F.array_max(shared) / F.size(own) * 0.5, F.lit(0.5)), 3))
 
-    return rows.withColumn(name, F.transform(sets, worst)).drop(sets)
+    return F.transform(sets, worst)
 
 
-def with_breakdown(rows: DataFrame, text: str, penalty: Column, name: str) -> DataFrame:
-    """``rows`` with the terms and their sum as a struct; each term is computed once, from words and sentences that are split once."""
-    split = [f"{name}_words", f"{name}_sentences"]
-    rows = rows.withColumns({split[0]: X.lower_words(text), split[1]: F.size(X.sentences(text))})
-    rows = rows.withColumn(name, F.struct(_coherence(F.col(split[1])).alias("c"), _density(F.col(split[0])).alias("d"), boundary(text).alias("b"), penalty.alias("p")))
+def with_breakdown(rows: DataFrame, text: str, dense: Column, penalty: Column, name: str) -> DataFrame:
+    """``rows`` with the terms and their sum as a struct; each term is computed once."""
+    rows = rows.withColumn(name, F.struct(coherence(text).alias("c"), dense.alias("d"), boundary(text).alias("b"), penalty.alias("p")))
     c, d, b, p = (F.col(f"{name}.{k}") for k in "cdbp")
-    return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty"))).drop(*split)
+    return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty")))

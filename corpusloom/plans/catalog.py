@@ -17,7 +17,7 @@ from ..operators import ingest as I
 from ..operators import profile as P
 from ..operators import reports as R
 from ..operators import retrieval as S
-from ..sources.tables import read_chunks, write_chunks
+from ..sources.tables import first_rows, read_benchmark, read_chunks, row_count, with_place, write_chunks, write_json_lines
 from ..sources.vector_store import VectorCollection, as_points, latest
 from . import oracle
 from .fixtures import marked_documents, raw_records, single_raw, table
@@ -129,6 +129,30 @@ def ingest_dedup_stats(s, d):
     return I.dedup_stats(_single(s, d), "record")
 
 
+@query
+def ingest_bad_unicode(s, d):
+    """Warnings where a query, or every fourth translated passage, isn't valid Unicode."""
+    bad, n, p = F.unhex(F.lit("C3")).cast("string"), F.col("record"), F.col("passages.Translated_passages")
+    broken = F.when(n % 5 == 1, F.transform(p, lambda t, i: F.when(i % 4 == 3, F.concat(t, bad)).otherwise(t))).otherwise(p)
+    raw = raw_records(s, d).withColumns({"query": F.when(n % 7 == 2, F.concat("query", bad)).otherwise(F.col("query")), "passages": F.col("passages").withField("Translated_passages", broken)})
+    return I.validate(raw).select("record", F.array_join("validation_warnings", "|").alias("warnings"))
+
+
+# ---- scans ----
+
+
+@query
+def scan_row_counts(s, d):
+    names = ("documents", "pages", "conversations", "benchmark")
+    return s.createDataFrame([(n, row_count(s, f"{d}/{n}.parquet")) for n in names], "name string, n long")
+
+
+@query
+def scan_first_rows(s, d):
+    """The first rows of a table in file order."""
+    return first_rows(with_place(s.read.parquet(f"{d}/documents.parquet")), 50, "place").select("doc_id", "n_chars")
+
+
 # ---- text ----
 
 
@@ -219,6 +243,19 @@ def chunk_dedup_summary(s, d):
     return C.dedup_summary(_chunks(s, d))
 
 
+@query
+def chunk_some_strategies(s, d):
+    """Of stored chunks, two strategies' folders."""
+    path = scratch_path(s, "chunks")
+    write_chunks(_chunks(s, d).select(*STORED), path)
+    return read_chunks(s, path, ["sentence", "passage"]).groupBy("chunk_strategy", "language").agg(F.count("*").alias("n"), F.sum("char_count").alias("chars"))
+
+
+@query
+def chunk_text_views(s, d):
+    return _chunks(s, d).select("chunk_id", _hex(F.col("text_english")).alias("english_md5"), _hex(F.col("text_target")).alias("target_md5"))
+
+
 @query
 def chunk_drop_filters(s, d):
     chunks = _stored_chunks(s, d)
@@ -254,6 +291,18 @@ def report_histogram(s, d):
     return R.length_histogram(_chunks(s, d))
 
 
+@query
+def report_merged(s, d):
+    validated = _validated(s, d)
+    ingested = I.normalization_report(validated, I.normalize(I.split_corrupt(validated)[0], "record"), "record")
+    return R.merged_report(_chunks(s, d), ingested)
+
+
+@query
+def report_validation_clean(s, d):
+    return R.validation_report(_chunks(s, d))
+
+
 @query
 def report_validation(s, d):
     """Chunks with planted faults, chosen by a digest of their id."""
@@ -264,7 +313,9 @@ def report_validation(s, d):
         "query_type": F.when(r == 3, F.concat(F.lit("ODD"), F.col("r") % 13)).otherwise(F.col("query_type")),
         "passage_index": F.when(r == 4, -1).otherwise(F.col("passage_index")),
         "is_selected": F.when(r == 5, 7).otherwise(F.col("is_selected")),
-        "text": F.when(r == 6, "  ").when(r == 7, " No answer present. ").otherwise(F.col("text")),
+        "query_id": F.when(r == 9, F.lit(None)).otherwise(F.col("query_id")),
+        "language": F.when(r == 10, "klingon").otherwise(F.col("language")),
+        "text": F.when(r == 6, "  ").when(r == 7, " No answer present. ").when(r == 11, F.concat("text", F.unhex(F.lit("C3")).cast("string"))).otherwise(F.col("text")),
         "metadata": F.when(r == 8, '{"a":').otherwise("{}"),
     })
     return R.validation_report(bent)
@@ -344,6 +395,28 @@ def bench_ground_truth(s, d):
     return rows.select("query_id", "chunk_strategy", F.array_join("ids", ",").alias("chunk_ids"))
 
 
+@query
+def bench_require_answer(s, d):
+    """Records with a selected passage whose answer isn't taken away (as every third record's is)."""
+    rows = stored(_records(s, d), "records")
+    return B.eligible(rows.withColumn("has_answer", F.col("has_answer") & (F.col("raw_query_id") % 3 != 0)), require_answer=True).select("query_id", F.array_join(B.selected_passage_ids(), ",").alias("passages"))
+
+
+@query
+def bench_json_lines(s, d):
+    """Benchmark rows written as JSON lines and read again; half of them have no target query."""
+    sample = _sample(s, d).withColumn("query_target", F.when(F.col("raw_query_id") % 2 == 0, "").otherwise(F.col("query_target")))
+    path = scratch_path(s, "benchmark")
+    write_json_lines(B.ground_truth(sample), path)
+    asked = F.coalesce(F.nullif("query", F.lit("")), "Eng_Query").alias("asked")
+    return read_benchmark(s, path).select("query_id", "query_type", asked, "has_answer", "answer_status", F.array_join("ground_truth_parent_passage_ids", ",").alias("passages"))
+
+
+@query
+def bench_relevance(s, d):
+    return E.relevance(_benchmark(s, d)[1], "adaptive")
+
+
 @query
 def corpus_subset(s, d):
     chunks, bench = _benchmark(s, d)
@@ -487,9 +560,12 @@ def _collection(s: SparkSession, d: str) -> VectorCollection:
 
 @query
 def retrieve_single(s, d):
-    """The documents nearest to each benchmark item through a stored collection, with their texts' digests."""
+    """The documents nearest to each benchmark item through a stored collection, with their texts' digests.
+
+    Scores are ranked to four places, where float32 vectors agree with other engines.
+    """
     asked = S.embed(table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text"), S.HashingEmbedder(oracle.DIM))
-    hits = _collection(s, d).search(asked, 5, {"language": "english"})
+    hits = _collection(s, d).search(asked, 5, {"language": "english"}, places=4)
     corpus = table(s, d, "documents").select(F.concat("doc_id", F.lit("_p0_passage_0")).alias("chunk_id"), "text")
     return S.restore_text(hits, corpus).select("query_id", "rank", "chunk_id", F.round("score", 4).alias("score"), _hex(F.col("text")).alias("text_md5"))
 

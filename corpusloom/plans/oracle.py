@@ -83,6 +83,13 @@ INGEST |= {
 CLASS = "CASE WHEN n <= 40 THEN 'SHORT' WHEN n <= 120 THEN 'MEDIUM' WHEN n <= 250 THEN 'LONG' ELSE 'VERY_LONG' END"
 BUCKET = "CASE WHEN c < 10 THEN '0-9' WHEN c < 50 THEN '10-49' WHEN c < 100 THEN '50-99' WHEN c < 200 THEN '100-199' WHEN c < 500 THEN '200-499' WHEN c < 1000 THEN '500-999' ELSE '1000+' END"
 
+SCAN = {
+    "scan_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("documents", "pages", "conversations", "benchmark")),
+    "scan_first_rows": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50",
+    "ingest_bad_unicode": """WITH docs AS (SELECT doc_id // 10 AS record, doc_id, CASE WHEN lang = 'en' THEN '' ELSE text END AS tr FROM documents), places AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY doc_id) - 1 AS i FROM docs)
+SELECT record, array_to_string(list_concat(CASE WHEN record % 7 = 2 THEN ['unicode_encode_issue:query'] ELSE [] END, coalesce(list('unicode_encode_issue:Translated_passages[' || i || ']' ORDER BY i) FILTER (record % 5 = 1 AND i % 4 = 3), [])), '|') AS warnings FROM places GROUP BY record""",
+}
+
 TEXT = {
     "text_tokens": f"SELECT doc_id, CAST(len({words('text')}) AS INTEGER) AS tokens, CAST(length(text) AS INTEGER) AS chars, CAST(len(list_distinct({words('lower(text)')})) AS INTEGER) AS distinct_words FROM documents",
     "text_sentences": f"SELECT doc_id, CAST(len({sentences('text')}) AS INTEGER) AS n_sentences, md5(array_to_string({sentences('text')}, '|')) AS sentences_md5 FROM documents",
@@ -154,6 +161,8 @@ CHUNK = {f"chunk_{s}": strategy_sql(s) for s in ("passage", "paragraph", "senten
     "chunk_metadata": f"WITH {CHUNKS}, n AS (SELECT parent, strategy, CAST(count(*) AS VARCHAR) AS c FROM pieces GROUP BY 1, 2) SELECT x.chunk_id, CASE WHEN sl.total <= 40 THEN 'SHORT' WHEN sl.total <= 120 THEN 'MEDIUM' WHEN sl.total <= 250 THEN 'LONG' ELSE 'VERY_LONG' END AS length_class, CAST(sl.total AS VARCHAR) AS total, n.c AS pieces FROM chunks x JOIN sl ON sl.parent = x.parent_passage_id JOIN n ON n.parent = x.parent_passage_id AND n.strategy = 'adaptive' WHERE x.chunk_strategy = 'adaptive'",
     "chunk_canonical": f"WITH {CHUNKS} SELECT min(chunk_id) FILTER (place = 1) AS chunk_id, string_agg(chunk_id, ',' ORDER BY place) FILTER (place > 1) AS duplicate_chunk_ids, array_to_string(list_sort(list(DISTINCT chunk_strategy)), ',') AS contributing_strategies FROM chunks GROUP BY parent_passage_id, language, chunk_text_hash HAVING count(*) > 1",
     "chunk_dedup_summary": f"WITH {CHUNKS} SELECT count(*) AS total_chunks, count(DISTINCT parent_passage_id || language) AS passage_groups, count(*) FILTER (NOT is_duplicate_chunk) AS canonical_chunks, count(*) FILTER (is_duplicate_chunk) AS duplicate_chunks, count(*) FILTER (below_min_length) AS below_min_length_chunks, CAST(10 AS BIGINT) AS min_chars_threshold FROM chunks",
+    "chunk_some_strategies": f"WITH {CHUNKS} SELECT chunk_strategy, language, count(*) AS n, CAST(sum(char_count) AS BIGINT) AS chars FROM chunks WHERE chunk_strategy IN ('sentence', 'passage') GROUP BY 1, 2",
+    "chunk_text_views": f"WITH {CHUNKS} SELECT x.chunk_id, md5(CASE WHEN x.language = 'target' THEN '' ELSE x.text END) AS english_md5, md5(CASE WHEN x.language = 'target' THEN ps.text ELSE '' END) AS target_md5 FROM chunks x JOIN ps ON ps.parent = x.parent_passage_id",
     "chunk_drop_filters": f"WITH {CHUNKS} SELECT count(*) FILTER (NOT is_duplicate_chunk AND NOT below_min_length) AS kept, count(*) FILTER (is_duplicate_chunk) AS dropped_duplicates, count(*) FILTER (below_min_length AND NOT is_duplicate_chunk) AS dropped_below_min FROM chunks",
 }
 
@@ -170,13 +179,40 @@ SELECT count(*) AS total_chunks, count(*) FILTER (is_duplicate_chunk) AS duplica
   (SELECT count(*) FROM h) AS unique_texts, (SELECT count(*) FROM h WHERE c > 1) AS texts_more_than_once, (SELECT CAST(sum(c - 1) AS BIGINT) FROM h) AS instances_beyond_first,
   (SELECT s FROM g ORDER BY c, s LIMIT 1) AS fewest_chunks, (SELECT s FROM g ORDER BY c DESC, s LIMIT 1) AS most_chunks, (SELECT s FROM g ORDER BY m, s LIMIT 1) AS most_compact, (SELECT s FROM g ORDER BY m DESC, s LIMIT 1) AS least_compact FROM chunks""",
     "report_histogram": f"WITH {CHUNKS}, b AS (SELECT chunk_strategy, char_count AS c FROM chunks) SELECT chunk_strategy, {BUCKET} AS bucket, count(*) AS n FROM b GROUP BY 1, 2 UNION ALL SELECT NULL, {BUCKET}, count(*) FROM b GROUP BY 2",
-    "report_validation": f"""WITH {CHUNKS}, seeded AS (SELECT *, abs(CAST('0x' || substr(md5(chunk_id), 1, 7) AS BIGINT)) AS r FROM chunks),
-bent AS (SELECT chunk_strategy, language, CASE WHEN r % 101 = 1 THEN NULL WHEN r % 101 = 2 THEN 'twice' ELSE chunk_id END AS chunk_id, CASE WHEN r % 101 = 3 THEN 'ODD' || r % 13 ELSE query_type END AS query_type, CASE WHEN r % 101 = 4 THEN -1 ELSE passage_index END AS passage_index,
-  CASE WHEN r % 101 = 5 THEN 7 ELSE is_selected END AS is_selected, CASE WHEN r % 101 = 6 THEN '  ' WHEN r % 101 = 7 THEN ' No answer present. ' ELSE text END AS text, parent_passage_id, query_id, CASE WHEN r % 101 = 8 THEN '{{"a":' ELSE '{{}}' END AS metadata FROM seeded)
-SELECT chunk_strategy, language, count(*) AS rows, CAST(count(*) - count(DISTINCT coalesce(chunk_id, '~null')) AS BIGINT) AS duplicate_chunk_id, count(*) FILTER (chunk_id IS NULL) AS null_chunk_id, CAST(0 AS BIGINT) AS null_query_id, CAST(0 AS BIGINT) AS invalid_language,
-  count(*) FILTER (passage_index < 0) AS negative_passage_index, count(*) FILTER (is_selected NOT IN (0, 1)) AS invalid_is_selected, count(*) FILTER ({strip('text')} = '') AS empty_text, count(*) FILTER (parent_passage_id <> query_id || '_p' || passage_index) AS orphan_parent,
-  count(*) FILTER (lower({strip('text')}) = 'no answer present.') AS leaked_no_answer, CAST(0 AS BIGINT) AS bad_unicode, count(*) FILTER (NOT json_valid(metadata)) AS bad_metadata, count(*) FILTER (starts_with(query_type, 'ODD')) AS unknown_query_type,
-  coalesce(array_to_string(list_sort(list(DISTINCT query_type) FILTER (starts_with(query_type, 'ODD')))[1:10], ','), '') AS unknown_values, false AS passed FROM bent GROUP BY 1, 2""",
+}
+
+_PLANTED = """bent AS (SELECT chunk_strategy, CASE WHEN r = 10 THEN 'klingon' ELSE language END AS language, CASE WHEN r = 1 THEN NULL WHEN r = 2 THEN 'twice' ELSE chunk_id END AS chunk_id, CASE WHEN r = 3 THEN 'ODD' || seed % 13 ELSE query_type END AS query_type,
+  CASE WHEN r = 4 THEN -1 ELSE passage_index END AS passage_index, CASE WHEN r = 5 THEN 7 ELSE is_selected END AS is_selected, CASE WHEN r = 6 THEN '  ' WHEN r = 7 THEN ' No answer present. ' ELSE text END AS text, parent_passage_id,
+  CASE WHEN r = 9 THEN NULL ELSE query_id END AS query_id, CASE WHEN r = 8 THEN '{"a":' ELSE '{}' END AS metadata, r = 11 AS bad_text FROM (SELECT *, seed % 101 AS r FROM (SELECT *, CAST('0x' || substr(md5(chunk_id), 1, 7) AS BIGINT) AS seed FROM chunks)))"""
+_CLEAN = "bent AS (SELECT *, '{}' AS metadata, false AS bad_text FROM chunks)"
+
+
+def validation_sql(rows: str) -> str:
+    """The validation report over a CTE ``bent``; DuckDB's texts are always valid Unicode, so ``bad_text`` marks where Spark's aren't."""
+    checks = {
+        "duplicate_chunk_id": "CAST(count(*) - count(DISTINCT coalesce(chunk_id, '~null')) AS BIGINT)",
+        "null_chunk_id": "count(*) FILTER (chunk_id IS NULL)",
+        "null_query_id": "count(*) FILTER (query_id IS NULL)",
+        "invalid_language": "count(*) FILTER (language NOT IN ('target', 'english'))",
+        "negative_passage_index": "count(*) FILTER (passage_index < 0)",
+        "invalid_is_selected": "count(*) FILTER (is_selected NOT IN (0, 1))",
+        "empty_text": f"count(*) FILTER ({strip('text')} = '')",
+        "orphan_parent": "count(*) FILTER (parent_passage_id IS DISTINCT FROM query_id || '_p' || passage_index)",
+        "leaked_no_answer": f"count(*) FILTER (lower({strip('text')}) = 'no answer present.')",
+        "bad_unicode": "count(*) FILTER (bad_text)",
+        "bad_metadata": "count(*) FILTER (NOT json_valid(metadata))",
+    }
+    counted = ", ".join(f"{v} AS {k}" for k, v in checks.items())
+    odd = f"query_type NOT IN (SELECT unnest({KINDS}))"
+    unknown = f"count(*) FILTER ({odd}) AS unknown_query_type, coalesce(array_to_string(list_sort(list(DISTINCT query_type) FILTER ({odd}))[1:10], ','), '') AS unknown_values"
+    return f"WITH {CHUNKS}, {rows}, report AS (SELECT chunk_strategy, language, count(*) AS rows, {counted}, {unknown} FROM bent GROUP BY 1, 2) SELECT *, {' + '.join(checks)} = 0 AS passed FROM report"
+
+
+_MERGED = ("input_rows_examined", "malformed_records", "empty_passages_records", "answer_present_records", "no_answer_records", "exact_duplicates_dropped", "content_distinct_duplicate_query_ids")
+REPORT |= {
+    "report_validation": validation_sql(_PLANTED),
+    "report_validation_clean": validation_sql(_CLEAN),
+    "report_merged": f"SELECT c.*, {', '.join(f'i.{n}' for n in _MERGED)} FROM ({REPORT['report_chunks']}) c, ({INGEST['ingest_report']}) i",
 }
 
 PROFILE = {
@@ -217,6 +253,9 @@ BENCH = {
     "bench_stratified": f"WITH RECURSIVE {sample_sql(SAMPLE)} SELECT query_id, query_type, sample_place FROM sample",
     "bench_manifest": f"WITH RECURSIVE {sample_sql(SAMPLE)} SELECT e.query_type, count(*) AS eligible, CAST((SELECT count(*) FROM sample s WHERE s.query_type = e.query_type) AS BIGINT) AS sampled FROM elig e GROUP BY 1",
     "bench_ground_truth": _with_chunks(", want AS (SELECT query_id, unnest(gt) AS parent_passage_id FROM sample) SELECT w.query_id, c.chunk_strategy, string_agg(c.chunk_id, ',' ORDER BY c.passage_index, c.chunk_index) AS chunk_ids FROM want w JOIN chunks c USING (parent_passage_id) WHERE c.is_selected = 1 GROUP BY 1, 2"),
+    "bench_require_answer": f"WITH RECURSIVE {_RECORDS}, kept AS (SELECT * FROM elig WHERE record % 3 <> 0) SELECT query_id, array_to_string(gt, ',') AS passages FROM kept",
+    "bench_json_lines": f"WITH RECURSIVE {sample_sql(SAMPLE)} SELECT query_id, query_type, CASE WHEN record % 2 = 0 THEN 'What is ' || record || '?' ELSE 'q ' || record END AS asked, true AS has_answer, 'ANSWER_PRESENT' AS answer_status, array_to_string(gt, ',') AS passages FROM sample",
+    "bench_relevance": _with_chunks(", want AS (SELECT query_id, unnest(gt) AS parent_passage_id FROM sample) SELECT w.query_id, c.chunk_id FROM want w JOIN chunks c USING (parent_passage_id) WHERE c.is_selected = 1 AND c.chunk_strategy = 'adaptive'"),
     "corpus_subset": _with_chunks(f", {_SUBSET} SELECT chunk_id, origin FROM corpus"),
     "corpus_manifest": _with_chunks(f", {_SUBSET} SELECT origin, chunk_strategy, count(*) AS n FROM corpus GROUP BY 1, 2"),
     "corpus_missing_gt": _with_chunks(f", {_SUBSET} SELECT parent_passage_id FROM pos WHERE parent_passage_id NOT IN (SELECT parent_passage_id FROM corpus WHERE chunk_strategy = 'paragraph' AND passage_index < 7)"),
@@ -281,10 +320,14 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sc
     "eval_per_query": f"WITH {_RANKED} SELECT query_id, mode, n_relevant, {', '.join(f'round({m}, 9) AS {m}' for m in _METRICS)} FROM per",
     "eval_overall_by_type": f"WITH {_RANKED}, typed AS (SELECT *, {KINDS}[query_id // 100 % 5 + 1] AS query_type FROM per) SELECT mode, query_type, {', '.join(f'round(avg({m}), 4) AS {m}' for m in _METRICS)}, count(*) AS num_queries FROM typed GROUP BY GROUPING SETS ((mode), (mode, query_type))",
     "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, " + ", ".join(f"round(max(value) FILTER (i = round_even({p / 100} * (n - 1), 0)), 3) AS p{p}_ms" for p in (50, 70, 90, 95, 99, 100)) + ", round(avg(value), 3) AS mean_ms, count(*) AS n FROM r GROUP BY event_type",
+    "retrieve_single": f"""WITH {ngrams_ctes("SELECT item_id AS id, text FROM benchmark", "qe", DIM)}, {ngrams_ctes("SELECT doc_id AS id, text FROM documents WHERE lang = 'en'", "ce", DIM)},
+dp AS (SELECT q.id AS query_id, c.id AS doc_id, round(sum(CAST(q.c AS DOUBLE) / qn.n * c.c / cn.n), 4) AS score FROM qe_c q JOIN qe_n qn ON qn.id = q.id JOIN ce_c c ON c.p = q.p JOIN ce_n cn ON cn.id = c.id GROUP BY 1, 2),
+r AS (SELECT *, doc_id || '_p0_passage_0' AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id || '_p0_passage_0') AS INTEGER) AS rank FROM dp)
+SELECT CAST(query_id AS VARCHAR) AS query_id, rank, chunk_id, score, md5(text) AS text_md5 FROM r JOIN documents USING (doc_id) WHERE rank <= 5""",
     "index_point_id": "SELECT doc_id, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lpad(printf('%x', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128), 2, '0') || substr(h, 19, 2) || '-' || substr(h, 21, 12)) AS point_id FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR) || '_p0_passage_0')) AS h FROM documents)",
     "index_upsert": "WITH p AS (SELECT vec_id, label, 0 AS version FROM embeddings UNION ALL SELECT vec_id, label + 100, 1 FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id + 1000000, label, 1 FROM embeddings WHERE vec_id % 10 = 0) SELECT vec_id, CAST(max_by(label, version) AS INTEGER) AS label, CAST(max(version) AS INTEGER) AS version FROM p GROUP BY vec_id",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return INGEST | TEXT | CHUNK | REPORT | PROFILE | BENCH | RETRIEVAL
+    return INGEST | SCAN | TEXT | CHUNK | REPORT | PROFILE | BENCH | RETRIEVAL

@@ -101,6 +101,6 @@ class VectorCollection:
         for number in older:
             system.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={number}"), True)
 
-    def search(self, queries: DataFrame, k: int = 30, query_filter: Mapping[str, str] | None = None) -> DataFrame:
-        """Top k of each query; only routing columns may filter."""
-        return dense_topk(queries, self.points(query_filter), k, self.distance)
+    def search(self, queries: DataFrame, k: int = 30, query_filter: Mapping[str, str] | None = None, places: int | None = None) -> DataFrame:
+        """Top k of each query; only routing columns may filter. For ``places`` see ``dense_topk``."""
+        return dense_topk(queries, self.points(query_filter), k, self.distance, places=places)
