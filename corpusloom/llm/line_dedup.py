@@ -37,14 +37,16 @@ def line_keys(text: bytes, least: int) -> tuple[int, dict[bytes, list[int]]]:
     return len(lines), places
 
 
-def _extract(least: int, kind: pa.DataType):
+def _extract(least: int, kind: pa.DataType, most: int = 1 << 17):
     schema = pa.schema([*HASH, ("key", kind), *PLACES, ("lost", pa.bool_())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, int | str] = {}
         for whole in batches:
             for batch in row_slices(whole, 2):
-                first: dict[bytes, int | str] = {}
                 held = []
+                if len(first) > most:
+                    first.clear()
                 for key, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
                     if key is None or text is None:
                         continue
@@ -103,8 +105,9 @@ def keep_bitmaps(docs: DataFrame, least: int = 10, key: str = "doc_id", text: st
     documents hold stays in the smallest document only, with all its lines there. Documents that lose
     nothing have no row, null and empty texts among them; ``row`` (xxhash64 of the text) tells rows of one
     key apart, which together count as one document. A row with a null key loses nothing and counts for
-    nothing. Within a batch of documents only a key's smallest document goes on to the sorted stream, since
-    the others have lost the line already; a line that a third of all documents hold sends a row a batch.
+    nothing. Of what a task has seen only a key's smallest document goes on to the sorted stream, since the
+    others have lost the line already (a task remembers about 131,072 keys): a line that a third of all
+    documents hold sends a few rows a task.
     Very long texts are read whole. Keys are of any type with an order; strings go by their bytes.
     """
     kind, arrow = key_type(docs, key)
