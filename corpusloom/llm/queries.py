@@ -59,6 +59,11 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of the same fingerprints over the whole table, by length partition and pruned Jaccard."""
+    return spotsigs.similar_documents(_table(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
@@ -155,7 +160,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup)
+    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup, spotsigs_classes)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 

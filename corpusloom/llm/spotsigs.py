@@ -22,6 +22,8 @@ ANCHORS = (
     "als auch auf aus das dem den der die ein eine einen es ist mit nicht sich sie sind und von zu zum "
     "al como con del el lo los las mas no para por se ser su sus una y"
 ).split()
+#: Rows of a table that is counted and then sent to all tasks, at most.
+MOST_SENT = 10_000
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
@@ -111,23 +113,47 @@ def compare_with_edits(docs: DataFrame, chain: int = 2, key: str = "doc_id", tex
     return with_signatures(met, "edited", "edited_signatures", chain).withColumnRenamed("key", key)
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, chain: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _sides(entries: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of sets that share an index entry, by ``bucket, entry, l, r``.
+
+    A bucket is a length partition; on the left it has its own sets, on the right also the next partition's. A
+    bucket whose right side has more than ``most`` rows is dealt out in blocks on either side, and each pair of
+    blocks is a key of its own, so that no task holds more than about ``most`` rows of a side.
+    """
+    right = entries.withColumn("bucket", F.explode(F.array("part", F.col("part") - 1)))
+    heavy = checkpoint(right.groupBy("bucket", "entry").count().where(F.col("count") > most).select("bucket", "entry", F.ceil(F.col("count") / most).alias("n")))
+    heavy = F.broadcast(heavy) if heavy.count() <= MOST_SENT else heavy
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(heavy, ["bucket", "entry"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+        return rows.withColumn(own, F.pmod(F.xxhash64("set"), F.col("n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+
+    return dealt(entries.withColumn("bucket", F.col("part")), "l", "r"), dealt(right, "r", "l")
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, chain: int = 2, most: int = 1 << 12, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, component``: near-duplicate classes at Jaccard ``least`` of SpotSigs sets; component is the smallest key.
 
     Equal sets are one. A different set is indexed by the first |S| - ceil(least |S|) + 1 of its signatures,
-    the rarest first (by the number of different sets that have them), under its length partition and the
-    one below; sets that share an index entry are compared by the pruned Jaccard. Null keys get component null; documents without words are one class.
+    the rarest first (by the number of different sets that have them), under its length partition. Sets of the
+    same or neighbouring partitions that share an entry, and whose lengths allow ``least``, are compared by the
+    pruned Jaccard; for ``most`` see ``_sides``. Null keys get component null, or their class's; documents without
+    words are one class. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     signed = checkpoint(with_signatures(rows, "text", "s", chain).select("key", "s", F.xxhash64("s").alias("set")))
     sets = checkpoint(signed.groupBy("set").agg(F.first("s").alias("s"), F.min("key").alias("least")))
     single = sets.select("set", F.explode("s").alias("entry"))
     ranked = single.join(single.groupBy("entry").count(), "entry").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("count", "entry"))).alias("ranked"))
-    prefix = F.slice("ranked.entry", 1, (F.size("s") - F.ceil(F.lit(least) * F.size("s")) + 1).cast("int"))
-    entries = checkpoint(ranked.join(sets, "set").select("set", "s", length_partition("s", least).alias("part"), F.explode(prefix).alias("entry")))
-    other = entries.select(F.col("set").alias("set_b"), F.col("s").alias("s_b"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "entry", F.col("part").alias("own"))
-    pairs = entries.join(other, ["part", "entry"]).where((F.col("set") < F.col("set_b")) | (F.col("own") > F.col("part"))).where("set <> set_b")
-    near = pairs.where(pruned_jaccard("s", "s_b", least) >= least).select(F.col("set").alias("a"), F.col("set_b").alias("b")).distinct()
+    size = F.size("ranked")
+    prefix = F.slice("ranked.entry", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))
+    entries = checkpoint(ranked.select("set", size.alias("size"), length_partition("ranked", least).alias("part"), F.explode(prefix).alias("entry")))
+    left, right = _sides(entries, most)
+    right = right.select("bucket", "entry", "l", "r", F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
+    pairs = left.join(right, ["bucket", "entry", "l", "r"]).where((F.col("set") < F.col("b")) | ((F.col("part") < F.col("part_b")) & (F.col("set") != F.col("b"))))
+    pairs = pairs.where(F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b")).select(F.col("set").alias("a"), "b").distinct()
+    one, two = sets.select(F.col("set").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("set").alias("b"), F.col("s").alias("s_b"))
+    near = pairs.join(one, "a").join(two, "b").where(pruned_jaccard("s_a", "s_b", least) >= least).select("a", "b")
     roots = connected_components(near)
     known = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     known = checkpoint(known)
