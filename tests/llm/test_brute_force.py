@@ -6,6 +6,7 @@ import re
 import string
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -288,8 +289,10 @@ def test_spotsigs(spark, tiny, corpus):
     assert got.groupby(corpus.text).fingerprint.nunique().max() == 1
 
 
-def test_similar_documents(spark, tiny, corpus):
-    got = {r.doc_id: r.component for r in spotsigs.similar_documents(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
+@pytest.mark.parametrize("most", [2, 1 << 12])
+def test_similar_documents(spark, tiny, corpus, most):
+    """The classes of all pairs, with index entries in one block or in many."""
+    got = {r.doc_id: r.component for r in spotsigs.similar_documents(spark.read.parquet(f"{tiny}/documents.parquet"), most=most).collect()}
     sets = {i: plain_signatures(t) for i, t in corpus.text.items()}
     assert got == classes(sorted(sets), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
 
@@ -299,7 +302,7 @@ def plain_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize(("most", "small"), [(300, 4), (1 << 20, 256)])
+@pytest.mark.parametrize(("most", "small"), [(300, 4), (300, 20), (1 << 20, 1 << 12)])
 def test_near_duplicate_stage(spark, most, small):
     """The pipeline's stage keeps what all pairs at five-word Jaccard 0.8 leave, in one block or many, in short runs or long."""
     import corpus_pipeline
@@ -326,6 +329,23 @@ def test_near_duplicate_stage(spark, most, small):
         assert kept == {i for i, c in want.items() if i == c}
 
 
+def test_sketches_estimate_jaccard():
+    """Sketches of sets at the threshold stay under the bound; bits differ as often as the Jaccard says."""
+    rng = np.random.default_rng(2)
+    bound = near_copies.most_differ(Fraction(4, 5))
+    assert 30 <= bound <= 40
+    for n in (9, 90, 900):
+        differ = []
+        for _ in range(300):
+            both, rest = np.split(rng.integers(0, 1 << 63, n + n // 8 * 2, dtype=np.uint64), [n])
+            one, two = (np.unique(np.r_[both, part]) for part in np.split(rest, 2))
+            differ.append(int(np.bitwise_count((near_copies.sketch(one) ^ near_copies.sketch(two)).view(np.uint64)).sum()))
+        assert max(differ) <= bound and abs(np.mean(differ) / 128 - (1 - n / (n + n // 8 * 2)) / 2) < 0.01
+    far = [int(np.bitwise_count((near_copies.sketch(rng.integers(0, 1 << 63, 50, dtype=np.uint64)) ^ near_copies.sketch(rng.integers(0, 1 << 63, 50, dtype=np.uint64))).view(np.uint64)).sum()) for _ in range(300)]
+    assert min(far) > bound
+    assert (near_copies.sketch(np.arange(1, 90_000, dtype=np.uint64)) == near_copies.sketch(np.arange(1, 90_000, dtype=np.uint64), block=1000)).all()
+
+
 def test_decontamination_in_blocks(spark, tiny):
     """Many small automata give what one gives, and the spans are cut."""
     docs, items = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet")
@@ -333,6 +353,8 @@ def test_decontamination_in_blocks(spark, tiny):
     many = {r.doc_id: (r.n_hit, tuple(r["items"])) for r in decontamination.contamination(docs, items.limit(12), most_words=60).collect()}
     few = {r.doc_id: (r.n_hit, tuple(r["items"])) for r in decontamination.contamination(docs, items.limit(12)).collect()}
     assert many == few and any(n for n, _ in one.values())
+    cut = [{tuple(r) for r in decontamination.decontaminate(docs, items.limit(12), most_words=w).collect()} for w in (60, 100_000)]
+    assert cut[0] == cut[1]
     clean = decontamination.contamination(decontamination.decontaminate(docs, items), items).agg(F.max("n_hit")).first()[0]
     assert clean < 10
 

@@ -54,6 +54,10 @@ def test_spotsigs(docs, none):
     rows = spotsigs.compare_with_edits(docs).collect()
     assert keys(rows) == KEYS
     assert spotsigs.compare_with_edits(none).count() == 0
+    alone = spotsigs.compare_with_edits(docs.where("doc_id = 7")).first()
+    assert alone.signatures == alone.next_signatures and len(alone.edited) == len(alone.text)
+    clashing = spotsigs.with_signatures(docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("_words", "_content", "_chains")]), "text", "s")
+    assert clashing.columns == ["doc_id", "text", "_words", "_content", "_chains", "s"]
     found = {r.doc_id: r.component for r in spotsigs.similar_documents(docs).collect() if r.doc_id is not None}
     assert found[1] == found[6] == 1 and found[2] == found[3] == found[4] and found[7] == 7
     assert spotsigs.similar_documents(none).count() == 0
