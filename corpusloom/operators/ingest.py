@@ -36,14 +36,14 @@ def _lists() -> tuple[Column, Column, Column]:
 
 
 def corruption_reason(schema: T.StructType) -> Column:
-    """The first fatal problem of a row, null where it is usable. A selection mark that isn't an integer is
-    fatal as well, since it can't be normalised."""
+    """The first fatal problem of a row, null where it is usable. A selection mark that is neither an integer nor
+    blank is fatal as well, since it can't be normalised."""
     whole = schema_problem(schema)
     if whole:
         return F.lit(whole)
     english, translated, selected = _lists()
     lengths = F.concat(F.lit("Mismatched passage list lengths: English_passages="), F.size(english), F.lit(", Translated_passages="), F.size(translated), F.lit(", is_selected="), F.size(selected))
-    odd = F.exists(selected, lambda v: v.try_cast("int").isNull())
+    odd = F.exists(selected, lambda v: v.isNull() | (v.try_cast("int").isNull() & (X.strip(v.cast("string")) != "")))
     return (
         F.when(F.col("query_id").isNull(), "query_id is null")
         .when(F.col("passages").isNull(), "passages is null")
@@ -59,7 +59,9 @@ def warnings() -> Column:
     empty = F.when((F.size(english) == 0) & (F.size(translated) == 0), F.array(F.lit("empty_passages: both English_passages and Translated_passages are empty")))
     fields = F.array_compact(F.array(*[F.when(~F.is_valid_utf8(c), F.lit(f"unicode_encode_issue:{c}")) for c in ("query", "Eng_Query", "Answer", "Eng_Answer")]))
     texts = F.array_compact(F.transform(translated, lambda t, i: F.when(~F.is_valid_utf8(t), F.concat(F.lit("unicode_encode_issue:Translated_passages["), i, F.lit("]")))))
-    marks = F.array_compact(F.transform(selected, lambda v, i: F.when(~v.try_cast("int").isin(0, 1), F.concat(F.lit("unexpected_is_selected_value:index="), i, F.lit(":value="), v))))
+    mark = lambda kind, v, i: F.concat(F.lit(f"{kind}:index="), i, F.lit(":value="), v)
+    whole = lambda v: v.try_cast("int")
+    marks = F.array_compact(F.transform(selected, lambda v, i: F.when(whole(v).isNull(), mark("non_integer_is_selected", v, i)).when(~whole(v).isin(0, 1), mark("unexpected_is_selected_value", v, i))))
     none = F.array().cast("array<string>")
     return F.concat(*[F.coalesce(part, none) for part in (empty, fields, texts, marks)])
 

@@ -38,6 +38,17 @@ def column(spark, values, make, kind="string"):
 # ---- text ----
 
 
+def test_marks_that_are_no_integers(spark):
+    """A blank mark is a warning and counts as 0; any other that isn't an integer can't be normalised."""
+    kind = RAW.replace("is_selected:array<int>", "is_selected:array<string>")
+    rows = [("en", "kn", None, "a", q, "ENTITY", (["a", "b"], ["c", "d"], marks), "eq", "a", "q", q) for q, marks in enumerate([["1", " "], ["1", "x"], ["0", None], ["0", "5"]])]
+    got = ingest.validate(spark.createDataFrame(rows, kind)).orderBy("place").collect()
+    assert [r.corruption_reason for r in got] == [None, "is_selected is not an integer", "is_selected is not an integer", None]
+    assert [list(r.validation_warnings) for r in got] == [["non_integer_is_selected:index=1:value= "], [], [], ["unexpected_is_selected_value:index=1:value=5"]]
+    kept = ingest.normalize(ingest.split_corrupt(ingest.validate(spark.createDataFrame(rows, kind)))[0]).orderBy("raw_query_id").collect()
+    assert [[p.is_selected for p in r.passages] for r in kept] == [[1, 0], [0, 5]]
+
+
 def test_answer_markers(spark):
     values = [" No Answer Present ", None, "", "　no answer present.\n", "Paris"]
     assert column(spark, values, X.has_answer) == [False, False, False, False, True]
