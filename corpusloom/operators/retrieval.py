@@ -172,27 +172,48 @@ def _scores(block: np.ndarray, corpus: np.ndarray, distance: str) -> np.ndarray:
     return block @ corpus.T
 
 
-def keep_best(best: list[list[tuple]], scores: np.ndarray, ids: list, k: int) -> None:
-    """Update each query's best k (as (-score, id)) by a block of scores (queries x rows); ``ids`` ascend, so that equal scores go by id."""
-    if scores.shape[1] > k:
-        # the block's k-th score of every query at once; what ties with it stays until it is cut by id
-        floors = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    else:
-        floors = np.full(len(scores), -np.inf)
-    for i, line in enumerate(scores):
-        floor = max(floors[i], -best[i][-1][0]) if len(best[i]) == k else floors[i]
-        near = np.flatnonzero(line >= floor)
-        if len(near):
+class Best:
+    """Each query's best k hits as (-score, id), by blocks of scores; equal scores go by id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.hits, self.cuts = k, [[] for _ in range(queries)], np.full(queries, -np.inf)
+
+    def add(self, scores: np.ndarray, ids: list, first: int = 0) -> None:
+        """A block (queries from ``first`` on x rows) whose ``ids`` ascend. Only queries that a row can still help are looked at."""
+        if not len(ids):
+            return
+        k, tops = self.k, scores.max(axis=1)
+        for i in np.flatnonzero(tops >= self.cuts[first : first + len(scores)]).tolist():
+            best, line = self.hits[first + i], scores[i]
+            full = len(best) == k
+            if full and tops[i] == self.cuts[first + i] and not ids[0] < best[-1][1]:
+                continue
+            floor = self.cuts[first + i]
+            if len(line) > 4 * k:
+                floor = max(floor, np.partition(line, len(line) - k)[len(line) - k])
+            near = np.flatnonzero(line >= floor)
             near = near[np.argsort(-line[near], kind="stable")[:k]]
-            best[i] = sorted([*best[i], *((-line[j], ids[j]) for j in near.tolist())])[:k]
+            best = self.hits[first + i] = sorted([*best, *((-line[j], ids[j]) for j in near.tolist())])[:k]
+            if len(best) == k:
+                self.cuts[first + i] = -best[-1][0]
 
+    def batches(self, keys: list, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        flat = [(keys[i], key, -score) for i, hits in enumerate(self.hits) for score, key in hits]
+        if flat:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str = "cosine", query_filter: Mapping[str, str] | None = None, block: int = 4096, query_key: str = "query_id", corpus_key: str = "chunk_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
+
+#: Scores that a task holds at once, at most: rows come in runs, queries in parts.
+ROWS, QUERIES = 1 << 10, 1 << 12
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str = "cosine", query_filter: Mapping[str, str] | None = None, block: int = 1 << 24, query_key: str = "query_id", corpus_key: str = "chunk_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
     """Exact top k of every query over the whole corpus; equal scores go by corpus key. Euclid scores are distances.
     With ``places`` scores are rounded before any row is left out, so that ties are those of the rounded scores.
 
-    Queries go to the corpus's tasks in blocks of ``block``, so what is sent has a fixed bound; a task keeps
-    its own best k of each query, and only those are shuffled. Rows without a vector match nothing.
+    The corpus is read once for each ``block`` numbers of query vectors (65,536 queries of 256 dimensions), so
+    what is sent has a fixed bound; a task keeps its own best k of each query, and only those are shuffled.
+    Rows without a vector match nothing.
     """
     if distance not in DISTANCES:
         raise ValueError(f"distance is one of {', '.join(DISTANCES)}")
@@ -208,27 +229,28 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own_keys, own = shared.value
-            best: list[list[tuple]] = [[] for _ in own_keys]
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                if not ids:
-                    continue
-                matrix = np.asarray(batch.column(1).flatten()).reshape(len(ids), -1)
-                order = np.argsort(np.array(ids), kind="stable")
-                scores = _scores(own, matrix[order], distance)
-                keep_best(best, scores if places is None else np.round(scores, places), [ids[j] for j in order.tolist()], k)
-            flat = [(own_keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
+            best = Best(len(own_keys), k)
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    ids = batch.column(0).to_pylist()
+                    order = np.argsort(np.array(ids), kind="stable")
+                    matrix = np.asarray(batch.column(1).flatten()).reshape(len(ids), -1)[order]
+                    named = [ids[j] for j in order.tolist()]
+                    for first in range(0, len(own), QUERIES):
+                        scores = _scores(own[first : first + QUERIES].astype(np.float64), matrix, distance)
+                        best.add(scores if places is None else np.round(scores, places), named, first)
+            yield from best.batches(own_keys, kinds)
 
         return rows.mapInArrow(scan, schema)
 
     keys, vectors = [], []
+    precision = np.float32 if queries.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
     asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     for row in asked.toLocalIterator():
         keys.append(row.q)
-        vectors.append(row.v)
-        if len(keys) == block:
+        vectors.append(np.array(row.v, dtype=precision))
+        if len(keys) * len(vectors[0]) >= block:
             found.append(search(keys, np.array(vectors)))
             keys, vectors = [], []
     if keys:
@@ -287,10 +309,10 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, terms, weighted = shared.value
             known = pa.array(terms, type=pa.string())
-            best: list[list[tuple]] = [[] for _ in keys]
+            best = Best(len(keys), k)
             for whole_batch in batches:
-                for start in range(0, whole_batch.num_rows, 1024):
-                    batch = whole_batch.slice(start, 1024)
+                for start in range(0, whole_batch.num_rows, ROWS):
+                    batch = whole_batch.slice(start, ROWS)
                     ids = batch.column(0).to_pylist()
                     order = np.argsort(np.array(ids), kind="stable")
                     sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
@@ -305,10 +327,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.
                     for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                         places, weight = weighted[number[low]]
                         scores[np.ix_(places, row[low:high])] += weight[:, None] * gain[low:high]
-                    keep_best(best, np.round(scores, 9), [ids[j] for j in order.tolist()], k)
-            flat = [(keys[i], key, -score) for i, hits in enumerate(best) for score, key in hits]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
+                    best.add(np.round(scores, 9), [ids[j] for j in order.tolist()])
+            yield from best.batches(keys, kinds)
 
         return rows.mapInArrow(scan, schema)
 
