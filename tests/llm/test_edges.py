@@ -14,6 +14,14 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 KEYS = Counter([1, 2, 3, 4, 5, 6, 7, 8, 8, None, None, 11])
 
 
+def test_all_queries_are_registered():
+    """The entry leaves these queries out where they can't be imported; here they can."""
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+
+
 def keys(rows):
     return Counter(r["doc_id"] for r in rows)
 
