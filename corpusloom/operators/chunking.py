@@ -78,29 +78,36 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         rows = rows.withColumn("_paragraphs", X.paragraphs("primary"))
     made = {s: _pieces(s, rule, whole) for s, rule in rules.items()}
     rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
-    # each piece is split into words once; its word set, counts and hash come from them
-    rows = rows.withColumns({f"_words_{s}": F.transform(f"_pieces_{s}", X.lower_words) for s in made})
-    rows = rows.withColumns({f"_sets_{s}": F.transform(f"_words_{s}", F.array_distinct) for s in made})
-    views = []
-    for strategy, (_, about) in made.items():
-        columns = {"text": F.col(f"_pieces_{strategy}"), "words": F.col(f"_words_{strategy}"), "set": F.col(f"_sets_{strategy}"), "penalty": F.array(F.lit(0.0)) if strategy == "passage" else quality.penalties(f"_sets_{strategy}")}
-        pieces = F.transform(
-            F.arrays_zip(*[c.alias(n) for n, c in columns.items()]),
-            lambda p: F.struct(p["text"].alias("text"), p["penalty"].alias("penalty"), F.size(p["words"]).alias("n_words"), F.size(p["set"]).alias("n_different"), F.sha2(F.array_join(p["words"], " "), 256).alias("hash")),
-        )
-        views.append(F.struct(F.lit(strategy).alias("strategy"), pieces.alias("pieces"), F.to_json(F.struct(*about)).alias("about")))
+    rows = rows.withColumn("chunk_strategy", F.explode(F.array(*map(F.lit, made))))
+
+    def chosen(of: dict[str, Column]) -> Column:
+        """The value of the row's own strategy."""
+        out = None
+        for strategy, value in of.items():
+            mine = F.col("chunk_strategy") == strategy
+            out = F.when(mine, value) if out is None else out.when(mine, value)
+        return out
+
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
-    rows = rows.select(*kept, F.explode(F.array(*views)).alias("_view"))
-    # in two steps: else every piece's row would carry all the pieces
-    rows = rows.select(*kept, F.col("_view.strategy").alias("chunk_strategy"), F.col("_view.about").alias("_about"), F.col("_view.pieces").alias("_pieces"))
+    rows = rows.select(*kept, "chunk_strategy", chosen({s: F.col(f"_pieces_{s}") for s in made}).alias("_pieces"), chosen({s: F.to_json(F.struct(*about)) for s, (_, about) in made.items()}).alias("_about"))
+    # each piece is split into words once; its counts, hash and word set come from them. Penalties are a column of
+    # their own, so that they aren't made where no quality is asked for
+    rows = rows.withColumn("_words", F.transform("_pieces", X.lower_words))
+    rows = rows.withColumn("_sets", F.transform("_words", F.array_distinct))
+    rows = rows.withColumn("_penalties", F.when(F.col("chunk_strategy") == "passage", F.array(F.lit(0.0))).otherwise(quality.penalties("_sets")))
+    counted = F.transform(
+        F.arrays_zip(F.col("_pieces").alias("text"), F.col("_words").alias("words"), F.col("_sets").alias("set")),
+        lambda p: F.struct(p["text"].alias("text"), F.size(p["words"]).alias("n_words"), F.size(p["set"]).alias("n_different"), F.sha2(F.array_join(p["words"], " "), 256).alias("hash")),
+    )
+    rows = rows.select(*kept, "chunk_strategy", "_about", "_penalties", counted.alias("_pieces"))
     # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
-    rows = rows.select(*kept, "chunk_strategy", "_about", F.posexplode_outer("_pieces").alias("chunk_index", "_piece"))
-    rows = rows.select(*kept, "chunk_strategy", "_about", "chunk_index", F.col("_piece.text").alias("text"), "_piece").where("text is not null")
+    rows = rows.select(*kept, "chunk_strategy", "_about", "_penalties", F.posexplode_outer("_pieces").alias("chunk_index", "_piece"))
+    rows = rows.select(*kept, "chunk_strategy", "_about", "chunk_index", F.col("_piece.text").alias("text"), "_piece", F.get("_penalties", F.col("chunk_index")).alias("_penalty")).where("text is not null")
     # a whole passage's quality is that of the target text unless that is empty; where it isn't the chunk's text it is blank
     scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
     rows = rows.withColumn("_scored", scored)
     dense = F.when(F.col("_scored") != F.col("text"), 0.0).otherwise(quality.density_of(F.col("_piece.n_words"), F.col("_piece.n_different")))
-    chunks = quality.with_breakdown(rows, "_scored", dense, F.col("_piece.penalty"), "_quality")
+    chunks = quality.with_breakdown(rows, "_scored", dense, F.col("_penalty"), "_quality")
     split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
     breakdown = F.to_json(F.struct(F.col("_quality").alias("quality_breakdown")))
     return chunks.select(
