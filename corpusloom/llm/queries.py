@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, spotsigs, token_counts, toxicity
+from . import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, source_audit, spotsigs, token_counts, toxicity
 
 #: Where the public tokenizer files lie; the operators take the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
@@ -153,6 +153,39 @@ FROM keyed LEFT JOIN holders USING (k) GROUP BY doc_id
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), counted AS (
+  SELECT lang, source, term, count(*) AS docs, sum(n) AS n FROM (SELECT d, lang, source, term, count(*) AS n FROM (SELECT d, lang, source, unnest(words) AS term FROM docs) GROUP BY ALL) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS total FROM counted GROUP BY ALL HAVING sum(docs) >= 10
+), langs AS (
+  SELECT lang, count(term) AS v, CAST(coalesce(sum(total), 0) AS HUGEINT) AS size FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total, CAST(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS HUGEINT) AS size
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), rated AS (
+  SELECT s.lang, s.source, s.term, s.n, 1 + (1000000000 * (CAST(s.n AS HUGEINT) + 2)) // (s.size + 2 * l.v) AS p, 1 + (1000000000 * (s.total + 2)) // (l.size + 2 * l.v) AS q FROM shares s JOIN langs l ON l.lang = s.lang
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM rated a JOIN rated b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM (SELECT DISTINCT lang, source FROM docs) x JOIN (SELECT DISTINCT lang, source FROM docs) y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM rated WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -160,9 +193,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup, spotsigs_classes)
+    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup, op11_source_divergence, spotsigs_classes)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op7_sharding": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}
