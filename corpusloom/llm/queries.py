@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality, secret_scan, sharding, simhash, source_audit, spotsigs, token_counts, toxicity
+from . import decontamination, line_dedup, packing, private_data, quality, secret_scan, sharding, simhash, source_audit, spotsigs, token_counts, toxicity
 
 #: Where the public tokenizer files lie; the operators take the path as a parameter.
 TOKENIZER = "byte_bpe_50k.json"
@@ -186,6 +186,13 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private(_table(spark, sf_dir))
+    counts = [f"n_{kind}" for kind in private_data.BASE]
+    base = secret_scan.spans_text("spans", private_data.BASE)
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.spans_text("spans", private_data.KINDS).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -193,7 +200,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup, op11_source_divergence, spotsigs_classes)
+    found = (op1_simhash, op2_secrets, op3_quality, op4_spotsigs, op5_decontamination, op6_packing, op7_sharding, op8_toxicity, op9_token_counts, op10_line_dedup, op11_source_divergence, op12_private_data, spotsigs_classes)
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 
