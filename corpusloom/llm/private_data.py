@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import stored
 from .common import checkpoint, key_type, row_slices, texts
 
 BASE = ("email", "ip", "card", "phone")
@@ -198,7 +199,7 @@ def _disclosure(near, total, size, words: float):
     return F.when(content > 0, 1 + F.log(F.least(near / total, F.lit(1.0))) / content).otherwise(0.0)
 
 
-def revealing_terms(docs: DataFrame, threshold: float = 0.95, contexts: int = 3, window: int = 64, text: str = "text", most: int = 1 << 18) -> DataFrame:
+def revealing_terms(docs: DataFrame, threshold: float = 0.95, contexts: int = 3, window: int = 64, text: str = "text", most: int = 1 << 19) -> DataFrame:
     """``term, kind, shown``: terms that disclose an entity by ``threshold`` or more, near it in ``contexts`` or more contexts.
 
     ``kind`` is 4 (generalised, ``shown`` its beginning with a star) where the terms of that beginning together stay
@@ -206,10 +207,10 @@ def revealing_terms(docs: DataFrame, threshold: float = 0.95, contexts: int = 3,
     of a mention, so what a mention gives has a bound, and no document's entities meet all its terms. Sums leave a
     task, not occurrences; one number comes to the driver.
     """
-    gathered = checkpoint(docs.select(_plain(docs, text).alias("text")).mapInArrow(_gather(window, most), "entity binary, context long, term string, n long"))
-    totals = checkpoint(gathered.where("entity is null").groupBy("term").agg(F.sum("n").alias("total")))
+    gathered = stored(docs.select(_plain(docs, text).alias("text")).mapInArrow(_gather(window, most), "entity binary, context long, term string, n long"), "private-sums")
+    totals = stored(gathered.where("entity is null").groupBy("term").agg(F.sum("n").alias("total")), "private-totals")
     near = gathered.where("entity is not null").groupBy("entity", "term", "context").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("near"), F.count("*").alias("contexts"))
-    near = checkpoint(near)
+    near = stored(near, "private-near")
     words = float(totals.agg(F.sum("total")).first()[0] or 0)
     sizes = near.groupBy("entity").agg(F.sum("near").alias("size"))
     known = near.where(F.col("contexts") >= contexts).join(totals, "term").join(sizes, "entity")
@@ -281,8 +282,8 @@ def _found(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     kind, arrow = key_type(docs, key)
     schema = f"key {kind}, digest string, {', '.join(f'n_{k} long' for k in BASE)}, base array<{SPAN}>, words array<struct<term:string,start:long,end:long>>"
     plain = _plain(docs, text)
-    seen = checkpoint(docs.select(F.col(key).alias("key"), F.md5(plain.cast("binary")).alias("digest"), plain.alias("text")).mapInArrow(_spans(shared, arrow), schema))
-    rows = seen.withColumn("place", F.monotonically_increasing_id())
+    seen = docs.select(F.col(key).alias("key"), F.md5(plain.cast("binary")).alias("digest"), plain.alias("text")).mapInArrow(_spans(shared, arrow), schema)
+    rows = stored(seen.withColumn("place", F.monotonically_increasing_id()), "private-spans")
     words = rows.where(F.size("words") > 0).select("place", F.explode("words").alias("w")).select("place", "w.*")
     more = words.join(terms, "term").groupBy("place").agg(F.collect_list(F.struct("kind", "start", "end", "shown")).alias("more"))
     own = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.array(*map(F.lit, BASE))[x["kind"]], F.lit("]")).alias("shown")))
