@@ -1,7 +1,7 @@
 """Divergence of a language's sources: which use the same words, and which words mark each.
 
 Sort-based streaming in two scans. Tasks count terms where the texts lie; the counts are repartitioned by
-language and term and sorted by language, term and source, so that a run-length scan sees a term's whole run:
+language and term and sorted by term, language and source (terms first: a sort compares their first bytes), so that a run-length scan sees a term's whole run:
 its document frequency, its total and its count in each source. The terms that stay are rated (a group's share
 needs the sums over all of them) and sorted once more; the second scan emits, run by run, partial sums of pairs
 of sources and the terms that a source has more of than its language.
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.frames import union_all
-from .common import checkpoint, row_slices, texts
+from ..functions.frames import stored, union_all
+from .common import row_slices, texts
 
 #: Bytes of terms, A-Z in lower case; all others part terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -207,7 +207,7 @@ def term_counts(docs: DataFrame, least: int = 10, text: str = "text", most: int
     all rows sends no more than others of as many words. Each row of ``docs`` is a document.
     """
     sums = docs.select("lang", "source", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(_count_terms(most), ddl(SUMS))
-    return sums.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_frequent(least), ddl(KEPT))
+    return sums.repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_frequent(least), ddl(KEPT))
 
 
 def audit(docs: DataFrame, least: int = 10, smooth: int = 2, top: int = 10, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
@@ -223,16 +223,16 @@ def audit(docs: DataFrame, least: int = 10, smooth: int = 2, top: int = 10, lang
     long texts are counted in pieces. Languages and sources of other types are taken as strings.
     """
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))], F.col(text).cast("string").alias("text"))
-    kept = checkpoint(term_counts(plain, least))
+    kept = stored(term_counts(plain, least), "audit-terms")
     sizes = kept.groupBy("lang", "source").agg(F.sum("count").alias("size"))
     whole = kept.groupBy("lang").agg(F.sum("head").alias("terms"), F.sum("count").alias("lang_size"))
     none = F.lit(0).cast("long")
     named = plain.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(whole, "lang", "left")
     named = named.select("lang", "source", *[F.coalesce(c, none).alias(c) for c in ("size", "terms", "lang_size")])
-    groups = checkpoint(named.withColumn("zero", share(none, F.col("size"), F.col("terms"), smooth)))
+    groups = stored(named.withColumn("zero", share(none, F.col("size"), F.col("terms"), smooth)), "audit-groups")
 
     rated = kept.join(groups, ["lang", "source"]).select("lang", "term", "source", share(F.col("count"), F.col("size"), F.col("terms"), smooth).alias("p"), "zero", share(F.col("total"), F.col("lang_size"), F.col("terms"), smooth).alias("q"))
-    emitted = checkpoint(rated.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_emit(), ddl(PARTIAL)))
+    emitted = stored(rated.repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_emit(), ddl(PARTIAL)), "audit-partials")
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("item_zero"))
     every = groups.join(other, "lang").where("source <> item")
