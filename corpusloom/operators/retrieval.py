@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -15,8 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from ..functions import text as X
-from ..functions.frames import union_all
+from ..functions.frames import scratch_path, union_all
+from ..sources.term_index import ASKED, TermIndex
 
 #: Payload columns that a search may be filtered on. is_selected must never be one.
 FILTERS = ("language", "query_type", "chunk_strategy")
@@ -263,86 +262,17 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
 # ---- sparse ----
 
 
-def bm25_statistics(corpus: DataFrame, text: str = "text") -> tuple[DataFrame, int, float, float]:
-    """``term, df``, then the number of rows, their mean length in words and the mean idf over all words.
-
-    A row gives each of its words once, and words are counted before they move. What comes to the driver is
-    three numbers.
-    """
-    docs = corpus.select(X.lower_words(text).alias("w"))
-    df = docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    n = sizes["n"]
-    idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return df, n, float(sizes["mean"] or 1.0), float(df.agg(F.avg(idf)).first()[0] or 0.0)
-
-
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block: int = 1024, query_key: str = "query_id", corpus_key: str = "chunk_id", text: str = "text") -> DataFrame:
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, block: int = ASKED, query_key: str = "query_id", corpus_key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Okapi BM25 over white-space words; equal scores (to 9 places) go by corpus key, so rows that match nothing fill up to k.
 
     idf is ln(N - n + 0.5) - ln(n + 0.5), a negative one replaced by ``epsilon`` times the mean idf of all
-    words. A repeated query word counts as often as it occurs. Queries go to the corpus's tasks in blocks of
-    ``block`` with their words' weights; a row's words are split in the JVM and counted where the row is, a
-    task keeps its own best k of each query, and only those are shuffled, so no word's rows ever meet in one
-    place.
+    words. A repeated query word counts as often as it occurs. The corpus is read and split into words once, into
+    an inverted index that goes with the session; what is searched again should have its own ``TermIndex``.
+    A task scores ``block`` query words together at most.
     """
-    spark = queries.sparkSession
-    df, n, mean_size, mean_idf = bm25_statistics(corpus, text)
-    asked = queries.select(F.col(query_key).alias("query_id"), X.lower_words(text).alias("w"))
-    terms = asked.select("query_id", F.explode("w").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(df, "term")
-    lists = terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf", "df")).alias("terms"))
-    whole = asked.select("query_id").distinct().join(lists, "query_id", "left")
-    rows = corpus.select(F.col(corpus_key).alias("chunk_id"), X.lower_words(text).alias("w"))
-    schema, kinds = _hit_schema(queries, query_key, corpus, corpus_key)
-    found = []
-
-    def search(part: list) -> DataFrame:
-        weights: dict[str, tuple[list[int], list[float]]] = {}
-        for at, row in enumerate(part):
-            for t in row.terms or ():
-                idf = math.log(n - t.df + 0.5) - math.log(t.df + 0.5)
-                own = weights.setdefault(t.term, ([], []))
-                own[0].append(at)
-                own[1].append((epsilon * mean_idf if idf < 0 else idf) * t.qtf)
-        shared = spark.sparkContext.broadcast(([r.query_id for r in part], list(weights), [(np.array(i), np.array(w)) for i, w in weights.values()]))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, terms, weighted = shared.value
-            known = pa.array(terms, type=pa.string())
-            best = Best(len(keys), k)
-            for whole_batch in batches:
-                for start in range(0, whole_batch.num_rows, ROWS):
-                    batch = whole_batch.slice(start, ROWS)
-                    ids = batch.column(0).to_pylist()
-                    order = np.argsort(np.array(ids), kind="stable")
-                    sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
-                    found = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                    held = np.repeat(np.argsort(order), sizes)[found >= 0]
-                    pairs, tf = np.unique(found[found >= 0] * len(ids) + held, return_counts=True)
-                    number, row = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-                    norm = k1 * (1 - b + b * sizes[order][row] / mean_size)
-                    gain = tf * (k1 + 1) / (tf + norm)
-                    scores = np.zeros((len(keys), len(ids)))
-                    edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else np.zeros(1, dtype=np.int64)
-                    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                        places, weight = weighted[number[low]]
-                        scores[np.ix_(places, row[low:high])] += weight[:, None] * gain[low:high]
-                    best.add(np.round(scores, 9), [ids[j] for j in order.tolist()])
-            yield from best.batches(keys, kinds)
-
-        return rows.mapInArrow(scan, schema)
-
-    part: list = []
-    for row in whole.toLocalIterator():
-        part.append(row)
-        if len(part) == block:
-            found.append(search(part))
-            part = []
-    if part:
-        found.append(search(part))
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    every = union_all(found or [spark.createDataFrame([], schema)])
-    return every.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    index = TermIndex(queries.sparkSession, scratch_path(queries.sparkSession, "terms"))
+    index.add(corpus, key=corpus_key, text=text)
+    return index.search(queries, k, k1, b, epsilon, query_key, text, asked=block)
 
 
 # ---- fusion ----
