@@ -1,8 +1,9 @@
 """Divergence of a language's sources: which use the same words, and which words mark each.
 
-Sort-based streaming in two scans. Tasks count terms where the texts lie; the counts are repartitioned by
-language and term and sorted by term, language and source (terms first: a sort compares their first bytes), so that a run-length scan sees a term's whole run:
-its document frequency, its total and its count in each source. The terms that stay are rated (a group's share
+Sort-based streaming in two scans. Tasks count terms where the texts lie, a row for each term with its sources; the
+rows are repartitioned by language and term and sorted by term and language (terms first: a sort compares their first
+bytes), so that a run-length scan sees a term's whole run: its document frequency, its total and its count in each
+source. The terms that stay are rated (a group's share
 needs the sums over all of them) and sorted once more; the second scan emits, run by run, partial sums of pairs
 of sources and the terms that a source has more of than its language.
 """
@@ -24,13 +25,14 @@ from .common import row_slices, texts
 
 #: Bytes of terms, A-Z in lower case; all others part terms.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SUMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("count", pa.int64())])
+SUMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 KEPT = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("count", pa.int64()), ("total", pa.int64()), ("head", pa.int64())])
 PARTIAL = pa.schema([("part", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
 
 def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"`{f.name}` {'long' if pa.types.is_integer(f.type) else 'string'}" for f in schema)
+    name = lambda t: f"array<{name(t.value_type)}>" if pa.types.is_list(t) else "long" if pa.types.is_integer(t) else "string"
+    return ", ".join(f"`{f.name}` {name(f.type)}" for f in schema)
 
 
 def term_pieces(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -46,16 +48,29 @@ def term_pieces(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
         at = cut
 
 
+def _listed(lang: pa.Array, term: pa.Array, offsets: np.ndarray, sources: pa.Array, docs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each term, its sources between the offsets."""
+    at = pa.array(offsets, pa.int32())
+    return pa.RecordBatch.from_arrays([lang, term, *(pa.ListArray.from_arrays(at, pa.array(v)) for v in (sources, docs, counts))], schema=SUMS)
+
+
 def _count_terms(most: int):
-    """Rows of documents to sums of about ``most`` terms at a time, so that what a task holds is bounded."""
+    """Documents to sums of about ``most`` terms of sources at a time, so that what a task holds is bounded."""
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (docs, counts) in held.items():
-            terms, numbers = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            seen = np.fromiter((docs[t] for t in terms), np.int64, len(terms))
-            for at in range(0, len(terms), 1 << 16):
-                own = pa.array(terms[at : at + (1 << 16)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(own)), own, pa.repeat(pa.scalar(source), len(own)), pa.array(seen[at : at + len(own)]), pa.array(numbers[at : at + len(own)])], schema=SUMS)
+        for lang in dict.fromkeys(x for x, _ in held):
+            own = [(source, *sums) for (x, source), sums in held.items() if x == lang]
+            coded = pa.array([t for _, _, counts in own for t in counts], pa.binary()).dictionary_encode()
+            source = np.repeat(np.arange(len(own)), [len(counts) for _, _, counts in own])
+            docs = np.fromiter((seen[t] for _, seen, counts in own for t in counts), np.int64, len(source))
+            numbers = np.fromiter((n for _, _, counts in own for n in counts.values()), np.int64, len(source))
+            codes, names, terms = coded.indices.to_numpy(), pa.array([x[0] for x in own], pa.string()), coded.dictionary.cast(pa.string())
+            order = np.argsort(codes, kind="stable")
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0]), len(order)] if len(order) else np.zeros(1, dtype=np.int64)
+            for at in range(0, len(terms), 1 << 15):
+                bounds = edges[at : at + (1 << 15) + 1]
+                some = order[bounds[0] : bounds[-1]]
+                yield _listed(pa.repeat(pa.scalar(lang), len(bounds) - 1), terms.slice(at, len(bounds) - 1), bounds - bounds[0], names.take(pa.array(source[some])), docs[some], numbers[some])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -105,10 +120,21 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, fold=lambda batch:
 
 
 def _fold(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row for each (lang, term, source) of sorted rows."""
-    starts = starts_of(batch.columns[:3])
-    sums = [pa.array(np.add.reduceat(c.to_numpy(), starts)) for c in batch.columns[3:5]]
-    return pa.RecordBatch.from_arrays([*(c.take(pa.array(starts)) for c in batch.columns[:3]), *sums], schema=SUMS)
+    """One row for each term of sorted rows, its sources in the order of their bytes."""
+    starts = starts_of(batch.columns[:2])
+    run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, batch.num_rows]))
+    sources = batch.column(2).flatten().dictionary_encode()
+    by_name = pc.sort_indices(sources.dictionary).to_numpy()
+    rank = np.empty(len(by_name), dtype=np.int64)
+    rank[by_name] = np.arange(len(by_name))
+    pair = np.repeat(run, pc.list_value_length(batch.column(2)).to_numpy()) * len(rank) + rank[sources.indices.to_numpy()]
+    order = np.argsort(pair, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(pair[order]) != 0])
+    docs, counts = (np.add.reduceat(batch.column(n).flatten().to_numpy()[order], edges) for n in (3, 4))
+    of, place = np.divmod(pair[order][edges], len(rank))
+    offsets = np.searchsorted(of, np.arange(len(starts) + 1))
+    lang, term = (c.take(pa.array(starts)) for c in batch.columns[:2])
+    return _listed(lang, term, offsets, sources.dictionary.take(pa.array(by_name[place])), docs, counts)
 
 
 def _frequent(least: int):
@@ -116,13 +142,15 @@ def _frequent(least: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches, 2, _fold):
-            starts = starts_of(batch.columns[:2])
-            lengths = np.diff(np.r_[starts, batch.num_rows])
-            docs, totals = (np.add.reduceat(c.to_numpy(), starts) for c in batch.columns[3:5])
-            heads = np.zeros(batch.num_rows, dtype=np.int64)
+            lengths = pc.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            starts = np.cumsum(lengths) - lengths
+            docs, counts = (batch.column(n).flatten().to_numpy() for n in (3, 4))
+            total = np.add.reduceat(counts, starts)
+            heads = np.zeros(len(counts), dtype=np.int64)
             heads[starts] = 1
-            rows = [*batch.columns[:3], batch.column(4), pa.array(np.repeat(totals, lengths)), pa.array(heads)]
-            stays = pa.array(np.repeat(docs >= least, lengths))
+            row = pa.array(np.repeat(np.arange(len(starts)), lengths))
+            rows = [batch.column(0).take(row), batch.column(1).take(row), batch.column(2).flatten(), pa.array(counts), pa.array(np.repeat(total, lengths)), pa.array(heads)]
+            stays = pa.array(np.repeat(np.add.reduceat(docs, starts) >= least, lengths))
             yield pa.RecordBatch.from_arrays(rows, schema=KEPT).filter(stays)
 
     return scan
@@ -207,7 +235,7 @@ def term_counts(docs: DataFrame, least: int = 10, text: str = "text", most: int
     all rows sends no more than others of as many words. Each row of ``docs`` is a document.
     """
     sums = docs.select("lang", "source", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(_count_terms(most), ddl(SUMS))
-    return sums.repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_frequent(least), ddl(KEPT))
+    return sums.repartition("lang", "term").sortWithinPartitions("term", "lang").mapInArrow(_frequent(least), ddl(KEPT))
 
 
 def audit(docs: DataFrame, least: int = 10, smooth: int = 2, top: int = 10, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
