@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -172,29 +173,30 @@ def _scores(block: np.ndarray, corpus: np.ndarray, distance: str) -> np.ndarray:
 
 
 class Best:
-    """Each query's best k hits as (-score, id), by blocks of scores; equal scores go by id."""
+    """Each query's best k hits as (-score, id), by blocks of scores; equal scores go by id. ``least``: scores that a
+    query's hits must reach, where that is known."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.hits, self.cuts = k, [[] for _ in range(queries)], np.full(queries, -np.inf)
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
+        self.k, self.hits = k, [[] for _ in range(queries)]
+        self.cuts = np.full(queries, -np.inf) if least is None else least.astype(np.float64)
 
-    def add(self, scores: np.ndarray, ids: list, first: int = 0) -> None:
-        """A block (queries from ``first`` on x rows) whose ``ids`` ascend. Only queries that a row can still help are looked at."""
-        if not len(ids):
+    def add(self, scores: np.ndarray, ids: list, queries: np.ndarray) -> None:
+        """A block of scores (``queries`` by rows) whose ``ids`` ascend. Only queries that a row can still help are looked at."""
+        if not len(ids) or not len(queries):
             return
         k, tops = self.k, scores.max(axis=1)
-        for i in np.flatnonzero(tops >= self.cuts[first : first + len(scores)]).tolist():
-            best, line = self.hits[first + i], scores[i]
-            full = len(best) == k
-            if full and tops[i] == self.cuts[first + i] and not ids[0] < best[-1][1]:
+        for i in np.flatnonzero(tops >= self.cuts[queries]).tolist():
+            query, line = int(queries[i]), scores[i]
+            best, floor = self.hits[query], self.cuts[query]
+            if len(best) == k and tops[i] == floor and not ids[0] < best[-1][1]:
                 continue
-            floor = self.cuts[first + i]
             if len(line) > 4 * k:
                 floor = max(floor, np.partition(line, len(line) - k)[len(line) - k])
             near = np.flatnonzero(line >= floor)
             near = near[np.argsort(-line[near], kind="stable")[:k]]
-            best = self.hits[first + i] = sorted([*best, *((-line[j], ids[j]) for j in near.tolist())])[:k]
+            best = self.hits[query] = sorted([*best, *((-line[j], ids[j]) for j in near.tolist())])[:k]
             if len(best) == k:
-                self.cuts[first + i] = -best[-1][0]
+                self.cuts[query] = -best[-1][0]
 
     def batches(self, keys: list, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         flat = [(keys[i], key, -score) for i, hits in enumerate(self.hits) for score, key in hits]
@@ -202,6 +204,45 @@ class Best:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
 
 
+def usable(ids: pa.Array, vectors: pa.Array, dimension: int) -> tuple[list, np.ndarray]:
+    """Ids in order and their vectors, without rows that have no id, no vector or one of another size, or an element that
+    is null, NaN or infinite."""
+    right = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(vectors), dimension), False))
+    ids, vectors = ids.filter(right), vectors.filter(right)
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dimension)
+    good = np.flatnonzero(np.isfinite(matrix).all(axis=1))
+    named = ids.take(pa.array(good)).to_pylist()
+    order = sorted(range(len(named)), key=named.__getitem__)
+    return [named[j] for j in order], matrix[good[order]]
+
+
+def query_blocks(queries: DataFrame, query_key: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and vectors of usable queries, ``block`` numbers of them at a time. Queries without a vector, or with an
+    element that is null, NaN or infinite, are left out; all others must have one dimension."""
+    precision = np.float32 if queries.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
+    keys, vectors, size = [], [], None
+    for row in queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
+        if any(x is None or not math.isfinite(x) for x in row.v):
+            continue
+        size = len(row.v) if size is None else size
+        if len(row.v) != size:
+            raise ValueError(f"queries have vectors of {size} and of {len(row.v)}")
+        keys.append(row.q)
+        vectors.append(np.array(row.v, dtype=precision))
+        if len(keys) * size >= block:
+            yield keys, np.array(vectors)
+            keys, vectors = [], []
+    if keys:
+        yield keys, np.array(vectors)
+
+
+def best_hits(found: Sequence[DataFrame], k: int, distance: str) -> DataFrame:
+    """Ranked rows of tasks' hits; scores are larger is better there, and distances here."""
+    ranked = union_all(found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
+    score = -F.col("score") if distance == "euclid" else F.col("score")
+    return ranked.select("query_id", "rank", "chunk_id", score.alias("score"))
+
+
 #: Scores that a task holds at once, at most: rows come in runs, queries in parts.
 ROWS, QUERIES = 1 << 10, 1 << 12
 
@@ -212,7 +253,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
 
     The corpus is read once for each ``block`` numbers of query vectors (65,536 queries of 256 dimensions), so
     what is sent has a fixed bound; a task keeps its own best k of each query, and only those are shuffled.
-    Rows without a vector match nothing.
+    Rows and queries without a vector, or with an element that is null, NaN or infinite, match nothing, nor do rows
+    of another dimension or without a key; queries of two dimensions are refused.
     """
     if distance not in DISTANCES:
         raise ValueError(f"distance is one of {', '.join(DISTANCES)}")
@@ -221,7 +263,6 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     spark = queries.sparkSession
     schema, kinds = _hit_schema(queries, query_key, corpus, corpus_key)
     rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    found = []
 
     def search(keys: list, vectors: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((keys, vectors))
@@ -232,31 +273,16 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
             for whole in batches:
                 for start in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(start, ROWS)
-                    ids = batch.column(0).to_pylist()
-                    order = np.argsort(np.array(ids), kind="stable")
-                    matrix = np.asarray(batch.column(1).flatten()).reshape(len(ids), -1)[order]
-                    named = [ids[j] for j in order.tolist()]
+                    named, matrix = usable(batch.column(0), batch.column(1), own.shape[1])
                     for first in range(0, len(own), QUERIES):
                         scores = _scores(own[first : first + QUERIES].astype(np.float64), matrix, distance)
-                        best.add(scores if places is None else np.round(scores, places), named, first)
+                        best.add(scores if places is None else np.round(scores, places), named, np.arange(first, first + len(scores)))
             yield from best.batches(own_keys, kinds)
 
         return rows.mapInArrow(scan, schema)
 
-    keys, vectors = [], []
-    precision = np.float32 if queries.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
-    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    for row in asked.toLocalIterator():
-        keys.append(row.q)
-        vectors.append(np.array(row.v, dtype=precision))
-        if len(keys) * len(vectors[0]) >= block:
-            found.append(search(keys, np.array(vectors)))
-            keys, vectors = [], []
-    if keys:
-        found.append(search(keys, np.array(vectors)))
-    ranked = union_all(found or [spark.createDataFrame([], schema)]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
-    score = -F.col("score") if distance == "euclid" else F.col("score")
-    return ranked.select("query_id", "rank", "chunk_id", score.alias("score"))
+    found = [search(keys, vectors) for keys, vectors in query_blocks(queries, query_key, vector, block)]
+    return best_hits(found or [spark.createDataFrame([], schema)], k, distance)
 
 
 # ---- sparse ----
@@ -304,18 +330,22 @@ def restore_text(hits: DataFrame, corpus: DataFrame, key: str = "chunk_id", text
     return hits.join(corpus.select(F.col(key).alias("chunk_id"), F.col(text).alias("text")), "chunk_id", "left")
 
 
-def retrieve(spark, query: str, embedder, points: DataFrame, corpus: DataFrame, k: int = 10, query_filter: Mapping[str, str] | None = None) -> dict:
+def retrieve(spark, query: str, embedder, points: DataFrame, corpus: DataFrame, k: int = 10, query_filter: Mapping[str, str] | None = None, distance: str = "cosine") -> dict:
     """One query against a point table: chunks with score (6 places), text and payload, and the time taken.
 
-    The result's keys are fixed values of its format.
+    ``distance`` is that of the collection. ``points`` are read once: hits, k at most, come to the driver, and their
+    payload is read by their ids alone. The result's keys are fixed values of its format.
     """
     began = time.perf_counter()
     vector = [float(x) for x in embedder.embed([query], is_query=True)[0]]
     embedded = time.perf_counter()
     asked = spark.createDataFrame([("q", vector)], "query_id string, embedding array<float>")
-    hits = dense_topk(asked, points, k, query_filter=query_filter)
+    ranked = dense_topk(asked, points, k, distance, query_filter).orderBy("rank").collect()
+    hits = spark.createDataFrame(ranked, f"query_id string, rank int, chunk_id {points.schema['chunk_id'].dataType.simpleString()}, score double")
+    ids = [r["chunk_id"] for r in ranked]
     payload = F.to_json(F.struct(*[F.col(c) for c in points.columns if c not in ("embedding", "vector", "point_id")])).alias("metadata")
-    rows = restore_text(hits.join(points.select("chunk_id", payload), "chunk_id", "left"), corpus).orderBy("rank").collect()
+    about = points.where(F.col("chunk_id").isin(ids)).select("chunk_id", payload)
+    rows = restore_text(hits.join(about, "chunk_id", "left"), corpus.where(F.col("chunk_id").isin(ids))).orderBy("rank").collect()
     done = time.perf_counter()
     found = [{"chunk_id": r["chunk_id"], "score": round(r["score"], 6), "text": r["text"], "metadata": r["metadata"]} for r in rows]
     times = {"embedding_ms": (embedded - began) * 1000, "search_ms": (done - embedded) * 1000, "total_ms": (done - began) * 1000}

@@ -18,6 +18,7 @@ from ..operators import profile as P
 from ..operators import reports as R
 from ..operators import retrieval as S
 from ..sources.tables import first_rows, read_benchmark, read_chunks, row_count, with_place, write_chunks, write_json_lines
+from ..sources.vector_cells import VectorCells
 from ..sources.vector_store import VectorCollection, as_points, latest
 from . import oracle
 from .fixtures import marked_documents, raw_records, single_raw, table
@@ -466,6 +467,56 @@ def dense_filtered(s, d):
     return _dense(s, d, query_filter={"chunk_strategy": "3"})
 
 
+def _cells(distance: str) -> None:
+    """Exact search with pruning: vectors stored by cell, the same hits as over all of them."""
+
+    def run(s, d):
+        rows = table(s, d, "embeddings").select("vec_id", "embedding")
+        store = VectorCells(s, scratch_path(s, "cells"))
+        store.build(rows, distance, key="vec_id")
+        found = store.search(rows.where("vec_id % 100 = 0"), 10, "vec_id")
+        return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+    QUERIES[f"dense_cells_{distance}"] = run
+
+
+for _distance in ("cosine", "dot", "euclid"):
+    _cells(_distance)
+
+
+@query
+def dense_dirty(s, d):
+    """Vectors with a null, NaN or infinite element, too few elements, or none: they match nothing."""
+    n, e = F.col("vec_id") % 13, F.col("embedding").cast("array<double>")
+    odd = {3: F.lit(None).cast("double"), 5: F.lit(float("nan")), 7: F.lit(float("inf"))}
+    vector = F.when(n == 9, F.slice(e, 1, 63)).when(n == 11, F.lit(None))
+    for at, value in odd.items():
+        vector = vector.when(n == at, F.transform(e, lambda x, i: F.when(i == at, value).otherwise(x)))  # noqa: B023
+    rows = table(s, d, "embeddings").select("vec_id", vector.otherwise(e).alias("embedding"))
+    found = S.dense_topk(table(s, d, "embeddings").where("vec_id % 100 = 0"), rows, 10, query_key="vec_id", corpus_key="vec_id")
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _reopened(distance: str) -> None:
+    """A stored collection in two versions, opened again, searches by its own distance; filtered as stored."""
+
+    def run(s, d):
+        rows = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.concat(F.lit("T"), F.col("label")).alias("query_type"), "embedding", "vec_id")
+        path = scratch_path(s, "collection")
+        made = VectorCollection(s, path, distance, create=True, dimension=64)
+        made.upsert(as_points(rows.withColumn("query_type", F.when(F.col("vec_id") % 5 == 0, "T1").otherwise(F.col("query_type")))), 0)
+        made.upsert(as_points(rows.where("vec_id % 10 = 0 or vec_id % 7 = 0")), 1)
+        asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        found = VectorCollection(s, path).search(asked, 10, {"query_type": "T1"})
+        return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+    QUERIES[f"collection_{distance}"] = run
+
+
+for _distance in ("dot", "euclid"):
+    _reopened(_distance)
+
+
 @query
 def bm25_topk(s, d):
     found = S.bm25_topk(table(s, d, "benchmark"), table(s, d, "documents"), 10, query_key="item_id", corpus_key="doc_id")

@@ -124,7 +124,8 @@ def index(spark: SparkSession, corpus: str, collection: str, progress: str, mode
 def retrieve(spark: SparkSession, query: str, collection: str, corpus: str, model: str = "TEST_ONLY:dim256", k: int = 10, language: str | None = None, query_type: str | None = None) -> dict:
     """One query against a stored collection."""
     given: Mapping[str, str | None] = {"language": language, "query_type": query_type}
-    return S.retrieve(spark, query, S.get_embedder(model), VectorCollection(spark, collection).points(), spark.read.parquet(corpus), k, {n: v for n, v in given.items() if v})
+    store, filtered = VectorCollection(spark, collection), {n: v for n, v in given.items() if v}
+    return S.retrieve(spark, query, S.get_embedder(model), store.points(filtered), spark.read.parquet(corpus), k, filtered, store.distance)
 
 
 def _stage_times(spark: SparkSession, queries: DataFrame, points: DataFrame, embedder, config: tables.RetrievalConfig, most: int) -> list[tuple[str, float]]:

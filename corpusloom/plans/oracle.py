@@ -262,15 +262,24 @@ BENCH = {
 }
 
 
-def dense_sql(expression: str, order: str, k: int = 10, where: str = "true") -> str:
-    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, {expression} AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND {where}),
+def dense_sql(expression: str, order: str, k: int = 10, where: str = "true", chunk_id: str = "c.vec_id") -> str:
+    return f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, {chunk_id} AS chunk_id, {expression} AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND {where}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {order}, chunk_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= {k}"""
 
 
+#: Whose query type is T1 in its last version.
+_TYPED = "(c.label = 1 OR (c.vec_id % 5 = 0 AND c.vec_id % 10 <> 0 AND c.vec_id % 7 <> 0))"
+
 DENSE = {
     "dense_topk_cosine": dense_sql("list_cosine_similarity(q.e, c.e)", "DESC"),
     "dense_topk_dot": dense_sql("list_dot_product(q.e, c.e)", "DESC"),
     "dense_topk_euclid": dense_sql("list_distance(q.e, c.e)", "ASC"),
+    "dense_cells_cosine": dense_sql("list_cosine_similarity(q.e, c.e)", "DESC"),
+    "dense_cells_dot": dense_sql("list_dot_product(q.e, c.e)", "DESC"),
+    "dense_cells_euclid": dense_sql("list_distance(q.e, c.e)", "ASC"),
+    "dense_dirty": dense_sql("list_cosine_similarity(q.e, c.e)", "DESC", where="c.vec_id % 13 NOT IN (3, 5, 7, 9, 11)"),
+    "collection_dot": dense_sql("list_dot_product(q.e, c.e)", "DESC", where=_TYPED, chunk_id="CAST(c.vec_id AS VARCHAR)"),
+    "collection_euclid": dense_sql("list_distance(q.e, c.e)", "ASC", where=_TYPED, chunk_id="CAST(c.vec_id AS VARCHAR)"),
     "dense_filtered": dense_sql("list_cosine_similarity(q.e, c.e)", "DESC", where="c.label = 3"),
 }
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from ..operators.retrieval import DISTANCES, check_filter, dense_topk
 PAYLOAD = ("parent_passage_id", "query_id", "language", "source_lang", "target_lang", "query_type", "chunk_strategy", "passage_index", "is_selected")
 
 
-def as_points(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
-    """point_id (uuid5 of the chunk id), chunk_id, the payload columns that are there, embedding. Never a text or an answer."""
+def as_points(chunks: DataFrame, vector: str = "embedding", also: Sequence[str] = ()) -> DataFrame:
+    """point_id (uuid5 of the chunk id), chunk_id, the payload columns that are there, embedding, and the columns of ``also`` (such as an
+    upsert's order). Never a text or an answer."""
     payload = [c for c in PAYLOAD if c in chunks.columns]
-    return chunks.select(X.uuid5_url("chunk_id").alias("point_id"), "chunk_id", *payload, F.col(vector).cast("array<float>").alias("embedding"))
+    return chunks.select(X.uuid5_url("chunk_id").alias("point_id"), "chunk_id", *payload, F.col(vector).cast("array<float>").alias("embedding"), *also)
 
 
 def latest(rows: DataFrame, key: str = "point_id", version: str = "version") -> DataFrame:
@@ -28,29 +30,43 @@ def latest(rows: DataFrame, key: str = "point_id", version: str = "version") ->
 
 
 #: Columns whose values have folders of their own inside a version, so that a filter on them reads no other's files.
-ROUTED = ("chunk_strategy", "language")
+ROUTED = ("chunk_strategy", "language", "query_type")
+#: Pairs of superseded points that are sent to every task, at most; more are joined by a shuffle.
+SENT = 1 << 21
 
 
 class VectorCollection:
     """Points in a folder: each upsert appends a version, readers see the last of each point.
 
     Appending keeps an upsert from rewriting the collection, and repeating one (after a failure) changes
-    nothing, since ids are derived from chunk ids and the version is the caller's. ``dimension`` (None: any)
-    is what every vector has to have. Filters prune folders once the collection has one version, as it has
-    after one upsert or ``compact``; before, a point's last version has to be known first.
+    nothing, since ids are derived from chunk ids and the version is the caller's. An upsert notes which points of
+    which versions it supersedes, from ids alone, and readers leave those out, so that vectors stay where they lie and
+    filters prune folders however many versions there are.
+
+    ``distance`` and ``dimension`` (None: any; what every vector has to have) are kept with the collection. One that is
+    opened again has its own distance, and refuses another; a dimension may be given for checks of one's own.
     """
 
-    def __init__(self, spark: SparkSession, path: str, distance: str = "cosine", create: bool = False, dimension: int | None = None):
-        if distance not in DISTANCES:
+    def __init__(self, spark: SparkSession, path: str, distance: str | None = None, create: bool = False, dimension: int | None = None):
+        if distance is not None and distance not in DISTANCES:
             raise ValueError(f"distance is one of {', '.join(DISTANCES)}")
-        self.spark, self.path, self.distance, self.dimension = spark, path, distance, dimension
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path = spark, path
+        hadoop, system = self._folder()
         if create:
             system.delete(hadoop, True)
             system.mkdirs(hadoop)
+            spark.createDataFrame([(json.dumps({"distance": distance or "cosine", "dimension": dimension}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_settings")
         elif not system.exists(hadoop):
             raise ValueError(f"there is no collection at {path}; build it first or pass create=True")
+        kept = {"distance": "cosine", "dimension": None}
+        if system.exists(self._path("_settings")):
+            kept |= json.loads(spark.read.text(f"{path}/_settings").first()["value"])
+        if distance is not None and distance != kept["distance"]:
+            raise ValueError(f"the collection at {path} has distance {kept['distance']}, not {distance}")
+        self.distance, self.dimension = kept["distance"], kept["dimension"] if dimension is None else dimension
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _folder(self):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -65,6 +81,16 @@ class VectorCollection:
         folders = {f"by_{c}": F.concat(F.lit("v_"), F.coalesce(c, F.lit(""))) for c in ROUTED if c in points.columns}
         points.withColumns(folders).write.mode("overwrite").partitionBy(*folders).parquet(f"{self.path}/version={version}")
 
+    def _ids(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).select("point_id", F.col("version").cast("long").alias("version"))
+
+    def _note_superseded(self, version: int) -> None:
+        """Of the points that this version shares with others, the older version of each pair. Ids alone move."""
+        ids = self._ids()
+        own, others = ids.where(F.col("version") == version).select("point_id"), ids.where(F.col("version") != version)
+        older = others.join(own, "point_id", "left_semi").select("point_id", F.least("version", F.lit(version)).alias("version")).distinct()
+        older.write.mode("overwrite").parquet(f"{self.path}/_superseded/by={version}")
+
     def upsert(self, points: DataFrame, version: int, order: str | None = None) -> None:
         """Add points; a point's last version wins. A version that is written again replaces itself.
 
@@ -76,16 +102,31 @@ class VectorCollection:
             wrong = F.raise_error(F.concat(F.lit(f"the collection has vectors of {self.dimension}, not "), F.size("embedding").cast("string"))).cast("array<float>")
             once = once.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(wrong))
         self._write(once, version)
+        if len(self.versions()) > 1:
+            self._note_superseded(version)
+
+    def superseded(self) -> DataFrame | None:
+        """``point_id, version`` of points that a newer version has, None where none is noted."""
+        if len(self.versions()) < 2 or not self._folder()[1].exists(self._path("_superseded")):
+            return None
+        noted = self.spark.read.parquet(f"{self.path}/_superseded")
+        return noted.where(F.col("by").isin(self.versions())).select("point_id", "version").distinct()
 
     def points(self, query_filter: Mapping[str, str] | None = None) -> DataFrame:
-        """The last version of each point; with ``query_filter`` those whose columns have the given values."""
+        """The last version of each point; with ``query_filter`` those whose columns have the given values.
+
+        Filters name folders, before anything is joined. Up to ``SENT`` superseded points are sent to the tasks, which
+        then need no shuffle; a filter looks at a point's last version alone.
+        """
         given, rows = check_filter(query_filter), self.spark.read.parquet(self.path)
         folders = [c for c in rows.columns if c.startswith("by_")]
-        if len(self.versions()) > 1:
-            rows = latest(rows)
         for name, value in given.items():
             rows = rows.where(F.col(name) == value)
             rows = rows.where(F.col(f"by_{name}") == f"v_{value}") if f"by_{name}" in folders else rows
+        old = self.superseded()
+        if old is not None:
+            old = F.broadcast(old) if self.spark.read.parquet(f"{self.path}/_superseded").count() <= SENT else old
+            rows = rows.join(old, ["point_id", "version"], "left_anti")
         return rows.drop("version", *folders)
 
     def count(self) -> int:
@@ -97,9 +138,12 @@ class VectorCollection:
         if older and version <= older[-1]:
             raise ValueError(f"version {version} isn't newer than {older[-1]}")
         self._write(self.points(), version)
+        if older:
+            self._note_superseded(version)
         folder, system = self._folder()
         for number in older:
-            system.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={number}"), True)
+            system.delete(self._path(f"version={number}"), True)
+        system.delete(self._path("_superseded"), True)
 
     def search(self, queries: DataFrame, k: int = 30, query_filter: Mapping[str, str] | None = None, places: int | None = None) -> DataFrame:
         """Top k of each query; only routing columns may filter. For ``places`` see ``dense_topk``."""

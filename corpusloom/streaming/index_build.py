@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.retrieval import embed, get_embedder
+from ..sources.tables import with_place
 from ..sources.vector_store import VectorCollection, as_points
 
 
@@ -37,7 +38,7 @@ def _settings(spark: SparkSession, path: str):
 def build_index(spark: SparkSession, corpus: str, collection: str, progress: str, model: str = "TEST_ONLY:dim256", device: str = "cpu", batch_files: int = 16) -> int:
     """Embed and upsert the chunk files of ``corpus`` that earlier runs haven't, in batches of ``batch_files`` files.
 
-    The stream's checkpoint in ``progress`` notes a batch after its upsert. A batch that is run again writes
+    Of a chunk's rows in one batch the last in file order wins; later batches win over earlier ones. The stream's checkpoint in ``progress`` notes a batch after its upsert. A batch that is run again writes
     the same version again, so an interrupted build goes on where it stopped and nothing counts twice. An
     incompatible earlier run, or one over files that have changed since, is dropped, and the collection made
     anew. Returns the number of points.
@@ -55,10 +56,11 @@ def build_index(spark: SparkSession, corpus: str, collection: str, progress: str
     target = VectorCollection(spark, collection, create=not resumes, dimension=embedder.dimension)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        target.upsert(as_points(embed(batch, embedder)), number)
+        rows = embed(batch, embedder)
+        target.upsert(as_points(rows, also=["place"]), number, order="place")
 
     schema = spark.read.parquet(corpus).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(corpus)
+    stream = with_place(spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(corpus), "place")
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{progress}/stream").trigger(availableNow=True).start()
     query.awaitTermination()
     return target.count()

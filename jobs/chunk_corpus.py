@@ -50,7 +50,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, config: s
         kept = chunking.drop_flagged(chunks, known["drop_duplicates"], known["drop_short"])
         kept.write.mode("overwrite").partitionBy("chunk_strategy", "language").parquet(f"{output}/chunks")
         corrupt.groupBy("corruption_reason").agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{output}/rejected")
-        written = spark.read.parquet(f"{output}/chunks")
+        written = spark.read.schema(kept.schema).parquet(f"{output}/chunks")
         reports.strategy_report(written).write.mode("overwrite").json(f"{output}/report")
         counts = {"documents": docs.count(), "labels": marks.count(), "rejected": int(spark.read.parquet(f"{output}/rejected").agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]), "chunks": written.count()}
     log.info("read %d documents from %s and %d labels from %s", counts["documents"], documents, counts["labels"], labels)

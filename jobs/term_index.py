@@ -47,8 +47,9 @@ def run(spark: SparkSession, documents: str, queries: str, output: str, config:
         asked = spark.read.parquet(queries)
         hits = index.search(asked, known["top_k"], known["k1"], known["b"], known["epsilon"], "item_id")
         found = hits.withColumnRenamed("chunk_id", "doc_id").join(spark.read.parquet(documents).select("doc_id", "lang", "source"), "doc_id")
-        found.select("query_id", "rank", "doc_id", "score", "source", "lang").write.mode("overwrite").partitionBy("lang").parquet(f"{output}/hits")
-        counts = {"new_documents": sum(read), "documents": index.statistics().rows, "queries": asked.count(), "hits": spark.read.parquet(f"{output}/hits").count()}
+        found = found.select("query_id", "rank", "doc_id", "score", "source", "lang")
+        found.write.mode("overwrite").partitionBy("lang").parquet(f"{output}/hits")
+        counts = {"new_documents": sum(read), "documents": index.statistics().rows, "queries": asked.count(), "hits": spark.read.schema(found.schema).parquet(f"{output}/hits").count()}
     log.info("read %d new documents from %s; the index at %s/index has %d", counts["new_documents"], documents, output, counts["documents"])
     log.info("read %d queries from %s; wrote %d hits to %s/hits", counts["queries"], queries, counts["hits"], output)
     return counts

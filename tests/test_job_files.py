@@ -97,6 +97,13 @@ def test_corpus_of_odd_documents(spark, tmp_path):
     assert {(r.query_id, r.chunk_strategy) for r in left} == {("1", "sentence"), ("3", "sentence"), ("9", "sentence")}
 
 
+def test_empty_tables(spark, tmp_path):
+    for name, schema in (("d", "doc_id long, lang string, source string, text string"), ("l", "doc_id long, quality int"), ("q", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}")
+    assert chunk_corpus.run(spark, f"{tmp_path}/d", f"{tmp_path}/l", f"{tmp_path}/out")["chunks"] == 0
+    assert term_index.run(spark, f"{tmp_path}/d", f"{tmp_path}/q", f"{tmp_path}/out2") == {"new_documents": 0, "documents": 0, "queries": 0, "hits": 0}
+
+
 def test_settings_and_configuration(spark, tmp_path):
     name = common.CHANGED[0]
     before = spark.conf.get(name, None)
