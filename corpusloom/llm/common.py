@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -20,6 +22,13 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def send(spark: SparkSession, value) -> tuple[Broadcast, Callable[[], object]]:
+    """Broadcast a value of any class of this library, and what gives it in a task. The class goes by value, as functions
+    do, so that workers need no copy of the library."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return shared, lambda: pickle.loads(shared.value)
+
+
 def without(docs: DataFrame, components: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` but those of a key that is nowhere its own component; the few keys that go are what is joined."""
     kept = F.max(F.col(key).eqNullSafe(F.col("component")).cast("int"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import union_all
-from .common import checkpoint, key_type, row_slices, texts
+from .common import checkpoint, key_type, row_slices, send, texts
 
 #: A-Z to a-z; what parts words to a blank.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -126,19 +126,23 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def automata(items: DataFrame, window: int, most_words: int, item: str, text: str) -> Iterator[SuffixAutomaton]:
-    """Automata over blocks of ``most_words`` words of items, one at a time; an item lies in one whole block.
+    """Automata over blocks of at most ``most_words`` words of items (a window at least), one at a time.
 
-    Only one block is held on the driver, and its size bounds what is broadcast.
+    Only one block is held on the driver, and its size bounds what is broadcast. A longer item is cut into pieces that
+    share a window less a word, so that each of its windows lies in one of them.
     """
+    most_words = max(most_words, window)
     rows = items.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     block, size = SuffixAutomaton(window), 0
     for row in rows.toLocalIterator():
         found = words(row.text.encode())
-        if size and size + len(found) > most_words:
-            yield block.finish()
-            block, size = SuffixAutomaton(window), 0
-        block.add(row.item, found)
-        size += len(found)
+        for start in range(0, max(1, len(found) - window + 1), most_words - window + 1):
+            piece = found[start : start + most_words]
+            if size and size + len(piece) > most_words:
+                yield block.finish()
+                block, size = SuffixAutomaton(window), 0
+            block.add(row.item, piece)
+            size += len(piece)
     yield block.finish()
 
 
@@ -161,10 +165,12 @@ def _fed(automaton: SuffixAutomaton, batch: pa.RecordBatch) -> Iterator[tuple[by
         yield text, hits, held
 
 
-def _settled(rows: DataFrame, fed: Callable[[pa.RecordBatch], Iterator[tuple[bytes, np.ndarray, set[str]]]], cut: bool) -> DataFrame:
-    """``rest, items, n_words, n_hit, spans`` of rows (``rest, text, ...``), and with ``cut`` the text without the spans."""
+def _settled(rows: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[bytes, np.ndarray, set[str]]]]], cut: bool) -> DataFrame:
+    """``rest, items, n_words, n_hit, spans`` of rows (``rest, text, ...``), and with ``cut`` the text without the spans.
+    ``task`` gives a task what tells the hits of its batches."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fed = task()
         for whole in batches:
             for batch in row_slices(whole, "text"):
                 columns: list[list] = [[], [], [], [], []]
@@ -183,14 +189,15 @@ def _settled(rows: DataFrame, fed: Callable[[pa.RecordBatch], Iterator[tuple[byt
     return rows.mapInArrow(scan, f"{rest}, {'text string, ' if cut else ''}items array<string>, n_words long, n_hit long, spans array<struct<start:long,end:long>>")
 
 
-def _hits(rows: DataFrame, shared) -> DataFrame:
+def _hits(rows: DataFrame, take: Callable[[], SuffixAutomaton]) -> DataFrame:
     """``key, row, hits`` (packed bits) ``, items`` of the rows that one automaton hits; texts stay where they are."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = take()
         for whole in batches:
             for batch in row_slices(whole, "text"):
                 at, bits, items = [], [], []
-                for n, (_, hits, held) in enumerate(_fed(shared.value, batch)):
+                for n, (_, hits, held) in enumerate(_fed(automaton, batch)):
                     if held:
                         at.append(n)
                         bits.append(np.packbits(hits).tobytes())
@@ -219,13 +226,18 @@ def _scan(docs: DataFrame, items: DataFrame, window: int, most_words: int, cut:
     blocks = automata(items, window, most_words, item, item_text)
     block, after, found = next(blocks), next(blocks, None), []
     if after is None:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        return _settled(rows, lambda batch: _fed(shared.value, batch), cut)
+        take = send(docs.sparkSession, block)[1]
+
+        def task() -> Callable:
+            automaton = take()
+            return lambda batch: _fed(automaton, batch)
+
+        return _settled(rows, task, cut)
     keyed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
     while block is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, take = send(docs.sparkSession, block)
         # rows that repeat a key and text have the same hits
-        once = _hits(keyed, shared).groupBy("key", "row").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
+        once = _hits(keyed, take).groupBy("key", "row").agg(F.first("hits").alias("hits"), F.first("items").alias("items"))
         found.append(checkpoint(once))
         shared.destroy()
         block, after = after, next(blocks, None)
@@ -233,7 +245,7 @@ def _scan(docs: DataFrame, items: DataFrame, window: int, most_words: int, cut:
     gathered = gathered.select(F.col("key").alias("k"), F.col("row").alias("r"), "hits", "items").hint("shuffle_hash")
     whole = docs.select(rest, F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
     joined = whole.join(gathered, F.col("key").eqNullSafe(F.col("k")) & (F.col("row") == F.col("r")), "left").select("rest", "text", "hits", "items")
-    return _settled(joined, _joined, cut)
+    return _settled(joined, lambda: _joined, cut)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most_words: int = 100_000, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -243,8 +255,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most_word
     of an item, or the whole of a shorter one; words in any occurrence are hit. ``items`` are the ids, as
     strings in order, of the items with occurring windows; ``spans`` are UTF-8 byte spans of hit runs. Null
     texts have no words; items with a null id or text, or without words, match nothing; repeated items count
-    once; an empty benchmark hits nothing. A benchmark of more than ``most_words`` words is cut into blocks
-    of whole items, each with its own automaton and pass, and the passes' hits are joined.
+    once; an empty benchmark hits nothing. A benchmark of more than ``most_words`` words is cut into blocks,
+    each with its own automaton and pass, and the passes' hits are joined. Very long texts are read whole; an empty
+    table gives no rows.
     """
     state = _scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), items, window, most_words, False, "key", "text", item, item_text)
     return state.select(F.col("rest.key").alias(key), "n_words", "n_hit", "items", "spans")
@@ -252,7 +265,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, most_word
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, most_words: int = 100_000, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with hit spans cut from ``text``; documents with a larger share of hit words than
-    ``most_coverage`` are left out. Columns stay as they are; rows without words stay."""
+    ``most_coverage`` are left out. Columns stay as they are; rows without words stay, null and empty texts too. Very long
+    texts are read whole, repeated rows are cut each, and an empty table gives no rows."""
     state = _scan(docs, items, window, most_words, True, key, text, item, item_text)
     kept = state.where(F.col("n_hit") <= F.lit(most_coverage) * F.col("n_words"))
     return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

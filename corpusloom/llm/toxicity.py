@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_slices, utf8
+from .common import checkpoint, row_slices, send, utf8
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Function words that show a language. Fixed values.
@@ -233,9 +233,9 @@ def _threshold(logits: np.ndarray, y: np.ndarray, prior: float, least: int = 8)
 def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_words: int, buckets: int, label: str, key: str, text: str) -> tuple[list[np.ndarray], list[str], np.ndarray]:
     """A bounded sample of labelled rows as hashed rows: about ``most_docs`` / 3 of class 1 and twice as many of class 0.
 
-    Labels are sampled first, by a hash of the key, so that only the chosen documents' texts move. They teach in
-    the order of the draw until they have ``most_words`` words together, which bounds what comes to the driver
-    (16 bytes a word); the rest are scored like any other.
+    Labels are sampled first, by a hash of the key, so that only the chosen documents' texts move. Each class has its
+    share of ``most_words``, which bounds what comes to the driver (16 bytes a word): in the order of the draw its rows
+    teach that still fit, longer ones are passed over and scored like any other. A class of which no row fits is an error.
     """
     clean = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and key is not null").distinct()
     counts = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
@@ -261,9 +261,19 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_words: int,
     keys = F.broadcast(chosen) if chosen.count() <= 4 * most_docs else chosen
     joined = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(keys, "key").select("draw", "y", "text")
     looked = checkpoint(joined.mapInArrow(look, "draw double, y int, name string, ids binary"))
-    sizes = looked.groupBy("draw").agg(F.sum(F.octet_length("ids")).alias("n")).orderBy("draw").toPandas()
-    within = sizes.draw[sizes.n.cumsum() <= 4 * (1 + len(PREFIXES)) * most_words]
-    table = looked.where(F.col("draw") <= F.lit(float(within.max()) if len(within) else -1.0)).toArrow()
+    sizes = looked.groupBy("y", "draw").agg(F.sum(F.octet_length("ids")).alias("n")).orderBy("draw").toPandas()
+    taken = []
+    for y, part in ((0, 2 / 3), (1, 1 / 3)):
+        own, left = sizes[sizes.y == y], 4 * (1 + len(PREFIXES)) * most_words * part
+        before = len(taken)
+        for draw, n in zip(own.draw, own.n, strict=True):
+            if n <= left:
+                left -= n
+                taken.append((y, float(draw)))
+        if len(own) and len(taken) == before:
+            raise ValueError(f"no row of class {y} has as few words as the sample may have; raise most_words")
+    teach = F.broadcast(docs.sparkSession.createDataFrame(taken, "y int, draw double"))
+    table = looked.join(teach, ["y", "draw"], "left_semi").toArrow()
     # the order of tasks mustn't matter
     taught = sorted(zip(table["ids"].to_pylist(), table["name"].to_pylist(), table["y"].to_pylist(), strict=True))
     return [np.frombuffer(x[0], dtype="<i4").reshape(-1, 1 + len(PREFIXES)) for x in taught], [x[1] for x in taught], np.array([x[2] for x in taught], dtype=np.int64)
@@ -277,10 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 6000, most_words: i
 
 def score(docs: DataFrame, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score, predicted``: one row for each row of ``docs``, from its whole text alone. Null texts are empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    take = send(docs.sparkSession, network)[1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(take())
         for whole in batches:
             for batch in row_slices(whole, "text"):
                 scores = [scorer.score((t or b"").decode("utf-8", "replace")) for t in utf8(batch.column("text"))]
@@ -295,7 +305,8 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None, la
     """Fit on ``labels`` where ``learn`` holds, then score every row of ``docs``.
 
     Null keys and labels other than 0 and 1 teach nothing. Without a class's rows every score stays near
-    what the other class gives. An empty table gives no rows.
+    what the other class gives. Null and empty texts are scored alike, very long ones whole, repeated rows each. An
+    empty table gives no rows.
     """
     network = fit(docs, labels.where(learn) if learn is not None else labels, label=label, key=key, text=text, **bounds)
     return score(docs, network, key, text)
