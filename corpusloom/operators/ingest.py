@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,11 +125,13 @@ def meta_json(schema: T.StructType) -> Column:
     return F.when(value.isNull() | (value == ""), None).otherwise(F.to_json(F.struct(value.alias("raw"))))
 
 
-def normalize(usable: DataFrame, order: str | None = None) -> DataFrame:
+def normalize(usable: DataFrame, order: str | Sequence[str] | None = None) -> DataFrame:
     """Usable raw rows as normalised records (NFC texts, zipped passages, answer status, content hash).
 
-    The hash is of the texts before NFC. ``order`` names a column to carry along, for ``dedup``.
+    The hash is of the texts before NFC. ``order`` names columns to carry along, for ``dedup``. Rows that aren't usable
+    give records without meaning, and no error, as long as the table has all fields.
     """
+    order = [order] if isinstance(order, str) else list(order or ())
     rows = usable.withColumn("_hash", record_hash()).withColumn("_meta", meta_json(usable.schema)).withColumn("_zipped", zipped_passages())
     texts = X.nfc_all(F.flatten(F.transform("_zipped", lambda p: F.array(p["text_english"], p["text_target"]))))
     rows = rows.withColumn("_texts", texts)
@@ -153,7 +157,7 @@ def normalize(usable: DataFrame, order: str | None = None) -> DataFrame:
         F.lit(False).alias("is_duplicate_query_id"),
         F.lit(False).alias("is_exact_duplicate"),
         warned.alias("validation_warnings"),
-        *([F.col(order)] if order else []),
+        *map(F.col, order),
     )
 
 
@@ -204,10 +208,10 @@ def reconstruct(flat: DataFrame) -> DataFrame:
     return flat.withColumn("passages", passages).withColumn("validation_warnings", warned)
 
 
-def normalization_report(validated: DataFrame, records: DataFrame, order: str) -> DataFrame:
-    """The ingestion counters, in one row."""
+def normalization_report(validated: DataFrame, records: DataFrame, order: str, kept: DataFrame | None = None) -> DataFrame:
+    """The ingestion counters, in one row; ``kept``: what ``dedup`` gave, where it is written already."""
     rows = validated.agg(F.count("*").alias("input_rows_examined"), F.count_if(F.col("corruption_reason").isNotNull()).alias("malformed_records"), F.count_if(F.exists("validation_warnings", lambda w: w.startswith("empty_passages"))).alias("empty_passages_records"))
-    kept = dedup(records, order).agg(
+    kept = (dedup(records, order) if kept is None else kept).agg(
         F.count("*").alias("normalized_records"), F.count_if("has_answer").alias("answer_present_records"), F.count_if(~F.col("has_answer")).alias("no_answer_records"), F.coalesce(F.sum(F.size("passages")), F.lit(0)).alias("total_passages")
     )
     return rows.crossJoin(kept).crossJoin(dedup_stats(records, order))

@@ -17,7 +17,7 @@ from ..operators import ingest as I
 from ..operators import profile as P
 from ..operators import reports as R
 from ..operators import retrieval as S
-from ..sources.tables import first_rows, read_benchmark, read_chunks, row_count, with_place, write_chunks, write_json_lines
+from ..sources.tables import first_in_files, read_benchmark, read_chunks, row_count, write_chunks, write_json_lines
 from ..sources.vector_cells import VectorCells
 from ..sources.vector_store import VectorCollection, as_points, latest
 from . import oracle
@@ -151,7 +151,7 @@ def scan_row_counts(s, d):
 @query
 def scan_first_rows(s, d):
     """The first rows of a table in file order."""
-    return first_rows(with_place(s.read.parquet(f"{d}/documents.parquet")), 50, "place").select("doc_id", "n_chars")
+    return first_in_files(s.read.parquet(f"{d}/documents.parquet"), 50).select("doc_id", "n_chars")
 
 
 # ---- text ----
@@ -550,8 +550,8 @@ def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     asked, corpus = _turns(s, d)
     embedder = S.HashingEmbedder(oracle.DIM)
     # float32 vectors agree with other engines to five places, so equal scores are told apart by id from there
-    dense = S.dense_topk(S.embed(asked, embedder), S.embed(corpus, embedder), 30, places=5)
-    sparse = S.bm25_topk(asked, corpus, 30)
+    dense = stored(S.dense_topk(S.embed(asked, embedder), S.embed(corpus, embedder), 30, places=5), "dense")
+    sparse = stored(S.bm25_topk(asked, corpus, 30), "sparse")
     relevant = corpus.join(asked.select(F.col("query_id").alias("conv_id")), "conv_id", "left_semi").select(F.col("conv_id").alias("query_id"), "chunk_id")
     return S.retrieval_modes(dense, sparse), relevant
 

@@ -11,6 +11,7 @@ from dataclasses import asdict, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import scratch_path, stored
 from ..operators import benchmark as B
 from ..operators import chunking as C
 from ..operators import evaluation as E
@@ -19,10 +20,14 @@ from ..operators import profile as P
 from ..operators import reports as R
 from ..operators import retrieval as S
 from ..sources import tables
+from ..sources.term_index import TermIndex
 from ..sources.vector_store import VectorCollection
 from ..streaming.index_build import build_index
 
 
+#: What counts records, where a table has none.
+RECORD = "place string, source_record_hash string, raw_query_id long, has_answer boolean, passages array<int>"
+# The keys of manifests and run reports below are fixed values of their formats.
 NO_LEAK = "Answers and selection marks are never embedded, stored in queries or used as a filter; marks serve for ground truth alone."
 
 
@@ -34,32 +39,45 @@ def _one_row(spark: SparkSession, *rows: dict) -> DataFrame:
 
 
 def ingest(spark: SparkSession, file: str, output: str, limit: int | None = None) -> DataFrame:
-    """Raw Parquet to normalised records; ``limit`` counts malformed rows too, in file order. Returns the report."""
+    """Raw Parquet to normalised records; ``limit`` counts malformed rows too, in file order. Returns the report.
+
+    The raw table is read once: validated and normalised rows go into a table of the session, by whether they are usable,
+    and everything else reads that.
+    """
     began = time.perf_counter()
-    rows = tables.with_place(spark.read.parquet(file), "place")
-    rows = rows if limit is None else tables.first_rows(rows, limit, "place")
+    rows = spark.read.parquet(file)
+    rows = tables.with_place(rows) if limit is None else tables.first_in_files(rows, limit)
     validated = I.validate(rows)
-    usable, _ = I.split_corrupt(validated)
-    records = I.normalize(usable, "place")
-    tables.write_table(I.dedup(records, "place").drop("place"), f"{output}/normalized", skip_empty=True)
-    report = I.normalization_report(validated, records, "place")
+    checks = ["place", "corruption_reason", "validation_warnings"]
+    if I.schema_problem(rows.schema):
+        checked, records = stored(validated.select(*checks), "ingest"), None
+    else:
+        carried = I.normalize(validated, checks[:2]).withColumn("usable", F.col("corruption_reason").isNull())
+        path = scratch_path(spark, "ingest")
+        carried.write.mode("overwrite").partitionBy("usable").parquet(path)
+        whole = spark.read.schema(carried.schema).parquet(path)
+        checked, records = whole.select(*checks), whole.where("usable").drop("usable", "corruption_reason")
+        tables.write_table(I.dedup(records, "place").drop("place"), f"{output}/normalized", skip_empty=True)
+    written = spark.read.parquet(f"{output}/normalized") if records is not None and not records.isEmpty() else None
+    empty = validated.sparkSession.createDataFrame([], RECORD) if records is None else records
+    report = I.normalization_report(checked, empty, "place", empty if written is None else written)
     about = {
         "input_file": F.lit(file),
         "limit_applied": F.lit(limit).cast("long"),
         "input_rows_total_in_file": F.lit(tables.row_count(spark, file)).cast("long"),
-        "validation_warnings_total": F.lit(validated.agg(F.coalesce(F.sum(F.size("validation_warnings")), F.lit(0))).first()[0]).cast("long"),
+        "validation_warnings_total": F.lit(checked.agg(F.coalesce(F.sum(F.size("validation_warnings")), F.lit(0))).first()[0]).cast("long"),
         "processing_time_seconds": F.lit(round(time.perf_counter() - began, 3)),
     }
     tables.write_report(report.withColumns(about), f"{output}/normalization_report")
-    tables.write_table(I.corrupt_examples(validated, "place"), f"{output}/corrupt_examples")
-    tables.write_table(I.warning_counts(validated), f"{output}/warning_counts")
+    tables.write_table(I.corrupt_examples(checked, "place"), f"{output}/corrupt_examples")
+    tables.write_table(I.warning_counts(checked), f"{output}/warning_counts")
     return tables.read_report(spark, f"{output}/normalization_report")
 
 
 def chunk(spark: SparkSession, records: str, output: str, limit: int | None = None, strategies: Sequence[str] = C.STRATEGIES, normalization_report: str | None = None, least_chars: int = 10, drop_duplicates: bool = False, drop_short: bool = False) -> DataFrame:
     """Normalised records to chunks by strategy and language; ``limit`` is in file order. Returns the merged report."""
     rows = spark.read.parquet(records)
-    rows = rows if limit is None else tables.first_rows(tables.with_place(rows, "_place"), limit, "_place").drop("_place")
+    rows = rows if limit is None else tables.first_in_files(rows, limit, "_place").drop("_place")
     tables.write_chunks(C.drop_flagged(C.dedup_chunks(C.chunk_views(rows, strategies), least_chars), drop_duplicates, drop_short), output)
     chunks = tables.read_chunks(spark, output)
     before = tables.read_report(spark, normalization_report) if normalization_report else None
@@ -128,8 +146,9 @@ def retrieve(spark: SparkSession, query: str, collection: str, corpus: str, mode
     return S.retrieve(spark, query, S.get_embedder(model), store.points(filtered), spark.read.parquet(corpus), k, filtered, store.distance)
 
 
-def _stage_times(spark: SparkSession, queries: DataFrame, points: DataFrame, embedder, config: tables.RetrievalConfig, most: int) -> list[tuple[str, float]]:
-    """Milliseconds of each stage of single queries, for the first ``most`` of them by id, one at a time."""
+def _stage_times(spark: SparkSession, queries: DataFrame, points: DataFrame, terms: TermIndex, embedder, config: tables.RetrievalConfig, most: int | None) -> list[tuple[str, float]]:
+    """Milliseconds of each stage of single queries, for the first ``most`` of them by id (None: all), one at a time. The
+    term index is there before, so its building isn't timed."""
     times = []
 
     def timed(stage: str, f):
@@ -141,45 +160,47 @@ def _stage_times(spark: SparkSession, queries: DataFrame, points: DataFrame, emb
     def ranking(frame: DataFrame) -> DataFrame:
         return spark.createDataFrame(frame.orderBy("rank").collect(), frame.schema)
 
-    for row in queries.orderBy("query_id").limit(most).collect():
+    chosen = queries.orderBy("query_id")
+    for row in (chosen if most is None else chosen.limit(most)).toLocalIterator():
         vector, embedded = timed("embedding_ms", lambda: [float(x) for x in embedder.embed([row["text"]], is_query=True)[0]])  # noqa: B023
         asked = spark.createDataFrame([(row["query_id"], row["text"], vector)], "query_id string, text string, embedding array<float>")
         dense, searched = timed("dense_ms", lambda: ranking(S.dense_topk(asked, points, config.top_k, config.distance)))  # noqa: B023
         if "dense" in config.retrieval_modes:
             times.append(("total_dense_ms", embedded + searched))
         if "hybrid_rrf" in config.retrieval_modes:
-            sparse, matched = timed("sparse_ms", lambda: ranking(S.bm25_topk(asked, points, config.top_k)))  # noqa: B023
+            sparse, matched = timed("sparse_ms", lambda: ranking(terms.search(asked, config.top_k)))  # noqa: B023
             _, fused = timed("fusion_ms", lambda: S.rrf([dense, sparse], config.rrf_k).collect())  # noqa: B023
             times.append(("total_hybrid_ms", embedded + searched + matched + fused))
     return times
 
 
-def run_benchmark(spark: SparkSession, corpus: str, benchmark: str, output: str, config: tables.RetrievalConfig = tables.RetrievalConfig(), models: Sequence[str] | None = None, top_k: int | None = None, device: str = "cpu", warm_up_calls: int = 5, timed_queries: int = 3) -> dict[str, DataFrame]:
+def run_benchmark(spark: SparkSession, corpus: str, benchmark: str, output: str, config: tables.RetrievalConfig = tables.RetrievalConfig(), models: Sequence[str] | None = None, top_k: int | None = None, device: str = "cpu", warm_up_calls: int = 5, timed_queries: int | None = 3) -> dict[str, DataFrame]:
     """Metrics by mode, overall and by query type, for each model.
 
-    The corpus is embedded once a model, into a table. All queries are searched together for the metrics; the
-    latency percentiles by stage are of ``timed_queries`` queries that are run one at a time. Beside the
-    metrics lie the latencies and what the run was.
+    The corpus is embedded once a model, into a table, and split into words once, into a term index beside the results.
+    All queries are searched together for the metrics; the latency percentiles by stage are of ``timed_queries``
+    queries (None: of every one) that are run one at a time. Beside the metrics lie the latencies and what the run was.
     """
     config = replace(config, top_k=top_k or config.top_k)
     rows = spark.read.parquet(corpus)
     asked = tables.read_benchmark(spark, benchmark)
     relevant = E.relevance(asked)
     queries = asked.join(relevant, "query_id", "left_semi").select("query_id", "query_type", F.coalesce(F.nullif("query", F.lit("")), "Eng_Query").alias("text"))
-    found, runs = {}, []
+    found, runs, terms = {}, [], TermIndex(spark, f"{output}/terms")
+    terms.add(rows)
     for model in models or config.embedding_models or (config.local_test_only_embedder,):
         embedder = S.get_embedder(model, device)
         warm = S.warm_up(embedder, warm_up_calls)
         name = model.replace("/", "_").replace(":", "_")
         began = time.perf_counter()
-        tables.write_table(S.embed(rows.select("chunk_id", "text"), embedder), f"{output}/{name}/points")
+        tables.write_table(S.embed(rows.select("chunk_id", "text"), embedder).drop("text"), f"{output}/{name}/points")
         embedded = (time.perf_counter() - began) * 1000
         points = spark.read.parquet(f"{output}/{name}/points")
         dense = S.dense_topk(S.embed(queries, embedder, is_query=True), points, config.top_k, config.distance)
-        sparse = S.bm25_topk(queries, points, config.top_k)
+        sparse = terms.search(queries, config.top_k)
         ranked = S.retrieval_modes(dense, sparse, config.retrieval_modes, config.rrf_k)
         tables.write_table(ranked, f"{output}/{name}/ranked")
-        times = spark.createDataFrame(_stage_times(spark, queries, points, embedder, config, timed_queries), "stage string, ms double")
+        times = spark.createDataFrame(_stage_times(spark, queries, points, terms, embedder, config, timed_queries), "stage string, ms double")
         tables.write_report(E.latency_summary(times, "ms", ["stage"]), f"{output}/{name}/latency")
         size, n_asked = points.count(), queries.count()
         about = {"model": model, "status": "COMPLETE", "dimension": embedder.dimension, "is_test_only_proxy": model.startswith("TEST_ONLY:"), "device": device, "warmup_ms_excluded_from_latency": round(warm, 2), "warmup_calls": warm_up_calls, "corpus_size": size, "queries_evaluated": n_asked}

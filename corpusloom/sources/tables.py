@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import running_total
+
 BENCHMARK = "query_id string, query string, Eng_Query string, query_type string, source_lang string, target_lang string, has_answer boolean, answer_status string, ground_truth_parent_passage_ids array<string>, ground_truth_chunk_ids_by_strategy map<string,array<string>>"
 
 
@@ -58,6 +60,21 @@ def with_place(frame: DataFrame, name: str = "place") -> DataFrame:
     return frame.select("*", F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")).alias(name))
 
 
+def first_in_files(frame: DataFrame, n: int, name: str = "place") -> DataFrame:
+    """The first ``n`` rows of a table in file order, with their place (see ``with_place``). 0 gives none.
+
+    Rows are counted by file, from a scan that reads no column; the files before the last wanted row come whole, that one's
+    rows by their number. Nothing is sorted, and no task reads more than its files. A row of numbers for each file of the
+    table is joined by name.
+    """
+    counts = frame.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = running_total(counts, [], ["_file"], F.col("_rows"), "_before").where(F.col("_before") < n).select("_file", "_before")
+    rows = frame.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    placed = rows.join(before, F.col("_path") == F.col("_file")).where(F.col("_before") + F.col("_row") < n)
+    place = F.concat_ws(":", "_path", F.lpad(F.col("_row").cast("string"), 12, "0"))
+    return placed.select(*frame.columns, place.alias(name))
+
+
 def write_table(frame: DataFrame, path: str, skip_empty: bool = False) -> bool:
     """Overwrite a Parquet table; with ``skip_empty`` nothing is written for no rows."""
     if skip_empty and frame.isEmpty():

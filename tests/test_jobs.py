@@ -54,3 +54,31 @@ def test_all_jobs(spark, tiny, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         jobs.inspect(spark, f"{base}/nothing", f"{base}/failed")
     assert "FAILED" in spark.read.text(f"{base}/failed/failure").first().value
+
+
+def test_ingestion_reads_its_input_once(spark, tiny, tmp_path):
+    """Beside the count of rows, which reads no column, one scan of the raw table."""
+    raw_records(spark, tiny, broken=True).drop("record").repartition(3).write.parquet(f"{tmp_path}/raw")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    jobs.ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/out")
+    plans = [store.executionsList(i, 1).apply(0).physicalPlanDescription() for i in range(before, store.executionsCount())]
+    reads = [p for p in plans if f"InMemoryFileIndex [file:{tmp_path}/raw]" in p and "ReadSchema: struct<>" not in p]
+    assert len(reads) == 1 and "passages" in reads[0]
+    assert spark.read.parquet(f"{tmp_path}/out/warning_counts").count() > 0 and spark.read.parquet(f"{tmp_path}/out/corrupt_examples").count() > 0
+
+
+def test_ingestion_of_a_table_without_a_field(spark, tmp_path):
+    spark.createDataFrame([(1, "x"), (2, "y")], "query_id long, query string").write.parquet(f"{tmp_path}/raw")
+    report = jobs.ingest(spark, f"{tmp_path}/raw", f"{tmp_path}/out").first()
+    assert (report.input_rows_examined, report.malformed_records, report.normalized_records, report.exact_duplicates_dropped) == (2, 2, 0, 0)
+
+
+def test_first_in_files(spark, tmp_path):
+    spark.range(100).repartitionByRange(7, "id").write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t")
+    for n in (0, 1, 37, 100, 500):
+        got = tables.first_in_files(frame, n)
+        want = tables.first_rows(tables.with_place(frame), n, "place")
+        assert {(r.id, r.place) for r in got.collect()} == {(r.id, r.place) for r in want.collect()} and got.columns == ["id", "place"]
+    assert "TakeOrderedAndProject" not in got._jdf.queryExecution().executedPlan().toString()
