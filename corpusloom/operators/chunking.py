@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,10 +63,11 @@ def _pieces(strategy: str, rule: Rule | None, whole: int) -> tuple[Column, list[
     return F.when(kind == "SHORT", F.array("primary")).otherwise(cut), about
 
 
-def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE) -> DataFrame:
-    """Chunks of every passage by each strategy of ``rules``.
+def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE, least_chars: int | None = None) -> DataFrame:
+    """Chunks of every passage by each strategy of ``rules``; with ``least_chars`` flagged as ``dedup_chunks`` does.
 
-    Passages are made, split into sentences and counted once; the strategies' pieces become rows together.
+    Passages are made, split into sentences and counted once; the strategies' pieces become rows together. Equal texts
+    of a passage are found in its array of pieces, before they are rows, so that nothing is shuffled.
     """
     rows = passages(records)
     if any(rules.values()):
@@ -78,31 +79,22 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         rows = rows.withColumn("_paragraphs", X.paragraphs("primary"))
     made = {s: _pieces(s, rule, whole) for s, rule in rules.items()}
     rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
-    rows = rows.withColumn("chunk_strategy", F.explode(F.array(*map(F.lit, made))))
-
-    def chosen(of: dict[str, Column]) -> Column:
-        """The value of the row's own strategy."""
-        out = None
-        for strategy, value in of.items():
-            mine = F.col("chunk_strategy") == strategy
-            out = F.when(mine, value) if out is None else out.when(mine, value)
-        return out
-
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
-    rows = rows.select(*kept, "chunk_strategy", chosen({s: F.col(f"_pieces_{s}") for s in made}).alias("_pieces"), chosen({s: F.to_json(F.struct(*about)) for s, (_, about) in made.items()}).alias("_about"))
-    # each piece is split into words once; its counts, hash and word set come from them. Penalties are a column of
-    # their own, so that they aren't made where no quality is asked for
-    rows = rows.withColumn("_words", F.transform("_pieces", X.lower_words))
-    rows = rows.withColumn("_sets", F.transform("_words", F.array_distinct))
-    rows = rows.withColumn("_penalties", F.when(F.col("chunk_strategy") == "passage", F.array(F.lit(0.0))).otherwise(quality.penalties("_sets")))
-    counted = F.transform(
-        F.arrays_zip(F.col("_pieces").alias("text"), F.col("_words").alias("words"), F.col("_sets").alias("set")),
-        lambda p: F.struct(p["text"].alias("text"), F.size(p["words"]).alias("n_words"), F.size(p["set"]).alias("n_different"), F.sha2(F.array_join(p["words"], " "), 256).alias("hash")),
-    )
-    rows = rows.select(*kept, "chunk_strategy", "_about", "_penalties", counted.alias("_pieces"))
+    # overlaps are a column of their own, so that they aren't made where no quality is asked for
+    pieces = F.filter(F.concat(*[_counted(f"_pieces_{s}", at, s) for at, s in enumerate(made)]), lambda p: p["text"].isNotNull())
+    sets = lambda s: F.transform(f"_pieces_{s}", lambda t: F.transform(F.array_distinct(X.lower_words(t)), lambda w: F.xxhash64(w)))
+    shared = [F.array().cast("array<bigint>") if s == "passage" else quality.most_shared(sets(s)) for s in made]
+    abouts = F.array(*[F.struct(F.lit(s).alias("strategy"), F.to_json(F.struct(*about)).alias("about")) for s, (_, about) in made.items()])
+    every = pieces if least_chars is None else _groups(pieces, F.col("parent_passage_id"), list(made))
+    # before the rows are made: what stands beside an explode is evaluated for each of its rows
+    rows = rows.select(*kept, abouts.alias("_abouts"), F.array(*shared).alias("_shared"), every.alias("_every"))
     # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
-    rows = rows.select(*kept, "chunk_strategy", "_about", "_penalties", F.posexplode_outer("_pieces").alias("chunk_index", "_piece"))
-    rows = rows.select(*kept, "chunk_strategy", "_about", "chunk_index", F.col("_piece.text").alias("text"), "_piece", F.get("_penalties", F.col("chunk_index")).alias("_penalty")).where("text is not null")
+    rows = rows.select(*kept, "_abouts", "_shared", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
+    if least_chars is not None:
+        rows = rows.select(*kept, "_abouts", "_shared", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
+    own_view = F.get("_abouts", F.col("_piece.view"))
+    flags = [] if least_chars is None else ["_ids", "_strategies", "_place"]
+    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), F.col("_piece.text").alias("text"), "_piece", quality.penalty(F.get(F.get("_shared", F.col("_piece.view")), F.col("_piece.index")), F.col("_piece.n_different")).alias("_penalty")).where("text is not null")
     # a whole passage's quality is that of the target text unless that is empty; where it isn't the chunk's text it is blank
     scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
     rows = rows.withColumn("_scored", scored)
@@ -110,6 +102,14 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     chunks = quality.with_breakdown(rows, "_scored", dense, F.col("_penalty"), "_quality")
     split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
     breakdown = F.to_json(F.struct(F.col("_quality").alias("quality_breakdown")))
+    metadata = F.concat(F.substring(breakdown, 1, F.length(breakdown) - 1), F.lit(","), F.substring("_about", 2, 1 << 30))
+    duplicate, canonical, short = F.lit(False), F.lit(""), F.lit(False)
+    if least_chars is not None:
+        duplicate = F.col("_place") > 0
+        canonical = F.when(duplicate, F.get("_ids", F.lit(0))).otherwise("")
+        short = F.char_length("text") < least_chars
+        chunks, metadata = chunks.withColumn("_own", metadata), F.col("_own")
+        metadata = F.when((F.size("_ids") > 1) & ~duplicate, _with_copies(metadata, F.col("_ids"), F.col("_strategies"))).otherwise(metadata)
     return chunks.select(
         F.concat_ws("_", "parent_passage_id", "chunk_strategy", "chunk_index").alias("chunk_id"),
         *KEPT,
@@ -125,14 +125,63 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         F.col("_piece.n_words").alias("token_count_estimate"),
         F.char_length("text").alias("char_count"),
         F.col("_quality.quality_score").alias("quality_score"),
-        F.concat(F.substring(breakdown, 1, F.length(breakdown) - 1), F.lit(","), F.substring("_about", 2, 1 << 30)).alias("metadata"),
+        metadata.alias("metadata"),
         F.col("_piece.hash").alias("chunk_text_hash"),
-        F.lit(False).alias("is_duplicate_chunk"),
-        F.lit("").alias("duplicate_of_chunk_id"),
-        F.lit(False).alias("below_min_length"),
+        duplicate.alias("is_duplicate_chunk"),
+        canonical.alias("duplicate_of_chunk_id"),
+        short.alias("below_min_length"),
     ).select(*COLUMNS)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: whatever a lambda names from outside is made anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _counted(pieces: str, view: int, strategy: str) -> Column:
+    """A strategy's pieces with their counts and hash; a sort puts equal texts side by side, the preferred one first."""
+
+    def piece(text: Column, i: Column) -> Column:
+        return _let(
+            X.lower_words(text),
+            lambda words: F.struct(
+                F.sha2(F.array_join(words, " "), 256).alias("hash"), F.lit(STRATEGIES.index(strategy)).alias("order"), i.cast("string").alias("name"),
+                i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text"), F.size(words).alias("n_words"), F.size(F.array_distinct(words)).alias("n_different"),
+            ),
+        )
+
+    return F.transform(pieces, piece)
+
+
+def _groups(pieces: Column, parent: Column, strategies: Sequence[str]) -> Column:
+    """A passage's pieces by equal text: the pieces in order of preference, their chunk ids, the strategies that gave them.
+
+    The array is sorted once and cut where the hash changes, so a passage of many pieces takes no more than its sort.
+    """
+    strategy = lambda p: F.get(F.array(*map(F.lit, strategies)), p["view"])
+
+    def heads(ordered: Column) -> Column:
+        new = lambda p, i: (i == 0) | (p["hash"] != F.get(ordered, i - 1)["hash"])
+        return F.filter(F.transform(ordered, lambda p, i: F.when(new(p, i), i)), lambda i: i.isNotNull())
+
+    def group(own: Column) -> Column:
+        ids = F.transform(own, lambda p: F.concat_ws("_", parent, strategy(p), p["index"]))
+        return F.struct(own.alias("pieces"), ids.alias("ids"), F.array_sort(F.array_distinct(F.transform(own, strategy))).alias("strategies"))
+
+    def cut(ordered: Column) -> Column:
+        end = lambda at, n: F.coalesce(F.get(at, n + 1), F.size(ordered))
+        return _let(heads(ordered), lambda at: F.transform(at, lambda h, n: _let(F.slice(ordered, h + 1, end(at, n) - h), group)))
+
+    return _let(F.array_sort(pieces), cut)
+
+
+def _with_copies(metadata: Column, ids: Column, strategies: Column) -> Column:
+    """Metadata with a canonical chunk's copies and the strategies that gave its text."""
+    more = F.to_json(F.struct(F.slice(ids, 2, F.size(ids)).alias("duplicate_chunk_ids"), strategies.alias("contributing_strategies")))
+    body = F.regexp_replace(F.coalesce(metadata, F.lit("")), r"^\{|\}$", "")
+    return F.concat(F.lit("{"), body, F.when(body != "", ",").otherwise(""), F.substring(more, 2, 1 << 30))
+
+
 def passage_chunks(records: DataFrame) -> DataFrame:
     """The whole passage as it stands. Its quality is that of the target text unless that is empty."""
     return _views(records, {"passage": None})
@@ -163,6 +212,15 @@ def chunk_views(records: DataFrame, strategies: Sequence[str] = STRATEGIES) -> D
     return _views(records, {s: RULES[s] for s in STRATEGIES if s in strategies})
 
 
+def flagged_views(records: DataFrame, strategies: Sequence[str] = STRATEGIES, least_chars: int = 10) -> DataFrame:
+    """``dedup_chunks`` of ``chunk_views``, found inside each passage: no shuffle. Records' ids have to differ, as
+    ``ingest.dedup`` makes them."""
+    unknown = set(strategies) - set(STRATEGIES)
+    if unknown or not strategies:
+        raise ValueError(f"strategies are {', '.join(STRATEGIES)}")
+    return _views(records, {s: RULES[s] for s in STRATEGIES if s in strategies}, least_chars=least_chars)
+
+
 def dedup_chunks(chunks: DataFrame, least_chars: int = 10) -> DataFrame:
     """Flag equal texts within (parent_passage_id, language), never across passages, and texts under ``least_chars``.
 
@@ -174,10 +232,7 @@ def dedup_chunks(chunks: DataFrame, least_chars: int = 10) -> DataFrame:
     group = Window.partitionBy("parent_passage_id", "language", "chunk_text_hash").orderBy("_order", "chunk_id")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_ids", F.collect_list("chunk_id").over(whole)).withColumn("_strategies", F.array_sort(F.collect_set("chunk_strategy").over(whole))).withColumn("_place", F.row_number().over(group))
-    more = F.to_json(F.struct(F.slice("_ids", 2, F.size("_ids")).alias("duplicate_chunk_ids"), F.col("_strategies").alias("contributing_strategies")))
-    own = F.coalesce(F.nullif(F.col("metadata"), F.lit("")), F.lit("{}"))
-    enriched = F.concat(F.expr("left(_own, char_length(_own) - 1)"), F.when(F.col("_own") == "{}", "").otherwise(","), F.substring(more, 2, 1 << 30))
-    rows = rows.withColumn("_own", own)
+    enriched = _with_copies(F.col("metadata"), F.col("_ids"), F.col("_strategies"))
     rows = rows.withColumn("metadata", F.when((F.size("_ids") > 1) & (F.col("_place") == 1), enriched).otherwise(F.col("metadata")))
     rows = rows.withColumn("is_duplicate_chunk", F.col("_place") > 1).withColumn("duplicate_of_chunk_id", F.when(F.col("_place") > 1, F.get("_ids", F.lit(0))).otherwise(F.lit("")))
     rows = rows.withColumn("below_min_length", F.col("char_count") < least_chars)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -33,14 +36,80 @@ def boundary(text: str | Column) -> Column:
     return F.when(own == "", 0.0).otherwise(F.round(end + start, 3))
 
 
-def penalties(sets: str | Column) -> Column:
-    """Of each piece's word set (an array of arrays), half of the largest share of its words that another piece has."""
+#: Cells of a passage's matrix of pieces and words up to which all pairs come from one product.
+DENSE = 1 << 22
+
+
+def largest_overlaps(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each piece's different words (numbers; a piece's run ends at ``ends``), how many the piece that shares most has.
+
+    A piece that shares more than the best so far has one of the words that are over that number, in any order; in the
+    order of their rarity those are in few pieces. So a passage of many pieces meets few pairs.
+    """
+    n = len(ends)
+    starts = np.r_[0, ends[:-1]] if n else ends
+    sizes = ends - starts
+    best = np.zeros(n, dtype=np.int64)
+    if n < 2 or not len(words):
+        return best
+    known, codes, held = np.unique(words, return_inverse=True, return_counts=True)
+    piece = np.repeat(np.arange(n), sizes)
+    if n * len(known) <= DENSE:
+        has = np.zeros((n, len(known)), dtype=np.float32)
+        has[piece, codes] = 1
+        shared = has @ has.T
+        np.fill_diagonal(shared, 0)
+        return shared.max(1).astype(np.int64)
+    rank = np.empty(len(known), dtype=np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(known))
+    codes = rank[codes]
+    order = np.lexsort((codes, piece))
+    codes = codes[order]
+    by_word = np.argsort(codes, kind="stable")
+    pieces, first = piece[by_word], np.searchsorted(codes[by_word], np.arange(len(known) + 1))
+    for i in range(n):
+        own = codes[starts[i] : ends[i]]
+        near = [j for j in (i - 1, i + 1) if 0 <= j < n]
+        found = max(len(np.intersect1d(own, codes[starts[j] : ends[j]], assume_unique=True)) for j in near)
+        at = 0
+        while at < len(own) - found:
+            others = pieces[first[own[at]] : first[own[at] + 1]]
+            others = others[others != i]
+            others = others[sizes[others] > found]
+            for j in others.tolist():
+                found = max(found, len(np.intersect1d(own, codes[starts[j] : ends[j]], assume_unique=True)))
+                if found == len(own):
+                    break
+            at += 1
+        best[i] = found
+    return best
+
+
+def most_shared(sets: Column) -> Column:
+    """For an array of word sets (numbers), the largest number of words that each shares with another."""
+
+    def rows(sets: pa.Array) -> pa.Array:
+        inner = sets.flatten()
+        outer, cuts = sets.offsets.to_numpy(), inner.offsets.to_numpy()
+        values, base = inner.values.to_numpy(), 0
+        lengths = np.diff(outer)
+        found = [largest_overlaps(values[cuts[base + a] : cuts[base + b]], cuts[base + a + 1 : base + b + 1] - cuts[base + a]) for a, b in zip(outer[:-1] - outer[0], outer[1:] - outer[0], strict=True)]
+        offsets = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), pa.int64()))
+
+    rows.__annotations__ = {"sets": pa.Array, "return": pa.Array}
+    return F.arrow_udf(rows, T.ArrayType(T.LongType()))(sets)
+
+
+def penalty(shared: Column, different: Column) -> Column:
+    """Half of the share of a piece's words that another piece has; a piece without words has none."""
+    return F.when(F.coalesce(shared, F.lit(0)) == 0, 0.0).otherwise(F.round(F.least(shared / different * 0.5, F.lit(0.5)), 3))
 
-    def worst(own: Column, at: Column) -> Column:
-        shared = F.transform(sets, lambda other, i: F.when(i == at, 0).otherwise(F.size(F.array_intersect(own, other))))
-        return F.when(F.size(own) == 0, 0.0).otherwise(F.round(F.least(F.array_max(shared) / F.size(own) * 0.5, F.lit(0.5)), 3))
 
-    return F.transform(sets, worst)
+def penalties(sets: str | Column) -> Column:
+    """The penalty of each piece of a passage, from their word sets (an array of arrays)."""
+    ids = F.transform(sets, lambda own: F.transform(own, lambda w: F.xxhash64(w)))
+    return F.zip_with(most_shared(ids), sets, lambda n, own: penalty(n, F.size(own)))
 
 
 def with_breakdown(rows: DataFrame, text: str, dense: Column, penalty: Column, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return C.dedup_chunks(C.chunk_views(_records(s, d)))
+    return C.flagged_views(_records(s, d))
 
 
 def _stored_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -373,7 +373,7 @@ def _benchmark(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Chunks and the benchmark over them, both stored; records are made once for the two."""
     records = stored(_records(s, d), "records")
     path = scratch_path(s, "chunks")
-    write_chunks(C.dedup_chunks(C.chunk_views(records)).select(*STORED), path)
+    write_chunks(C.flagged_views(records).select(*STORED), path)
     chunks = read_chunks(s, path)
     sample = B.stratified_sample(B.eligible(records), oracle.SAMPLE)
     return chunks, stored(B.ground_truth(sample, chunks), "benchmark")

@@ -78,7 +78,7 @@ def chunk(spark: SparkSession, records: str, output: str, limit: int | None = No
     """Normalised records to chunks by strategy and language; ``limit`` is in file order. Returns the merged report."""
     rows = spark.read.parquet(records)
     rows = rows if limit is None else tables.first_in_files(rows, limit, "_place").drop("_place")
-    tables.write_chunks(C.drop_flagged(C.dedup_chunks(C.chunk_views(rows, strategies), least_chars), drop_duplicates, drop_short), output)
+    tables.write_chunks(C.drop_flagged(C.flagged_views(rows, strategies, least_chars), drop_duplicates, drop_short), output)
     chunks = tables.read_chunks(spark, output)
     before = tables.read_report(spark, normalization_report) if normalization_report else None
     if before is None:

@@ -46,7 +46,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, config: s
         validated = ingest.validate(raw_records(docs, marks, known))
         usable, corrupt = ingest.split_corrupt(validated)
         records = ingest.dedup(ingest.normalize(usable, "place"), "place").drop("place")
-        chunks = chunking.dedup_chunks(chunking.chunk_views(records, known["strategies"]), known["least_chars"])
+        chunks = chunking.flagged_views(records, known["strategies"], known["least_chars"])
         kept = chunking.drop_flagged(chunks, known["drop_duplicates"], known["drop_short"])
         kept.write.mode("overwrite").partitionBy("chunk_strategy", "language").parquet(f"{output}/chunks")
         corrupt.groupBy("corruption_reason").agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{output}/rejected")
