@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 A candidate token's encoding is inferred from its alphabet. Tests then ask whether its characters look drawn at
-random from that alphabet: chi-squared uniformity, runs (about the alphabet's middle, and of digits, lower and
-upper case), and lag-one serial correlation. What passes them is ranked by a combination of the same three under
+random from that alphabet: chi-squared uniformity (of its characters, and of digits, lower and upper case), runs (about
+the alphabet's middle, and of digits, lower and upper case), lag-one serial correlation, and whether the bytes that it
+encodes have as many high bits as random ones (encoded text has few). What passes them is ranked by a combination of the same three under
 written language, which depends on the token's length, and thresholds that hold the false discovery rate are set
 for each length class over the whole corpus.
 """
@@ -49,6 +50,11 @@ def infer(token: str) -> tuple[int, np.ndarray]:
     return BASE64, np.zeros(0, dtype=np.int64)
 
 
+def kind_of(c: str) -> int:
+    """1 digit, 2 lower, 3 upper case; 0 what joins words."""
+    return 1 if c.isdigit() else 2 if c.islower() else 3 if c.isupper() else 0
+
+
 def _written(encoding: int) -> np.ndarray:
     """Frequencies of an encoding's characters in written tokens: mostly letters of one case, some of the other, some digits."""
     share = np.full(len(ALPHABETS[encoding]), 2e-3)
@@ -83,11 +89,6 @@ class Null:
         return cls(size, weights, (mean, math.sqrt(float(share @ weights**2) - mean**2)), float(weights.mean()), float(kinds.sum() ** 2 - (kinds**2).sum()) / float(kinds.sum() ** 2))
 
 
-def kind_of(c: str) -> int:
-    """1 digit, 2 lower, 3 upper case; 0 what joins words."""
-    return 1 if c.isdigit() else 2 if c.islower() else 3 if c.isupper() else 0
-
-
 NULLS = tuple(Null.of(e) for e in range(4))
 #: A test vetoes a token whose statistic random characters would give less often than this.
 VETO = 1e-3
@@ -97,6 +98,12 @@ SPREAD = 1.5
 JOINTS, ECHO = 0.15, (0.15, 0.15)
 
 
+#: Kinds of characters (what joins words counts with digits) and their shares, by encoding.
+SHARES = tuple(np.bincount([max(1, kind_of(c)) for c in alphabet], minlength=4)[1:] / len(alphabet) for alphabet in ALPHABETS)
+#: Bits of a character's value, by encoding.
+WIDTHS = (4, 5, 6, 6)
+
+
 def _tail(z: float) -> float:
     """The normal's lower tail at z."""
     return 0.5 * math.erfc(-z / math.sqrt(2))
@@ -134,6 +141,28 @@ def serial(codes: np.ndarray) -> float | None:
     return float((centred[1:] * centred[:-1]).sum()) / power if power else None
 
 
+def kinds_p(encoding: int, token: str) -> float:
+    """Pearson's chi-squared of digits, lower and upper case against their shares in the alphabet; its upper tail."""
+    share = SHARES[encoding]
+    plain = token.lower() if encoding == HEXADECIMAL else token
+    seen = np.bincount([max(1, kind_of(c)) for c in plain], minlength=4)[1:]
+    kinds = share > 0
+    expected = share[kinds] * len(token)
+    x = float(((seen[kinds] - expected) ** 2 / expected).sum())
+    return math.exp(-x / 2) if kinds.sum() == 3 else math.erfc(math.sqrt(x / 2))
+
+
+def high_bits_p(encoding: int, codes: np.ndarray) -> float:
+    """How likely random characters encode bytes with as few high bits as these: text has none or few."""
+    width = WIDTHS[encoding]
+    bits = (codes[:, None] >> np.arange(width - 1, -1, -1) & 1).reshape(-1)
+    n = len(bits) // 8
+    high = int(bits[: 8 * n : 8].sum())
+    if n > 512:
+        return _tail((high + 0.5 - n / 2) / math.sqrt(n / 4))
+    return sum(math.comb(n, i) for i in range(high + 1)) / 2**n
+
+
 def written_p(encoding: int, codes: np.ndarray, token: str) -> float:
     """How likely written tokens of this length look as random as this one does.
 
@@ -149,6 +178,8 @@ def written_p(encoding: int, codes: np.ndarray, token: str) -> float:
     run_z, echo = runs(codes, null.size), serial(codes)
     if run_z is None or echo is None:
         return 1.0
+    if kinds_p(encoding, token.rstrip("=")) < VETO or high_bits_p(encoding, codes) < VETO:
+        return 1.0
     change_z = (changed - neighbours * null.changes) / math.sqrt(neighbours * null.changes * (1 - null.changes))
     if _tail(-uniformity(codes, null.size)) < VETO or 2 * _tail(-max(abs(run_z), abs(change_z), abs(echo) * math.sqrt(n))) < VETO:
         return 1.0
@@ -231,7 +262,8 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, key: str = "doc_id", text:
     """``key, n_assign, n_access, n_hex, spans``: one row for each row of ``docs``.
 
     ``spans`` (array of kind, start, end in code points, the end exclusive) holds the fixed patterns' matches
-    and, as kind ``random``, tokens of 20 or more characters outside them that pass the battery. Only a table
+    and, as kind ``random``, tokens of 20 or more characters outside them that pass the battery. Very long texts are
+    read whole, and repeated rows are scanned each. Only a table
     of counts by length class and p-value bin, of bounded size, comes to the driver. Null texts are empty
     and have no spans; keys may repeat or be null; an empty table gives no rows.
     """

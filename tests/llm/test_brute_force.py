@@ -1,6 +1,8 @@
 """Queries without SQL against brute-force versions, exact round trips and held-out accuracy."""
 
+import base64
 import hashlib
+import math
 import random
 import re
 import string
@@ -134,6 +136,35 @@ def written_token(rng, n):
     return token[:n]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_false_discoveries_among_encoded_text(seed):
+    """Random tokens among written ones, encoded phrases and pod-style names: the found ones are random, at the query's rate."""
+    rng = random.Random(seed)
+    phrase = lambda: " ".join(rng.choices(WORDS, k=rng.randrange(3, 7))).encode()
+    tail = lambda n: "".join(rng.choices("bcdfghjklmnpqrstvwxz2456789", k=n))
+    drawn = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.randrange(20, 41))) for _ in range(100)]
+    others = [written_token(rng, rng.randrange(20, 41)) for _ in range(3000)]
+    others += [base64.b64encode(phrase()).decode() for _ in range(400)] + [base64.urlsafe_b64encode(phrase()).decode().rstrip("=") for _ in range(100)]
+    others += ["-".join([rng.choice(WORDS), rng.choice(WORDS), tail(10), tail(5)]) for _ in range(400)]
+    others += [base64.b32encode(phrase()).decode() for _ in range(200)] + [phrase().hex().upper() for _ in range(200)]
+    cells = [[c for _, _, c in secret_scan.candidates(t, [])] for t in (*drawn, *others)]
+    floor = secret_scan.thresholds(Counter(c for found in cells for c in found), 0.01)
+    passed = [any(c % secret_scan.BINS >= floor.get(c // secret_scan.BINS, secret_scan.BINS) for c in found) for found in cells]
+    assert sum(passed[:100]) >= 95 and sum(passed[100:]) <= 0.05 * sum(passed)
+
+
+def test_bytes_of_encoded_text():
+    """Binomial tails of high bits, against counting them in the decoded bytes."""
+    rng = random.Random(4)
+    for n in (9, 30, 300):
+        raw = bytes(rng.randrange(256) for _ in range(n))
+        for token, encoding in ((base64.b64encode(raw).decode(), secret_scan.BASE64), (raw.hex(), secret_scan.HEXADECIMAL)):
+            codes = np.array([secret_scan.ALPHABETS[encoding].index(c) for c in token.rstrip("=")])
+            high = sum(b >> 7 for b in raw)
+            assert secret_scan.high_bits_p(encoding, codes) == pytest.approx(sum(math.comb(n, i) for i in range(high + 1)) / 2**n, abs=1e-12)
+    assert secret_scan.kinds_p(secret_scan.ALPHANUMERIC, "a" * 40) < 1e-9 < 0.5 < secret_scan.kinds_p(secret_scan.ALPHANUMERIC, "abcdefghijklmABCDEFGHIJKLM01234")
+
+
 @pytest.mark.parametrize(
     ("letters", "least"),
     [
