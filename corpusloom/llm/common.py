@@ -29,11 +29,21 @@ def send(spark: SparkSession, value) -> tuple[Broadcast, Callable[[], object]]:
     return shared, lambda: pickle.loads(shared.value)
 
 
+#: Rows of keys and numbers that are sent to every task, at most; more are joined by a shuffle.
+SENT = 1 << 20
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """Narrow stored rows, marked for sending where they are counted to be few enough."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def without(docs: DataFrame, components: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` but those of a key that is nowhere its own component; the few keys that go are what is joined."""
+    """The rows of ``docs`` but those of a key that is nowhere its own component; the few keys that go are what is joined, and
+    where they are few enough no text moves."""
     kept = F.max(F.col(key).eqNullSafe(F.col("component")).cast("int"))
-    lost = components.groupBy(key).agg(kept.alias("kept")).where("kept = 0").select(F.col(key).alias("__loom_lost"))
-    return docs.join(lost, F.col(key).eqNullSafe(F.col("__loom_lost")), "left_anti")
+    lost = checkpoint(components.groupBy(key).agg(kept.alias("kept")).where("kept = 0").select(F.col(key).alias("__loom_lost")))
+    return docs.join(sent(lost), F.col(key).eqNullSafe(F.col("__loom_lost")), "left_anti")
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
