@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.frames import union_all
 from .common import checkpoint, connected_components
 
 #: Anchors: common words of English, French, German and Spanish. Fixed values.
@@ -113,31 +114,62 @@ def compare_with_edits(docs: DataFrame, chain: int = 2, key: str = "doc_id", tex
     return with_signatures(met, "edited", "edited_signatures", chain).withColumnRenamed("key", key)
 
 
-def _sides(entries: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the join of sets that share an index entry, by ``bucket, entry, l, r``.
+#: Random sets of an index entry that all its others are compared with before the rest is.
+HUBS = 3
 
-    A bucket is a length partition; on the left it has its own sets, on the right also the next partition's. A
-    bucket whose right side has more than ``most`` rows is dealt out in blocks on either side, and each pair of
-    blocks is a key of its own, so that no task holds more than about ``most`` rows of a side.
+
+def _sides(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of classes (``bucket, entry, class``) that share an index entry, by ``bucket, entry, l, r``.
+
+    An entry with more than ``most`` classes is dealt out in blocks on either side, and each pair of blocks is a key of
+    its own, so that no task holds more than about ``most`` rows of a side.
     """
-    right = entries.withColumn("bucket", F.explode(F.array("part", F.col("part") - 1)))
-    heavy = checkpoint(right.groupBy("bucket", "entry").count().where(F.col("count") > most).select("bucket", "entry", F.ceil(F.col("count") / most).alias("n")))
+    heavy = checkpoint(rows.groupBy("bucket", "entry").count().where(F.col("count") > most).select("bucket", "entry", F.ceil(F.col("count") / most).alias("n")))
     heavy = F.broadcast(heavy) if heavy.count() <= MOST_SENT else heavy
 
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        rows = rows.join(heavy, ["bucket", "entry"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
-        return rows.withColumn(own, F.pmod(F.xxhash64("set"), F.col("n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+    def dealt(own: str, other: str) -> DataFrame:
+        n = rows.join(heavy, ["bucket", "entry"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+        return n.withColumn(own, F.pmod(F.xxhash64("class"), F.col("n"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n")
+
+    return dealt("l", "r"), dealt("r", "l")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of pairs (``a, b``) those whose pruned Jaccard reaches ``least``, once each."""
+    one, two = sets.select(F.col("set").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("set").alias("b"), F.col("s").alias("s_b"))
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return once.join(one, "a").join(two, "b").where(pruned_jaccard("s_a", "s_b", least) >= least).select("a", "b")
+
+
+def _star(members: DataFrame, least: float) -> DataFrame:
+    """Of each bucket's entry ``HUBS`` random sets with all its others whose lengths allow ``least``: so many rows a set, at most."""
+    hubs = [F.min_by(F.struct("set", "size"), F.xxhash64("set", F.lit(n))) for n in range(HUBS)]
+    chosen = members.groupBy("bucket", "entry").agg(F.count("*").alias("n"), F.array(*hubs).alias("hubs")).where("n > 1")
+    pairs = members.join(chosen.select("bucket", "entry", F.explode(F.array_distinct("hubs")).alias("hub")), ["bucket", "entry"])
+    allowed = F.least("size", "hub.size") >= F.lit(least) * F.greatest("size", "hub.size")
+    return pairs.where((F.col("set") != F.col("hub.set")) & allowed).select(F.col("set").alias("a"), F.col("hub.set").alias("b"))
 
-    return dealt(entries.withColumn("bucket", F.col("part")), "l", "r"), dealt(right, "r", "l")
+
+def _between(members: DataFrame, least: float, most: int) -> DataFrame:
+    """Pairs of sets that share an entry and are of different classes (``members`` with ``class``): what an entry's copies,
+    in one class by now, have among themselves is no pair."""
+    left, right = _sides(members.select("bucket", "entry", "class").distinct(), most)
+    right = right.withColumnRenamed("class", "other")
+    classes = left.join(right, ["bucket", "entry", "l", "r"]).where("class < other").select("bucket", "entry", "class", "other")
+    other = members.select("bucket", "entry", F.col("class").alias("other"), F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
+    pairs = classes.join(members, ["bucket", "entry", "class"]).join(other, ["bucket", "entry", "other"])
+    near = (F.col("part") == F.col("bucket")) | (F.col("part_b") == F.col("bucket"))
+    return pairs.where(near & (F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b"))).select(F.col("set").alias("a"), "b")
 
 
 def similar_documents(docs: DataFrame, least: float = 0.8, chain: int = 2, most: int = 1 << 12, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, component``: near-duplicate classes at Jaccard ``least`` of SpotSigs sets; component is the smallest key.
 
     Equal sets are one. A different set is indexed by the first |S| - ceil(least |S|) + 1 of its signatures,
-    the rarest first (by the number of different sets that have them), under its length partition. Sets of the
-    same or neighbouring partitions that share an entry, and whose lengths allow ``least``, are compared by the
-    pruned Jaccard; for ``most`` see ``_sides``. Null keys get component null, or their class's; documents without
+    the rarest first (by the number of different sets that have them), under its length partition. Of sets of the
+    same or neighbouring partitions that share an entry, and whose lengths allow ``least``, all are first compared
+    with a few of them by the pruned Jaccard, which links an entry's near copies; then those that are still in different
+    classes with each other; for ``most`` see ``_sides``. Null keys get component null, or their class's; documents without
     words are one class. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -148,13 +180,12 @@ def similar_documents(docs: DataFrame, least: float = 0.8, chain: int = 2, most:
     size = F.size("ranked")
     prefix = F.slice("ranked.entry", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))
     entries = checkpoint(ranked.select("set", size.alias("size"), length_partition("ranked", least).alias("part"), F.explode(prefix).alias("entry")))
-    left, right = _sides(entries, most)
-    right = right.select("bucket", "entry", "l", "r", F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
-    pairs = left.join(right, ["bucket", "entry", "l", "r"]).where((F.col("set") < F.col("b")) | ((F.col("part") < F.col("part_b")) & (F.col("set") != F.col("b"))))
-    pairs = pairs.where(F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b")).select(F.col("set").alias("a"), "b").distinct()
-    one, two = sets.select(F.col("set").alias("a"), F.col("s").alias("s_a")), sets.select(F.col("set").alias("b"), F.col("s").alias("s_b"))
-    near = pairs.join(one, "a").join(two, "b").where(pruned_jaccard("s_a", "s_b", least) >= least).select("a", "b")
-    roots = connected_components(near)
+    # a bucket is a length partition; it holds its own sets and the next partition's
+    members = entries.withColumn("bucket", F.explode(F.array("part", F.col("part") - 1)))
+    first = checkpoint(_alike(_star(members, least), sets, least))
+    classed = checkpoint(connected_components(first).withColumnRenamed("node", "set"))
+    members = checkpoint(members.join(classed, "set", "left").select("bucket", "entry", "set", "size", "part", F.coalesce("root", "set").alias("class")))
+    roots = connected_components(union_all([first, _alike(_between(members, least, most), sets, least)]))
     known = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     known = checkpoint(known)
     smallest = known.groupBy("root").agg(F.min("least").alias("component"))

@@ -6,7 +6,7 @@ import sys
 
 import pytest
 
-from corpusloom.llm import decontamination, toxicity
+from corpusloom.llm import decontamination, spotsigs, toxicity
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -40,6 +40,24 @@ def test_each_class_has_its_share_of_words(spark):
     assert 0.25 < y.mean() < 0.4 and len(y) <= 99
 
 
+def test_near_copies_give_links_in_proportion(spark, monkeypatch):
+    """Different sets of one class: pairs that are compared grow with the copies, not with their square."""
+    compared = {}
+    alike = spotsigs._alike
+
+    def counting(pairs, sets, least):
+        compared[n] = compared.get(n, 0) + pairs.distinct().count()
+        return alike(pairs, sets, least)
+
+    monkeypatch.setattr(spotsigs, "_alike", counting)
+    base = [f"the word{i} term{i}" for i in range(40)]
+    for n in (40, 160):
+        rows = [(i, " ".join(x if j != i % 40 else f"the odd{i} one{i}" for j, x in enumerate(base))) for i in range(n)] + [(1000 + i, f"the word0 term0 of any{i} kind{i} is all{i} here{i}") for i in range(5)]
+        found = {r.doc_id: r.component for r in spotsigs.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(found[i] == 0 for i in range(n)) and all(found[1000 + i] == 1000 + i for i in range(5))
+    assert compared[160] < 6 * compared[40] and compared[160] < 160 * 159 / 2
+
+
 @pytest.mark.parametrize("most_words", [3, 10, 17, 60, 10_000])
 def test_a_long_item_is_cut_into_pieces(spark, most_words):
     """Each automaton keeps its bound, and every window is found."""
