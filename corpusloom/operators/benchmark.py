@@ -11,6 +11,10 @@ from ..functions.frames import union_all
 FIELDS = ("query_id", "query_target", "query_english", "query_type", "source_lang", "target_lang", "has_answer", "answer_status", "passages")
 
 
+#: Types that a sample is drawn by, at most.
+MOST_TYPES = 10_000
+
+
 def eligible(records: DataFrame, require_answer: bool = False) -> DataFrame:
     """Records with a selected passage (and an answer, if required)."""
     rows = records.where(F.exists("passages", lambda p: p["is_selected"] == 1))
@@ -81,9 +85,11 @@ def seeded_draw(rows: DataFrame, wanted: dict[str, int], seed: int, key: str, by
 def stratified_sample(records: DataFrame, size: int, seed: int = 42, by: str = "query_type", key: str = "query_id") -> DataFrame:
     """Rows by quota of each type, in a seeded order: ``records`` with ``sample_place`` (1, 2, ... over the sample).
 
-    Quotas come from one small aggregate; see ``seeded_draw`` for the rows. Keys don't repeat.
+    Quotas come from one small aggregate, of ``MOST_TYPES`` types at most; see ``seeded_draw`` for the rows. Keys don't repeat.
     """
-    counts = {r[by]: r["count"] for r in records.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
+    counts = {r[by]: r["count"] for r in records.where(F.col(by).isNotNull()).groupBy(by).count().limit(MOST_TYPES + 1).collect()}
+    if len(counts) > MOST_TYPES:
+        raise ValueError(f"{by} has more than {MOST_TYPES} values")
     shares = {k: v for k, v in quotas(counts, size).items() if v > 0} if counts else {}
     if not shares:
         return records.limit(0).withColumn("sample_place", F.lit(None).cast("int"))

@@ -33,6 +33,8 @@ def latest(rows: DataFrame, key: str = "point_id", version: str = "version") ->
 ROUTED = ("chunk_strategy", "language", "query_type")
 #: Pairs of superseded points that are sent to every task, at most; more are joined by a shuffle.
 SENT = 1 << 21
+#: Version numbers between two batches of a stream: room for the merges after a batch.
+STEP = 64
 
 
 class VectorCollection:
@@ -73,16 +75,21 @@ class VectorCollection:
         return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
+        """The versions that are written whole; what a failed write left isn't read."""
         folder, system = self._folder()
         names = [s.getPath().getName() for s in system.listStatus(folder)]
-        return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+        numbers = sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+        return [n for n in numbers if system.exists(self._path(f"version={n}/_SUCCESS"))]
 
     def _write(self, points: DataFrame, version: int) -> None:
         folders = {f"by_{c}": F.concat(F.lit("v_"), F.coalesce(c, F.lit(""))) for c in ROUTED if c in points.columns}
         points.withColumns(folders).write.mode("overwrite").partitionBy(*folders).parquet(f"{self.path}/version={version}")
 
+    def _rows(self, versions: Sequence[int]) -> DataFrame:
+        return self.spark.read.parquet(self.path).where(F.col("version").isin(list(versions)))
+
     def _ids(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).select("point_id", F.col("version").cast("long").alias("version"))
+        return self._rows(self.versions()).select("point_id", F.col("version").cast("long").alias("version"))
 
     def _note_superseded(self, version: int) -> None:
         """Of the points that this version shares with others, the older version of each pair. Ids alone move."""
@@ -112,13 +119,39 @@ class VectorCollection:
         noted = self.spark.read.parquet(f"{self.path}/_superseded")
         return noted.where(F.col("by").isin(self.versions())).select("point_id", "version").distinct()
 
-    def points(self, query_filter: Mapping[str, str] | None = None) -> DataFrame:
-        """The last version of each point; with ``query_filter`` those whose columns have the given values.
+    def upsert_batch(self, points: DataFrame, number: int, order: str | None = None) -> None:
+        """``upsert`` of a stream's batch (numbers from 0), after which versions are merged by powers of two: n batches leave
+        as many versions as n has ones in binary, and a point is written again log n times at most.
+
+        A batch that is run again after a failure ends in the same state: a merge that is whole isn't made anew, what it
+        replaced goes, and until then readers leave the replaced points out.
+        """
+        version = (number + 1) * STEP
+        self.upsert(points, version, order)
+        level = ((number + 1) & -(number + 1)).bit_length() - 1
+        if level:
+            self._merge((number + 1 - (1 << level)) * STEP + STEP - 1, version + level)
+
+    def _merge(self, after: int, into: int) -> None:
+        """Write what the versions after one and before another hold as that other one, and drop them."""
+        versions = self.versions()
+        older = [v for v in versions if after < v < into]
+        if into not in versions:
+            self._write(self.points(versions=older), into)
+        self._note_superseded(into)
+        system = self._folder()[1]
+        for number in older:
+            system.delete(self._path(f"version={number}"), True)
+            system.delete(self._path(f"_superseded/by={number}"), True)
+        self._note_superseded(into)
+
+    def points(self, query_filter: Mapping[str, str] | None = None, versions: Sequence[int] | None = None) -> DataFrame:
+        """The last version of each point (of some versions'); with ``query_filter`` those whose columns have the given values.
 
         Filters name folders, before anything is joined. Up to ``SENT`` superseded points are sent to the tasks, which
         then need no shuffle; a filter looks at a point's last version alone.
         """
-        given, rows = check_filter(query_filter), self.spark.read.parquet(self.path)
+        given, rows = check_filter(query_filter), self._rows(self.versions() if versions is None else versions)
         folders = [c for c in rows.columns if c.startswith("by_")]
         for name, value in given.items():
             rows = rows.where(F.col(name) == value)

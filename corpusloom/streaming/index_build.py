@@ -38,7 +38,7 @@ def _settings(spark: SparkSession, path: str):
 def build_index(spark: SparkSession, corpus: str, collection: str, progress: str, model: str = "TEST_ONLY:dim256", device: str = "cpu", batch_files: int = 16) -> int:
     """Embed and upsert the chunk files of ``corpus`` that earlier runs haven't, in batches of ``batch_files`` files.
 
-    Of a chunk's rows in one batch the last in file order wins; later batches win over earlier ones. The stream's checkpoint in ``progress`` notes a batch after its upsert. A batch that is run again writes
+    Batches' versions are merged by powers of two as they come, so that many batches leave few versions. Of a chunk's rows in one batch the last in file order wins; later batches win over earlier ones. The stream's checkpoint in ``progress`` notes a batch after its upsert. A batch that is run again writes
     the same version again, so an interrupted build goes on where it stopped and nothing counts twice. An
     incompatible earlier run, or one over files that have changed since, is dropped, and the collection made
     anew. Returns the number of points.
@@ -57,7 +57,7 @@ def build_index(spark: SparkSession, corpus: str, collection: str, progress: str
 
     def upsert(batch: DataFrame, number: int) -> None:
         rows = embed(batch, embedder)
-        target.upsert(as_points(rows, also=["place"]), number, order="place")
+        target.upsert_batch(as_points(rows, also=["place"]), number, order="place")
 
     schema = spark.read.parquet(corpus).schema
     stream = with_place(spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(corpus), "place")

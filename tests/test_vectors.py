@@ -164,6 +164,42 @@ def test_versions_without_moving_vectors(spark, tmp_path):
     assert store.versions() == [9] and store.superseded() is None and store.count() == len(want)
 
 
+def test_batches_leave_few_versions(spark, tmp_path, monkeypatch):
+    """Merges by powers of two; a failure before, within or after a merge's deletes, and the batch run again, lose nothing."""
+    store, want, fail = VectorCollection(spark, f"{tmp_path}/c", create=True), {}, {}
+    delete, write = VectorCollection._note_superseded, VectorCollection._write
+
+    def noting(self, version):
+        fail["notes"] = fail.get("notes", 0) + 1
+        if fail["notes"] == fail.get("at"):
+            raise RuntimeError("lost")
+        delete(self, version)
+
+    def writing(self, rows, version):
+        if fail.get("write") == version:
+            fail["write"] = None
+            write(self, rows.limit(1), version)
+            self._folder()[1].delete(self._path(f"version={version}/_SUCCESS"), False)
+            raise RuntimeError("lost")
+        write(self, rows, version)
+
+    monkeypatch.setattr(VectorCollection, "_note_superseded", noting)
+    monkeypatch.setattr(VectorCollection, "_write", writing)
+    for number in range(16):
+        rows = [(f"k{(number * 3 + i) % 11}", "target", "X", [float(number)]) for i in range(4)]
+        batch = points(spark, rows).coalesce(1)
+        want |= {r[0]: float(number) for r in rows}
+        fail |= {"notes": 0, "at": {3: 2, 7: 3, 11: 1}.get(number), "write": {5: 6 * 64 + 1, 15: 16 * 64}.get(number)}
+        if fail["at"] or fail["write"]:
+            with pytest.raises(RuntimeError):
+                store.upsert_batch(batch, number)
+        fail |= {"at": None}
+        store.upsert_batch(batch, number)
+        assert {r.chunk_id: r.embedding[0] for r in store.points().collect()} == want
+        assert len(store.versions()) == (number + 1).bit_count()
+    assert store.versions() == [16 * 64 + 4] and store.count() == 11
+
+
 def test_last_in_a_batch_wins(spark, tmp_path):
     """Of a chunk's rows in the files of one batch the last in file order is what is stored."""
     schema = "chunk_id string, language string, query_type string, text string"
