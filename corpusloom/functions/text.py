@@ -32,14 +32,45 @@ def strip(value: str | Column) -> Column:
     return F.btrim(filled(value), F.lit(BLANKS))
 
 
+def _may_change() -> str:
+    """A pattern that finds something in every text that NFC changes, and nothing in most texts of Latin and Indic scripts.
+
+    Below U+0300 nothing changes. In the Indic blocks a text changes only by a character that changes alone, by two marks
+    in a row (or a mark after a letter that ends in one), or by two characters that compose; they come from the Unicode
+    tables. Any other character is looked at in Python.
+    """
+    block = [chr(c) for c in range(0x900, 0xE00)]
+    alone = [c for c in block if unicodedata.normalize("NFC", c) != c]
+    marks = [c for c in block if unicodedata.combining(c)]
+    ends = [c for c in block if unicodedata.combining(unicodedata.normalize("NFD", c)[-1])]
+    pairs: dict[str, list[str]] = {}
+    for c in block:
+        parts = [chr(int(x, 16)) for x in unicodedata.decomposition(c).split() if not x.startswith("<")]
+        if len(parts) == 2 and unicodedata.normalize("NFC", c) == c:
+            pairs.setdefault(parts[0], []).append(parts[1])
+    of = lambda chars: "[" + "".join(f"\\u{ord(c):04X}" for c in chars) + "]"
+    composed = [f"{of(a)}{of(b)}" for a, b in pairs.items()]
+    return "|".join([r"[^\x00-\u02FF\u0900-\u0DFF\u2010-\u2027\u2030-\u205E\u20A0-\u20BF]", of(alone), f"{of(ends)}{of(marks)}", *composed])
+
+
+#: Texts without a match are in NFC; and of these the ones that a look at each character alone tells.
+MAY_CHANGE, LATIN = _may_change(), r"^[\x00-\u02FF]*$"
+
+
+def _other(text: Column) -> Column:
+    """Whether Python has to look at a text."""
+    return ~text.rlike(LATIN) & text.rlike(MAY_CHANGE)
+
+
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(value: str | Column) -> Column:
-    """Unicode NFC, null as the empty string. Spark has no function for it; ASCII texts never reach Python."""
+    """Unicode NFC, null as the empty string. Spark has no function for it; Latin and Indic texts that are in NFC never
+    reach Python."""
     text = filled(value)
-    other = F.when(~text.rlike(r"^[\x00-\x7F]*$"), text)
+    other = F.when(_other(text), text)
     return F.when(other.isNull(), text).otherwise(F.pandas_udf(_nfc, T.StringType())(other))
 
 
@@ -50,7 +81,7 @@ def _nfc_all(rows: pd.Series) -> pd.Series:
 def nfc_all(values: str | Column) -> Column:
     """``nfc`` of every text of an array."""
     texts = F.transform(_column(values), filled)
-    other = F.when(F.exists(texts, lambda t: ~t.rlike(r"^[\x00-\x7F]*$")), texts)
+    other = F.when(F.exists(texts, _other), texts)
     return F.when(other.isNull(), texts).otherwise(F.pandas_udf(_nfc_all, T.ArrayType(T.StringType()))(other))
 
 

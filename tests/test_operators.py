@@ -5,6 +5,7 @@ import json
 import math
 import pickle
 import random
+import unicodedata
 import uuid
 
 import numpy as np
@@ -60,6 +61,17 @@ def test_nfc(spark):
     assert column(spark, [["é", None, "a"], [], ["b"]], X.nfc_all, "array<string>") == [["é", "", "a"], [], ["b"]]
 
 
+def test_few_texts_reach_python(spark):
+    """What the pattern passes over is in NFC; Kannada and Hindi text as it is written is passed over."""
+    rng, block = random.Random(6), [chr(c) for c in range(0x900, 0xE00)]
+    marks = [c for c in block if unicodedata.combining(c)]
+    some = ["".join(rng.choices(rng.choice([block, marks + block[:200], [chr(c) for c in range(0x20, 0x300)] + block, ["e", "\u0301", "한", "ᄒ", "ᅡ"]]), k=rng.randrange(1, 6))) for _ in range(4000)]
+    written = [unicodedata.normalize("NFC", t) for t in ("ಕನ್ನಡ ಭಾಷೆಯು ದಕ್ಷಿಣ ಭಾರತದ ಒಂದು ದ್ರಾವಿಡ ಭಾಷೆ. ಕೊಡುಗೆ — “ಹೌದು”", "हिन्दी में क़लम ज़रूर", "Ünïcödé çà et là", "plain")]
+    assert column(spark, some + written, X.nfc) == [unicodedata.normalize("NFC", t) for t in some + written]
+    looked = column(spark, some + written, lambda t: X._other(F.col(t) if isinstance(t, str) else t))
+    assert not any(looked[-4:]) and all(seen or unicodedata.is_normalized("NFC", t) for t, seen in zip(some, looked[:-4], strict=True))
+
+
 def test_unicode_blanks(spark):
     assert column(spark, ["a b　c\x1cd e", "   ", None], X.token_count) == [5, 0, 0]
     assert column(spark, ["  x \x1f"], X.strip) == ["x"]
