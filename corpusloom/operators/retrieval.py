@@ -236,6 +236,15 @@ def query_blocks(queries: DataFrame, query_key: str, vector: str, block: int) ->
         yield keys, np.array(vectors)
 
 
+def kth_scores(hits: DataFrame, keys: list, k: int) -> np.ndarray:
+    """Each query's k-th best score of some hits, -inf where there are fewer; one number a query comes to the driver."""
+    cut = best_hits([hits], k, "dot").where(F.col("rank") == k).select("query_id", "score").toArrow()
+    place, least = {key: at for at, key in enumerate(keys)}, np.full(len(keys), -np.inf)
+    for key, score in zip(cut.column("query_id").to_pylist(), cut.column("score").to_pylist(), strict=True):
+        least[place[key]] = score
+    return least
+
+
 def best_hits(found: Sequence[DataFrame], k: int, distance: str) -> DataFrame:
     """Ranked rows of tasks' hits; scores are larger is better there, and distances here."""
     ranked = union_all(found).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
@@ -245,6 +254,8 @@ def best_hits(found: Sequence[DataFrame], k: int, distance: str) -> DataFrame:
 
 #: Scores that a task holds at once, at most: rows come in runs, queries in parts.
 ROWS, QUERIES = 1 << 10, 1 << 12
+#: From so many tasks on a first round over one row in ``SHARE`` gives each query a score that its hits must reach.
+TASKS, SHARE = 64, 128
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str = "cosine", query_filter: Mapping[str, str] | None = None, block: int = 1 << 24, query_key: str = "query_id", corpus_key: str = "chunk_id", vector: str = "embedding", places: int | None = None) -> DataFrame:
@@ -252,7 +263,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     With ``places`` scores are rounded before any row is left out, so that ties are those of the rounded scores.
 
     The corpus is read once for each ``block`` numbers of query vectors (65,536 queries of 256 dimensions), so
-    what is sent has a fixed bound; a task keeps its own best k of each query, and only those are shuffled.
+    what is sent has a fixed bound; a task keeps its own best k of each query, and only those are shuffled. A corpus
+    of more than ``TASKS`` tasks is first searched in part, one row in ``SHARE`` by its key's hash: tasks then give only hits
+    that reach the k-th best score found there, some k for each query together and not k from each task.
     Rows and queries without a vector, or with an element that is null, NaN or infinite, match nothing, nor do rows
     of another dimension or without a key; queries of two dimensions are refused.
     """
@@ -264,12 +277,12 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     schema, kinds = _hit_schema(queries, query_key, corpus, corpus_key)
     rows = corpus.select(F.col(corpus_key).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
 
-    def search(keys: list, vectors: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((keys, vectors))
+    def search(rows: DataFrame, keys: list, vectors: np.ndarray, least: np.ndarray | None = None) -> DataFrame:
+        shared = spark.sparkContext.broadcast((keys, vectors, least))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own_keys, own = shared.value
-            best = Best(len(own_keys), k)
+            own_keys, own, floor = shared.value
+            best = Best(len(own_keys), k, floor)
             for whole in batches:
                 for start in range(0, whole.num_rows, ROWS):
                     batch = whole.slice(start, ROWS)
@@ -281,7 +294,12 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
 
         return rows.mapInArrow(scan, schema)
 
-    found = [search(keys, vectors) for keys, vectors in query_blocks(queries, query_key, vector, block)]
+    found, part = [], None
+    if rows.rdd.getNumPartitions() > TASKS:
+        part = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SHARE)) == 0)
+    for keys, vectors in query_blocks(queries, query_key, vector, block):
+        least = None if part is None else kth_scores(search(part, keys, vectors), keys, k)
+        found.append(search(rows, keys, vectors, least))
     return best_hits(found or [spark.createDataFrame([], schema)], k, distance)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.frames import stored
-from ..operators.retrieval import DISTANCES, Best, _scores, best_hits, query_blocks, usable
+from ..operators.retrieval import DISTANCES, Best, _scores, best_hits, kth_scores, query_blocks, usable
 
 #: Vectors that the centres are fitted on, about, and cells, at most.
 SAMPLE, CELLS = 100_000, 1024
@@ -200,11 +200,7 @@ class VectorCells:
             early = np.zeros(bounds.shape, dtype=bool)
             np.put_along_axis(early, np.argsort(-bounds, axis=1)[:, :first], True, axis=1)
             tops = stored(scan(keys, vectors, early, None), "first-hits")
-            cut = best_hits([tops], k, "dot").where(F.col("rank") == k).select("query_id", "score").toArrow()
-            place = {key: at for at, key in enumerate(keys)}
-            least = np.full(len(keys), -np.inf)
-            for key, score in zip(cut.column("query_id").to_pylist(), cut.column("score").to_pylist(), strict=True):
-                least[place[key]] = score
+            least = kth_scores(tops, keys, k)
             late = (bounds + room >= least[:, None]) & ~early
             found.append(tops)
             if late.any():

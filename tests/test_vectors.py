@@ -73,6 +73,20 @@ def test_cells(spark, tmp_path, distance, cells, k, places):
         store.search(spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, embedding array<double>"))
 
 
+@pytest.mark.parametrize("distance", retrieval.DISTANCES)
+def test_a_first_round_changes_no_hit(spark, monkeypatch, distance):
+    """With a round over part of the rows tasks give fewer hits, and the best are the same, ties by key."""
+    monkeypatch.setattr(retrieval, "TASKS", 3)
+    monkeypatch.setattr(retrieval, "SHARE", 4)
+    rng = random.Random(8)
+    rows = vectors(rng, 400)
+    asked = [(i, [rng.gauss(0, 3) for _ in range(4)]) for i in range(9)] + [(9, [1.0, 0.0, 2.0, -1.0])]
+    corpus = spark.createDataFrame(rows, "chunk_id int, embedding array<double>").repartition(8)
+    for k in (1, 5, 300):
+        got = retrieval.dense_topk(spark.createDataFrame(asked, "query_id int, embedding array<double>"), corpus, k, distance, places=6)
+        assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got.collect()) == plain(asked, rows, k, distance, 6)
+
+
 def test_cells_skip_what_cannot_win(spark, tmp_path):
     """Clustered vectors: few cells are read, and fewer blocks scored; the hits are those of the whole search."""
     rng = np.random.default_rng(2)
