@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.frames import union_all
+from ..functions.frames import stored, union_all
 from .common import checkpoint, connected_components
 
 #: Anchors: common words of English, French, German and Spanish. Fixed values.
@@ -178,13 +178,15 @@ def similar_documents(docs: DataFrame, least: float = 0.8, chain: int = 2, most:
     single = sets.select("set", F.explode("s").alias("entry"))
     ranked = single.join(single.groupBy("entry").count(), "entry").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("count", "entry"))).alias("ranked"))
     size = F.size("ranked")
-    prefix = F.slice("ranked.entry", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))
-    entries = checkpoint(ranked.select("set", size.alias("size"), length_partition("ranked", least).alias("part"), F.explode(prefix).alias("entry")))
+    prefix = F.slice("ranked", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))
+    # a signature that no other set has brings nothing together
+    shared = F.transform(F.filter(prefix, lambda x: x["count"] > 1), lambda x: x["entry"])
+    entries = stored(ranked.select("set", size.alias("size"), length_partition("ranked", least).alias("part"), F.explode(shared).alias("entry")), "signature-index")
     # a bucket is a length partition; it holds its own sets and the next partition's
     members = entries.withColumn("bucket", F.explode(F.array("part", F.col("part") - 1)))
     first = checkpoint(_alike(_star(members, least), sets, least))
     classed = checkpoint(connected_components(first).withColumnRenamed("node", "set"))
-    members = checkpoint(members.join(classed, "set", "left").select("bucket", "entry", "set", "size", "part", F.coalesce("root", "set").alias("class")))
+    members = members.join(classed, "set", "left").select("bucket", "entry", "set", "size", "part", F.coalesce("root", "set").alias("class"))
     roots = connected_components(union_all([first, _alike(_between(members, least, most), sets, least)]))
     known = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     known = checkpoint(known)
