@@ -152,13 +152,16 @@ def _star(members: DataFrame, least: float) -> DataFrame:
 
 def _between(members: DataFrame, least: float, most: int) -> DataFrame:
     """Pairs of sets that share an entry and are of different classes (``members`` with ``class``): what an entry's copies,
-    in one class by now, have among themselves is no pair."""
+    in one class by now, have among themselves is no pair. Of two sets whose first common signature this is, no more
+    than what follows it in either can be common; where that is too little the two are no pair either."""
     left, right = _sides(members.select("bucket", "entry", "class").distinct(), most)
     right = right.withColumnRenamed("class", "other")
     classes = left.join(right, ["bucket", "entry", "l", "r"]).where("class < other").select("bucket", "entry", "class", "other")
-    other = members.select("bucket", "entry", F.col("class").alias("other"), F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"))
+    other = members.select("bucket", "entry", F.col("class").alias("other"), F.col("set").alias("b"), F.col("size").alias("size_b"), F.col("part").alias("part_b"), F.col("place").alias("place_b"))
     pairs = classes.join(members, ["bucket", "entry", "class"]).join(other, ["bucket", "entry", "other"])
     near = (F.col("part") == F.col("bucket")) | (F.col("part_b") == F.col("bucket"))
+    common = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    near &= common * (1 + least) >= F.lit(least) * (F.col("size") + F.col("size_b")) - 1e-6
     return pairs.where(near & (F.least("size", "size_b") >= F.lit(least) * F.greatest("size", "size_b"))).select(F.col("set").alias("a"), "b")
 
 
@@ -180,13 +183,14 @@ def similar_documents(docs: DataFrame, least: float = 0.8, chain: int = 2, most:
     size = F.size("ranked")
     prefix = F.slice("ranked", 1, (size - F.ceil(F.lit(least) * size) + 1).cast("int"))
     # a signature that no other set has brings nothing together
-    shared = F.transform(F.filter(prefix, lambda x: x["count"] > 1), lambda x: x["entry"])
-    entries = stored(ranked.select("set", size.alias("size"), length_partition("ranked", least).alias("part"), F.explode(shared).alias("entry")), "signature-index")
+    placed = F.transform(prefix, lambda x, i: F.struct(x["entry"].alias("entry"), i.alias("place"), (x["count"] > 1).alias("shared")))
+    entries = ranked.select("set", size.alias("size"), length_partition("ranked", least).alias("part"), F.explode(F.filter(placed, lambda x: x["shared"])).alias("x"))
+    entries = stored(entries.select("set", "size", "part", "x.entry", "x.place"), "signature-index")
     # a bucket is a length partition; it holds its own sets and the next partition's
     members = entries.withColumn("bucket", F.explode(F.array("part", F.col("part") - 1)))
     first = checkpoint(_alike(_star(members, least), sets, least))
     classed = checkpoint(connected_components(first).withColumnRenamed("node", "set"))
-    members = members.join(classed, "set", "left").select("bucket", "entry", "set", "size", "part", F.coalesce("root", "set").alias("class"))
+    members = members.join(classed, "set", "left").select("bucket", "entry", "place", "set", "size", "part", F.coalesce("root", "set").alias("class"))
     roots = connected_components(union_all([first, _alike(_between(members, least, most), sets, least)]))
     known = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     known = checkpoint(known)
