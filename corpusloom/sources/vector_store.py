@@ -34,7 +34,7 @@ ROUTED = ("chunk_strategy", "language", "query_type")
 #: Pairs of superseded points that are sent to every task, at most; more are joined by a shuffle.
 SENT = 1 << 21
 #: Version numbers between two batches of a stream: room for the merges after a batch.
-STEP = 64
+STEP = 32
 
 
 class VectorCollection:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
 from corpusloom.sources.vector_cells import VectorCells, fit_centres, upper_bounds
-from corpusloom.sources.vector_store import VectorCollection, as_points
+from corpusloom.sources.vector_store import STEP, VectorCollection, as_points
 from corpusloom.streaming.index_build import build_index
 
 ODD = [[None, 1.0, 2.0, 3.0], [float("nan")] * 4, [float("inf"), 0.0, 0.0, 0.0], [1.0, 2.0], [], None]
@@ -203,7 +203,7 @@ def test_batches_leave_few_versions(spark, tmp_path, monkeypatch):
         rows = [(f"k{(number * 3 + i) % 11}", "target", "X", [float(number)]) for i in range(4)]
         batch = points(spark, rows).coalesce(1)
         want |= {r[0]: float(number) for r in rows}
-        fail |= {"notes": 0, "at": {3: 2, 7: 3, 11: 1}.get(number), "write": {5: 6 * 64 + 1, 15: 16 * 64}.get(number)}
+        fail |= {"notes": 0, "at": {3: 2, 7: 3, 11: 1}.get(number), "write": {5: 6 * STEP + 1, 15: 16 * STEP}.get(number)}
         if fail["at"] or fail["write"]:
             with pytest.raises(RuntimeError):
                 store.upsert_batch(batch, number)
@@ -211,7 +211,7 @@ def test_batches_leave_few_versions(spark, tmp_path, monkeypatch):
         store.upsert_batch(batch, number)
         assert {r.chunk_id: r.embedding[0] for r in store.points().collect()} == want
         assert len(store.versions()) == (number + 1).bit_count()
-    assert store.versions() == [16 * 64 + 4] and store.count() == 11
+    assert store.versions() == [16 * STEP + 4] and store.count() == 11
 
 
 def test_last_in_a_batch_wins(spark, tmp_path):
