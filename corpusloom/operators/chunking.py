@@ -34,9 +34,14 @@ def passages(records: DataFrame) -> DataFrame:
     return rows.withColumn("parent_passage_id", F.concat("query_id", F.lit("_p"), "passage_index")).drop("_target", "_english")
 
 
+def _between(values: str, b: Column) -> Column:
+    """What an array over ``_sentences`` has between bounds."""
+    return F.slice(values, b["first"] + 1, b["last"] - b["first"] + 1)
+
+
 def _bounded(bounded: str) -> Column:
     """The texts between bounds over ``_sentences``."""
-    return F.transform(bounded, lambda b: F.array_join(F.slice("_sentences", b["first"] + 1, b["last"] - b["first"] + 1), " "))
+    return F.transform(bounded, lambda b: F.array_join(_between("_sentences", b), " "))
 
 
 Rule = WindowRule | BudgetRule | AdaptiveRule
@@ -66,50 +71,61 @@ def _pieces(strategy: str, rule: Rule | None, whole: int) -> tuple[Column, list[
 def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE, least_chars: int | None = None) -> DataFrame:
     """Chunks of every passage by each strategy of ``rules``; with ``least_chars`` flagged as ``dedup_chunks`` does.
 
-    Passages are made, split into sentences and counted once; the strategies' pieces become rows together. Equal texts
-    of a passage are found in its array of pieces, before they are rows, so that nothing is shuffled.
+    Passages are made, split into sentences and these into words once: a piece's words are those of its sentences. The
+    strategies' pieces become rows together. Equal texts of a passage are found in its array of pieces, before they are
+    rows, so that nothing is shuffled.
     """
     rows = passages(records)
-    if any(rules.values()):
-        rows = rows.withColumn("_total", X.token_count("primary")).withColumn("_sentences", X.sentences("primary"))
-        rows = rows.withColumn("_counts", F.transform("_sentences", X.token_count))
+    split = any(rules.values())
+    if split:
+        rows = rows.withColumn("_sentences", X.sentences("primary")).withColumn("_words", F.transform("_sentences", X.lower_words))
+        ids = F.transform("_words", lambda own: F.transform(F.array_distinct(own), lambda w: F.xxhash64(w)))
+        rows = rows.withColumns({"_counts": F.transform("_words", F.size), "_plain": F.transform("_words", lambda own: F.array_join(own, " ")), "_numbers": ids}).drop("_words")
+        rows = rows.withColumn("_total", F.aggregate("_counts", F.lit(0), lambda n, own: n + own))
         rows = rows.withColumns({f"_bounds_{s}": bounds(F.col("_counts"), rule) for s, rule in rules.items() if rule})
         rows = rows.withColumns({f"_cut_{s}": _bounded(f"_bounds_{s}") for s, rule in rules.items() if rule})
     if "paragraph" in rules:
         rows = rows.withColumn("_paragraphs", X.paragraphs("primary"))
     made = {s: _pieces(s, rule, whole) for s, rule in rules.items()}
     rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
+    if split:
+        rows = rows.withColumns({f"_spans_{s}": _spans(s, whole) for s in made})
+    rows = rows.withColumns({f"_sets_{s}": F.transform(f"_pieces_{s}", _measure(s, split)[1]) for s in made})
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
-    # overlaps are a column of their own, so that they aren't made where no quality is asked for
-    pieces = F.filter(F.concat(*[_counted(f"_pieces_{s}", at, s) for at, s in enumerate(made)]), lambda p: p["text"].isNotNull())
-    sets = lambda s: F.transform(f"_pieces_{s}", lambda t: F.transform(F.array_distinct(X.lower_words(t)), lambda w: F.xxhash64(w)))
-    shared = [F.array().cast("array<bigint>") if s == "passage" else quality.most_shared(sets(s)) for s in made]
+    # what only quality asks for are columns of their own, so that they aren't made where it isn't asked for
+    pieces = F.filter(F.concat(*[_counted(f"_pieces_{s}", at, s, split) for at, s in enumerate(made)]), lambda p: p["text"].isNotNull())
+    shared = [F.array().cast("array<bigint>") if s == "passage" else quality.most_shared(F.col(f"_sets_{s}")) for s in made]
+    sizes = [_sized(s, split) for s in made]
     abouts = F.array(*[F.struct(F.lit(s).alias("strategy"), F.to_json(F.struct(*about)).alias("about")) for s, (_, about) in made.items()])
     every = pieces if least_chars is None else _groups(pieces, F.col("parent_passage_id"), list(made))
     # before the rows are made: what stands beside an explode is evaluated for each of its rows
-    rows = rows.select(*kept, abouts.alias("_abouts"), F.array(*shared).alias("_shared"), every.alias("_every"))
+    rows = rows.select(*kept, abouts.alias("_abouts"), F.array(*shared).alias("_shared"), F.array(*sizes).alias("_sizes"), every.alias("_every"))
     # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
-    rows = rows.select(*kept, "_abouts", "_shared", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
+    rows = rows.select(*kept, "_abouts", "_shared", "_sizes", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
     if least_chars is not None:
-        rows = rows.select(*kept, "_abouts", "_shared", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
+        rows = rows.select(*kept, "_abouts", "_shared", "_sizes", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
     own_view = F.get("_abouts", F.col("_piece.view"))
+    own_size = F.get(F.get("_sizes", F.col("_piece.view")), F.col("_piece.index"))
+    own_shared = F.get(F.get("_shared", F.col("_piece.view")), F.col("_piece.index"))
     flags = [] if least_chars is None else ["_ids", "_strategies", "_place"]
-    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), F.col("_piece.text").alias("text"), "_piece", quality.penalty(F.get(F.get("_shared", F.col("_piece.view")), F.col("_piece.index")), F.col("_piece.n_different")).alias("_penalty")).where("text is not null")
+    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), F.col("_piece.text").alias("text"), "_piece", own_size.alias("_size"), quality.penalty(own_shared, own_size["n_different"]).alias("_penalty")).where("text is not null")
     # a whole passage's quality is that of the target text unless that is empty; where it isn't the chunk's text it is blank
     scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
     rows = rows.withColumn("_scored", scored)
-    dense = F.when(F.col("_scored") != F.col("text"), 0.0).otherwise(quality.density_of(F.col("_piece.n_words"), F.col("_piece.n_different")))
-    chunks = quality.with_breakdown(rows, "_scored", dense, F.col("_penalty"), "_quality")
+    blank = F.col("_scored") != F.col("text")
+    coherent = F.when(blank, 0.0).otherwise(quality.coherence_of(F.col("_size.n_sentences")))
+    dense = F.when(blank, 0.0).otherwise(quality.density_of(F.col("_piece.n_words"), F.col("_size.n_different")))
+    bounded = F.when(blank, 0.0).otherwise(F.col("_size.boundary"))
+    chunks = quality.with_breakdown(rows, coherent, dense, bounded, F.col("_penalty"), "_quality")
     split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
-    breakdown = F.to_json(F.struct(F.col("_quality").alias("quality_breakdown")))
-    metadata = F.concat(F.substring(breakdown, 1, F.length(breakdown) - 1), F.lit(","), F.substring("_about", 2, 1 << 30))
-    duplicate, canonical, short = F.lit(False), F.lit(""), F.lit(False)
+    duplicate, canonical, short, end = F.lit(False), F.lit(""), F.lit(False), F.lit("}")
     if least_chars is not None:
         duplicate = F.col("_place") > 0
         canonical = F.when(duplicate, F.get("_ids", F.lit(0))).otherwise("")
         short = F.char_length("text") < least_chars
-        chunks, metadata = chunks.withColumn("_own", metadata), F.col("_own")
-        metadata = F.when((F.size("_ids") > 1) & ~duplicate, _with_copies(metadata, F.col("_ids"), F.col("_strategies"))).otherwise(metadata)
+        end = F.when((F.size("_ids") > 1) & ~duplicate, F.concat(F.lit(","), _copies(F.col("_ids"), F.col("_strategies")))).otherwise(end)
+    # each part is named once, as a filter on the metadata makes a part anew wherever it is named
+    metadata = F.concat(F.lit('{"quality_breakdown":'), F.to_json("_quality"), F.lit(","), F.substring("_about", F.lit(2), F.length("_about") - 2), end)
     return chunks.select(
         F.concat_ws("_", "parent_passage_id", "chunk_strategy", "chunk_index").alias("chunk_id"),
         *KEPT,
@@ -138,15 +154,63 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _counted(pieces: str, view: int, strategy: str) -> Column:
+def _spans(strategy: str, whole: int) -> Column:
+    """The bounds over ``_sentences`` of each of a strategy's pieces; null where they are paragraphs as they stand."""
+    every = F.array(F.struct(F.lit(0).alias("first"), (F.size("_sentences") - 1).alias("last")))
+    if strategy == "passage":
+        return every
+    bounded = F.col(f"_bounds_{strategy}")
+    if strategy == "paragraph":
+        return F.when(F.col("_total") <= whole, every).when(F.size("_paragraphs") <= 1, bounded)
+    return F.when(F.size(f"_pieces_{strategy}") == 1, every).otherwise(bounded)
+
+
+def _measure(strategy: str, split: bool) -> list[Callable[[Column, Column], Column]]:
+    """Of a piece (text, place): its plain text (words in lower case, one blank between them) with their number, the
+    numbers (hashes) of its different words, how many sentences it has. Where passages are split these come from its sentences."""
+    of_text = [
+        lambda text, i: _let(X.lower_words(text), lambda own: F.struct(F.array_join(own, " ").alias("plain"), F.size(own).alias("n_words"))),
+        lambda text, i: F.transform(F.array_distinct(X.lower_words(text)), lambda w: F.xxhash64(w)),
+        lambda text, i: F.size(X.sentences(text)),
+    ]
+    if not split:
+        return of_text
+    spans = f"_spans_{strategy}"
+    own = lambda i: F.get(spans, i)
+    of_span = [
+        lambda text, i: F.struct(F.array_join(_between("_plain", own(i)), " ").alias("plain"), F.aggregate(_between("_counts", own(i)), F.lit(0), lambda n, more: n + more).alias("n_words")),
+        lambda text, i: F.array_distinct(F.flatten(_between("_numbers", own(i)))),
+        lambda text, i: own(i)["last"] - own(i)["first"] + 1,
+    ]
+    if strategy != "paragraph":
+        return of_span
+
+
+    def either(a: Callable[[Column, Column], Column], b: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+        return lambda text, i: F.when(F.col(spans).isNull(), a(text, i)).otherwise(b(text, i))
+
+    return [either(a, b) for a, b in zip(of_text, of_span, strict=True)]
+
+
+def _sized(strategy: str, split: bool) -> Column:
+    """Of each of a strategy's pieces the numbers of its different words and of its sentences, and its boundary's quality.
+
+    They are made before the pieces are rows: what follows then reads numbers only, and a filter on a chunk's metadata,
+    which Spark moves in front of what makes it, reads no text again.
+    """
+    sentences = _measure(strategy, split)[2]
+    return F.transform(f"_pieces_{strategy}", lambda text, i: F.struct(F.size(F.get(f"_sets_{strategy}", i)).alias("n_different"), sentences(text, i).alias("n_sentences"), quality.boundary(text).alias("boundary")))
+
+
+def _counted(pieces: str, view: int, strategy: str, split: bool) -> Column:
     """A strategy's pieces with their counts and hash; a sort puts equal texts side by side, the preferred one first."""
 
     def piece(text: Column, i: Column) -> Column:
         return _let(
-            X.lower_words(text),
-            lambda words: F.struct(
-                F.sha2(F.array_join(words, " "), 256).alias("hash"), F.lit(STRATEGIES.index(strategy)).alias("order"), i.cast("string").alias("name"),
-                i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text"), F.size(words).alias("n_words"), F.size(F.array_distinct(words)).alias("n_different"),
+            _measure(strategy, split)[0](text, i),
+            lambda own: F.struct(
+                F.sha2(own["plain"], 256).alias("hash"), F.lit(STRATEGIES.index(strategy)).alias("order"), i.cast("string").alias("name"),
+                i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text"), own["n_words"].alias("n_words"),
             ),
         )
 
@@ -175,11 +239,16 @@ def _groups(pieces: Column, parent: Column, strategies: Sequence[str]) -> Column
     return _let(F.array_sort(pieces), cut)
 
 
+def _copies(ids: Column, strategies: Column) -> Column:
+    """What metadata says of a canonical chunk's copies and the strategies that gave its text, as JSON without its first brace."""
+    more = F.to_json(F.struct(F.slice(ids, 2, F.size(ids)).alias("duplicate_chunk_ids"), strategies.alias("contributing_strategies")))
+    return F.substring(more, 2, 1 << 30)
+
+
 def _with_copies(metadata: Column, ids: Column, strategies: Column) -> Column:
     """Metadata with a canonical chunk's copies and the strategies that gave its text."""
-    more = F.to_json(F.struct(F.slice(ids, 2, F.size(ids)).alias("duplicate_chunk_ids"), strategies.alias("contributing_strategies")))
     body = F.regexp_replace(F.coalesce(metadata, F.lit("")), r"^\{|\}$", "")
-    return F.concat(F.lit("{"), body, F.when(body != "", ",").otherwise(""), F.substring(more, 2, 1 << 30))
+    return F.concat(F.lit("{"), body, F.when(body != "", ",").otherwise(""), _copies(ids, strategies))
 
 
 def passage_chunks(records: DataFrame) -> DataFrame:

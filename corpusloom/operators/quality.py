@@ -13,7 +13,11 @@ from ..functions import text as X
 
 def coherence(text: str | Column) -> Column:
     """1 up to six sentences, then 0.08 less for each more; 0 without any."""
-    n = F.size(X.sentences(text))
+    return coherence_of(F.size(X.sentences(text)))
+
+
+def coherence_of(n: Column) -> Column:
+    """``coherence`` from the number of sentences."""
     return F.round(F.when(n == 0, 0.0).when(n <= 6, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (n - 6) * F.lit(0.08))), 3)
 
 
@@ -30,10 +34,17 @@ def density_of(words: Column, different: Column) -> Column:
 
 def boundary(text: str | Column) -> Column:
     """Half for ending like a sentence (else 0.1), half for starting like one (else 0.2)."""
-    own = X.strip(text)
-    end = F.when(own.rlike("[.!?।\"'”]$"), 0.5).otherwise(0.1)
-    start = F.when(own.rlike(r"^([A-Z]|[^\x00-\x7F])"), 0.5).otherwise(0.2)
-    return F.when(own == "", 0.0).otherwise(F.round(end + start, 3))
+    text = X.filled(text)
+    first, last = (lambda t: F.left(t, F.lit(1))), (lambda t: F.right(t, F.lit(1)))
+
+    def ends(own: Column) -> Column:
+        end = F.when(last(own).rlike("[.!?।\"'”]"), 0.5).otherwise(0.1)
+        start = F.when(first(own).rlike(r"[A-Z]|[^\x00-\x7F]"), 0.5).otherwise(0.2)
+        return F.when(own == "", 0.0).otherwise(F.round(end + start, 3))
+
+    # most texts have no white space at their ends; the two characters there are all that is looked at
+    blank = lambda c: F.contains(F.lit(X.BLANKS), c)
+    return F.when(blank(first(text)) | blank(last(text)), ends(X.strip(text))).otherwise(ends(text))
 
 
 #: Cells of a passage's matrix of pieces and words up to which all pairs come from one product.
@@ -112,8 +123,8 @@ def penalties(sets: str | Column) -> Column:
     return F.zip_with(most_shared(ids), sets, lambda n, own: penalty(n, F.size(own)))
 
 
-def with_breakdown(rows: DataFrame, text: str, dense: Column, penalty: Column, name: str) -> DataFrame:
+def with_breakdown(rows: DataFrame, coherent: Column, dense: Column, bounded: Column, penalty: Column, name: str) -> DataFrame:
     """``rows`` with the terms and their sum as a struct; each term is computed once."""
-    rows = rows.withColumn(name, F.struct(coherence(text).alias("c"), dense.alias("d"), boundary(text).alias("b"), penalty.alias("p")))
+    rows = rows.withColumn(name, F.struct(coherent.alias("c"), dense.alias("d"), bounded.alias("b"), penalty.alias("p")))
     c, d, b, p = (F.col(f"{name}.{k}") for k in "cdbp")
     return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty")))

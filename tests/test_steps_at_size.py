@@ -5,6 +5,14 @@ import time
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators import chunking, ingest
+
+
+def chunks(spark):
+    row = (7, (["One here. Two there! " * 40], [""], [1]))
+    schema = "query_id long, passages struct<English_passages:array<string>,Translated_passages:array<string>,is_selected:array<int>>"
+    frame = spark.createDataFrame([row], schema).withColumns({c: F.lit("") for c in ingest.REQUIRED_FIELDS if c not in ("query_id", "passages")})
+    return chunking.flagged_views(ingest.normalize(ingest.validate(frame)))
 
 
 def test_a_mark_at_the_end_of_a_long_text(spark):
@@ -14,3 +22,10 @@ def test_a_mark_at_the_end_of_a_long_text(spark):
         rows = spark.range(1).select(F.concat(F.repeat(F.lit("some plain words "), times), F.lit("e\u0301")).alias("t"))
         assert rows.select(F.right(X.nfc("t"), F.lit(1)).alias("t")).first()["t"] == "\u00e9"
     assert time.time() - began < 6
+
+
+def test_a_filter_on_metadata_reads_no_text(spark):
+    found = chunks(spark).select("chunk_id", "metadata").where(F.get_json_object("metadata", "$.contributing_strategies").isNotNull())
+    filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "contributing_strategies" in line]
+    assert filters and not any("RLIKE" in line or "split(" in line for line in filters)
+    assert found.count() > 0
