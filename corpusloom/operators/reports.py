@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,9 @@ def merged_report(chunks: DataFrame, normalization: DataFrame | None) -> DataFra
 def validation_report(chunks: DataFrame) -> DataFrame:
     """Problems by partition (chunk_strategy, language): eleven critical counts, one of warnings, the verdict.
 
-    Ids are counted by group first, so that repeated ids are found without holding all ids of a partition.
+    Ids are counted by group first, so that repeated ids are found without holding all ids of a partition. A row's
+    problems are bits of one number, and an unknown query type is a row beside its chunk's, so that what is grouped by id
+    is counts alone.
     """
     text = X.filled("text")
     stripped = X.strip("text")
@@ -70,10 +74,16 @@ def validation_report(chunks: DataFrame) -> DataFrame:
     }
     unknown = ~F.coalesce(F.col("query_type").isin(*QUERY_TYPES), F.lit(False))
     keys = ["chunk_strategy", "language"]
-    flags = chunks.select(*keys, "chunk_id", F.when(unknown, F.col("query_type")).alias("_odd"), unknown.alias("unknown_query_type"), *[v.alias(k) for k, v in row_checks.items()])
     counted = [*row_checks, "unknown_query_type"]
-    by_id = flags.groupBy(*keys, "chunk_id").agg(F.count("*").alias("n"), F.collect_set("_odd").alias("_odd"), *[F.count_if(c).alias(c) for c in counted])
-    out = by_id.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicate_chunk_id"), *[F.sum(c).alias(c) for c in counted], F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_odd")))), 1, 10), ",").alias("unknown_values"))
+    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(v, F.lit(1 << at)).otherwise(F.lit(0)) for at, v in enumerate([*row_checks.values(), unknown])])
+    none = F.lit(None).cast("string")
+    own = F.struct(F.lit(True).alias("chunk"), F.col("chunk_id").alias("id"), none.alias("odd"), bits.alias("bits"))
+    odd = F.struct(F.lit(False).alias("chunk"), none.cast(chunks.schema["chunk_id"].dataType).alias("id"), F.col("query_type").alias("odd"), F.lit(0).alias("bits"))
+    rows = chunks.select(*keys, F.explode(F.when(unknown, F.array(own, odd)).otherwise(F.array(own))).alias("_row")).select(*keys, "_row.*")
+    sums = [F.count_if(F.col("bits").bitwiseAND(F.lit(1 << at)) != 0).alias(c) for at, c in enumerate(counted)]
+    by_id = rows.groupBy(*keys, "chunk", "id", "odd").agg(F.count("*").alias("n"), *sums)
+    repeated = F.sum(F.when(F.col("chunk"), F.col("n") - 1))
+    out = by_id.groupBy(*keys).agg(F.sum(F.when(F.col("chunk"), F.col("n"))).alias("rows"), repeated.alias("duplicate_chunk_id"), *[F.sum(c).alias(c) for c in counted], F.array_join(F.slice(F.array_sort(F.collect_set("odd")), 1, 10), ",").alias("unknown_values"))
     critical = ["duplicate_chunk_id", *row_checks]
     passed = F.lit(True)
     for c in critical:

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chunking, ingest
+from corpusloom.operators import chunking, ingest, reports
 
 
 def chunks(spark):
@@ -29,3 +29,13 @@ def test_a_filter_on_metadata_reads_no_text(spark):
     filters = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line and "contributing_strategies" in line]
     assert filters and not any("RLIKE" in line or "split(" in line for line in filters)
     assert found.count() > 0
+
+
+def test_validation_groups_ids_by_counts_alone(spark):
+    """Lists by id make Spark sort what it groups."""
+    report = reports.validation_report(chunks(spark).withColumn("query_type", F.lit("ODD")))
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    lists = [line for line in plan.splitlines() if "ObjectHashAggregate(" in line]
+    assert lists and not any("id#" in line.split("functions=")[0] for line in lists)
+    found = report.first()
+    assert found["unknown_values"] == "ODD" and found["unknown_query_type"] == found["rows"] and found["duplicate_chunk_id"] == 0
