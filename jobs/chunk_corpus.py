@@ -14,12 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, ingest, reports
-from jobs.common import command_line, read_config, settings_kept
+from jobs.common import CHANGED, command_line, read_config, settings_kept
 
 DEFAULTS = {"source_lang": "en", "target_lang": "mul", "query_type": "DESCRIPTION", "strategies": list(chunking.STRATEGIES), "least_chars": 10, "drop_duplicates": False, "drop_short": False}
 PATHS = {"documents": "Parquet: doc_id, lang, text", "labels": "Parquet: doc_id, quality; 1 marks a selected passage", "output": "folder to write"}
 log = logging.getLogger("jobs.chunk_corpus")
 
+#: Of the chunks' files. A split chunk has its passage's whole text beside its own: a dictionary that holds such texts writes
+#: each once, and zstd finds what it doesn't hold. Row groups are small, as a task has a file of each folder open.
+FILES = {"compression": "zstd", "parquet.block.size": 32 << 20, "parquet.dictionary.page.size": 8 << 20}
+#: Folders that a task writes at once, beyond which it would sort its rows first: each strategy's, in both languages.
+FOLDERS = 2 * len(chunking.STRATEGIES)
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def raw_records(documents: DataFrame, labels: DataFrame, known: dict) -> DataFrame:
     """A record of one passage for each document: English texts in one list, others in the other; marks from the labels.
@@ -41,14 +48,15 @@ def raw_records(documents: DataFrame, labels: DataFrame, known: dict) -> DataFra
 def run(spark: SparkSession, documents: str, labels: str, output: str, config: str | None = None) -> dict[str, int]:
     """Build the corpus; returns the rows read and written by table."""
     known = read_config(spark, config, DEFAULTS)
-    with settings_kept(spark):
+    with settings_kept(spark, (*CHANGED, WRITERS)):
+        spark.conf.set(WRITERS, str(FOLDERS))
         docs, marks = spark.read.parquet(documents), spark.read.parquet(labels)
         validated = ingest.validate(raw_records(docs, marks, known))
         usable, corrupt = ingest.split_corrupt(validated)
         records = ingest.dedup(ingest.normalize(usable, "place"), "place").drop("place")
         chunks = chunking.flagged_views(records, known["strategies"], known["least_chars"])
         kept = chunking.drop_flagged(chunks, known["drop_duplicates"], known["drop_short"])
-        kept.write.mode("overwrite").partitionBy("chunk_strategy", "language").parquet(f"{output}/chunks")
+        kept.write.mode("overwrite").options(**FILES).partitionBy("chunk_strategy", "language").parquet(f"{output}/chunks")
         corrupt.groupBy("corruption_reason").agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{output}/rejected")
         written = spark.read.schema(kept.schema).parquet(f"{output}/chunks")
         reports.strategy_report(written).write.mode("overwrite").json(f"{output}/report")

@@ -1,11 +1,14 @@
 """What steps do on long texts and large tables, seen in their plans, files and time."""
 
+import glob
 import time
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import chunking, ingest, reports
+from jobs import chunk_corpus
 
 
 def chunks(spark):
@@ -39,3 +42,16 @@ def test_validation_groups_ids_by_counts_alone(spark):
     assert lists and not any("id#" in line.split("functions=")[0] for line in lists)
     found = report.first()
     assert found["unknown_values"] == "ODD" and found["unknown_query_type"] == found["rows"] and found["duplicate_chunk_id"] == 0
+
+
+def test_the_job_sorts_nothing_to_write(spark, tmp_path):
+    """A task writes all folders at once, and files hold a repeated text once."""
+    spark.createDataFrame([(i, "de", f"Wort {i}. " * 9000) for i in range(3)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    before = spark.conf.get(chunk_corpus.WRITERS)
+    counts = chunk_corpus.run(spark, f"{tmp_path}/docs", f"{tmp_path}/labels", f"{tmp_path}/out")
+    assert spark.conf.get(chunk_corpus.WRITERS) == before and counts["chunks"] > 100
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/out/chunks/*/*/*.parquet")]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert {c.compression for c in columns} == {"ZSTD"}
+    assert sum(c.total_uncompressed_size for c in columns if c.path_in_schema == "text_target") < 3 * 4 * 300_000
