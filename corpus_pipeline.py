@@ -35,7 +35,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard 0.8 or more of five-word shingles) the smallest document stays.
+    """Of each group of near copies (Jaccard 0.8 or more of five-word shingles) the smallest document stays. Candidates
+    come from op1's deletion variants of SimHashes and, beyond their radius, from prefixes; then all are compared exactly.
 
     Texts without words, null and empty ones among them, are one group; rows that repeat a kept key all stay, and
     a null key goes where its group has others.

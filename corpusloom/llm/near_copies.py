@@ -1,12 +1,13 @@
 """Near copies by the Jaccard of word shingles, exact at every similarity from the threshold up.
 
-A 64-bit SimHash can't index Jaccard 0.8: the angle there gives about 10 differing bits and up to 17, for which
-deletion variants need nine segments of 7 bits, whose buckets hold a hundredth of all fingerprints each. So the
-candidates come from the shingles themselves. Sets with Jaccard t or more share one of the first
+Candidates come from op1's index first: sets whose SimHashes differ in at most 7 of 64 bits meet in deletion variants of
+four segments. Jaccard 0.8 gives about 10 differing bits and up to 17, for which variants would need nine segments of 7
+bits, whose buckets hold a hundredth of all fingerprints each; so what the radius leaves out comes from the shingles
+themselves, which is the exact way for the rest. Sets with Jaccard t or more share one of the first
 n - ceil(t n) + 1 shingles of each in any fixed order (frequent ones go last), and neither is shorter than t times
 the other. Where sets meet in a shingle, sketches of 128 one-bit minimum hashes tell near copies from texts that
-only share a passage (of near copies they turn away one in 10^9). What is connected so is compared exactly, where
-whole sets meet.
+only share a passage (of near copies they turn away one in 10^9). What is connected by either is compared exactly,
+where whole sets meet.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import union_all
 from .common import checkpoint, connected_components, key_type, records, row_slices, sent, utf8, without
 from .simhash import EDGES, LOWER
+from .simhash import links as links_by_variants
 
-SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+SETS = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("fp", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+#: Bits in which SimHashes differ at most where deletion variants link them.
+BITS = 7
 #: Odd multipliers: each orders a set's shingles anew, and gives a bit of the set's sketch.
 ORDERS = np.random.default_rng(5).integers(0, 1 << 63, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -60,6 +65,14 @@ def sketch(own: np.ndarray, block: int = 1 << 15) -> np.ndarray:
     return np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
+def simhash(own: np.ndarray, block: int = 1 << 15) -> int:
+    """The SimHash of a set: a bit is 1 if set in over half of its shingles; 0 for an empty set."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), block):
+        counts += np.unpackbits(own[at : at + block].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(own)).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 @cache
 def most_differ(least: Fraction, lost: float = 1e-9) -> int:
     """Bits in which the sketches of sets with Jaccard ``least`` differ at most, but for a share of ``lost`` of them."""
@@ -105,7 +118,7 @@ def _frequent(rows: DataFrame, words: int, sampled: int, times: int, most: int)
 
 
 def _sets(rows: DataFrame, words: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
-    """``key, node, size, high, low, prefix`` of each row (its sketch in two halves); of equal sets in a task only the first has its prefix."""
+    """``key, node, size, high, low, fp, prefix`` of each row (its sketch in two halves, its SimHash); of equal sets in a task only the first has its prefix."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +129,13 @@ def _sets(rows: DataFrame, words: int, least: Fraction, frequent: np.ndarray) ->
                 for text in utf8(batch.column(1)):
                     own = shingles(text, words)
                     name = node(own)
-                    out.append((name, len(own), *sketch(own).tolist(), [] if name in seen else prefix(own, shared.value, least).view(np.int64)))
+                    out.append((name, len(own), *sketch(own).tolist(), simhash(own), [] if name in seen else prefix(own, shared.value, least).view(np.int64)))
                     seen.add(name)
                 if out:
                     found = records(SETS, zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=["key", *SETS.names])
 
-    return rows.mapInArrow(scan, f"key {key_type(rows, 'key')[0]}, node long, size long, high long, low long, prefix array<long>")
+    return rows.mapInArrow(scan, f"key {key_type(rows, 'key')[0]}, node long, size long, high long, low long, fp long, prefix array<long>")
 
 
 def _alike(size: np.ndarray, high: np.ndarray, low: np.ndarray, one: np.ndarray | int, two: np.ndarray, least: Fraction) -> np.ndarray:
@@ -199,6 +212,15 @@ def _candidates(sets: DataFrame, least: Fraction, small: int) -> DataFrame:
     return keyed.repartition("run").sortWithinPartitions("run", "size", "node").mapInArrow(scan, "a long, b long").distinct()
 
 
+def _by_variants(sets: DataFrame, bits: int) -> DataFrame:
+    """``a, b``: links that connect all sets whose SimHashes differ in at most ``bits``, found by op1's deletion variants."""
+    nodes = checkpoint(sets.select("node", "fp").distinct())
+    roots = connected_components(links_by_variants(nodes.select("fp").distinct(), bits))
+    known = nodes.join(roots.withColumnRenamed("node", "print"), F.col("fp") == F.col("print"), "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = known.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "b")
+    return known.join(least, F.col("root") == F.col("of")).where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def forest(sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
     """Links (places in ``sets``) that span the components at Jaccard ``least``; each root is compared with all not yet met."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -270,7 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, most: i
     exact = Fraction(least).limit_denominator(1 << 10)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sets = checkpoint(_sets(rows, words, exact, _frequent(rows, words, sampled, 4, 1 << 18)))
-    groups = connected_components(_candidates(sets, exact, small))
+    groups = connected_components(union_all([_by_variants(sets, BITS), _candidates(sets, exact, small)]))
     distinct = checkpoint(sets.groupBy("node").agg(F.min("key").alias("least"), F.first("size").alias("size")))
     grouped = checkpoint(distinct.join(groups, "node").select("node", "least", "size", "root"))
     blocks = grouped.groupBy("root").agg(F.ceil(F.sum("size") / most).alias("n_blocks"))

@@ -1,8 +1,8 @@
 """SimHash near-dedup over deletion-variant signatures.
 
-A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four bits have a
-segment that differs in at most one, so they share an exact segment or a segment with one bit wildcarded.
-Those variants are the keys of an equality match; a match is verified on all 64 bits.
+A 64-bit fingerprint is cut into three segments (four for radii of 6 or 7 bits). Two fingerprints that differ in at
+most four bits have a segment that differs in at most one, so they share an exact segment or a segment with one bit
+wildcarded. Those variants are the keys of an equality match; a match is verified on all 64 bits.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from ..functions.frames import union_all
 from .common import checkpoint, connected_components, key_type, records, row_slices, texts, without
 
 LOWER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
-#: (first bit, width) of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: (first bit, width) of each segment, by the bits that they let differ at most.
+SEGMENTS = {5: ((0, 22), (22, 21), (43, 21)), 7: ((0, 16), (16, 16), (32, 16), (48, 16))}
 BLOCK = 1 << 15
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -57,10 +57,18 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(scan, f"key {key_type(docs, key)[0]}, fp long")
 
 
-def variants(fp: str = "fp") -> list:
+def segments(limit: int) -> tuple[tuple[int, int], ...]:
+    """The fewest segments of which one differs in at most a bit where fingerprints differ in ``limit``."""
+    for most, found in SEGMENTS.items():
+        if limit <= most:
+            return found
+    raise ValueError(f"{len(found)} segments find up to {most} differing bits")
+
+
+def variants(fp: str = "fp", limit: int = 4) -> list:
     """The index keys of a fingerprint: each segment as it is, then with each of its bits wildcarded."""
     keys, number = [], 0
-    for first, width in SEGMENTS:
+    for first, width in segments(limit):
         segment = F.shiftrightunsigned(F.col(fp), first).bitwiseAND(F.lit((1 << width) - 1))
         for mask in [(1 << width) - 1, *((1 << width) - 1 - (1 << bit) for bit in range(width))]:
             keys.append(F.lit(number << 22).bitwiseOR(segment.bitwiseAND(F.lit(mask))).cast("int"))
@@ -136,16 +144,15 @@ def links(prints: DataFrame, limit: int = 4, most: int = 1 << 13) -> DataFrame:
     cut into blocks, and each pair of blocks is a run of its own, so no task holds more than about twice
     ``most`` of one key and no pair is lost. Copies don't count, as fingerprints come distinct.
     """
-    if limit > 2 * len(SEGMENTS) - 1:
-        raise ValueError(f"{len(SEGMENTS)} segments find up to {2 * len(SEGMENTS) - 1} differing bits")
-    segments = F.array(*[F.lit(n << 22).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))) for n, (first, width) in enumerate(SEGMENTS)])
-    heavy = prints.select(F.explode(segments).alias("value")).groupBy("value").count().where(F.col("count") > most // 2)
+    cut = segments(limit)
+    values = F.array(*[F.lit(n << 22).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))) for n, (first, width) in enumerate(cut)])
+    heavy = prints.select(F.explode(values).alias("value")).groupBy("value").count().where(F.col("count") > most // 2)
     heavy = checkpoint(heavy.select("value"))
-    keyed = prints.select("fp", F.explode(F.array(*variants())).alias("run"))
+    keyed = prints.select("fp", F.explode(F.array(*variants(limit=limit))).alias("run"))
     if heavy.isEmpty():
         return _matched(keyed, limit)
     runs, number = [], 0
-    for n, (_, width) in enumerate(SEGMENTS):
+    for n, (_, width) in enumerate(cut):
         full = (1 << width) - 1
         own = F.col("value").bitwiseAND(F.lit((1 << 22) - 1))
         masks = [full, *(full - (1 << bit) for bit in range(width))]
