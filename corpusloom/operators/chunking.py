@@ -93,28 +93,32 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     rows = rows.withColumns({f"_sets_{s}": F.transform(f"_pieces_{s}", _measure(s, split)[1]) for s in made})
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
     # what only quality asks for are columns of their own, so that they aren't made where it isn't asked for
-    pieces = F.filter(F.concat(*[_counted(f"_pieces_{s}", at, s, split) for at, s in enumerate(made)]), lambda p: p["text"].isNotNull())
+    flagged = least_chars is not None
+    pieces = F.filter(F.concat(*[_counted(f"_pieces_{s}", at, s, split, flagged) for at, s in enumerate(made)]), lambda p: p["text"].isNotNull())
     shared = [F.array().cast("array<bigint>") if s == "passage" else quality.most_shared(F.col(f"_sets_{s}")) for s in made]
     sizes = [_sized(s, split) for s in made]
+    # where nothing is grouped by them, hashes and counts are columns of their own, too
+    plains = [F.array() if flagged else _plains(s, split) for s in made]
     abouts = F.array(*[F.struct(F.lit(s).alias("strategy"), F.to_json(F.struct(*about)).alias("about")) for s, (_, about) in made.items()])
     every = pieces if least_chars is None else _groups(pieces, F.col("parent_passage_id"), list(made))
     # before the rows are made: what stands beside an explode is evaluated for each of its rows
-    rows = rows.select(*kept, abouts.alias("_abouts"), F.array(*shared).alias("_shared"), F.array(*sizes).alias("_sizes"), every.alias("_every"))
+    rows = rows.select(*kept, abouts.alias("_abouts"), F.array(*shared).alias("_shared"), F.array(*sizes).alias("_sizes"), F.array(*plains).alias("_plains"), every.alias("_every"))
     # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
-    rows = rows.select(*kept, "_abouts", "_shared", "_sizes", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
+    rows = rows.select(*kept, "_abouts", "_shared", "_sizes", "_plains", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
     if least_chars is not None:
-        rows = rows.select(*kept, "_abouts", "_shared", "_sizes", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
+        rows = rows.select(*kept, "_abouts", "_shared", "_sizes", "_plains", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
     own_view = F.get("_abouts", F.col("_piece.view"))
     own_size = F.get(F.get("_sizes", F.col("_piece.view")), F.col("_piece.index"))
+    own_plain = F.col("_piece") if flagged else F.get(F.get("_plains", F.col("_piece.view")), F.col("_piece.index"))
     own_shared = F.get(F.get("_shared", F.col("_piece.view")), F.col("_piece.index"))
     flags = [] if least_chars is None else ["_ids", "_strategies", "_place"]
-    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), F.col("_piece.text").alias("text"), "_piece", own_size.alias("_size"), quality.penalty(own_shared, own_size["n_different"]).alias("_penalty")).where("text is not null")
+    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), F.col("_piece.text").alias("text"), own_plain["n_words"].alias("_n_words"), own_plain["hash"].alias("_text_hash"), own_size.alias("_size"), quality.penalty(own_shared, own_size["n_different"]).alias("_penalty")).where("text is not null")
     # a whole passage's quality is that of the target text unless that is empty; where it isn't the chunk's text it is blank
     scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
     rows = rows.withColumn("_scored", scored)
     blank = F.col("_scored") != F.col("text")
     coherent = F.when(blank, 0.0).otherwise(quality.coherence_of(F.col("_size.n_sentences")))
-    dense = F.when(blank, 0.0).otherwise(quality.density_of(F.col("_piece.n_words"), F.col("_size.n_different")))
+    dense = F.when(blank, 0.0).otherwise(quality.density_of(F.col("_n_words"), F.col("_size.n_different")))
     bounded = F.when(blank, 0.0).otherwise(F.col("_size.boundary"))
     chunks = quality.with_breakdown(rows, coherent, dense, bounded, F.col("_penalty"), "_quality")
     split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
@@ -138,11 +142,11 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         "text",
         F.when(own | split, F.col("text_english")).otherwise(F.col("text")).alias("text_english"),
         F.when(own, F.col("text_target")).when(split, F.col("text_target")).otherwise(F.lit("")).alias("text_target"),
-        F.col("_piece.n_words").alias("token_count_estimate"),
+        F.col("_n_words").alias("token_count_estimate"),
         F.char_length("text").alias("char_count"),
         F.col("_quality.quality_score").alias("quality_score"),
         metadata.alias("metadata"),
-        F.col("_piece.hash").alias("chunk_text_hash"),
+        F.col("_text_hash").alias("chunk_text_hash"),
         duplicate.alias("is_duplicate_chunk"),
         canonical.alias("duplicate_of_chunk_id"),
         short.alias("below_min_length"),
@@ -202,8 +206,17 @@ def _sized(strategy: str, split: bool) -> Column:
     return F.transform(f"_pieces_{strategy}", lambda text, i: F.struct(F.size(F.get(f"_sets_{strategy}", i)).alias("n_different"), sentences(text, i).alias("n_sentences"), quality.boundary(text).alias("boundary")))
 
 
-def _counted(pieces: str, view: int, strategy: str, split: bool) -> Column:
-    """A strategy's pieces with their counts and hash; a sort puts equal texts side by side, the preferred one first."""
+def _plains(strategy: str, split: bool) -> Column:
+    """Of each of a strategy's pieces the hash of its plain text and the number of its words."""
+    own = lambda text, i: _let(_measure(strategy, split)[0](text, i), lambda own: F.struct(F.sha2(own["plain"], 256).alias("hash"), own["n_words"].alias("n_words")))
+    return F.transform(f"_pieces_{strategy}", own)
+
+
+def _counted(pieces: str, view: int, strategy: str, split: bool, flagged: bool = True) -> Column:
+    """A strategy's pieces, where they are to be flagged with their counts and hash; a sort then puts equal texts side by
+    side, the preferred one first."""
+    if not flagged:
+        return F.transform(pieces, lambda text, i: F.struct(i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text")))
 
     def piece(text: Column, i: Column) -> Column:
         return _let(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunking, ingest, quality
+from corpusloom.plans import catalog
 
 
 def records(spark, rng, n=40):
@@ -66,3 +67,10 @@ def test_a_passage_of_thousands_of_pieces():
     assert time.time() - began < 300 and len(found) == 8_000
     for i in rng.integers(0, 8_000, 5).tolist():
         assert found[i] == max(len(np.intersect1d(sets[i], s, assume_unique=True)) for j, s in enumerate(sets) if j != i)
+
+
+def test_counts_ask_for_no_hash(spark):
+    """Reports that look at no flag neither hash nor sort the pieces."""
+    for name in ("report_chunk_counts", "report_chunks", "report_histogram", "chunk_text_views"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2(" not in plan and "array_sort(filter" not in plan
