@@ -34,11 +34,16 @@ class HashingEmbedder:
     """Character n-grams of words (with a blank on both sides) hashed to ``dimension`` places, L2-normalised.
 
     A stand-in without meaning, for tests of the path from text to metrics. The hash of an n-gram is its code
-    points as digits in base 131, modulo the dimension, so that any engine gives the same vector.
+    points as digits in base 131, modulo the dimension, so that any engine gives the same vector. Words' places are known
+    from one call to the next, as bytes: an array for each word takes twice the room.
     """
 
     def __init__(self, dimension: int = 256, sizes: tuple[int, int] = (2, 4)):
-        self.name, self.dimension, self.sizes, self.most_known = f"TEST_ONLY_hashing_dim{dimension}", dimension, sizes, 1 << 18
+        self.name, self.dimension, self.sizes, self.most_known, self._known = f"TEST_ONLY_hashing_dim{dimension}", dimension, sizes, 1 << 18, {}
+
+    def __getstate__(self) -> dict:
+        """Without the words known so far."""
+        return self.__dict__ | {"_known": {}}
 
     def places(self, word: str) -> np.ndarray:
         """The place of each n-gram of a word; a word shorter than n gives itself once."""
@@ -56,17 +61,18 @@ class HashingEmbedder:
 
     def embed(self, texts: Sequence[str | None], is_query: bool = False) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), dtype=np.float64)
-        known: dict[str, np.ndarray] = {}
+        kind = np.uint16 if self.dimension <= 1 << 16 else np.uint32
+        known = self._known
         for row, text in enumerate(texts):
             places = []
             for word in (text or "").lower().split():
                 if word not in known:
                     if len(known) >= self.most_known:
                         known.clear()
-                    known[word] = self.places(word)
+                    known[word] = self.places(word).astype(kind).tobytes()
                 places.append(known[word])
             if places:
-                out[row] = np.bincount(np.concatenate(places), minlength=self.dimension)
+                out[row] = np.bincount(np.frombuffer(b"".join(places), dtype=kind), minlength=self.dimension)
         sizes = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(sizes == 0, 1, sizes)).astype(np.float32)
 
@@ -130,12 +136,24 @@ def warm_up(embedder, calls: int = 5, text: str = "warm-up text") -> float:
     return sum(embed_with_timing(embedder, [text])[1] for _ in range(calls))
 
 
+#: Texts that a task embeds together.
+TEXTS = 1 << 10
+
+
+def list_array(vectors: np.ndarray) -> pa.ListArray:
+    """A matrix's rows as an Arrow column of lists."""
+    n, size = vectors.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(vectors, dtype=np.float32).ravel()))
+
+
 def embed(frame: DataFrame, embedder, text: str = "text", name: str = "embedding", is_query: bool = False) -> DataFrame:
     """``frame`` with the vectors of a text column, Arrow batch by batch; the embedder is sent once a task."""
 
     def vectors(batches: Iterator) -> Iterator:
         for texts in batches:
-            yield pa.array(list(embedder.embed(texts.to_pylist(), is_query)), type=pa.list_(pa.float32()))
+            # a batch has as many texts as the session's Arrow batches; what is made of them at once has a bound of its own
+            parts = [list_array(embedder.embed(texts.slice(at, TEXTS).to_pylist(), is_query)) for at in range(0, len(texts), TEXTS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=pa.list_(pa.float32()))
 
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from vectors(batches)
@@ -172,6 +190,10 @@ def _scores(block: np.ndarray, corpus: np.ndarray, distance: str) -> np.ndarray:
     return block @ corpus.T
 
 
+#: Queries whose hits a task gives in one batch.
+PART = 1 << 10
+
+
 class Best:
     """Each query's best k hits as (-score, id), by blocks of scores; equal scores go by id. ``least``: scores that a
     query's hits must reach, where that is known."""
@@ -199,9 +221,12 @@ class Best:
                 self.cuts[query] = -best[-1][0]
 
     def batches(self, keys: list, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        flat = [(keys[i], key, -score) for i, hits in enumerate(self.hits) for score, key in hits]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
+        """The hits of some queries at a time, which then are held no more."""
+        for first in range(0, len(self.hits), PART):
+            flat = [(keys[i], key, -score) for i in range(first, min(first + PART, len(self.hits))) for score, key in self.hits[i]]
+            self.hits[first : first + PART] = [[]] * len(self.hits[first : first + PART])
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)], names=["query_id", "chunk_id", "score"])
 
 
 def usable(ids: pa.Array, vectors: pa.Array, dimension: int) -> tuple[list, np.ndarray]:
@@ -216,8 +241,8 @@ def usable(ids: pa.Array, vectors: pa.Array, dimension: int) -> tuple[list, np.n
     return [named[j] for j in order], matrix[good[order]]
 
 
-def query_blocks(queries: DataFrame, query_key: str, vector: str, block: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Keys and vectors of usable queries, ``block`` numbers of them at a time. Queries without a vector, or with an
+def query_blocks(queries: DataFrame, query_key: str, vector: str, block: int, most: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and vectors of usable queries, ``block`` numbers or ``most`` queries of them at a time. Queries without a vector, or with an
     element that is null, NaN or infinite, are left out; all others must have one dimension."""
     precision = np.float32 if queries.schema[vector].dataType == T.ArrayType(T.FloatType()) else np.float64
     keys, vectors, size = [], [], None
@@ -229,7 +254,7 @@ def query_blocks(queries: DataFrame, query_key: str, vector: str, block: int) ->
             raise ValueError(f"queries have vectors of {size} and of {len(row.v)}")
         keys.append(row.q)
         vectors.append(np.array(row.v, dtype=precision))
-        if len(keys) * size >= block:
+        if len(keys) * size >= block or len(keys) >= most:
             yield keys, np.array(vectors)
             keys, vectors = [], []
     if keys:
@@ -253,7 +278,9 @@ def best_hits(found: Sequence[DataFrame], k: int, distance: str) -> DataFrame:
 
 
 #: Scores that a task holds at once, at most: rows come in runs, queries in parts.
-ROWS, QUERIES = 1 << 10, 1 << 12
+ROWS, QUERIES = 1 << 10, 1 << 10
+#: Hits that a task holds at once, at most: so many queries, times k, are asked in one pass over the corpus.
+HITS = 1 << 20
 #: From so many tasks on a first round over one row in ``SHARE`` gives each query a score that its hits must reach.
 TASKS, SHARE = 64, 128
 
@@ -262,8 +289,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     """Exact top k of every query over the whole corpus; equal scores go by corpus key. Euclid scores are distances.
     With ``places`` scores are rounded before any row is left out, so that ties are those of the rounded scores.
 
-    The corpus is read once for each ``block`` numbers of query vectors (65,536 queries of 256 dimensions), so
-    what is sent has a fixed bound; a task keeps its own best k of each query, and only those are shuffled. A corpus
+    The corpus is read once for each ``block`` numbers of query vectors (65,536 queries of 256 dimensions) or ``HITS`` hits,
+    so what is sent and held has a fixed bound; a task keeps its own best k of each query, and only those are shuffled. A corpus
     of more than ``TASKS`` tasks is first searched in part, one row in ``SHARE`` by its key's hash: tasks then give only hits
     that reach the k-th best score found there, some k for each query together and not k from each task.
     Rows and queries without a vector, or with an element that is null, NaN or infinite, match nothing, nor do rows
@@ -297,7 +324,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 30, distance: str
     found, part = [], None
     if rows.rdd.getNumPartitions() > TASKS:
         part = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SHARE)) == 0)
-    for keys, vectors in query_blocks(queries, query_key, vector, block):
+    for keys, vectors in query_blocks(queries, query_key, vector, block, max(1, HITS // k)):
         least = None if part is None else kth_scores(search(part, keys, vectors), keys, k)
         found.append(search(rows, keys, vectors, least))
     return best_hits(found or [spark.createDataFrame([], schema)], k, distance)

@@ -62,13 +62,27 @@ def _blocks(keys: pa.Array, words: pa.Array, sizes: np.ndarray, shard: int, sche
     if not len(words):
         return
     coded = words.dictionary_encode()
+    del words
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    pairs, counts = np.unique(rank[coded.indices.to_numpy()] * rows + np.repeat(np.arange(rows), sizes), return_counts=True)
-    term, place = np.divmod(pairs, rows)
+    # a number for each word of the shard, in place: these arrays are most of what a task holds
+    pairs = rank[coded.indices.to_numpy()]
+    terms = coded.dictionary.take(pa.array(order))
+    del coded, order, rank
+    pairs *= rows
+    pairs += np.repeat(np.arange(rows, dtype=np.int32), sizes)
+    pairs.sort()
+    heads = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]).astype(np.int32)
+    counts = np.diff(heads, append=np.int32(len(pairs)))
+    pairs = pairs[heads]
+    del heads
+    term = (pairs // rows).astype(np.int32)
+    pairs %= rows
+    place = pairs.astype(np.int32)
+    del pairs
     starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    ends, terms = np.r_[starts[1:], len(term)], coded.dictionary.take(pa.array(order))
+    ends = np.r_[starts[1:], len(term)]
     largest, smallest = np.maximum.reduceat(counts, starts), np.minimum.reduceat(sizes[place], starts)
     for at in range(0, len(starts), most):
         some = slice(at, at + most)
@@ -87,9 +101,15 @@ def _build(schema: pa.Schema, rows: int, words: int):
         held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
         n_rows = n_words = 0
 
+        def taken() -> tuple[pa.Array, pa.Array, np.ndarray]:
+            """What is held, which then is held no more."""
+            own = tuple(pa.concat_arrays([h[i] for h in held]) for i in (0, 1)), np.concatenate([h[2] for h in held])
+            held.clear()
+            return *own[0], own[1]
+
         def shard() -> Iterator[pa.RecordBatch]:
-            keys, own = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
-            yield from _blocks(keys, own, np.concatenate([h[2] for h in held]), base + number, schema)
+            yield from _blocks(*taken(), base + number, schema)
+            pa.default_memory_pool().release_unused()
 
         for whole in batches:
             sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -105,7 +125,7 @@ def _build(schema: pa.Schema, rows: int, words: int):
                     n_rows, n_words, at = n_rows + fits, n_words + int(run[fits - 1]), at + fits
                 if n_rows >= rows or fits < len(run):
                     yield from shard()
-                    held, n_rows, n_words, number = [], 0, 0, number + 1
+                    n_rows, n_words, number = 0, 0, number + 1
         if held:
             yield from shard()
 

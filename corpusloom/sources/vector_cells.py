@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.frames import stored
-from ..operators.retrieval import DISTANCES, Best, _scores, best_hits, kth_scores, query_blocks, usable
+from ..operators.retrieval import DISTANCES, HITS, Best, _scores, best_hits, kth_scores, query_blocks, usable
 
 #: Vectors that the centres are fitted on, about, and cells, at most.
 SAMPLE, CELLS = 100_000, 1024
@@ -189,7 +189,7 @@ class VectorCells:
             some = blocks.where(F.col("cell").isin(numbers[wanted].tolist())).select("cell", "centre", "radius", "keys", "vectors")
             return some.mapInArrow(look, schema)
 
-        for keys, vectors in query_blocks(queries, query_key, vector, block):
+        for keys, vectors in query_blocks(queries, query_key, vector, block, max(1, HITS // k)):
             if vectors.shape[1] != dimension:
                 raise ValueError(f"the vectors have {dimension} dimensions, the queries {vectors.shape[1]}")
             vectors = unit(vectors.astype(np.float64)) if distance == "cosine" else vectors.astype(np.float64)

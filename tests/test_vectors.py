@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,17 @@ def test_last_in_a_batch_wins(spark, tmp_path):
     assert {r.chunk_id: r.query_type for r in store.points().collect()} == {"x": "B", "y": "C"} and "place" not in store.points().columns
     assert json.loads(spark.read.text(f"{tmp_path}/points/_settings").first()["value"]) == {"distance": "cosine", "dimension": 8}
 
+
+
+def test_hits_are_asked_for_and_given_in_parts(spark, monkeypatch):
+    """A task holds ``HITS`` hits at most and gives them ``PART`` queries at a time; the result is the same."""
+    rows = [(i, [float(i % 7), float(i % 5), float(i % 3), 1.0]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "key long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "HITS", 40)
+    assert [len(keys) for keys, _ in retrieval.query_blocks(frame, "key", "embedding", 1 << 24, retrieval.HITS // 5)] == [8] * 7 + [4]
+    found = retrieval.dense_topk(frame, frame, 5, query_key="key", corpus_key="key", places=9)
+    assert sorted(tuple(r[:3]) for r in found.collect()) == sorted(plain(rows, rows, 5, "cosine"))
+    best = retrieval.Best(3 * retrieval.PART, 1)
+    best.add(np.ones((3 * retrieval.PART, 1)), [7], np.arange(3 * retrieval.PART))
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
+    assert [len(b) for b in best.batches(list(range(3 * retrieval.PART)), kinds)] == [retrieval.PART] * 3
