@@ -21,6 +21,11 @@ def eligible(records: DataFrame, require_answer: bool = False) -> DataFrame:
     return rows.where("has_answer") if require_answer else rows
 
 
+def marks() -> Column:
+    """Passages without their texts: all that sampling and ground truth read."""
+    return F.transform("passages", lambda p: F.struct(p["passage_index"].alias("passage_index"), p["is_selected"].alias("is_selected")))
+
+
 def draw_order(key: str, seed: int) -> Column:
     """A reproducible order that any engine gives alike: the MD5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))

@@ -7,7 +7,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators import chunking, ingest, reports
+from corpusloom.operators import benchmark, chunking, ingest, reports
+from corpusloom.plans import catalog
 from jobs import chunk_corpus
 
 
@@ -55,3 +56,33 @@ def test_the_job_sorts_nothing_to_write(spark, tmp_path):
     columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
     assert {c.compression for c in columns} == {"ZSTD"}
     assert sum(c.total_uncompressed_size for c in columns if c.path_in_schema == "text_target") < 3 * 4 * 300_000
+
+
+def written(monkeypatch, name):
+    """Runs of ``catalog`` note the plans of what they write."""
+    plans, write = [], getattr(catalog, name)
+
+    def noted(frame, *rest):
+        plans.append((set(frame.columns), frame._jdf.queryExecution().optimizedPlan().toString()))
+        return write(frame, *rest)
+
+    monkeypatch.setattr(catalog, name, noted)
+    return plans
+
+
+def test_stored_chunks_have_what_is_read_of_them(spark, tiny, monkeypatch):
+    """All four strategies are written, but no text is hashed or grouped where neither flags nor hashes are read."""
+    plans = written(monkeypatch, "write_chunks")
+    rows = catalog.QUERIES["chunk_some_strategies"](spark, tiny)
+    assert "PartitionFilters: [strategy" in rows._jdf.queryExecution().executedPlan().toString()
+    assert plans[0][0] == {"chunk_strategy", "language", "char_count"} and "sha2(" not in plans[0][1]
+
+
+def test_a_benchmark_is_drawn_without_texts(spark, tiny, monkeypatch):
+    """Neither records' nor chunks' hashes are made, and the sample reads no text."""
+    chunks, frames = written(monkeypatch, "write_chunks"), written(monkeypatch, "stored")
+    assert catalog.QUERIES["bench_relevance"](spark, tiny).count() > 0
+    assert not any("sha2(" in plan for _, plan in [*chunks, *frames])
+    assert [columns for columns, _ in frames if "passages" in columns] == [columns for columns, _ in frames[:2]]
+    narrow = spark.createDataFrame([([(0, "a", "b", 1)],)], "passages array<struct<passage_index:int,text_english:string,text_target:string,is_selected:int>>")
+    assert narrow.select(benchmark.marks().alias("p")).schema["p"].dataType.elementType.names == ["passage_index", "is_selected"]
