@@ -17,6 +17,8 @@ COLUMNS = (
     "chunk_id query_id source_lang target_lang language query_type passage_index is_selected chunk_strategy chunk_index parent_passage_id text text_english text_target "
     "has_answer answer_status source_record_hash token_count_estimate char_count quality_score metadata chunk_text_hash is_duplicate_chunk duplicate_of_chunk_id below_min_length"
 ).split()
+#: What ``flagged_marks`` says of a chunk.
+MARKS = tuple("chunk_id query_id language query_type passage_index is_selected chunk_strategy chunk_index parent_passage_id token_count_estimate char_count chunk_text_hash is_duplicate_chunk duplicate_of_chunk_id below_min_length".split())
 KEPT = ("query_id", "source_lang", "target_lang", "query_type", "has_answer", "answer_status", "source_record_hash")
 # Strategy names, split reasons, methods and metadata keys below are fixed values of the chunk format.
 #: Passages of at most so many tokens aren't cut into paragraphs.
@@ -68,8 +70,9 @@ def _pieces(strategy: str, rule: Rule | None, whole: int) -> tuple[Column, list[
     return F.when(kind == "SHORT", F.array("primary")).otherwise(cut), about
 
 
-def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE, least_chars: int | None = None) -> DataFrame:
-    """Chunks of every passage by each strategy of ``rules``; with ``least_chars`` flagged as ``dedup_chunks`` does.
+def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE, least_chars: int | None = None, texts: bool = True) -> DataFrame:
+    """Chunks of every passage by each strategy of ``rules``; with ``least_chars`` flagged as ``dedup_chunks`` does; without
+    ``texts`` flagged and of ``MARKS`` alone.
 
     Passages are made, split into sentences and these into words once: a piece's words are those of its sentences. The
     strategies' pieces become rows together. Equal texts of a passage are found in its array of pieces, before they are
@@ -78,9 +81,14 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     rows = passages(records)
     split = any(rules.values())
     if split:
-        rows = rows.withColumn("_sentences", X.sentences("primary")).withColumn("_words", F.transform("_sentences", X.lower_words))
-        ids = F.transform("_words", lambda own: F.transform(F.array_distinct(own), lambda w: F.xxhash64(w)))
-        rows = rows.withColumns({"_counts": F.transform("_words", F.size), "_plain": F.transform("_words", lambda own: F.array_join(own, " ")), "_numbers": ids}).drop("_words")
+        rows = rows.withColumn("_sentences", X.sentences("primary"))
+        if texts:
+            rows = rows.withColumn("_words", F.transform("_sentences", X.lower_words))
+            ids = F.transform("_words", lambda own: F.transform(F.array_distinct(own), lambda w: F.xxhash64(w)))
+            rows = rows.withColumns({"_counts": F.transform("_words", F.size), "_plain": F.transform("_words", lambda own: F.array_join(own, " ")), "_numbers": ids}).drop("_words")
+        else:  # the words themselves are for quality alone: no row holds them
+            own = F.transform("_sentences", lambda t: _let(X.lower_words(t), lambda own: F.struct(F.size(own).alias("n"), F.array_join(own, " ").alias("plain"))))
+            rows = rows.withColumn("_own", own).withColumns({"_counts": F.col("_own.n"), "_plain": F.col("_own.plain")}).drop("_own")
         rows = rows.withColumn("_total", F.aggregate("_counts", F.lit(0), lambda n, own: n + own))
         rows = rows.withColumns({f"_bounds_{s}": bounds(F.col("_counts"), rule) for s, rule in rules.items() if rule})
         rows = rows.withColumns({f"_cut_{s}": _bounded(f"_bounds_{s}") for s, rule in rules.items() if rule})
@@ -90,6 +98,8 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
     if split:
         rows = rows.withColumns({f"_spans_{s}": _spans(s, whole) for s in made})
+    if not texts:
+        return _marks(rows, list(made), split, least_chars)
     rows = rows.withColumns({f"_sets_{s}": F.transform(f"_pieces_{s}", _measure(s, split)[1]) for s in made})
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
     # what only quality asks for are columns of their own, so that they aren't made where it isn't asked for
@@ -153,6 +163,27 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     ).select(*COLUMNS)
 
 
+def _marks(rows: DataFrame, strategies: list[str], split: bool, least_chars: int) -> DataFrame:
+    """``MARKS`` of the chunks of ``rows``, passages with their pieces: a piece is its length and hash from here on."""
+    kept = ["query_id", "query_type", "language", "passage_index", "is_selected", "parent_passage_id"]
+    every = _groups(F.concat(*[_counted(f"_pieces_{s}", at, s, split, texts=False) for at, s in enumerate(strategies)]), F.col("parent_passage_id"), strategies)
+    rows = rows.select(*kept, every.alias("_every")).select(*kept, F.explode_outer("_every").alias("_group"))
+    rows = rows.select(*kept, F.col("_group.ids").alias("_ids"), F.posexplode_outer("_group.pieces").alias("_place", "_piece")).where("_piece is not null")
+    strategy, duplicate = F.get(F.array(*map(F.lit, strategies)), F.col("_piece.view")), F.col("_place") > 0
+    return rows.select(
+        F.concat_ws("_", "parent_passage_id", strategy, "_piece.index").alias("chunk_id"),
+        *kept,
+        strategy.alias("chunk_strategy"),
+        F.col("_piece.index").alias("chunk_index"),
+        F.col("_piece.n_words").alias("token_count_estimate"),
+        F.col("_piece.n_chars").alias("char_count"),
+        F.col("_piece.hash").alias("chunk_text_hash"),
+        duplicate.alias("is_duplicate_chunk"),
+        F.when(duplicate, F.get("_ids", F.lit(0))).otherwise("").alias("duplicate_of_chunk_id"),
+        (F.col("_piece.n_chars") < least_chars).alias("below_min_length"),
+    ).select(*MARKS)
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is made once: whatever a lambda names from outside is made anew for each element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -212,7 +243,7 @@ def _plains(strategy: str, split: bool) -> Column:
     return F.transform(f"_pieces_{strategy}", own)
 
 
-def _counted(pieces: str, view: int, strategy: str, split: bool, flagged: bool = True) -> Column:
+def _counted(pieces: str, view: int, strategy: str, split: bool, flagged: bool = True, texts: bool = True) -> Column:
     """A strategy's pieces, where they are to be flagged with their counts and hash; a sort then puts equal texts side by
     side, the preferred one first."""
     if not flagged:
@@ -223,7 +254,7 @@ def _counted(pieces: str, view: int, strategy: str, split: bool, flagged: bool =
             _measure(strategy, split)[0](text, i),
             lambda own: F.struct(
                 F.sha2(own["plain"], 256).alias("hash"), F.lit(STRATEGIES.index(strategy)).alias("order"), i.cast("string").alias("name"),
-                i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text"), own["n_words"].alias("n_words"),
+                i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text") if texts else F.char_length(text).alias("n_chars"), own["n_words"].alias("n_words"),
             ),
         )
 
@@ -303,6 +334,14 @@ def flagged_views(records: DataFrame, strategies: Sequence[str] = STRATEGIES, le
     return _views(records, {s: RULES[s] for s in STRATEGIES if s in strategies}, least_chars=least_chars)
 
 
+def flagged_marks(records: DataFrame, strategies: Sequence[str] = STRATEGIES, least_chars: int = 10) -> DataFrame:
+    """``flagged_views`` without texts, quality and metadata: the columns of ``MARKS``, equal to those there."""
+    unknown = set(strategies) - set(STRATEGIES)
+    if unknown or not strategies:
+        raise ValueError(f"strategies are {', '.join(STRATEGIES)}")
+    return _views(records, {s: RULES[s] for s in STRATEGIES if s in strategies}, least_chars=least_chars, texts=False)
+
+
 def dedup_chunks(chunks: DataFrame, least_chars: int = 10) -> DataFrame:
     """Flag equal texts within (parent_passage_id, language), never across passages, and texts under ``least_chars``.
 

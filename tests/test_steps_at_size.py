@@ -86,3 +86,19 @@ def test_a_benchmark_is_drawn_without_texts(spark, tiny, monkeypatch):
     assert [columns for columns, _ in frames if "passages" in columns] == [columns for columns, _ in frames[:2]]
     narrow = spark.createDataFrame([([(0, "a", "b", 1)],)], "passages array<struct<passage_index:int,text_english:string,text_target:string,is_selected:int>>")
     assert narrow.select(benchmark.marks().alias("p")).schema["p"].dataType.elementType.names == ["passage_index", "is_selected"]
+
+
+def test_marks_are_those_of_flagged_chunks(spark, tiny):
+    """Without texts the same columns come out, and neither words nor texts are in what becomes rows."""
+    records = catalog._records(spark, tiny)
+    marks, whole = chunking.flagged_marks(records), chunking.flagged_views(records).select(*chunking.MARKS)
+    assert marks.schema.names == whole.schema.names and marks.dtypes == whole.dtypes
+    assert marks.count() > 1000 and marks.exceptAll(whole).isEmpty() and whole.exceptAll(marks).isEmpty()
+    made = [line for line in marks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode(" in line]
+    assert made and not any("text_" in line or "_sentences" in line for line in made)
+
+
+def test_marks_of_one_strategy(spark, tiny):
+    records = catalog._records(spark, tiny)
+    marks = chunking.flagged_marks(records, ["passage"])
+    assert marks.exceptAll(chunking.flagged_views(records, ["passage"]).select(*chunking.MARKS)).isEmpty() and marks.count() > 0
