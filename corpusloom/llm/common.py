@@ -77,28 +77,40 @@ def records(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Links that a task takes, about; so many or fewer are sent instead of shuffled.
+LINKS = 1 << 16
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``: long); root is the component's smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014), each a map-side combined minimum
     and an equality join. Edges are the only state; each round is checkpointed and nothing but two
-    numbers comes to the driver. Self-links keep a node as its own root; null ends are dropped.
+    numbers comes to the driver. A round never has more edges than the one before, so the counted edges say how many
+    partitions the next state needs: a task leaves files for each shuffle, however few its rows are. Self-links keep a
+    node as its own root; null ends are dropped.
     """
     both = checkpoint(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    alone = union_all([both.select(F.col("u").alias("node")), both.select(F.col("v").alias("node"))]).distinct()
+    count, seen = both.count(), None
+    both = both.coalesce(count // LINKS + 1)
     current = both.where("u > v")
-    nodes = checkpoint(alone)
-    seen = None
     while True:
-        mirrored = union_all([current.select("u", "v"), current.select(F.col("v").alias("u"), F.col("u").alias("v"))])
+        few = F.broadcast if count <= LINKS else lambda rows: rows
+        mirrored = _each(current, ("u", "v"), ("v", "u"))
         least = mirrored.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = mirrored.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = mirrored.join(few(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = checkpoint(union_all([linked, lowest.select("u", F.col("m").alias("v"))]).distinct())
+        linked = _each(large.join(few(lowest), "u"), ("u", "m"), ("v", "m")).where("u <> v").distinct()
+        current = checkpoint(linked.coalesce(count // LINKS + 1))
         state = tuple(current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             break
-        seen = state
-    roots = current.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        count, seen = state[0], state
+    ended = union_all([current, both.where("u = v")])
+    return _each(ended, ("u", "v"), ("v", "v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """``u, v``: a row for each of the pairs of columns, from one reading of ``rows``."""
+    both = F.array(*[F.struct(F.col(one).alias("u"), F.col(two).alias("v")) for one, two in pairs])
+    return rows.select(F.explode(both).alias("pair")).select("pair.u", "pair.v")

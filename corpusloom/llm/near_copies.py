@@ -213,12 +213,15 @@ def _candidates(sets: DataFrame, least: Fraction, small: int) -> DataFrame:
 
 
 def _by_variants(sets: DataFrame, bits: int) -> DataFrame:
-    """``a, b``: links that connect all sets whose SimHashes differ in at most ``bits``, found by op1's deletion variants."""
+    """``a, b``: links that connect all sets whose SimHashes differ in at most ``bits``, found by op1's deletion variants.
+    A SimHash's links are those of its first set, to which its other sets are linked."""
     nodes = checkpoint(sets.select("node", "fp").distinct())
-    roots = connected_components(links_by_variants(nodes.select("fp").distinct(), bits))
-    known = nodes.join(roots.withColumnRenamed("node", "print"), F.col("fp") == F.col("print"), "left").select("node", F.coalesce("root", "fp").alias("root"))
-    least = known.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "b")
-    return known.join(least, F.col("root") == F.col("of")).where("node <> b").select(F.col("node").alias("a"), "b")
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    found = links_by_variants(nodes.select("fp").distinct(), bits)
+    for end in ("a", "b"):
+        found = found.join(first, F.col(end) == F.col("fp")).drop(end, "fp").withColumnRenamed("first", end)
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return union_all([found, equal])
 
 
 def forest(sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:

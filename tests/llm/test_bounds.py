@@ -1,12 +1,13 @@
 """Samples, blocks and what is sent to the tasks: bounds that lose nothing."""
 
 import os
+import random
 import subprocess
 import sys
 
 import pytest
 
-from corpusloom.llm import decontamination, spotsigs, toxicity
+from corpusloom.llm import common, decontamination, spotsigs, toxicity
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -103,3 +104,44 @@ print("done")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert "done" in done.stdout, done.stderr[-2000:]
+
+
+def smallest(links):
+    """The smallest node that each node reaches."""
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_few_links_take_few_tasks(spark):
+    """Each task leaves files of every shuffle and a log entry: a small graph's rounds don't take all partitions' tasks for each."""
+    links = [(i, i + 1) for i in range(60)]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    frame, context = spark.createDataFrame(links, "a long, b long").repartition(64), spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few links", "components")
+        assert {r.node: r.root for r in common.connected_components(frame).collect()} == smallest(links)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 2000
+
+
+@pytest.mark.parametrize("size", [4, 1 << 16])
+def test_components_are_the_same_however_links_are_dealt(spark, monkeypatch, size):
+    """More links than a task takes are shuffled, fewer are sent; roots are equal."""
+    monkeypatch.setattr(common, "LINKS", size)
+    rng = random.Random(9)
+    links = [(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(70)] + [(500, x) for x in range(501, 540)] + [(7, 7), (900, 900), (7, 7)]
+    dirty = links + [(None, 1), (2, None)]
+    got = [(r.node, r.root) for r in common.connected_components(spark.createDataFrame(dirty, "a long, b long")).collect()]
+    assert sorted(got) == sorted(smallest(links).items())
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -55,3 +55,19 @@ def test_links_at_seven_bits(spark, most):
                 assert roots[signed[i]] == roots[signed[j]]
     with pytest.raises(ValueError, match="7 differing bits"):
         simhash.links(spark.createDataFrame([], "fp long"), 8)
+
+
+def test_variants_link_sets_in_one_search_for_components(spark, monkeypatch):
+    """Sets of one SimHash and sets of SimHashes within the radius are connected, as by all pairs; the links are few."""
+    rng = random.Random(8)
+    prints = [b ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(4))) for b in (rng.getrandbits(63) for _ in range(6)) for _ in range(9)]
+    rows = [(n * 1000 + 7, int(np.uint64(p).view(np.int64))) for n, p in enumerate(prints + prints[::3])]
+    monkeypatch.setattr(near_copies, "connected_components", lambda edges: pytest.fail("components are searched once, for all candidates"), raising=True)
+    links = near_copies._by_variants(spark.createDataFrame(rows + rows[:4], "node long, fp long"), 7)
+    found = [(r.a, r.b) for r in links.collect()]
+    roots = {r.node: r.root for r in connected_components(spark.createDataFrame(found, "a long, b long")).collect()}
+    for node, fp in rows:
+        for other, print_ in rows:
+            if node < other and ((fp ^ print_) & (2**64 - 1)).bit_count() <= 7:
+                assert roots[node] == roots[other]
+    assert all(((dict(rows)[a] ^ dict(rows)[b]) & (2**64 - 1)).bit_count() <= 7 for a, b in found)
