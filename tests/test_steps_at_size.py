@@ -58,6 +58,16 @@ def test_the_job_sorts_nothing_to_write(spark, tmp_path):
     assert sum(c.total_uncompressed_size for c in columns if c.path_in_schema == "text_target") < 3 * 4 * 300_000
 
 
+def test_the_job_has_room_for_all_folders(spark, tmp_path, monkeypatch):
+    """Spark sorts a task's rows once as many files are open as the setting says, so it has to say more than there are folders."""
+    spark.createDataFrame([(i, lang, "One two. Three.") for i, lang in enumerate(("de", "en"))], "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels")
+    report, most = reports.strategy_report, []
+    monkeypatch.setattr(reports, "strategy_report", lambda rows: (most.append(int(spark.conf.get(chunk_corpus.WRITERS))), report(rows))[1])
+    chunk_corpus.run(spark, f"{tmp_path}/docs", f"{tmp_path}/labels", f"{tmp_path}/out")
+    assert most[0] > len(glob.glob(f"{tmp_path}/out/chunks/*/*")) == 8
+
+
 def written(monkeypatch, name):
     """Runs of ``catalog`` note the plans of what they write."""
     plans, write = [], getattr(catalog, name)
