@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,8 +31,14 @@ def filled(value: str | Column) -> Column:
 
 
 def strip(value: str | Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.btrim(filled(value), F.lit(BLANKS))
+    """White space of any kind off both ends. ``btrim`` looks at every character, so a column is spared it where its first
+    byte shows that no blank is there and its last character is a sign that texts often end with."""
+    text = filled(value)
+    cut = F.btrim(text, F.lit(BLANKS))
+    if not isinstance(value, str):  # it might be made anew for each look
+        return cut
+    ends = reduce(lambda a, b: a | b, [text.endswith(c) for c in ".!?\"')"])
+    return F.when((text >= "!") & (text < "\x7f") & ends, text).otherwise(cut)
 
 
 #: What a look at each character alone tells to be in NFC: nothing below U+0300 changes.
@@ -73,6 +80,32 @@ def lower_words(value: str | Column) -> Column:
     return words(F.lower(filled(value)))
 
 
+#: A blank that is neither U+0020 nor a line feed, or a second one in a row. The blank first, as in ``stripped_sentences``.
+ODD_SPACE = f"{SPACE}(?<=[^ \\n]|[ \\n][ \\n])"
+
+
+def is_tidy(stripped: str | Column) -> Column:
+    """Whether a stripped text's words are parted by single blanks and line feeds alone, as most texts' are."""
+    return ~_column(stripped).rlike(ODD_SPACE)
+
+
+def plain(value: str | Column, tidy: Column | None = None) -> Column:
+    """A text's words in lower case with one blank between them. What is known to be ``tidy`` (see ``is_tidy``) isn't split."""
+    split = F.array_join(lower_words(value), " ")
+    return split if tidy is None else F.when(tidy, F.lower(F.replace(_column(value), F.lit("\n"), F.lit(" ")))).otherwise(split)
+
+
+def plain_words(value: str | Column) -> Column:
+    """The words of a ``plain`` text. One blank as the separator is no pattern to Java."""
+    return F.array_remove(F.split(_column(value), " "), "")
+
+
+def plain_count(value: str | Column) -> Column:
+    """How many words a ``plain`` text has."""
+    text = _column(value)
+    return F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "))) + 1)
+
+
 def token_count(value: str | Column) -> Column:
     """The estimate of tokens: white-space words."""
     return F.size(words(value))
@@ -80,13 +113,24 @@ def token_count(value: str | Column) -> Column:
 
 def sentences(value: str | Column) -> Column:
     """Split after . ! ? or danda where white space follows; pieces come stripped, empty ones are dropped."""
+    return stripped_sentences(strip(value))
+
+
+def stripped_sentences(text: str | Column) -> Column:
+    """``sentences`` of a text that is stripped."""
     # the white space first: a look back from every character takes most of the time
-    return F.array_remove(F.split(strip(value), f"{SPACE}(?<=[.!?।]{SPACE}){SPACE}*"), "")
+    return F.array_remove(F.split(_column(text), f"{SPACE}(?<=[.!?।]{SPACE}){SPACE}*"), "")
 
 
 def paragraphs(value: str | Column) -> Column:
     """Split at blank lines; pieces stripped, empty ones dropped."""
-    return F.array_remove(F.transform(F.split(strip(value), f"\\n{SPACE}*\\n"), strip), "")
+    return stripped_paragraphs(strip(value))
+
+
+def stripped_paragraphs(text: str | Column) -> Column:
+    """``paragraphs`` of a text that is stripped; one without a blank line is left as it is."""
+    parts = F.array(F.split(_column(text), f"\\n{SPACE}*\\n"))
+    return F.array_remove(F.get(F.transform(parts, lambda own: F.when(F.size(own) > 1, F.transform(own, strip)).otherwise(own)), F.lit(0)), "")
 
 
 def dedup_text(value: str | Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from . import quality
-from .windows import AdaptiveRule, BudgetRule, WindowRule, bounds
+from .windows import CUTTERS, AdaptiveRule, BudgetRule, WindowRule, bounds
 
 STRATEGIES = ("passage", "paragraph", "sentence", "adaptive")
 COLUMNS = (
@@ -81,54 +81,53 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     rows = passages(records)
     split = any(rules.values())
     if split:
-        rows = rows.withColumn("_sentences", X.sentences("primary"))
-        if texts:
-            rows = rows.withColumn("_words", F.transform("_sentences", X.lower_words))
-            ids = F.transform("_words", lambda own: F.transform(F.array_distinct(own), lambda w: F.xxhash64(w)))
-            rows = rows.withColumns({"_counts": F.transform("_words", F.size), "_plain": F.transform("_words", lambda own: F.array_join(own, " ")), "_numbers": ids}).drop("_words")
-        else:  # the words themselves are for quality alone: no row holds them
-            own = F.transform("_sentences", lambda t: _let(X.lower_words(t), lambda own: F.struct(F.size(own).alias("n"), F.array_join(own, " ").alias("plain"))))
-            rows = rows.withColumn("_own", own).withColumns({"_counts": F.col("_own.n"), "_plain": F.col("_own.plain")}).drop("_own")
+        rows = rows.withColumn("_sentences", X.stripped_sentences("primary"))
+        rows = rows.withColumn("_plain", _let(X.is_tidy("primary"), lambda tidy: F.transform("_sentences", lambda t: X.plain(t, tidy))))
+        rows = rows.withColumn("_counts", F.transform("_plain", X.plain_count))
         rows = rows.withColumn("_total", F.aggregate("_counts", F.lit(0), lambda n, own: n + own))
-        rows = rows.withColumns({f"_bounds_{s}": bounds(F.col("_counts"), rule) for s, rule in rules.items() if rule})
-        rows = rows.withColumns({f"_cut_{s}": _bounded(f"_bounds_{s}") for s, rule in rules.items() if rule})
     if "paragraph" in rules:
-        rows = rows.withColumn("_paragraphs", X.paragraphs("primary"))
+        rows = rows.withColumn("_paragraphs", X.stripped_paragraphs("primary"))
+    if split:
+        found = {f"_bounds_{s}": bounds(F.col("_counts"), rule) for s, rule in rules.items() if rule}
+        rows = rows.withColumns(found | ({"_shared": _overlaps(rules, whole)} if texts else {}))
+        rows = rows.withColumns({f"_cut_{s}": _bounded(f"_bounds_{s}") for s, rule in rules.items() if rule})
     made = {s: _pieces(s, rule, whole) for s, rule in rules.items()}
     rows = rows.withColumns({f"_pieces_{s}": pieces for s, (pieces, _) in made.items()})
     if split:
         rows = rows.withColumns({f"_spans_{s}": _spans(s, whole) for s in made})
     if not texts:
         return _marks(rows, list(made), split, least_chars)
-    rows = rows.withColumns({f"_sets_{s}": F.transform(f"_pieces_{s}", _measure(s, split)[1]) for s in made})
     kept = [*KEPT, "passage_index", "is_selected", "text_english", "text_target", "language", "parent_passage_id"]
     # what only quality asks for are columns of their own, so that they aren't made where it isn't asked for
     flagged = least_chars is not None
-    pieces = F.filter(F.concat(*[_counted(f"_pieces_{s}", at, s, split, flagged) for at, s in enumerate(made)]), lambda p: p["text"].isNotNull())
-    shared = [F.array().cast("array<bigint>") if s == "passage" else quality.most_shared(F.col(f"_sets_{s}")) for s in made]
+    pieces = F.concat(*[_counted(f"_pieces_{s}", at, s, split, flagged) for at, s in enumerate(made)])
     sizes = [_sized(s, split) for s in made]
     # where nothing is grouped by them, hashes and counts are columns of their own, too
     plains = [F.array() if flagged else _plains(s, split) for s in made]
     abouts = F.array(*[F.struct(F.lit(s).alias("strategy"), F.to_json(F.struct(*about)).alias("about")) for s, (_, about) in made.items()])
+    # a text of one byte a character is as long as its bytes, and so are its pieces: nothing has to be counted
+    raw = F.when(F.col("language") == "target", F.col("text_target")).otherwise(F.col("text_english"))
+    simple = (F.octet_length(raw) == F.char_length(raw)).alias("_simple")
     every = pieces if least_chars is None else _groups(pieces, F.col("parent_passage_id"), list(made))
     # before the rows are made: what stands beside an explode is evaluated for each of its rows
-    rows = rows.select(*kept, abouts.alias("_abouts"), F.array(*shared).alias("_shared"), F.array(*sizes).alias("_sizes"), F.array(*plains).alias("_plains"), every.alias("_every"))
+    rows = rows.select(*kept, simple, abouts.alias("_abouts"), (F.col("_shared") if split else _different(list(made))).alias("_shared"), F.array(*sizes).alias("_sizes"), F.array(*plains).alias("_plains"), F.array(*[F.col(f"_pieces_{s}") for s in made]).alias("_texts"), every.alias("_every"))
     # outer: else a filter on the size is inferred, which makes the pieces a second time; the next filter drops nulls
-    rows = rows.select(*kept, "_abouts", "_shared", "_sizes", "_plains", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
+    rows = rows.select(*kept, "_simple", "_abouts", "_shared", "_sizes", "_plains", "_texts", F.explode_outer("_every").alias("_piece" if least_chars is None else "_group"))
     if least_chars is not None:
-        rows = rows.select(*kept, "_abouts", "_shared", "_sizes", "_plains", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
+        rows = rows.select(*kept, "_simple", "_abouts", "_shared", "_sizes", "_plains", "_texts", F.col("_group.ids").alias("_ids"), F.col("_group.strategies").alias("_strategies"), F.posexplode_outer("_group.pieces").alias("_place", "_piece"))
     own_view = F.get("_abouts", F.col("_piece.view"))
+    own_text = F.get(F.get("_texts", F.col("_piece.view")), F.col("_piece.index"))
     own_size = F.get(F.get("_sizes", F.col("_piece.view")), F.col("_piece.index"))
     own_plain = F.col("_piece") if flagged else F.get(F.get("_plains", F.col("_piece.view")), F.col("_piece.index"))
     own_shared = F.get(F.get("_shared", F.col("_piece.view")), F.col("_piece.index"))
     flags = [] if least_chars is None else ["_ids", "_strategies", "_place"]
-    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), F.col("_piece.text").alias("text"), own_plain["n_words"].alias("_n_words"), own_plain["hash"].alias("_text_hash"), own_size.alias("_size"), quality.penalty(own_shared, own_size["n_different"]).alias("_penalty")).where("text is not null")
+    rows = rows.select(*kept, *flags, own_view["strategy"].alias("chunk_strategy"), own_view["about"].alias("_about"), F.col("_piece.index").alias("chunk_index"), own_text.alias("text"), F.when(F.col("_simple"), F.octet_length(own_text)).otherwise(F.char_length(own_text)).alias("_n_chars"), own_plain["n_words"].alias("_n_words"), own_plain["hash"].alias("_text_hash"), own_size.alias("_size"), own_shared["n_different"].alias("_n_different"), quality.penalty(own_shared["shared"], own_shared["n_different"]).alias("_penalty")).where("text is not null")
     # a whole passage's quality is that of the target text unless that is empty; where it isn't the chunk's text it is blank
     scored = F.when(F.col("chunk_strategy") != "passage", F.col("text")).when(F.col("text_target") != "", F.col("text_target")).otherwise(F.col("text_english"))
     rows = rows.withColumn("_scored", scored)
     blank = F.col("_scored") != F.col("text")
     coherent = F.when(blank, 0.0).otherwise(quality.coherence_of(F.col("_size.n_sentences")))
-    dense = F.when(blank, 0.0).otherwise(quality.density_of(F.col("_n_words"), F.col("_size.n_different")))
+    dense = F.when(blank, 0.0).otherwise(quality.density_of(F.col("_n_words"), F.col("_n_different")))
     bounded = F.when(blank, 0.0).otherwise(F.col("_size.boundary"))
     chunks = quality.with_breakdown(rows, coherent, dense, bounded, F.col("_penalty"), "_quality")
     split, own = F.col("language") == "target", F.col("chunk_strategy") == "passage"
@@ -136,7 +135,7 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
     if least_chars is not None:
         duplicate = F.col("_place") > 0
         canonical = F.when(duplicate, F.get("_ids", F.lit(0))).otherwise("")
-        short = F.char_length("text") < least_chars
+        short = F.col("_n_chars") < least_chars
         end = F.when((F.size("_ids") > 1) & ~duplicate, F.concat(F.lit(","), _copies(F.col("_ids"), F.col("_strategies")))).otherwise(end)
     # each part is named once, as a filter on the metadata makes a part anew wherever it is named
     metadata = F.concat(F.lit('{"quality_breakdown":'), F.to_json("_quality"), F.lit(","), F.substring("_about", F.lit(2), F.length("_about") - 2), end)
@@ -153,7 +152,7 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         F.when(own | split, F.col("text_english")).otherwise(F.col("text")).alias("text_english"),
         F.when(own, F.col("text_target")).when(split, F.col("text_target")).otherwise(F.lit("")).alias("text_target"),
         F.col("_n_words").alias("token_count_estimate"),
-        F.char_length("text").alias("char_count"),
+        F.col("_n_chars").alias("char_count"),
         F.col("_quality.quality_score").alias("quality_score"),
         metadata.alias("metadata"),
         F.col("_text_hash").alias("chunk_text_hash"),
@@ -201,11 +200,10 @@ def _spans(strategy: str, whole: int) -> Column:
 
 
 def _measure(strategy: str, split: bool) -> list[Callable[[Column, Column], Column]]:
-    """Of a piece (text, place): its plain text (words in lower case, one blank between them) with their number, the
-    numbers (hashes) of its different words, how many sentences it has. Where passages are split these come from its sentences."""
+    """Of a piece (text, place): its plain text (words in lower case, one blank between them) with their number, how many
+    sentences it has. Where passages are split these come from its sentences."""
     of_text = [
-        lambda text, i: _let(X.lower_words(text), lambda own: F.struct(F.array_join(own, " ").alias("plain"), F.size(own).alias("n_words"))),
-        lambda text, i: F.transform(F.array_distinct(X.lower_words(text)), lambda w: F.xxhash64(w)),
+        lambda text, i: _let(X.plain(text), lambda own: F.struct(own.alias("plain"), X.plain_count(own).alias("n_words"))),
         lambda text, i: F.size(X.sentences(text)),
     ]
     if not split:
@@ -214,27 +212,50 @@ def _measure(strategy: str, split: bool) -> list[Callable[[Column, Column], Colu
     own = lambda i: F.get(spans, i)
     of_span = [
         lambda text, i: F.struct(F.array_join(_between("_plain", own(i)), " ").alias("plain"), F.aggregate(_between("_counts", own(i)), F.lit(0), lambda n, more: n + more).alias("n_words")),
-        lambda text, i: F.array_distinct(F.flatten(_between("_numbers", own(i)))),
         lambda text, i: own(i)["last"] - own(i)["first"] + 1,
     ]
     if strategy != "paragraph":
         return of_span
 
-
     def either(a: Callable[[Column, Column], Column], b: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
         return lambda text, i: F.when(F.col(spans).isNull(), a(text, i)).otherwise(b(text, i))
 
     return [either(a, b) for a, b in zip(of_text, of_span, strict=True)]
 
 
+def _overlaps(rules: dict[str, Rule | None], whole: int) -> Column:
+    """Of each piece: how many different words it has, and how many the piece of its strategy that shares most has; the
+    strategies are in the order of ``rules``."""
+
+    def cutter(strategy: str, rule: Rule | None) -> Callable[[list[int]], list[tuple[int, int]]]:
+        if rule is None:
+            return lambda tokens: [(0, len(tokens) - 1)]
+        cut = CUTTERS[type(rule)]
+        if strategy != "paragraph":
+            return lambda tokens: cut(tokens, rule)
+        return lambda tokens: [(0, len(tokens) - 1)] if sum(tokens) <= whole else cut(tokens, rule)
+
+    none = F.lit(None).cast("array<int>")
+    literal = F.when((F.col("_total") > whole) & (F.size("_paragraphs") > 1), F.transform("_paragraphs", lambda t: X.plain_count(X.plain(t)))) if "paragraph" in rules else none
+    numbers = F.transform(X.plain_words(F.array_join("_plain", " ")), lambda w: F.xxhash64(w))
+    at = list(rules).index("paragraph") if "paragraph" in rules else -1
+    return quality.overlaps(numbers, F.col("_counts"), literal, at, [cutter(s, rule) for s, rule in rules.items()])
+
+
+def _different(strategies: list[str]) -> Column:
+    """What ``_overlaps`` gives, of pieces that are whole passages."""
+    own = lambda text: F.struct(F.size(F.array_distinct(X.lower_words(text))).cast("long").alias("n_different"), F.lit(0).cast("long").alias("shared"))
+    return F.array(*[F.transform(f"_pieces_{s}", own) for s in strategies])
+
+
 def _sized(strategy: str, split: bool) -> Column:
-    """Of each of a strategy's pieces the numbers of its different words and of its sentences, and its boundary's quality.
+    """Of each of a strategy's pieces the number of its sentences and its boundary's quality.
 
     They are made before the pieces are rows: what follows then reads numbers only, and a filter on a chunk's metadata,
     which Spark moves in front of what makes it, reads no text again.
     """
-    sentences = _measure(strategy, split)[2]
-    return F.transform(f"_pieces_{strategy}", lambda text, i: F.struct(F.size(F.get(f"_sets_{strategy}", i)).alias("n_different"), sentences(text, i).alias("n_sentences"), quality.boundary(text).alias("boundary")))
+    sentences, stripped = _measure(strategy, split)[1], (lambda text: F.col("primary")) if strategy == "passage" else (lambda text: text)
+    return F.transform(f"_pieces_{strategy}", lambda text, i: F.struct(sentences(text, i).alias("n_sentences"), quality.stripped_boundary(stripped(text)).alias("boundary")))
 
 
 def _plains(strategy: str, split: bool) -> Column:
@@ -244,17 +265,18 @@ def _plains(strategy: str, split: bool) -> Column:
 
 
 def _counted(pieces: str, view: int, strategy: str, split: bool, flagged: bool = True, texts: bool = True) -> Column:
-    """A strategy's pieces, where they are to be flagged with their counts and hash; a sort then puts equal texts side by
-    side, the preferred one first."""
+    """A strategy's pieces by their places, where they are to be flagged with their counts and hash; a sort then puts equal
+    texts side by side, the preferred one first. Texts stay out: each step over an array copies what is in it."""
     if not flagged:
-        return F.transform(pieces, lambda text, i: F.struct(i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text")))
+        return F.transform(pieces, lambda text, i: F.struct(i.cast("int").alias("index"), F.lit(view).alias("view")))
 
     def piece(text: Column, i: Column) -> Column:
+        size = () if texts else (F.char_length(text).alias("n_chars"),)
         return _let(
             _measure(strategy, split)[0](text, i),
             lambda own: F.struct(
                 F.sha2(own["plain"], 256).alias("hash"), F.lit(STRATEGIES.index(strategy)).alias("order"), i.cast("string").alias("name"),
-                i.cast("int").alias("index"), F.lit(view).alias("view"), text.alias("text") if texts else F.char_length(text).alias("n_chars"), own["n_words"].alias("n_words"),
+                i.cast("int").alias("index"), F.lit(view).alias("view"), *size, own["n_words"].alias("n_words"),
             ),
         )
 

@@ -21,8 +21,10 @@ PATHS = {"documents": "Parquet: doc_id, lang, text", "labels": "Parquet: doc_id,
 log = logging.getLogger("jobs.chunk_corpus")
 
 #: Of the chunks' files. A split chunk has its passage's whole text beside its own: a dictionary that holds such texts writes
-#: each once, and zstd finds what it doesn't hold. Row groups are small, as a task has a file of each folder open.
+#: each once, and zstd finds what it doesn't hold. Row groups are small, as a task has a file of each folder open. The least and
+#: greatest text of a page, which take a comparison of each text with both, serve nobody.
 FILES = {"compression": "zstd", "parquet.block.size": 32 << 20, "parquet.dictionary.page.size": 8 << 20}
+FILES |= {f"parquet.column.statistics.enabled#{c}": "false" for c in ("text", "text_english", "text_target", "metadata")}
 #: One more than the folders that a task writes at once, each strategy's in both languages: Spark sorts the rest of a task's
 #: rows as soon as so many files are open, not beyond it.
 FOLDERS = 2 * len(chunking.STRATEGIES) + 1

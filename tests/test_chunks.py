@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as X
 from corpusloom.operators import chunking, ingest, quality
 from corpusloom.plans import catalog
 
@@ -58,6 +59,40 @@ def test_overlaps(monkeypatch, dense):
         assert quality.largest_overlaps(flat, np.cumsum([len(s) for s in sets], dtype=np.int64)).tolist() == plain(sets)
 
 
+@pytest.mark.parametrize("dense", [0, 200, 1 << 22])
+def test_overlaps_of_a_passages_views(spark, monkeypatch, dense):
+    """Different words and largest overlaps of runs of words in several views, by number and by text."""
+    monkeypatch.setattr(quality, "DENSE", dense)
+    rng = random.Random(4)
+    for _ in range(200):
+        words = np.array(rng.choices(range(-9, 30), k=rng.randrange(1, 60)), dtype=np.int64)
+        at = [0, rng.randrange(len(words) + 1), len(words)]
+        codes, tops = quality.passage_codes(words, at)
+        for a, b, low, high in zip(at, at[1:], tops, tops[1:], strict=False):
+            views = [sorted(sorted(rng.choices(range(b - a + 1), k=2)) for _ in range(rng.randrange(1, 7))) for _ in range(3)]
+            flat, ends = np.array([run for view in views for run in view]), np.cumsum([0, *map(len, views)]).tolist()
+            got = quality.passage_overlaps(codes[a:b] - low, high - low, flat[:, 0], flat[:, 1], ends)
+            sets = [[set(words[a:b][x:y].tolist()) for x, y in view] for view in views]
+            assert got.tolist() == [[len(s) for view in sets for s in view], [n for view in sets for n in plain(view)]]
+
+
+def test_one_pass_over_numbers(spark):
+    """Python sees sentences and words as numbers, once, and sets of words are never made for each piece."""
+    plan = chunking.flagged_views(records(spark, random.Random(1)).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array_distinct(flatten(" not in plan and "substring(lambda" not in plan
+
+
+def test_plain_texts(spark):
+    """Tidy texts, which aren't split, and others give the same words; lengths are counted in characters."""
+    blanks = [" ", "\n", "  ", "\n ", "\t", "\u3000", "\x85", " \u200a"]
+    texts = ["Été", "x", ""] + [f"A{b}ΣΑΣ{c}ß.{b}İ" for b in blanks for c in blanks]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(X.plain("t", X.is_tidy("t")).alias("fast"), F.array_join(X.lower_words("t"), " ").alias("slow"), X.is_tidy("t").alias("tidy"))
+    found = found.select("*", X.plain_count("fast").alias("n"), X.plain_words("fast").alias("words")).collect()
+    assert all(r.fast == r.slow and r.n == len(r.words) == len(r.slow.split()) for r in found)
+    assert [t for t, r in zip(texts, found, strict=True) if r.tidy] == texts[:3] + [f"A{b}ΣΑΣ{c}ß.{b}İ" for b in " \n" for c in " \n"]
+
+
 def test_a_passage_of_thousands_of_pieces():
     """Windows of a long text: common words in all of them, neighbours that overlap."""
     rng = np.random.default_rng(1)
