@@ -138,7 +138,7 @@ def _views(records: DataFrame, rules: dict[str, Rule | None], whole: int = WHOLE
         short = F.col("_n_chars") < least_chars
         end = F.when((F.size("_ids") > 1) & ~duplicate, F.concat(F.lit(","), _copies(F.col("_ids"), F.col("_strategies")))).otherwise(end)
     # each part is named once, as a filter on the metadata makes a part anew wherever it is named
-    metadata = F.concat(F.lit('{"quality_breakdown":'), F.to_json("_quality"), F.lit(","), F.substring("_about", F.lit(2), F.length("_about") - 2), end)
+    metadata = F.concat(F.lit('{"quality_breakdown":'), quality.breakdown_json("_quality"), F.lit(","), F.substring("_about", F.lit(2), F.length("_about") - 2), end)
     return chunks.select(
         F.concat_ws("_", "parent_passage_id", "chunk_strategy", "chunk_index").alias("chunk_id"),
         *KEPT,

@@ -171,17 +171,27 @@ def mark_duplicates(records: DataFrame, order: str) -> DataFrame:
     return records.join(firsts, F.col(order) == F.col("_first"), "left").withColumn("is_exact_duplicate", F.col("_first").isNull()).select(*records.columns)
 
 
-def dedup(records: DataFrame, order: str) -> DataFrame:
-    """Keep the first of equal records; the n-th later record of a query_id gets the suffix __dup{n}.
+def firsts(records: DataFrame, order: str) -> DataFrame:
+    """``_place`` of the first of equal records by ``order``, and ``_nth``: how many such records of its query_id are before it.
 
-    Ids and places alone are deduplicated and numbered, a common id in many ranges; records then move once, to
-    their own place.
+    Ids and places alone are deduplicated and numbered, a common id in many ranges.
     """
     keys = records.groupBy("source_record_hash").agg(F.min(F.struct(F.col(order).alias("place"), "raw_query_id")).alias("first")).select("first.*")
-    nth = running_total(keys, ["raw_query_id"], ["place"], F.lit(1), "_nth").select(F.col("place").alias("_place"), "_nth")
+    return running_total(keys, ["raw_query_id"], ["place"], F.lit(1), "_nth").select(F.col("place").alias("_place"), "_nth")
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Records with ``_nth`` (see ``firsts``): the n-th later one of a query_id gets the suffix __dup{n}."""
     renamed = F.when(F.col("_nth") > 0, F.concat("query_id", F.lit("__dup"), "_nth")).otherwise(F.col("query_id"))
-    numbered = records.join(nth, F.col(order) == F.col("_place")).withColumn("query_id", renamed).withColumn("is_duplicate_query_id", F.col("_nth") > 0)
-    return numbered.select(*records.columns)
+    return records.withColumn("query_id", renamed).withColumn("is_duplicate_query_id", F.col("_nth") > 0)
+
+
+def dedup(records: DataFrame, order: str) -> DataFrame:
+    """Keep the first of equal records; the n-th later record of a query_id gets the suffix __dup{n}.
+
+    Records move once, to their own place.
+    """
+    return numbered(records.join(firsts(records, order), F.col(order) == F.col("_place"))).select(*records.columns)
 
 
 def dedup_stats(records: DataFrame, order: str) -> DataFrame:

@@ -225,8 +225,17 @@ def penalties(sets: str | Column) -> Column:
     return F.zip_with(most_shared(ids), sets, lambda n, own: penalty(n, F.size(own)))
 
 
+BREAKDOWN = ("quality_score", "semantic_coherence_proxy", "information_density", "boundary_quality", "duplication_penalty")
+
+
 def with_breakdown(rows: DataFrame, coherent: Column, dense: Column, bounded: Column, penalty: Column, name: str) -> DataFrame:
     """``rows`` with the terms and their sum as a struct; each term is computed once."""
     rows = rows.withColumn(name, F.struct(coherent.alias("c"), dense.alias("d"), bounded.alias("b"), penalty.alias("p")))
     c, d, b, p = (F.col(f"{name}.{k}") for k in "cdbp")
-    return rows.withColumn(name, F.struct(F.round(c + d + b - p, 3).alias("quality_score"), c.alias("semantic_coherence_proxy"), d.alias("information_density"), b.alias("boundary_quality"), p.alias("duplication_penalty")))
+    return rows.withColumn(name, F.struct(*[value.alias(key) for key, value in zip(BREAKDOWN, (F.round(c + d + b - p, 3), c, d, b, p), strict=True)]))
+
+
+def breakdown_json(name: str) -> Column:
+    """A breakdown as JSON, as ``to_json`` writes it: its numbers are never null."""
+    parts = [part for key in BREAKDOWN for part in (F.lit(f',"{key}":'), F.col(f"{name}.{key}").cast("string"))]
+    return F.concat(F.lit(f'{{"{BREAKDOWN[0]}":'), *parts[1:], F.lit("}"))

@@ -9,6 +9,7 @@ Writes ``chunks`` (by chunk_strategy and language), ``rejected`` (documents that
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +25,18 @@ log = logging.getLogger("jobs.chunk_corpus")
 #: each once, and zstd finds what it doesn't hold. Row groups are small, as a task has a file of each folder open. The least and
 #: greatest text of a page, which take a comparison of each text with both, serve nobody.
 FILES = {"compression": "zstd", "parquet.block.size": 32 << 20, "parquet.dictionary.page.size": 8 << 20}
-FILES |= {f"parquet.column.statistics.enabled#{c}": "false" for c in ("text", "text_english", "text_target", "metadata")}
+FILES |= {"parquet.size.statistics.enabled": "false"} | {f"parquet.column.statistics.enabled#{c}": "false" for c in ("text", "text_english", "text_target", "metadata")}
 #: One more than the folders that a task writes at once, each strategy's in both languages: Spark sorts the rest of a task's
 #: rows as soon as so many files are open, not beyond it.
 FOLDERS = 2 * len(chunking.STRATEGIES) + 1
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
-def raw_records(documents: DataFrame, labels: DataFrame, known: dict) -> DataFrame:
+def raw_records(documents: DataFrame, labels: DataFrame, known: dict, carried: Sequence[str] = ()) -> DataFrame:
     """A record of one passage for each document: English texts in one list, others in the other; marks from the labels.
 
-    Of several labels of a document the largest counts. ``place`` is the document's id, by which copies are told apart.
+    Of several labels of a document the largest counts. ``place`` is the document's id, by which copies are told apart;
+    ``carried`` columns stay beside it.
     """
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     text, english = F.coalesce("text", F.lit("")), F.coalesce(F.col("lang") == "en", F.lit(False))
@@ -45,7 +47,22 @@ def raw_records(documents: DataFrame, labels: DataFrame, known: dict) -> DataFra
     )
     fixed = [F.lit(known[c]).alias(c) for c in ("source_lang", "target_lang", "query_type")]
     empty = [F.lit("").alias(c) for c in ("Eng_Query", "Eng_Answer", "query", "Answer")]
-    return documents.select("doc_id", "lang", "text").join(marks, "doc_id", "left").select(*fixed, *empty, F.lit(None).cast("string").alias("meta"), F.col("doc_id").alias("query_id"), inner.alias("passages"), F.col("doc_id").alias("place"))
+    rows = documents.select("doc_id", "lang", "text", *carried).join(marks, "doc_id", "left")
+    return rows.select(*fixed, *empty, F.lit(None).cast("string").alias("meta"), F.col("doc_id").alias("query_id"), inner.alias("passages"), F.col("doc_id").alias("place"), *carried)
+
+
+def records(documents: DataFrame, labels: DataFrame, known: dict) -> tuple[DataFrame, DataFrame]:
+    """Normalised records without exact copies, and corrupt ones.
+
+    Which records are equal, or corrupt, is found with a text's digest in its place. Documents then meet the first of
+    equal ones and their labels at their own id, so that a text moves once at most, and only what stays is normalised.
+    """
+    digests = documents.withColumn("text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    usable, corrupt = ingest.split_corrupt(ingest.validate(raw_records(digests, labels, known)))
+    first = ingest.firsts(ingest.normalize(usable, "place"), "place")
+    kept = raw_records(documents.join(first, F.col("doc_id") == F.col("_place")), labels, known, ["_nth"])
+    whole, _ = ingest.split_corrupt(ingest.validate(kept))
+    return ingest.numbered(ingest.normalize(whole, "_nth")).drop("_nth"), corrupt
 
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, config: str | None = None) -> dict[str, int]:
@@ -54,10 +71,8 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, config: s
     with settings_kept(spark, (*CHANGED, WRITERS)):
         spark.conf.set(WRITERS, str(FOLDERS))
         docs, marks = spark.read.parquet(documents), spark.read.parquet(labels)
-        validated = ingest.validate(raw_records(docs, marks, known))
-        usable, corrupt = ingest.split_corrupt(validated)
-        records = ingest.dedup(ingest.normalize(usable, "place"), "place").drop("place")
-        chunks = chunking.flagged_views(records, known["strategies"], known["least_chars"])
+        usable, corrupt = records(docs, marks, known)
+        chunks = chunking.flagged_views(usable, known["strategies"], known["least_chars"])
         kept = chunking.drop_flagged(chunks, known["drop_duplicates"], known["drop_short"])
         kept.write.mode("overwrite").options(**FILES).partitionBy("chunk_strategy", "language").parquet(f"{output}/chunks")
         corrupt.groupBy("corruption_reason").agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{output}/rejected")

@@ -68,6 +68,32 @@ def test_the_job_has_room_for_all_folders(spark, tmp_path, monkeypatch):
     assert most[0] > len(glob.glob(f"{tmp_path}/out/chunks/*/*")) == 8
 
 
+def test_a_document_moves_once(spark, tmp_path):
+    """Copies are found by digests; a text then goes to its own id, where its label and the first of equal ones are."""
+    texts = ["One.", "One.", "", None, "Deux. Été.", "One."]
+    docs = spark.createDataFrame([(i, "de" if i == 5 else "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    for name, frame in (("docs", docs), ("labels", labels)):
+        frame.write.parquet(f"{tmp_path}/{name}")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found, _ = chunk_corpus.records(*[spark.read.parquet(f"{tmp_path}/{name}") for name in ("docs", "labels")], chunk_corpus.DEFAULTS)
+        nodes, moved = [found._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                moved.append({node.output().apply(i).name() for i in range(node.output().size())})
+        assert len(moved) > 2 and sum(bool(names & {"text", "passages"}) for names in moved) == 1
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((r.query_id, r.passages[0].text_english + r.passages[0].text_target, r.passages[0].is_selected) for r in found.collect()) == [("0", "One.", 0), ("1", "One.", 1), ("2", "", 0), ("4", "Deux. Été.", 0), ("5", "One.", 0)]
+
+
 def written(monkeypatch, name):
     """Runs of ``catalog`` note the plans of what they write."""
     plans, write = [], getattr(catalog, name)
